@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("selection", "collections")
+MODULES = ("selection", "collections", "joining", "filling")
 
 
 def load_all() -> None:

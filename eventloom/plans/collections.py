@@ -222,7 +222,7 @@ def terminal_origin(spark, sf):
 
 @query(
     f"""WITH {SQL_OBJ} SELECT k, i, round(sqrt(rel * rel + score * score / 100 + 0.0004), 9) AS total,
-  round(pt + sqrt(pt * rel * pt * rel + power(greatest(0.0::DOUBLE, greatest(pt * 0.99 * (1 + score / 10), pt * 0.99 * (1 - score / 10)) - pt), 2)), 6) AS top,
+  round(pt + sqrt(pt * rel * pt * rel + power(greatest(0.0::DOUBLE, greatest(pt * 0.99 * (1 + score / 10), pt * 0.99 * (1 - score / 10)) - pt), 2)), 9) AS top,
   round(least(greatest(pt, 20.1), 59.9), 9) AS safe FROM obj"""
 )
 def quadrature_and_envelope(spark, sf):
@@ -236,7 +236,7 @@ def quadrature_and_envelope(spark, sf):
     )
     safe = F.transform("obj", lambda o: V.clamp(o["pt"], 20.1, 59.9))
     out = ev.select("k", F.posexplode(V.zip_records(total=total, top=top, safe=safe)).alias("i", "x"))
-    return out.select("k", "i", r("x.total", 9).alias("total"), r("x.top").alias("top"), r("x.safe", 9).alias("safe"))
+    return out.select("k", "i", r("x.total", 9).alias("total"), r("x.top", 9).alias("top"), r("x.safe", 9).alias("safe"))
 
 
 @query(

@@ -76,7 +76,8 @@ def main(argv):
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     queries, sqls = entry.queries(), entry.oracle_sql()
-    names = [n for n in queries if not argv[2:] or any(a in n for a in argv[2:])]
+    mods = set(argv[2:])
+    names = [n for n in queries if not mods or queries[n].__module__.rsplit(".", 1)[-1] in mods or any(a in n for a in mods)]
     failed = []
     for n in names:
         t = time.time()
