@@ -146,7 +146,7 @@ def complete(hists: DataFrame, channels: Sequence[str], variations: Sequence[str
     )
     bins = F.sequence(F.lit(0), F.lit(axis.n + 1))
     spark = hists.sparkSession
-    expected = spark.range(1).select(F.inline(slots)).select("channel", variation, F.explode(bins).cast("int").alias("ix"))
+    expected = spark.range(1).select(F.inline(slots)).select("channel", variation, F.explode(bins).alias("ix"))
     present = hists.groupBy("channel", variation).agg(F.lit(True).alias("_present"))
     got = hists.select("channel", variation, "ix", *CONTENT)
     nominal = hists.filter(F.col(variation) == "nominal").select(

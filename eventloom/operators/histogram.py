@@ -151,7 +151,7 @@ def value_range(df: DataFrame, value: str, trim_low: bool = False, trim_high: bo
         return df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counts, value, {"_cum": "_n"})
-    total = ranked.agg(F.max("_cum").alias("_t")).first()["_t"]
+    total = df.agg(F.count(value)).first()[0]
     if not total:
         raise ValueError(f"no data in {value}")
     k = max(1, total // 100)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("selection", "collections", "joining", "filling")
+MODULES = ("selection", "collections", "joining", "filling", "combining")
 
 
 def load_all() -> None:

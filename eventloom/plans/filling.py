@@ -204,7 +204,7 @@ def variation_validity(spark, sf):
     good, rep = X.usable(spark, ev.columns, wanted)
     assert [v.source for v in good] == ["rel"]
     named = rep.select(F.when(F.col("variation") == "sys", "w_sys").otherwise(F.col("variation")).alias("variation"), "used", "reason")
-    return ev.agg(F.count(F.lit(1)).alias("n")).join(named, F.lit(True))
+    return named.withColumn("n", ev.agg(F.count(F.lit(1))).scalar())
 
 
 @query(
