@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.vectors import double_array
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -60,7 +62,7 @@ class Axis:
             if len(self.edges) <= 64:
                 bin_no = sum(((x >= F.lit(e)).cast("int") for e in self.edges), F.lit(0))
             else:
-                bin_no = F.size(F.filter(F.lit(list(self.edges)), lambda e: e <= x))
+                bin_no = F.size(F.filter(double_array(self.edges), lambda e: e <= x))
             return F.when(x.isNotNull(), bin_no).cast("int")
         x = x.cast("double")
         return (
@@ -84,14 +86,14 @@ class Axis:
     def low(self, ix: Column) -> Column:
         """Lower edge of a bin, NULL for the underflow bin."""
         if self.edges:
-            return F.get(F.lit(list(self.edges)), ix - 1)
+            return F.get(double_array(self.edges), ix - 1)
         width = (self.hi - self.lo) / self.n
         return F.when(ix >= 1, F.lit(self.lo) + (ix - 1) * F.lit(width))
 
     def high(self, ix: Column) -> Column:
         """Upper edge of a bin, NULL for the overflow bin."""
         if self.edges:
-            return F.get(F.lit(list(self.edges)), ix)
+            return F.get(double_array(self.edges), ix)
         width = (self.hi - self.lo) / self.n
         return F.when(ix <= self.n, F.lit(self.lo) + ix * F.lit(width))
 

@@ -21,6 +21,17 @@ Predicate = Callable[[Column], Column]
 ORIGIN_CODES = (6, 23, 24, 25)
 
 
+def double_array(values) -> Column:
+    """Constant array of doubles as one parsed expression, however long."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside a lambda, where
+    a repeated expression would be evaluated at every place it appears."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # --- masks, selection, positions ------------------------------------------------
 
 
@@ -82,8 +93,8 @@ def linked_distance(coll: Column, link: str, targets: Column, missing: float = 9
     """For every object the distance to the object it links to."""
 
     def one(o: Column) -> Column:
-        t = F.get(targets, o[link])
-        return F.coalesce(delta_r(o["eta"], o["phi"], t["eta"], t["phi"]), F.lit(missing))
+        dr = bind(F.get(targets, o[link]), lambda t: delta_r(o["eta"], o["phi"], t["eta"], t["phi"]))
+        return F.coalesce(dr, F.lit(missing))
 
     return F.transform(coll, one)
 
@@ -147,12 +158,12 @@ def min_distance(
     """Distance to the nearest reference object, capped by ``start``; objects
     that are not selected get 0."""
 
-    def one(o: Column) -> Column:
-        dr = F.array_min(F.transform(refs, lambda r: delta_r(r["eta"], r["phi"], o["eta"], o["phi"])))
+    def one(o: Column, rs: Column) -> Column:
+        dr = F.array_min(F.transform(rs, lambda r: delta_r(r["eta"], r["phi"], o["eta"], o["phi"])))
         near = F.least(F.coalesce(dr, F.lit(start)), F.lit(start))
         return near if selected is None else F.when(selected(o), near).otherwise(F.lit(0.0))
 
-    return F.transform(coll, one)
+    return bind(refs, lambda rs: F.transform(coll, lambda o: one(o, rs)))
 
 
 def nearest(
@@ -167,16 +178,17 @@ def nearest(
     ``max_dr``; the first one wins a tie. Nothing is emitted per pair."""
     gap = distance or (lambda o, t: delta_r(o["eta"], o["phi"], t["eta"], t["phi"]))
 
-    def one(o: Column) -> Column:
+    def one(o: Column, pool: Column) -> Column:
         def candidate(t: Column, i: Column) -> Column:
             d = gap(o, t)
-            ok = d < max_dr if eligible is None else (d < max_dr) & eligible(t)
-            return F.when(ok, F.struct(d.alias("d"), i.alias("i")))
+            d = d if eligible is None else F.when(eligible(t), d)
+            return F.struct(d.alias("d"), i.alias("i"))
 
-        best = F.array_min(F.transform(targets, candidate))
-        return F.coalesce(best["i"], F.lit(missing)).cast("int")
+        # NULL distances go last after the filter, so the minimum is a real one
+        near = F.array_min(F.filter(F.transform(pool, candidate), lambda c: c["d"] < max_dr))
+        return F.coalesce(near["i"], F.lit(missing)).cast("int")
 
-    return F.transform(coll, one)
+    return bind(targets, lambda pool: F.transform(coll, lambda o: one(o, pool)))
 
 
 def with_p4(coll: Column) -> Column:
@@ -188,11 +200,13 @@ def opposite_pair_near(coll: Column, mass: float = 91.2, window: float = 10.0) -
     """Is there an opposite-charge pair with an invariant mass inside the
     window? Objects need ``p4`` and ``charge``. The test is symmetric and an
     object never pairs with itself (equal charges), so no positions are needed."""
-    return F.exists(
+    return bind(
         coll,
-        lambda a: F.exists(
-            coll,
-            lambda b: (a["charge"] * b["charge"] < 0) & (F.abs(pair_mass(a["p4"], b["p4"]) - mass) < window),
+        lambda c: F.exists(
+            c,
+            lambda a: F.exists(
+                c, lambda b: (a["charge"] * b["charge"] < 0) & (F.abs(pair_mass(a["p4"], b["p4"]) - mass) < window)
+            ),
         ),
     )
 
@@ -235,9 +249,11 @@ def ancestry_flavour(start: Column, codes: Column, parents: Column, status: Colu
     """Origin class of the object at ``start``: 5 when it or an ancestor is of
     the 5 family, else 4 for the 4 family, else 3; 0 without a link. With status
     words 15 (bits 3 or 5) and 1 (bit 0) of the object itself come first."""
-    flav = F.transform(codes, heavy_flavour)
-    best = _walk(parents, start, depth, F.lit(0), lambda s, at: F.greatest(s, F.get(flav, at)))
-    walked = F.when(best >= 4, best).otherwise(F.lit(3))
+    best = bind(
+        F.struct(F.transform(codes, heavy_flavour).alias("flav"), parents.alias("up")),
+        lambda v: _walk(v["up"], start, depth, F.lit(0), lambda s, at: F.greatest(s, F.get(v["flav"], at))),
+    )
+    walked = F.greatest(best, F.lit(3))
     if status is None:
         return F.when(start < 0, 0).otherwise(walked).cast("int")
     word = F.get(status, start)
@@ -252,14 +268,16 @@ def ancestry_flavour(start: Column, codes: Column, parents: Column, status: Colu
 
 def trace_origin(start: Column, codes: Column, parents: Column, depth: int = 100, soft: int = 1) -> Column:
     """First code among 6, 23, 24, 25 met on the way up, else ``soft``."""
-    sizes = F.transform(codes, lambda c: F.abs(c).cast("int"))
+    known = F.transform(codes, lambda c: F.when(F.abs(c).isin(*ORIGIN_CODES), F.abs(c)).otherwise(F.lit(0)).cast("int"))
+    return bind(F.struct(known.alias("known"), parents.alias("up")), lambda v: _first_known(v, start, depth, soft))
 
+
+def _first_known(v: Column, start: Column, depth: int, soft: int) -> Column:
     def visit(s: Column, at: Column) -> Column:
-        code = F.get(sizes, at)
-        return F.when(s != 0, s).when(code.isin(*ORIGIN_CODES), code).otherwise(F.lit(0))
+        return F.when(s != 0, s).otherwise(F.get(v["known"], at))
 
-    found = _walk(parents, start, depth, F.lit(0), visit)
-    return F.when(found != 0, found).otherwise(F.lit(soft)).cast("int")
+    found = _walk(v["up"], start, depth, F.lit(0), visit)
+    return F.coalesce(F.nullif(found, F.lit(0)), F.lit(soft)).cast("int")
 
 
 def terminal_sources(codes: Column, parents: Column, depth: int = 100, soft: int = 1, keep: Column | None = None) -> Column:
@@ -268,17 +286,19 @@ def terminal_sources(codes: Column, parents: Column, depth: int = 100, soft: int
     flags = F.transform(codes, lambda c: is_b_hadron(c))
     if keep is not None:
         flags = F.transform(flags, lambda f, i: f & F.get(keep, i))
-    n = F.size(codes)
-    inner = F.filter(
-        F.transform(parents, lambda p, i: F.when(F.get(flags, i) & (p >= 0) & (p < n), p.cast("int"))),
-        lambda p: p.isNotNull(),
-    )
-    return F.transform(
-        flags,
-        lambda f, i: F.when(f & ~F.array_contains(inner, i), trace_origin(i, codes, parents, depth, soft)).otherwise(
-            F.lit(0)
-        ),
-    )
+    known = F.transform(codes, lambda c: F.when(F.abs(c).isin(*ORIGIN_CODES), F.abs(c)).otherwise(F.lit(0)).cast("int"))
+
+    def sources(v: Column) -> Column:
+        inner = F.filter(F.transform(v["flags"], lambda f, i: F.when(f, F.get(v["up"], i).cast("int"))), lambda p: p >= 0)
+        return bind(
+            inner,
+            lambda taken: F.transform(
+                v["flags"],
+                lambda f, i: F.when(f & ~F.array_contains(taken, i), _first_known(v, i, depth, soft)).otherwise(F.lit(0)),
+            ),
+        )
+
+    return bind(F.struct(flags.alias("flags"), known.alias("known"), parents.alias("up")), sources)
 
 
 # --- arithmetic -----------------------------------------------------------------
@@ -324,9 +344,13 @@ def centrality(coll: Column) -> Column:
 
 def with_fields(coll: Column, **fields: Callable[[Column], Column]) -> Column:
     """Add or replace struct fields; later ones see earlier ones."""
+
+    def extend(out: Column, name: str, make: Callable[[Column], Column]) -> Column:
+        return F.transform(out, lambda o: o.withField(name, make(o)))
+
     out = coll
     for name, make in fields.items():
-        out = F.transform(out, lambda o, make=make, name=name: o.withField(name, make(o)))
+        out = extend(out, name, make)
     return out
 
 

@@ -51,7 +51,23 @@ def apply_corrections(df: DataFrame, names: Sequence[str], ctx: Context) -> Data
         accepted = inspect.signature(fn).parameters
         opts = {k: v for k, v in ctx.options.get(name, {}).items() if k in accepted}
         df = fn(df, ctx, **opts)
-    return df
+    return without_helpers(df)
+
+
+def without_helpers(df: DataFrame) -> DataFrame:
+    """Drop the helper fields (leading underscore) of all collections."""
+    out = {}
+    for f in df.schema.fields:
+        kind = f.dataType
+        if kind.typeName() == "array" and kind.elementType.typeName() == "struct":
+            extra = [n for n in kind.elementType.names if n.startswith("_")]
+            if extra:
+                out[f.name] = _drop_fields(f.name, extra)
+    return df.withColumns(out) if out else df
+
+
+def _drop_fields(coll: str, names: Sequence[str]) -> Column:
+    return F.transform(coll, lambda o: o.dropFields(*names))
 
 
 def element_fields(df: DataFrame, coll: str) -> set[str]:
@@ -59,17 +75,19 @@ def element_fields(df: DataFrame, coll: str) -> set[str]:
 
 
 def add_fields(df: DataFrame, coll: str, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Add struct fields that are not there yet; later ones may use earlier ones
-    when they come in separate calls."""
+    """Add struct fields that are not there yet. All of them are computed from
+    the object as it was, so a field that needs another one comes in a later
+    call and expressions never nest into each other."""
     have = element_fields(df, coll)
     todo = {n: f for n, f in fields.items() if n not in have}
     if not todo:
         return df
 
     def extend(o: Column) -> Column:
+        out = o
         for n, f in todo.items():
-            o = o.withField(n, f(o))
-        return o
+            out = out.withField(n, f(o))
+        return out
 
     return df.withColumn(coll, F.transform(coll, extend))
 
@@ -128,7 +146,10 @@ def jet_scale_data(df: DataFrame, ctx: Context, coll: str = "jets", run: str = "
 def jet_scale_sources(df: DataFrame, ctx: Context, coll: str = "jets", sources: Sequence[str] = (), pt: str = "pt_jec") -> DataFrame:
     """Relative uncertainty of every source as an own field."""
     t = ctx.tables["scale_sources"]
-    return add_fields(df, coll, {s: (lambda o, s=s: t.at(s, o["eta"], o[pt])) for s in sources})
+    if not sources:
+        return df
+    df = add_fields(df, coll, {"_scale_cell": lambda o: t.fixed(sources[0]).cell(o["eta"], o[pt])})
+    return add_fields(df, coll, {s: (lambda o, s=s: t.fixed(s).value(o["_scale_cell"])) for s in sources})
 
 
 @correction("jet_smear")
@@ -151,7 +172,8 @@ def jet_smear(
             u2 = keyed_uniform(*cols, i, seed="u2")
             # Box-Muller; 1 - u is never 0
             normal = F.sqrt(-2.0 * F.log(1.0 - u1)) * F.cos(F.lit(6.283185307179586) * u2)
-            return o.withField("_draw", normal).withField("_reso", reso.at(o["eta"], o[pt], F.col(rho)))
+            width = reso.at(o["eta"], o[pt], F.col(rho))
+            return o.withField("_draw", normal).withField("_reso", width)
 
         df = df.withColumn(coll, F.transform(coll, draw))
 
@@ -163,11 +185,12 @@ def jet_smear(
         alike = F.abs(g["pt"] - o[pt]) < 3.0 * o["_reso"] * o[pt]
         return F.when(near & alike, g["pt"])
 
-    df = add_fields(df, coll, {"_partner": partner_pt})
+    df = add_fields(df, coll, {"_partner": partner_pt, "_sf_cell": lambda o: sf.fixed("nom").cell(o["eta"], o[pt])})
+    df = add_fields(df, coll, {f"_sf_{v}": (lambda o, v=v: sf.fixed(v).value(o["_sf_cell"])) for v in ("nom", "up", "down")})
 
     def smear(variation: str) -> Callable[[Column], Column]:
         def one(o: Column) -> Column:
-            s = sf.at(variation, o["eta"], o[pt])
+            s = o[f"_sf_{variation}"]
             matched = 1.0 + (s - 1.0) * (o[pt] - o["_partner"]) / o[pt]
             free = 1.0 + o["_draw"] * o["_reso"] * F.sqrt(F.greatest(s * s - 1.0, F.lit(0.0)))
             return F.greatest(F.lit(0.0), F.when(o["_partner"].isNotNull(), matched).otherwise(free))
@@ -262,10 +285,13 @@ def tag_weight(coll: Column, sf: Callable[[Column], Column], eff: Callable[[Colu
     """Product of SF for tagged and (1 - SF eff) / (1 - eff) for other good jets."""
 
     def factor(o: Column) -> Column:
-        e, s = eff(o), sf(o)
-        # e < 1 in this branch, NULLIF keeps the other branch from dividing
-        free = F.when(e < 1.0, (1.0 - s * e) / F.nullif(1.0 - e, F.lit(0.0))).otherwise(F.lit(1.0))
-        return F.when(tagged(o), s).otherwise(free)
+        def value(v: Column) -> Column:
+            e, s = v["e"], v["s"]
+            # e < 1 in this branch, NULLIF keeps the other branch from dividing
+            free = F.when(e < 1.0, (1.0 - s * e) / F.nullif(1.0 - e, F.lit(0.0))).otherwise(F.lit(1.0))
+            return F.when(tagged(o), s).otherwise(free)
+
+        return V.bind(F.struct(eff(o).alias("e"), sf(o).alias("s")), value)
 
     return V.product(coll, factor, good)
 
@@ -283,20 +309,29 @@ def btag_working_point(
     def where(o: Column) -> tuple[Column, Column]:
         return F.abs(V.clamp(o["eta"], -2.49, 2.49)), V.clamp(o[pt], 20.1, 999.9)
 
+    # all parts of a table share one cell number, found once per jet
+    first = next(iter(points))
+    df = add_fields(
+        df,
+        coll,
+        {
+            "_sf_cell": lambda o: sf_t.fixed("central", first).cell(o["flavour"], *where(o)),
+            "_eff_cell": lambda o: eff_t.fixed(first).cell(o["flavour"], *where(o)),
+        },
+    )
+
     def sf(syst: str, wp: str) -> Callable[[Column], Column]:
-        return lambda o: F.when(o["flavour"] == 0, 1.0).otherwise(sf_t.at(syst, wp, o["flavour"], *where(o)))
+        return lambda o: F.when(o["flavour"] == 0, 1.0).otherwise(sf_t.fixed(syst, wp).value(o["_sf_cell"]))
 
+    values = {}
     for wp in points:
-        df = add_fields(
-            df,
-            coll,
-            {
-                f"sf_{wp}": sf("central", wp),
-                f"sf_{wp}_up": sf("up", wp),
-                f"sf_{wp}_down": sf("down", wp),
-                f"eff_{wp}": lambda o, wp=wp: eff_t.at(wp, o["flavour"], *where(o)),
-            },
-        )
+        values |= {
+            f"sf_{wp}": sf("central", wp),
+            f"sf_{wp}_up": sf("up", wp),
+            f"sf_{wp}_down": sf("down", wp),
+            f"eff_{wp}": lambda o, wp=wp: eff_t.fixed(wp).value(o["_eff_cell"]),
+        }
+    df = add_fields(df, coll, values)
     cols = {}
     for wp, cut in points.items():
         for suffix in ("", "_up", "_down"):
@@ -359,13 +394,25 @@ def btag_shape(df: DataFrame, ctx: Context, coll: str = "jets", sources: Sequenc
     a source changes only jets of its flavours; product over good jets."""
     t = ctx.tables["btag_shape"]
 
+    def where(o: Column) -> tuple[Column, Column, Column]:
+        return F.abs(V.clamp(o["eta"], -2.49, 2.49)), V.clamp(o[pt], 20.1, 199.9), V.clamp(o["score"], 0.0001, 1.0999)
+
+    df = add_fields(
+        df,
+        coll,
+        {
+            "_shape_cell": lambda o: t.fixed("central").cell(o["flavour"], *where(o)),
+            "_shape_valid": lambda o: (F.abs(o["eta"]) <= 2.5) & o["id_tight"] & (o["score"] >= 0.0),
+        },
+    )
+
     def sf(syst: Callable[[Column], list[tuple[Column | None, str]]]) -> Callable[[Column], Column]:
         def one(o: Column) -> Column:
-            valid = (F.abs(o["eta"]) <= 2.5) & o["id_tight"] & (o["score"] >= 0.0)
-            at = (o["flavour"], F.abs(V.clamp(o["eta"], -2.49, 2.49)), V.clamp(o[pt], 20.1, 199.9), V.clamp(o["score"], 0.0001, 1.0999))
             (cond, first), (_, other) = syst(o)
-            value = t.at(first, *at) if cond is None else F.when(cond, t.at(first, *at)).otherwise(t.at(other, *at))
-            return F.when(valid, value).otherwise(F.lit(1.0))
+            value = t.fixed(first).value(o["_shape_cell"])
+            if cond is not None:
+                value = F.when(cond, value).otherwise(t.fixed(other).value(o["_shape_cell"]))
+            return F.when(o["_shape_valid"], value).otherwise(F.lit(1.0))
 
         return one
 
@@ -397,10 +444,12 @@ def muon_efficiency(
     def field_of(c: str, v: str) -> str:
         return f"sf_{c}" if v == "nominal" else f"sf_{c}_{v}"
 
+    part = t.fixed(components[0], "nominal")
+    df = add_fields(df, coll, {"_sf_cell": lambda o: part.cell(V.clamp(o["eta"], -2.39, 2.39), V.clamp(o[pt], 15.1, max_pt))})
     values = {}
     for c in components:
         for v in ("nominal", "up", "down"):
-            values[field_of(c, v)] = lambda o, c=c, v=v: t.at(c, v, V.clamp(o["eta"], -2.39, 2.39), V.clamp(o[pt], 15.1, max_pt))
+            values[field_of(c, v)] = lambda o, c=c, v=v: t.fixed(c, v).value(o["_sf_cell"])
     df = add_fields(df, coll, values)
 
     def event(shift: str | None = None, direction: str = "nominal") -> Column:
@@ -450,9 +499,11 @@ def muon_scale(df: DataFrame, ctx: Context, coll: str = "muons") -> DataFrame:
     def inside(o: Column) -> Column:
         return (F.abs(o["eta"]) <= 2.4) & o["pt"].between(26.0, 200.0)
 
+    df = add_fields(df, coll, {"_scale_cell": lambda o: t.fixed("m").cell(o["eta"], o["phi"])})
+
     def scaled(o: Column) -> Column:
-        value = 1.0 / (t.at("m", o["eta"], o["phi"]) / o["pt"] + o["charge"] * t.at("a", o["eta"], o["phi"]))
-        return F.when(inside(o), value).otherwise(o["pt"])
+        m, a = (t.fixed(n).value(o["_scale_cell"]) for n in ("m", "a"))
+        return F.when(inside(o), 1.0 / (m / o["pt"] + o["charge"] * a)).otherwise(o["pt"])
 
     return add_fields(df, coll, {"pt_scaled": scaled})
 
@@ -469,7 +520,8 @@ def muon_smear(df: DataFrame, ctx: Context, coll: str = "muons", key: Sequence[s
         df,
         coll,
         {
-            "_r": lambda o: quant.at(F.abs(o["eta"]), keyed_uniform(*cols, F.round(o["phi"], 4), seed="r")),
+            "_scale_cell": lambda o: scale_t.fixed("m").cell(o["eta"], o["phi"]),
+            "_r": lambda o: quant.at(F.abs(o["eta"]), keyed_uniform(*cols, F.floor(o["phi"] * 100 + 0.5), seed="r")),
             "_sigma": lambda o: F.greatest(
                 F.lit(0.0),
                 poly.at("p0", F.abs(o["eta"])) + poly.at("p1", F.abs(o["eta"])) * o["pt_scaled"] + poly.at("p2", F.abs(o["eta"])) * o["pt_scaled"] * o["pt_scaled"],
@@ -484,8 +536,11 @@ def muon_smear(df: DataFrame, ctx: Context, coll: str = "muons", key: Sequence[s
         return (F.abs(o["eta"]) <= 2.4) & o["pt_scaled"].between(26.0, 200.0)
 
     def guarded(value: Column, base: Column) -> Column:
-        q = value / base
-        return F.when(F.isnan(value) | (q > 2.0) | (q < 0.1) | (value < 0), base).otherwise(value)
+        def check(v: Column) -> Column:
+            q = v / base
+            return F.when(F.isnan(v) | (q > 2.0) | (q < 0.1) | (v < 0), base).otherwise(v)
+
+        return V.bind(value, check)
 
     def smeared(o: Column) -> Column:
         value = o["pt_scaled"] * (1.0 + o["_k"] * o["_sigma"] * o["_r"])
@@ -505,7 +560,7 @@ def muon_smear(df: DataFrame, ctx: Context, coll: str = "muons", key: Sequence[s
     def statistical(sign: float) -> Callable[[Column], Column]:
         def one(o: Column) -> Column:
             p = o["pt_corr"]
-            sm, sa, rho = (scale_t.at(n, o["eta"], o["phi"]) for n in ("stat_m", "stat_a", "rho"))
+            sm, sa, rho = (scale_t.fixed(n).value(o["_scale_cell"]) for n in ("stat_m", "stat_a", "rho"))
             unc = p * p * F.sqrt(F.greatest(F.lit(0.0), sm * sm / (p * p) + sa * sa + 2.0 * o["charge"] * rho * sm / p * sa))
             return F.when(F.abs(o["eta"]) <= 2.4, p + sign * unc).otherwise(p)
 
@@ -559,10 +614,9 @@ def overlap(
     if rule != "v1" and not (is_enriched or is_inclusive):
         return df
     soft, depth = (-2, 10) if rule == "v1" else (1, 100)
-    codes = F.transform(F.col(part), lambda p: p["pdg"])
-    parents = F.transform(F.col(part), lambda p: p["mother"])
     keep = F.transform(F.col(part), lambda p: V.has_bit(p["flags"], 13)) if rule == "v1" else None
-    df = df.withColumn("_origin", V.terminal_sources(codes, parents, depth, soft, keep))
+    origin = V.terminal_sources(F.col(f"{part}.pdg"), F.col(f"{part}.mother"), depth, soft, keep)
+    df = df.withColumn("_origin", origin)
     hadrons = F.zip_with(
         F.col(part), "_origin", lambda p, s: F.struct(p["eta"].alias("eta"), p["phi"].alias("phi"), s.alias("source"))
     )

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.vectors import bind, double_array
 from eventloom.operators.scale import values_table
 
 INLINE_CELLS = 20_000
@@ -48,40 +49,56 @@ class BinnedTable:
     def bin_no(self, axis: int, x: Column) -> Column:
         """0-based bin of ``x`` on an axis."""
         name, edges = self.axes[axis]
-        last = len(edges) - 2
-        inner = list(edges[1:-1])
+        inner = edges[1:-1]
         if not inner:
             b = F.lit(0)
-        elif len(inner) <= 32:
-            b = sum(((x >= F.lit(float(e))).cast("int") for e in inner), F.lit(0))
+        elif len(inner) == 1:
+            b = (x >= float(inner[0])).cast("int")
         else:
-            b = F.size(F.filter(F.lit([float(e) for e in inner]), lambda e: e <= x))
+            b = bind(x, lambda v: F.size(F.filter(double_array(inner), lambda e: e <= v)))
         if self.flow == "error":
-            outside = (x < float(edges[0])) | (x >= float(edges[last + 1]))
+            outside = (x < float(edges[0])) | (x >= float(edges[-1]))
             b = F.when(outside, F.raise_error(F.lit(f"{name} outside the table")).cast("int")).otherwise(b)
         return b
 
     def key_no(self, category: int, key: Column) -> Column:
+        """0-based number of a key, NULL for an unknown one."""
         keys = self.categories[category][1]
-        out = None
-        for i, k in enumerate(keys):
-            out = F.when(key == F.lit(k), i) if out is None else out.when(key == F.lit(k), i)
-        return out
-
-    def at(self, *inputs: Column | str) -> Column:
-        """Value for the category keys followed by the axis coordinates; NULL
-        for an unknown key. Plain strings are literal category keys."""
+        known = F.expr("array(" + ", ".join(repr(k) for k in keys) + ")")
+        return F.nullif(F.array_position(known, key), F.lit(0)) - 1
+
+    def fixed(self, *keys) -> "BinnedTable":
+        """The part of the table with literal leading category keys."""
+        values = list(self.values)
+        for (name, known), k in zip(self.categories, keys):
+            size = len(values) // len(known)
+            no = list(known).index(k)
+            values = values[no * size : (no + 1) * size]
+        return BinnedTable(self.axes, values, self.categories[len(keys) :], self.flow)
+
+    def cell(self, *inputs: Column) -> Column:
+        """Flat cell number for category keys followed by axis coordinates.
+        Several tables (or parts) with the same layout can share it."""
+        flat = None
+        for i, (_, keys) in enumerate(self.categories):
+            no = self.key_no(i, inputs[i])
+            flat = no if flat is None else flat * len(keys) + no
+        for j, (_, edges) in enumerate(self.axes):
+            no = self.bin_no(j, inputs[len(self.categories) + j])
+            flat = no if flat is None else flat * (len(edges) - 1) + no
+        return flat.cast("int")
+
+    def value(self, cell: Column) -> Column:
         if len(self.values) > INLINE_CELLS:
             raise ValueError("table too large to inline, use join_lookup")
-        flat: Column | int = 0
-        for i, (name, keys) in enumerate(self.categories):
-            given = inputs[i]
-            no = list(keys).index(given) if isinstance(given, (str, int)) else self.key_no(i, given)
-            flat = flat * len(keys) + no
-        for j, (name, edges) in enumerate(self.axes):
-            flat = flat * (len(edges) - 1) + self.bin_no(j, inputs[len(self.categories) + j])
-        flat = F.lit(flat) if isinstance(flat, int) else flat
-        return F.get(F.lit([float(v) for v in self.values]), flat)
+        return F.get(double_array(self.values), cell)
+
+    def at(self, *inputs: Column | str | int) -> Column:
+        """Value for the category keys followed by the axis coordinates; NULL
+        for an unknown key. Leading literals select a part of the table."""
+        given = list(itertools.takewhile(lambda x: isinstance(x, (str, int)), inputs))
+        part = self.fixed(*given)
+        return part.value(part.cell(*inputs[len(given) :]))
 
     def cells(self) -> Iterator[tuple]:
         """Rows (keys..., bin numbers..., value)."""

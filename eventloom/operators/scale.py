@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.vectors import double_array
+
 #: Largest group table that is carried through the driver as an inline relation.
 MAX_INLINE_ROWS = 10_000
 
@@ -77,8 +79,9 @@ def value_edges(df: DataFrame, value: str, buckets: int) -> list[float]:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Value ranges per ordered pass: a few per shuffle partition."""
-    return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Value ranges per ordered pass: a few per shuffle partition, but no more
+    than a row can be compared with cheaply."""
+    return min(512, max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def running_totals(
@@ -96,7 +99,7 @@ def running_totals(
     value are summed in parallel; each adds the total of the ranges before it.
     """
     edges = value_edges(df, value, buckets or bucket_count(df))
-    part = F.size(F.filter(F.lit(edges), lambda e: e <= F.col(value))) if edges else F.lit(0)
+    part = F.size(F.filter(double_array(edges), lambda e: e <= F.col(value))) if edges else F.lit(0)
     ranged = df.withColumn("_range", part)
     per_range = ranged.groupBy(*groups, "_range").agg(*[F.sum(src).alias(f"_s_{new}") for new, src in sums.items()])
     before = (

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("selection", "collections", "joining", "filling", "combining")
+MODULES = ("selection", "collections", "joining", "filling", "combining", "weighting", "optimising", "correcting")
 
 
 def load_all() -> None:

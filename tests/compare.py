@@ -46,8 +46,10 @@ def rows_of(cols, rows):
 
 def compare(spark, con, fn, sql, sf):
     """None when equal, else a description of the difference."""
+    t = time.time()
     df = fn(spark, sf)
     got = rows_of(df.columns, [tuple(x) for x in df.collect()])
+    compare.spark_seconds = time.time() - t
     if sql is None:
         return None, len(got)
     rel = con.sql(sql)
@@ -67,6 +69,9 @@ def compare(spark, con, fn, sql, sf):
     return None, len(got)
 
 
+compare.spark_seconds = 0.0
+
+
 def main(argv):
     sf = f"/root/testdata/sf{argv[1]}"
     import __spark_entry__ as entry
@@ -87,7 +92,7 @@ def main(argv):
             err, count = f"{type(e).__name__}: {str(e)[:1500]}", -1
         mark = "ok  " if err is None else "FAIL"
         kind = "sql" if n in sqls else "rows"
-        print(f"{mark} {kind} {n} rows={count} {time.time() - t:.2f}s" + ("" if err is None else f"\n     {err}"), flush=True)
+        print(f"{mark} {kind} {n} rows={count} {time.time() - t:.2f}s (spark {compare.spark_seconds:.2f}s)" + ("" if err is None else f"\n     {err}"), flush=True)
         if err:
             failed.append(n)
     print(f"{len(names) - len(failed)} of {len(names)} agree; failed: {failed}")
