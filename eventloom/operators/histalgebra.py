@@ -37,15 +37,13 @@ def merge(hists: DataFrame, members: dict[str, str], keys: Sequence[str], channe
     return named.groupBy(channel, *keys).agg(*_sums())
 
 
-def check_same_binning(hists: DataFrame, group: Sequence[str], one: Sequence[str], edge: str = "x_lo") -> DataFrame:
-    """Groups whose histograms (told apart by ``one``) do not share one binning.
-
-    Every histogram is reduced to its rounded edges (1e-9); two different edge
-    lists in a group make the group incompatible.
-    """
-    edges = hists.groupBy(*group, *one).agg(F.sort_array(F.collect_set(F.round(edge, 9))).alias("_edges"))
-    bad = edges.groupBy(*group).agg(F.count_distinct("_edges").alias("binnings"))
-    return bad.filter("binnings > 1")
+def check_same_binning(hists: DataFrame, group: Sequence[str], bins: Sequence[str] = ("ix",), edges: Sequence[str] = ("x_lo", "x_hi")) -> DataFrame:
+    """Groups whose histograms do not share one binning, with the number of bins
+    that have different edges (beyond 1e-9). Empty bins are not stored, so bins
+    are compared where they exist."""
+    spread = [F.max(e) - F.min(e) for e in edges]
+    per_bin = hists.groupBy(*group, *bins).agg(F.greatest(*spread, F.lit(0.0)).alias("_gap"))
+    return per_bin.filter(F.col("_gap") > 1e-9).groupBy(*group).agg(F.count(F.lit(1)).alias("conflicts"))
 
 
 def add(sets: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

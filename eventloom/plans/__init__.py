@@ -2,7 +2,18 @@
 
 import importlib
 
-MODULES = ("selection", "collections", "joining", "filling", "combining", "weighting", "optimising", "correcting")
+MODULES = (
+    "selection",
+    "collections",
+    "joining",
+    "filling",
+    "combining",
+    "weighting",
+    "optimising",
+    "correcting",
+    "extracting",
+    "catalogs",
+)
 
 
 def load_all() -> None:

@@ -114,12 +114,12 @@ SQL_L2 = f"""{SQL_JET}, j1 AS (SELECT *, pt * (1 - raw) AS rp FROM j0), j2 AS (S
 jet AS (SELECT *, rp * l2 AS pt_jec, mass * (1 - raw) * l2 AS mass_jec FROM j2)"""
 
 
-@query(f"{SQL_L2} SELECT k, i, round(l2, 9) AS l2, round(pt_jec, 6) AS pt_jec, round(mass_jec, 6) AS mass_jec FROM jet")
+@query(f"{SQL_L2} SELECT k, i, round(l2, 9) AS l2, round(pt_jec, 6) AS pt_jec, round(mass_jec, 9) AS mass_jec FROM jet")
 def jet_energy_simulation(spark, sf):
     """Stored calibration undone, level-2 factor applied to pt and mass."""
     df = apply_corrections(jets(spark, sf), ["jet_scale_mc"], Context(tables={"l2": L2}))
     out = per_jet(df, "l2", "pt_jec", "mass_jec")
-    return out.select("k", "i", r("l2", 9).alias("l2"), r("pt_jec").alias("pt_jec"), r("mass_jec").alias("mass_jec"))
+    return out.select("k", "i", r("l2", 9).alias("l2"), r("pt_jec").alias("pt_jec"), r("mass_jec", 9).alias("mass_jec"))
 
 
 @query(

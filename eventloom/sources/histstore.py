@@ -29,7 +29,7 @@ def load(spark: SparkSession, path: str, factor: float = 1.0, fold: int | None =
     Histograms of one variable must share one binning."""
     hists = spark.read.parquet(path)
     if "x_lo" in hists.columns:
-        bad = check_same_binning(hists, ["var"], ["era", "channel", "weight"])
+        bad = check_same_binning(hists, ["var"])
         if not bad.isEmpty():
             raise ValueError(f"different binnings for {[r['var'] for r in bad.limit(20).collect()]}")
     hists = scale(hists, F.lit(factor)) if factor != 1.0 else hists
