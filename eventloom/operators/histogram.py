@@ -46,7 +46,9 @@ def fill_array(
     df: DataFrame, coll: Column, fields: Sequence[str], axes: Sequence[Axis], weight: Column, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Every element of a collection fills with the weight of its row."""
-    rows = df.select(*keys, weight.alias("_row_w"), F.explode(coll).alias("_o"))
+    # the outer form keeps Spark from adding a size filter that would compute a
+    # derived collection a second time; empty collections fall out with the bins
+    rows = df.select(*keys, weight.alias("_row_w"), F.explode_outer(coll).alias("_o"))
     rows = rows.select(*keys, "_row_w", *[F.col(f"_o.{f}").alias(f) for f in fields])
     return fill(rows, axes, F.col("_row_w"), keys)
 

@@ -128,7 +128,9 @@ def join_lookup_array(
 ) -> DataFrame:
     """Table lookup for every object of a collection through a join, for tables
     too large to inline: explode with the position, join, collect by position."""
-    parts = df.select(*key, F.posexplode(coll).alias("_p", "_o"))
+    # the outer form keeps Spark from adding a size filter that would compute a
+    # derived collection a second time
+    parts = df.select(*key, F.posexplode_outer(coll).alias("_p", "_o")).filter(F.col("_p").isNotNull())
     looked = join_lookup(parts, table, {n: F.col(f"_o.{f}") for n, f in inputs.items()}, "_v")
     per_row = looked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_vs"))
     joined = df.join(per_row, list(key), "left")

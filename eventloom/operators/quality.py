@@ -13,16 +13,13 @@ from eventloom.functions.binning import Axis
 def dataset_report(df: DataFrame, weight: str, sign: str, label: str, channel: str) -> DataFrame:
     """Events, sum of w and |w| in total, per sign, per label, per channel, from
     one grouping-sets aggregation. ``part`` names the grouping."""
-    df.createOrReplaceTempView("_dataset_report")
-    sets = df.sparkSession.sql(
-        f"""SELECT grouping_id({sign}, {label}, {channel}) AS g, {sign} AS s, {label} AS l, {channel} AS c,
-                   count(*) AS n_events, sum({weight}) AS weight_sum, sum(abs({weight})) AS abs_weight_sum
-            FROM _dataset_report
-            GROUP BY GROUPING SETS ((), ({sign}), ({label}), ({channel}))"""
+    cols = [F.col(c) for c in (sign, label, channel)]
+    sets = df.groupingSets([[], *[[c] for c in cols]], *cols).agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n_events"), F.sum(weight).alias("weight_sum"), F.sum(F.abs(F.col(weight))).alias("abs_weight_sum")
     )
     part = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, "sign").when(F.col("g") == 5, "label").otherwise("channel")
-    value = F.when(F.col("g") == 3, F.col("s").cast("string")).when(F.col("g") == 5, F.col("l").cast("string")).when(
-        F.col("g") == 6, F.col("c").cast("string")
+    value = F.when(F.col("g") == 3, F.col(sign).cast("string")).when(F.col("g") == 5, F.col(label).cast("string")).when(
+        F.col("g") == 6, F.col(channel).cast("string")
     )
     return sets.select(part.alias("part"), value.alias("value"), "n_events", "weight_sum", "abs_weight_sum")
 

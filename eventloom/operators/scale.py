@@ -11,12 +11,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.vectors import double_array
+from eventloom.session import shared_dir
 
 #: Largest group table that is carried through the driver as an inline relation.
 MAX_INLINE_ROWS = 10_000
@@ -60,6 +62,14 @@ def inline_if_small(df: DataFrame, max_rows: int = MAX_INLINE_ROWS) -> DataFrame
     return values_table(df.sparkSession, schema, [tuple(r) for r in rows])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Store an intermediate table in the shared folder and read it back, for
+    results that several actions use. It survives the loss of executors."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def attach_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Add group aggregates to every row: partial aggregation, then a join."""
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
@@ -139,11 +149,30 @@ def shuffled_rank(df: DataFrame, rank: str, keys: Sequence[str], groups: Sequenc
     a row), so even a group with most of the rows is ranked by many tasks.
     """
     digest = keyed_digest(*[F.col(k) for k in keys], seed=seed)
-    tagged = df.withColumn("_d", digest).withColumn("_range", F.substring("_d", 1, 2))
+    tagged = df.withColumn("_d", digest).withColumn("_range", F.substring("_d", 1, digest_digits(df)))
+    return _ranked(df, tagged, rank, groups, [F.col("_d"), *[F.col(k) for k in keys]])
+
+
+def digest_digits(df: DataFrame) -> int:
+    """Leading digits that give several ranges per shuffle partition."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 2 if parts <= 64 else 3 if parts <= 1024 else 4
+
+
+def ordered_rank(df: DataFrame, rank: str, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """1-based rank of every row in the order of some columns, the first of them
+    numeric and well spread (an event number). Ranges of that column are sorted
+    in parallel; each adds the row count of the ranges before it."""
+    edges = value_edges(df, order[0], buckets or bucket_count(df))
+    part = F.size(F.filter(double_array(edges), lambda e: e <= F.col(order[0]))) if edges else F.lit(0)
+    return _ranked(df, df.withColumn("_range", part), rank, [], [F.col(c) for c in order])
+
+
+def _ranked(df: DataFrame, tagged: DataFrame, rank: str, groups: Sequence[str], order: list[Column]) -> DataFrame:
     counts = tagged.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*groups, "_range").orderBy("_d", *keys)
+    inside = Window.partitionBy(*groups, "_range").orderBy(*order)
     local = tagged.withColumn("_r", F.row_number().over(inside))
     joined = local.join(offsets, [*groups, "_range"])
     return joined.select(*df.columns, (F.col("_o") + F.col("_r")).alias(rank))

@@ -60,7 +60,7 @@ def linked_objects(spark, sf):
     good = V.mask(obj, lambda o: o["score"] >= 0.5)
     out = ev.select(
         "k",
-        F.posexplode(
+        F.posexplode_outer(
             V.zip_records(
                 pt=V.linked_field(obj, "link", obj, "pt", -999.0),
                 dr=V.linked_distance(obj, "link", obj),
@@ -90,7 +90,7 @@ def distances(spark, sf):
     a = F.col("a")
     out = ev.select(
         "k",
-        F.posexplode(
+        F.posexplode_outer(
             F.transform(
                 "obj",
                 lambda o: F.struct(
@@ -118,7 +118,7 @@ def minimum_distance(spark, sf):
             V.min_distance(F.array(j), F.filter("obj", lambda m: (m["charge"] > 0) & (m["i"] != j["i"])), lambda o: o["pt"] > 20), F.lit(0)
         ),
     )
-    out = ev.select("k", F.posexplode(near).alias("i", "near"))
+    out = ev.select("k", F.posexplode_outer(near).alias("i", "near"))
     return out.select("k", "i", r("near").alias("near"))
 
 
@@ -133,7 +133,7 @@ def nearest_match(spark, sf):
     obj = F.transform("obj", lambda o, i: o.withField("i", i))
     ev = ev.withColumn("obj", obj).withColumn("pos", F.filter("obj", lambda o: o["charge"] > 0))
     best = V.nearest(F.col("pos"), F.col("obj"), 0.8, lambda t: t["charge"] < 0)
-    out = ev.select("k", F.explode(F.arrays_zip(F.col("pos.i").alias("i"), best.alias("nearest"))).alias("x"))
+    out = ev.filter(F.size("pos") > 0).select("k", F.explode_outer(F.arrays_zip(F.col("pos.i").alias("i"), best.alias("nearest"))).alias("x"))
     return out.select("k", F.col("x.i").alias("i"), F.col("x.nearest").alias("nearest"))
 
 
@@ -198,7 +198,7 @@ def ancestry(spark, sf):
             V.ancestry_flavour(i, F.col("codes"), F.col("parents"), F.col("status")).alias("origin_status"),
         ),
     )
-    return ev.select("k", F.posexplode(both).alias("i", "x")).select("k", "i", "x.origin", "x.origin_status")
+    return ev.select("k", F.posexplode_outer(both).alias("i", "x")).select("k", "i", "x.origin", "x.origin_status")
 
 
 TRACE = "CAST(CASE WHEN supp % 4 = 0 THEN 6 WHEN supp % 4 = 1 THEN 25 ELSE 500 + part % 100 END AS INTEGER)"
@@ -217,7 +217,7 @@ def terminal_origin(spark, sf):
     code = lambda o: F.when(o["supp"] % 4 == 0, 6).when(o["supp"] % 4 == 1, 25).otherwise(500 + o["part"] % 100).cast("int")
     ev = ev.select("k", F.transform("obj", code).alias("codes"), F.transform("obj", lambda o, i: i - 1).alias("parents"))
     src = V.terminal_sources(F.col("codes"), F.col("parents"))
-    return ev.select("k", F.posexplode(src).alias("i", "source"))
+    return ev.select("k", F.posexplode_outer(src).alias("i", "source"))
 
 
 @query(
@@ -235,12 +235,12 @@ def quadrature_and_envelope(spark, sf):
         "obj", lambda o: V.up_envelope(o["pt"], o["rel"], o["pt"] * 0.99, 1.0 + o["score"] / 10.0, 1.0 - o["score"] / 10.0)
     )
     safe = F.transform("obj", lambda o: V.clamp(o["pt"], 20.1, 59.9))
-    out = ev.select("k", F.posexplode(V.zip_records(total=total, top=top, safe=safe)).alias("i", "x"))
+    out = ev.select("k", F.posexplode_outer(V.zip_records(total=total, top=top, safe=safe)).alias("i", "x"))
     return out.select("k", "i", r("x.total", 9).alias("total"), r("x.top", 9).alias("top"), r("x.safe", 9).alias("safe"))
 
 
 @query(
-    f"""WITH {SQL_OBJ} SELECT k, round(product(CASE WHEN pt > 20 THEN 1 + rel ELSE 1.0::DOUBLE END), 9) AS weight,
+    f"""WITH {SQL_OBJ} SELECT k, round(product(CASE WHEN pt > 20 THEN 1 + rel * 0.7071067 ELSE 1.0::DOUBLE END), 6) AS weight,
   round(sum(pt) / sum(sqrt(pt * cosh(eta) * pt * cosh(eta) + mass * mass)), 6) AS centrality,
   CAST(count(*) FILTER (flag <> 'N' AND score > 0.3) AS INTEGER) AS n_extra FROM obj GROUP BY k"""
 )
@@ -250,7 +250,7 @@ def products_and_sums(spark, sf):
     obj = F.col("obj")
     return ev.select(
         "k",
-        r(V.product(obj, lambda o: 1.0 + o["rel"], lambda o: o["pt"] > 20), 9).alias("weight"),
+        r(V.product(obj, lambda o: 1.0 + o["rel"] * 0.7071067, lambda o: o["pt"] > 20)).alias("weight"),
         r(V.centrality(obj)).alias("centrality"),
         V.count_where(obj, lambda o: (o["flag"] != "N") & (o["score"] > 0.3)).alias("n_extra"),
     )
@@ -307,4 +307,4 @@ def followed_links(spark, sf):
         F.transform("obj", lambda o: (o["supp"] % 7).cast("int")).alias("source"),
     )
     src = F.transform("link", lambda i: V.follow(i, F.col("up"), F.col("source")))
-    return ev.select("k", F.posexplode(src).alias("i", "source"))
+    return ev.select("k", F.posexplode_outer(src).alias("i", "source"))

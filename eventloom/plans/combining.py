@@ -8,6 +8,7 @@ from eventloom.functions.binning import Axis, equal_width_position
 from eventloom.operators import fit as T
 from eventloom.operators import histalgebra as A
 from eventloom.operators import histogram as H
+from eventloom.operators.scale import inline_if_small
 from eventloom.plans.registry import query
 from eventloom.plans.tables import SQL_EV, SQL_OBJ, flat_events, heads, objects, r, sql_bin, table
 
@@ -206,7 +207,7 @@ def equal_width_coordinate(spark, sf):
     from eventloom.plans.tables import nested
 
     ev = nested(spark, sf, "pt")
-    out = ev.select("k", F.posexplode("obj").alias("i", "o"))
+    out = ev.select("k", F.posexplode_outer("obj").alias("i", "o"))
     return out.select("k", "i", r(equal_width_position(F.col("o.pt"), WIDE_EDGES), 9).alias("x"))
 
 
@@ -342,7 +343,9 @@ def fit_bins(spark, sf):
     aggs = []
     for name, f in (("sr", "R"), ("anti", "A"), ("tight", "N")):
         aggs += [F.coalesce(F.sum(F.when(flag == f, m)), F.lit(0.0)).alias(name), F.coalesce(F.sum(F.when(flag == f, m * m)), F.lit(0.0)).alias(f"{name}2")]
-    return rows.groupBy("ix").agg(*aggs).filter(F.col("ix").between(1, FINE.n))
+    # a histogram has a known, small number of bins: filled once, then inline, so
+    # the steps of a fit do not scan the events again
+    return inline_if_small(rows.groupBy("ix").agg(*aggs).filter(F.col("ix").between(1, FINE.n)))
 
 
 @query(SQL_FIT + " SELECT CAST(region AS INTEGER) AS region, round(sr, 6) AS sr, round(\"anti\", 6) AS \"anti\", round(tight, 6) AS tight, round(share, 6) AS share FROM q")

@@ -105,7 +105,7 @@ def jets(spark, sf, *more, head=()):
 
 
 def per_jet(df, *fields, coll="jets", head=()):
-    out = df.select("k", *head, F.posexplode(coll).alias("i", "j"))
+    out = df.select("k", *head, F.posexplode_outer(coll).alias("i", "j"))
     return out.select("k", *head, "i", *[F.col(f"j.{f}").alias(f) for f in fields])
 
 
@@ -238,7 +238,7 @@ def jet_identification_flags(spark, sf):
             o["part"].alias("jetId"),
         ),
     )
-    df = jets(spark, sf).select("k", F.posexplode(j).alias("i", "o"))
+    df = jets(spark, sf).select("k", F.posexplode_outer(j).alias("i", "o"))
     o = F.col("o")
     return df.select("k", "i", jet_identification(o, "fractions").alias("by_fractions"), jet_identification(o, "bits").alias("by_bits"))
 

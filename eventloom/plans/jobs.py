@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.binning import Axis
 from eventloom.operators import histogram as H
+from eventloom.operators.scale import ordered_rank
 from eventloom.operators.steps import StepList, apply_steps, apply_variant
 from eventloom.operators.variations import weight_product
 
@@ -35,10 +36,11 @@ class JobType(Enum):
 
 
 def first_fraction(df: DataFrame, fraction: float, key: Sequence[str]) -> DataFrame:
-    """The first ``max(1, int(N * fraction))`` rows in key order: a distributed
-    sort with a limit, the sampling operator of the trigger study."""
+    """The first ``max(1, int(N * fraction))`` rows in key order, the sampling
+    operator of the trigger study. The number of rows grows with the table, so
+    rows are ranked range by range instead of being taken into one task."""
     n = df.count()
-    return df.orderBy(*key).limit(max(1, int(n * fraction)))
+    return ordered_rank(df, "_rank", key).filter(F.col("_rank") <= max(1, int(n * fraction))).drop("_rank")
 
 
 @dataclass
@@ -95,7 +97,7 @@ def collect_job(
                     ),
                 )
             )
-    rows = kept.select(*keys, "_w", F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(*keys, "_w", "_e.*")
+    rows = kept.select(*keys, "_w", F.explode(F.array(*entries)).alias("_e")).filter(F.col("_e").isNotNull()).select(*keys, "_w", "_e.*")
     rows = rows.dropna(subset=["ix"])
     return rows.groupBy(*keys, "variation", "var", "ix").agg(
         F.sum("_w").alias("sumw"), F.sum(F.col("_w") * F.col("_w")).alias("sumw2"), F.count(F.lit(1)).alias("n")

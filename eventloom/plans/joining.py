@@ -136,7 +136,7 @@ def binned_lookup_inline(spark, sf):
     """Table lookup for every object inside the row."""
     t = flag_table()
     ev = nested(spark, sf, "pt", "eta", "flag")
-    out = ev.select("k", F.posexplode(F.transform("obj", lambda o: t.at(o["flag"], o["pt"], o["eta"]))).alias("i", "sf"))
+    out = ev.select("k", F.posexplode_outer(F.transform("obj", lambda o: t.at(o["flag"], o["pt"], o["eta"]))).alias("i", "sf"))
     return out.withColumn("sf", r("sf", 9))
 
 
