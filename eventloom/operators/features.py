@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
-from eventloom.functions.kinematics import delta_r, eta_of, folded_delta_r, pair_mass
+from eventloom.functions.kinematics import delta_r, eta_of, folded_delta_r, p4_from_mass, pair_mass
 
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
@@ -93,14 +93,11 @@ def extract_features(
     invalid muon index are dropped. ``muon_fields`` maps feature to field."""
     fields = muon_fields or {f: f for f in MUON_FIELDS}
     df = with_selection(df, jets, good, tagged).filter(F.size("_good") >= 4)
-    mu = V.with_p4(F.col(muons))
-    df = df.withColumn("_mu", mu).withColumns(
-        {
-            "_m1": F.get("_mu", F.when(F.col(lead) >= 0, F.col(lead))),
-            "_m2": F.get("_mu", F.when(F.col(sublead) >= 0, F.col(sublead))),
-        }
-    )
-    df = df.filter(F.col("_m1").isNotNull() & F.col("_m2").isNotNull())
+    n = F.size(muons)
+    df = df.filter(F.col(lead).between(0, n - 1) & F.col(sublead).between(0, n - 1))
+    df = df.withColumns({"_m1": F.get(F.col(muons), F.col(lead)), "_m2": F.get(F.col(muons), F.col(sublead))})
+    p4 = lambda m: m.withField("p4", p4_from_mass(m["pt"], m["eta"], m["phi"], m["mass"]))
+    df = df.withColumns({"_m1": p4(F.col("_m1")), "_m2": p4(F.col("_m2"))})
     m1, m2 = F.col("_m1"), F.col("_m2")
     top = [F.get("_top", F.lit(i)) for i in range(4)]
     out: dict[str, Column] = {}

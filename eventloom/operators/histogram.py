@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.binning import Axis
+from eventloom.operators.scale import kth_value
 
 #: above this many weights the fill explodes a weight list instead of adding
 #: two aggregates per weight (keeps generated code inside its field limit)
@@ -140,25 +141,15 @@ def scale(hist: DataFrame, factor: Column) -> DataFrame:
     return hist.withColumns({"sumw": F.col("sumw") * factor, "sumw2": F.col("sumw2") * factor * factor})
 
 
-def value_range(df: DataFrame, value: str, trim_low: bool = False, trim_high: bool = False) -> DataFrame:
+def value_range(df: DataFrame, value: str, trim_low: bool = False, trim_high: bool = False) -> tuple[float, float]:
     """Range for automatic binning: minimum and maximum, or the k-th smallest /
-    largest value with k = max(1, 1% of the rows).
-
-    The k-th value is found from running counts over distinct values, so no
-    task ever holds the whole column.
-    """
-    from eventloom.operators.scale import running_totals
-
-    if not (trim_low or trim_high):
-        return df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_totals(counts, value, {"_cum": "_n"})
-    total = df.agg(F.count(value)).first()[0]
-    if not total:
+    largest value with k = max(1, 1% of the rows)."""
+    lo, hi, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not n:
         raise ValueError(f"no data in {value}")
-    k = max(1, total // 100)
-    v = F.col(value)
-    lo = F.min(F.when(F.col("_cum") >= k, v)) if trim_low else F.min(v)
-    # k-th largest: at least k values are not smaller than it
-    hi = F.max(F.when(F.lit(total) - F.col("_cum") + F.col("_n") >= k, v)) if trim_high else F.max(v)
-    return ranked.agg(lo.alias("lo"), hi.alias("hi"))
+    k = max(1, n // 100)
+    if trim_low:
+        lo = kth_value(df, value, k)
+    if trim_high:
+        hi = kth_value(df, value, n - k + 1)
+    return lo, hi

@@ -88,6 +88,37 @@ def value_edges(df: DataFrame, value: str, buckets: int) -> list[float]:
     return sorted(set(row["e"] or []))
 
 
+def kth_value(df: DataFrame, value: str, k: int, exact_rows: int = 100_000) -> float:
+    """Exact k-th smallest value (k from 1).
+
+    The values are cut into ranges, the range that holds the k-th is found from
+    the range counts, and only its rows go on, until they are few or all equal.
+    Every step is one aggregation; no task ever sorts the column.
+    """
+    rows = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    buckets = bucket_count(df)
+    while True:
+        edges = double_array(value_edges(rows, "_v", buckets))
+        # a cut point is a value of the column and gets a range of its own, so a
+        # very frequent value is split off and every round narrows the rest
+        part = F.size(F.filter(edges, lambda e: e < F.col("_v"))) + F.size(F.filter(edges, lambda e: e <= F.col("_v")))
+        ranges = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        for r in sorted(ranges.collect(), key=lambda r: r["p"]):
+            if k <= r["n"]:
+                break
+            k -= r["n"]
+        else:
+            raise ValueError(f"{value} has fewer values than asked for")
+        if r["lo"] == r["hi"]:
+            return r["lo"]
+        rows = rows.filter(F.col("_v").between(r["lo"], r["hi"]))
+        if r["n"] <= exact_rows:
+            for v in rows.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).orderBy("_v").collect():
+                if k <= v["n"]:
+                    return v["_v"]
+                k -= v["n"]
+
+
 def bucket_count(df: DataFrame) -> int:
     """Value ranges per ordered pass: a few per shuffle partition, but no more
     than a row can be compared with cheaply."""

@@ -71,12 +71,12 @@ UNION ALL SELECT 'both', round(max(CASE WHEN lo_rank = kk THEN pt END), 9), roun
 )
 def automatic_range(spark, sf):
     """Range from the data, whole or without the outer percent (exact)."""
+    from eventloom.operators.scale import values_table
+
     o = objects(spark, sf, "pt")
-    out = None
-    for mode, low, high in (("full", False, False), ("low", True, False), ("both", True, True)):
-        one = H.value_range(o, "pt", low, high).select(F.lit(mode).alias("mode"), r("lo", 9).alias("lo"), r("hi", 9).alias("hi"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    modes = {"full": (False, False), "low": (True, False), "both": (True, True)}
+    rows = [(m, *(round(x, 9) for x in H.value_range(o, "pt", *trim))) for m, trim in modes.items()]
+    return values_table(spark, "mode string, lo double, hi double", rows)
 
 
 @query(
