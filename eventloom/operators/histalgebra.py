@@ -379,3 +379,46 @@ def template_table(hists: DataFrame, keys: Sequence[str], process: str = "proces
         F.count_if((F.col("variation") != "nominal") & (F.col("u") > 0) & (F.col("d") > 0)).alias("n_shapes"),
     )
     return rate.withColumn("observation", F.sum("rate").over(Window.partitionBy(*keys, F.lit(0))))
+
+
+# --- channel roles and stack totals ------------------------------------------------
+
+
+def chosen(spec: Sequence[str] | dict[str, object]) -> list[str]:
+    """Channels of a list, or those with a true flag in a map."""
+    return [c for c, flag in spec.items() if flag] if isinstance(spec, dict) else list(spec)
+
+
+def channel_roles(channels: Sequence[str], data=(), data_driven=(), signal=(), stack=None, overlay=None) -> dict[str, set[str]]:
+    """Roles of every channel. By default simulation that is no signal and
+    data-driven channels are stacked, and simulation that is not stacked is
+    overlaid. A channel cannot be data and data-driven."""
+    is_data, is_dd, is_signal = set(chosen(data)), set(chosen(data_driven)), set(chosen(signal))
+    if is_data & is_dd:
+        raise ValueError(f"both data and data-driven: {sorted(is_data & is_dd)}")
+    stacked = set(chosen(stack)) if stack is not None else set(channels) - is_data - is_signal
+    overlaid = set(chosen(overlay)) if overlay is not None else set(channels) - is_data - is_dd - stacked
+    named = {"data": is_data, "data_driven": is_dd, "signal": is_signal, "stack": stacked, "overlay": overlaid}
+    unknown = set().union(*named.values()) - set(channels)
+    if unknown:
+        raise ValueError(f"unknown channels {sorted(unknown)}")
+    return {c: {r for r, members in named.items() if c in members} for c in channels}
+
+
+def stack_total(hists: DataFrame, keys: Sequence[str], roles: dict[str, set[str]], vary: str = "mc", variation: str = "variation") -> DataFrame:
+    """Stack total per variation: the varied part (``mc`` or ``dd``) follows the
+    variation, the other part stays nominal. ``hists`` is complete, that is it
+    has every variation of every channel.
+
+    Each nominal row of the fixed part is used by every variation, so the
+    variation list is attached to it as an array instead of joining tables.
+    """
+    stacked = [c for c, r in roles.items() if "stack" in r]
+    dd = [c for c in stacked if "data_driven" in roles[c]]
+    moving = F.col("channel").isin(*[c for c in stacked if (c in dd) == (vary == "dd")])
+    rows = hists.filter(F.col("channel").isin(*stacked))
+    names = sorted(r[0] for r in hists.select(variation).distinct().limit(10_000).collect())
+    fixed = rows.filter(~moving & (F.col(variation) == "nominal")).withColumn(variation, F.explode(F.array(*[F.lit(n) for n in names])))
+    cols = [*keys, variation, *CONTENT]
+    both = rows.filter(moving).select(*cols).unionByName(fixed.select(*cols))
+    return both.groupBy(*keys, variation).agg(*_sums())

@@ -440,3 +440,18 @@ def component_summaries(spark, sf):
     """Integral, bins and negative bins of every component."""
     hist = channel_hist(spark, sf, "channel", "era").withColumn("sumw", F.col("sumw") - 1.0)
     return T.components(hist, ["channel", "era"]).withColumn("integral", r("integral", 8))
+
+
+@query(
+    f"""WITH {SQL_EV}, h AS (SELECT channel, CASE WHEN status = 'F' THEN 'nominal' ELSE status END AS variation, {sql_bin('w', 10, 0.0, 5.0)} AS ix, sum(w) AS s FROM ev WHERE channel IN ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') GROUP BY 1, 2, 3),
+f AS (SELECT v.variation, ix, s FROM h, (VALUES ('nominal'), ('O'), ('P')) v(variation) WHERE channel = '4-NOT SPECIFIED' AND h.variation = 'nominal' UNION ALL SELECT variation, ix, s FROM h WHERE channel <> '4-NOT SPECIFIED')
+SELECT variation, ix, round(sum(s), 9) AS sumw FROM f GROUP BY 1, 2"""
+)
+def stack_totals(spark, sf):
+    """Stack total under each variation, the data-driven part kept nominal."""
+    ev = heads(spark, sf, "channel", "status", "w").withColumn("variation", F.when(F.col("status") == "F", "nominal").otherwise(F.col("status")))
+    hist = H.fill(ev, [W], F.col("w"), ["channel", "variation"])
+    roles = A.channel_roles(list(ROLES), data=["5-LOW"], data_driven={"4-NOT SPECIFIED": 1}, signal=["1-URGENT"])
+    assert roles["1-URGENT"] == {"signal", "overlay"}
+    out = A.stack_total(hist, ["ix"], roles)
+    return out.select("variation", "ix", r("sumw", 9).alias("sumw"))
