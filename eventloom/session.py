@@ -16,6 +16,7 @@ def build_session(cores: int | str = "*", name: str = "eventloom", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "50000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
     )
