@@ -92,6 +92,18 @@ def add_fields(df: DataFrame, coll: str, fields: dict[str, Callable[[Column], Co
     return df.withColumn(coll, F.transform(coll, extend))
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Compute derived columns once before filters that use them.
+
+    Spark moves a filter below the projection that defines its columns and so
+    evaluates long expressions again for it. A one-element generator in between
+    keeps the filter above and yields the same rows.
+    """
+    rest = [c for c in df.columns if c not in names]
+    once = F.inline_outer(F.array(F.struct(*[F.col(n) for n in names])))
+    return df.select(*rest, once).select(*df.columns)
+
+
 def add_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: c for n, c in cols.items() if n not in df.columns})
 
@@ -650,7 +662,7 @@ def overlap(
             hit = F.when(F.get("_masked", i), -13).otherwise(hit)
         return F.when(fiducial(j), hit).otherwise(F.lit(-1)).cast("int")
 
-    df = df.withColumn("genjet_source", F.transform(F.col(jets), source))
+    df = settle(df.withColumn("genjet_source", F.transform(F.col(jets), source)), "genjet_source")
     src = F.col("genjet_source")
     if rule == "v1":
         extra = F.size(F.filter(src, lambda s: (s != 6) & (s != -1)))
@@ -743,6 +755,7 @@ def trigger_study(
 
         df = add_fields(df, muons, {"is_fakeable": lambda o: o["is_loose"] & (o["pass_mva"] | (o["jet_df_corr"] < threshold(o)))})
     flag = "is_fakeable" if fakeable else "is_loose"
+    df = settle(df, muons)
     df = df.withColumn("_sel", V.positions(V.mask(F.col(muons), lambda o: o[flag]))).filter(F.size("_sel") == 1)
     df = df.withColumn("lead_idx", F.get("_sel", F.lit(0))).withColumn("_lead", F.get(F.col(muons), F.col("lead_idx")))
     far = V.positions(

@@ -1,6 +1,6 @@
 """Skim new files only.
 
-The reference workflow skips inputs whose output exists. With a file-source
+A skim skips inputs whose output exists. With a file-source
 stream Spark keeps that list itself: every run takes the files that came since
 the last one, applies the step list and appends rows and ledger.
 """
