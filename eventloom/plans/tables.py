@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.sources.nested import attach, collect_children
+from eventloom.sources.nested import attach, collect_children, largest_group
 
 ORDER = ("l_linenumber", "l_extendedprice")
 
@@ -56,9 +56,27 @@ def heads(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("k"), *[F.expr(EVENT[f]).alias(f) for f in fields])
 
 
+#: largest collection accepted for one event
+MAX_OBJECTS = 100_000
+
+_PROVEN: set[tuple[str, str]] = set()
+
+
+def prove_bound(spark: SparkSession, sf: str, lines: DataFrame) -> None:
+    """Check once per session and input that no event exceeds the bound."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known in _PROVEN:
+        return
+    most = largest_group(lines, "k")
+    if most > MAX_OBJECTS:
+        raise ValueError(f"an event has {most} objects, more than one row should hold")
+    _PROVEN.add(known)
+
+
 def nested(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
     """Key ``k`` and the collection ``obj`` of every event that has objects."""
     li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")
+    prove_bound(spark, sf, li.select("k"))
     return collect_children(li, "k", ORDER, {f: F.expr(OBJECT[f]) for f in fields}, "obj")
 
 
