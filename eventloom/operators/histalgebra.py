@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.binning import Axis
+from eventloom.operators.scale import inline_if_small
 
 CONTENT = ("sumw", "sumw2", "n")
 
@@ -138,6 +139,8 @@ def complete(hists: DataFrame, channels: Sequence[str], variations: Sequence[str
     The expected keys are generated per stored bin, and a missing histogram is a
     fact about (channel, variation), not about a bin.
     """
+    # a histogram set is bounded by its bins: filled once, used three times
+    hists = inline_if_small(hists)
     names = [v for v in variations if v != "nominal"]
     slots = F.array(
         *[F.struct(F.lit(c).alias("channel"), F.lit(v).alias(variation)) for c in channels for v in ["nominal", *names]]
@@ -349,6 +352,7 @@ def merge_campaigns(hists: DataFrame, keys: Sequence[str], scale_after: float =
     nominal of a campaign that lacks it, and exists only if some campaign has it.
     ``hists`` has the columns campaign, variation (``nominal`` or name) and ix.
     """
+    hists = inline_if_small(hists)
     totals = hists.groupBy(*keys, "campaign", "variation").agg(F.sum("sumw").alias("_t"))
     per_campaign = totals.groupBy(*keys, "campaign").agg(F.collect_set("variation").alias("_have"))
     wanted = totals.filter("variation != 'nominal'").groupBy(*keys).agg(F.collect_set("variation").alias("_want"))
@@ -413,6 +417,7 @@ def stack_total(hists: DataFrame, keys: Sequence[str], roles: dict[str, set[str]
     Each nominal row of the fixed part is used by every variation, so the
     variation list is attached to it as an array instead of joining tables.
     """
+    hists = inline_if_small(hists)
     stacked = [c for c, r in roles.items() if "stack" in r]
     dd = [c for c in stacked if "data_driven" in roles[c]]
     moving = F.col("channel").isin(*[c for c in stacked if (c in dd) == (vary == "dd")])

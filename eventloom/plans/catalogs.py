@@ -83,10 +83,8 @@ def screened_files(spark, sf):
 )
 def weight_ledger(spark, sf):
     """Rows and sum of weights per file before cuts; sum of ones for data."""
-    ev = by_file(spark, sf)
-    mc = L.ledger(ev, ["path"], "w")
-    data = L.ledger(ev, ["path"]).select("path", F.col("sum_w").alias("sum_data"))
-    return mc.join(data, "path").withColumn("sum_w", r("sum_w", 9))
+    out = L.ledger(by_file(spark, sf), ["path"], "w")
+    return out.withColumns({"sum_data": F.col("n_rows").cast("double"), "sum_w": r("sum_w", 9)})
 
 
 @query(
