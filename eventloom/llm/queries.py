@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import simhash
+from eventloom.llm import decontam, linededup, quality, simhash
 from eventloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,52 @@ def query(sql: str | None = None):
 @query()
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, bits=3)
+
+
+@query(
+    """
+WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+solid AS (
+  SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM line WHERE trim(s) <> ''),
+win AS (
+  SELECT doc_id, k, [s, lead(s) OVER w, lead(s, 2) OVER w] AS g, lead(k, 2) OVER w AS k3
+  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+placed AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) AS n FROM win WHERE k3 IS NOT NULL),
+gone AS (
+  SELECT DISTINCT s.doc_id, s.i FROM solid s JOIN placed p
+  ON p.doc_id = s.doc_id AND p.n > 1 AND s.k BETWEEN p.k AND p.k + 2),
+kept AS (
+  SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS t,
+         count(*) AS n, count(g.i) AS removed
+  FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN removed = 0 THEN d.text ELSE coalesce(t, '') END AS text,
+       CAST(n AS INTEGER) AS n_lines, CAST(removed AS INTEGER) AS n_removed
+FROM documents d JOIN kept k ON k.doc_id = d.doc_id
+"""
+)
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = linededup.without_repeats(table(spark, sf, "documents"))
+    return out.selectExpr("doc_id", "text", "_x_lines AS n_lines", "_x_removed AS n_removed")
+
+
+#: score from which a document is kept
+KEEP_FROM = 0.5
+
+
+@query()
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    scored = quality.with_score(docs.select("doc_id", "text"), model)
+    return scored.selectExpr("doc_id", "_x_score AS score", f"_x_score >= {KEEP_FROM} AS keep")
+
+
+@query()
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    items = decontam.load_items(table(spark, sf, "benchmark"))
+    found = decontam.with_hits(table(spark, sf, "documents").select("doc_id", "text"), items)
+    return found.selectExpr("doc_id", "inline(_x_hits)")
