@@ -26,9 +26,9 @@ from eventloom.llm.linking import components
 #: distinct fingerprints from which vantage points are drawn
 TREE_SAMPLE = 4096
 #: points that a shard should hold, copies at boundaries included
-SHARD_POINTS = 8192
+SHARD_POINTS = 1 << 16
 #: points of one task at most; a larger shard is dealt out by pairs of blocks
-BLOCK_POINTS = 30_000
+BLOCK_POINTS = 200_000
 #: points of a leaf in a shard
 LEAF_POINTS = 512
 #: shingles hashed at a time
