@@ -8,13 +8,14 @@ key, and many walks with keys of their own reach the wanted recall. Windows of t
 size of an item that share a key with it are verified by exact edit distance.
 
 Only windows that can match are walked: an item of ``n`` words found with ``e``
-edits shares at least one run of ``(n - e) // (e + 1)`` words with the text (the
-pigeonhole lemma), at a position that fixes the window to within ``e`` words.
+edits shares at least one run of ``q = (n - e) // (e + 1)`` words with the text, and
+at least ``n - q + 1 - q * e`` of its runs of ``q`` words (the counting lemma), at
+positions that fix the window to within ``e`` words.
 """
 
 from __future__ import annotations
 
-import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,16 +33,35 @@ WALKS, STEPS = 48, 3
 #: longest run of words used as a seed
 SEED_WORDS = 4
 
-_PART = re.compile(r"\w+")
+#: distinct written words whose hashes a task keeps
+MEMO = 1 << 18
+#: words searched at a time
+SLICE = 1 << 20
 
 
-def words_of(text: str) -> list[str]:
-    return _PART.findall(text.lower())
+#: marks taken off the ends of a word
+MARKS = string.punctuation + "\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
 
 
-def _hash_words(words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+class _Memo(dict):
+    """Hash of a white-space separated part: lower-cased, without marks around it;
+    zero if nothing is left."""
+
+    def __missing__(self, part: str) -> int:
+        word = part.lower()
+        if not word.isalnum():
+            word = word.strip(MARKS)
+        got = xxhash.xxh64_intdigest(word) if word else 0
+        if len(self) >= MEMO:
+            self.clear()
+        self[part] = got
+        return got
+
+
+def word_hashes(text: str, memo: _Memo) -> np.ndarray:
+    parts = text.split()
+    h = np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
+    return h[h != 0]
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -73,19 +93,23 @@ class Walks:
         rng = np.random.default_rng(seed)
         return Walks([np.sort(rng.random(steps)) * reach for _ in range(walks)])
 
-    def keys(self, h: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.ndarray:
-        """LSH keys of the windows of ``length`` words at ``starts``. Past the end of a
-        window the walk reads a fixed word."""
-        padded = np.concatenate([h, np.zeros(1, np.uint64)])
-        at, end = starts.astype(np.int64), np.minimum(starts + length, len(h))
-        wanted = sorted(set((self.steps[walk] * length).astype(int).tolist()))
-        key = np.full(len(starts), walk + 1, np.uint64)
+    def keys(self, h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """LSH keys, walks by windows, of the windows of ``length`` words at ``starts``.
+        Past the end of a window a walk reads a fixed word."""
+        padded = np.append(h, np.uint64(0))
+        wanted = (np.array(self.steps) * length).astype(np.int64)
+        walk = np.arange(len(wanted), dtype=np.uint64)[:, None]
+        key = np.repeat(walk + np.uint64(1), len(starts), axis=1)
+        end = np.minimum(starts + length, len(h))
+        at = np.repeat(starts.astype(np.int64)[None, :], len(wanted), axis=0)
         with np.errstate(over="ignore"):
-            for step in range(wanted[-1] + 1):
-                word = np.where(at < end, padded[np.minimum(at, len(h))], np.uint64(0))
-                if step in wanted:
-                    key = key * np.uint64(0x100000001B3) ^ _mix(word, step + 1)
-                at = at + ((_mix(word, 1009 * walk + step + 7) >> np.uint64(17)) & np.uint64(1)).astype(np.int64)
+            salt = walk * np.uint64(0xD6E8FEB86659FD93)
+            for step in range(int(wanted.max()) + 1):
+                word = padded[np.where(at < end, at, len(h))]
+                read = (wanted == step).any(axis=1)
+                if read.any():
+                    key[read] = key[read] * np.uint64(0x100000001B3) ^ _mix(word[read], step + 1)
+                at += ((_mix(word ^ salt, step + 7) >> np.uint64(17)) & np.uint64(1)).astype(np.int64)
         return key
 
 
@@ -115,62 +139,82 @@ class Items:
         self.walks = Walks.draw(walks, steps)
         self.items = []
         self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        memo = _Memo()
         for item, text in items:
-            words = words_of(text or "")
-            if not words:
+            h = word_hashes(text or "", memo)
+            if not len(h):
                 continue
-            most = int(edits * len(words))
-            q = max(1, min(SEED_WORDS, (len(words) - most) // (most + 1)))
-            no, h = len(self.items), _hash_words(words)
-            keys = [int(self.walks.keys(h, np.zeros(1, np.int64), len(h), w)[0]) for w in range(walks)]
-            self.items.append((item, h.tolist(), most, keys))
+            n, most = len(h), int(edits * len(h))
+            q = max(1, min(SEED_WORDS, (n - most) // (most + 1)))
+            shared = max(1, n - q + 1 - q * most)
             for at, run in enumerate(_runs(h, q).tolist()):
-                self.seeds.setdefault(q, {}).setdefault(run, []).append((no, at))
-        self.sorted = {q: np.array(sorted(s), np.uint64) for q, s in self.seeds.items()}
-
-    def candidates(self, h: np.ndarray) -> dict[int, np.ndarray]:
-        """By item, the starts of windows that a shared run of words allows."""
-        found: dict[int, set[int]] = {}
-        for q, known in self.sorted.items():
+                self.seeds.setdefault(q, {}).setdefault(run, []).append((len(self.items), at))
+            self.items.append((item, h.tolist(), most, shared, self.walks.keys(h, np.zeros(1, np.int64), n)))
+        self.known = {q: np.array(sorted(s), np.uint64) for q, s in self.seeds.items()}
+        self.maybe = {}
+        for q, known in self.known.items():
+            self.maybe[q] = np.zeros(1 << 20, bool)
+            self.maybe[q][known & np.uint64((1 << 20) - 1)] = True
+
+    def _starts(self, h: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """By text and item, the places (from the beginning of ``h``) where windows may
+        start. ``h`` holds several texts; ``ends`` are the places after them."""
+        shifts: dict[tuple[int, int], list[int]] = {}
+        for q, known in self.known.items():
             runs = _runs(h, q)
-            if not len(runs):
-                continue
-            place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-            for pos in np.flatnonzero(known[place] == runs).tolist():
-                for no, at in self.seeds[q][int(runs[pos])]:
-                    most = self.items[no][2]
-                    found.setdefault(no, set()).update(range(max(0, pos - at - most), pos - at + most + 1))
-        return {no: np.array(sorted(s), np.int64) for no, s in found.items()}
-
-    def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``item, start, words, edits`` of the closest window of each item found, the
-        first of equals; ``start`` counts words."""
-        words = words_of(text)
-        if not words or not self.items:
-            return []
-        h = _hash_words(words)
-        out = []
-        for no, starts in self.candidates(h).items():
-            item, mine, most, keys = self.items[no]
-            starts = starts[starts < len(h)]
-            if not len(starts):
+            pos = np.flatnonzero(self.maybe[q][runs & np.uint64((1 << 20) - 1)])
+            pos = pos[np.isin(runs[pos], known)]
+            for p, text in zip(pos.tolist(), np.searchsorted(ends, pos, "right").tolist()):
+                if p + q <= ends[text]:
+                    for no, at in self.seeds[q][int(runs[p])]:
+                        shifts.setdefault((text, no), []).append(p - at)
+        out = {}
+        for (text, no), diagonals in shifts.items():
+            _, _, most, shared, _ = self.items[no]
+            if len(diagonals) < shared:
                 continue
-            hit = np.zeros(len(starts), bool)
-            for w, key in enumerate(keys):
-                todo = np.flatnonzero(~hit)
-                if not len(todo):
-                    break
-                hit[todo] = self.walks.keys(h, starts[todo], len(mine), w) == np.uint64(key)
-            best = None
-            for s in starts[hit].tolist():
-                d = edit_distance(mine, h[s : s + len(mine) + most].tolist(), most)
-                if d <= most and (best is None or d < best[3]):
-                    best = (item, s, len(mine), d)
-                if d == 0:
-                    break
-            if best:
-                out.append(best)
-        return sorted(out)
+            d = np.sort(np.array(diagonals))
+            near = np.unique(np.unique(d)[:, None] + np.arange(-most, most + 1)[None, :])
+            near = near[(near >= (ends[text - 1] if text else 0)) & (near < ends[text])]
+            count = np.searchsorted(d, near + most, "right") - np.searchsorted(d, near - most, "left")
+            if (near := near[count >= shared]).size:
+                out[text, no] = near
+        return out
+
+    def _best(self, h: np.ndarray, starts: np.ndarray, no: int) -> tuple[int, int, int, int] | None:
+        item, mine, most, _, keys = self.items[no]
+        best = None
+        for s in starts[(self.walks.keys(h, starts, len(mine)) == keys).any(axis=0)].tolist():
+            d = edit_distance(mine, h[s : s + len(mine) + most].tolist(), most)
+            if d <= most and (best is None or d < best[3]):
+                best = (item, s, len(mine), d)
+            if d == 0:
+                break
+        return best
+
+    def search(self, texts: list[str], memo: _Memo | None = None) -> list[list[tuple[int, int, int, int]]]:
+        """For each text ``item, start, words, edits`` of the closest window of each
+        item it contains, the first of equals; ``start`` counts words."""
+        memo, out, todo, held = _Memo() if memo is None else memo, [], [], 0
+
+        def flush() -> None:
+            ends = np.cumsum([len(x) for x in todo])
+            found: list[list] = [[] for _ in todo]
+            for (text, no), starts in self._starts(np.concatenate(todo), ends).items():
+                first = int(ends[text]) - len(todo[text])
+                if best := self._best(todo[text], starts - first, no):
+                    found[text].append(best)
+            out.extend(sorted(x) for x in found)
+
+        for t in texts:
+            todo.append(word_hashes(t, memo))
+            held += len(todo[-1])
+            if held >= SLICE:
+                flush()
+                todo, held = [], 0
+        if todo:
+            flush()
+        return out
 
 
 def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most_bytes: int = 64 << 20) -> Items:
@@ -188,13 +232,15 @@ HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("wor
 def with_hits(df: DataFrame, items: Items, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and ``_x_hits``: ``item_id, start, words, edits`` of every
     item that the text contains with at most a fifth of its words edited. Words are
-    runs of letters, digits and underscores, lower-cased. Null and empty texts, and
+    separated by white space, lower-cased, without marks around them. Null and empty texts, and
     items without words, give no hit; rows are independent of each other."""
 
     def run(batches):
+        memo = _Memo()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            hits = [[dict(zip(("item_id", "start", "words", "edits"), x)) for x in items.search(t or "")] for t in texts]
+            found = items.search([t or "" for t in texts], memo)
+            hits = [[dict(zip(("item_id", "start", "words", "edits"), x)) for x in hits] for hits in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, HITS)], names=[*batch.schema.names, "_x_hits"])
 
     schema = df.limit(0).withColumn("_x_hits", F.lit(None).cast("array<struct<item_id:bigint,start:bigint,words:bigint,edits:bigint>>")).schema
