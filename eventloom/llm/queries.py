@@ -3,12 +3,14 @@ whole of its table."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontam, linededup, quality, simhash
-from eventloom.llm.common import table
+from eventloom.llm import decontam, idstore, linededup, packing, quality, simhash
+from eventloom.llm.common import table, tokenizer_path
+from eventloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +78,15 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     items = decontam.load_items(table(spark, sf, "benchmark"))
     found = decontam.with_hits(table(spark, sf, "documents").select("doc_id", "text"), items)
     return found.selectExpr("doc_id", "inline(_x_hits)")
+
+
+@query()
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query()
+def op5_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    idstore.write_ids(table(spark, sf, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return idstore.read_ids(spark, path, with_ids=False)
