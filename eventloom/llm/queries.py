@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontam, idstore, linededup, packing, quality, simhash
+from eventloom.llm import decontam, idstore, linededup, packing, quality, simhash, suffixes
 from eventloom.llm.common import table, tokenizer_path
 from eventloom.session import shared_dir
 
@@ -90,3 +90,8 @@ def op5_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     idstore.write_ids(table(spark, sf, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return idstore.read_ids(spark, path, with_ids=False)
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf, "documents")).drop("kept")
