@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, idstore, linededup, packing, quality, simhash, suffixes
+from eventloom.llm import decontam, idstore, linededup, neighbours, packing, quality, simhash, suffixes
 from eventloom.llm.common import table, tokenizer_path
 from eventloom.session import shared_dir
 
@@ -95,3 +96,8 @@ def op5_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@query()
+def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, nearest=20)
