@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, idstore, linededup, neighbours, packing, quality, simhash, suffixes
+from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, quality, simhash, suffixes
 from eventloom.llm.common import table, tokenizer_path
 from eventloom.session import shared_dir
 
@@ -101,3 +101,8 @@ def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, nearest=20)
+
+
+@query()
+def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return language.scored(table(spark, sf, "documents"))
