@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, quality, simhash, suffixes
+from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, quality, simhash, suffixes, webpages
 from eventloom.llm.common import table, tokenizer_path
 from eventloom.session import shared_dir
 
@@ -106,3 +106,9 @@ def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return language.scored(table(spark, sf, "documents"))
+
+
+@query()
+def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return webpages.extracted(pages).selectExpr("page_id", "url", "_x_text AS text", "_x_chars AS n_chars")
