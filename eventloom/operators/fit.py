@@ -65,6 +65,12 @@ def region_shares(regions: DataFrame) -> DataFrame:
     return regions.withColumn("share", F.col("anti") / F.sum("anti").over(w))
 
 
+def share_list(regions: DataFrame, k: int) -> list[float]:
+    """Share of each of the ``k`` regions by its number; a region without rows has none."""
+    found = {r["region"]: r["share"] for r in regions.select("region", "share").collect()}
+    return [float(found.get(i) or 0.0) for i in range(k)]
+
+
 def sigma(sr: Column, sr2: Column) -> Column:
     """Error of a bin: root of its squared weights, else of its content, else 1."""
     return F.when(sr2 > 0, F.sqrt(sr2)).when(sr > 0, F.sqrt(F.abs(sr))).otherwise(F.lit(1.0))

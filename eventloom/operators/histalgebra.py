@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.binning import Axis
-from eventloom.operators.scale import inline_if_small
+from eventloom.operators.scale import null_safe_join, written
 
 CONTENT = ("sumw", "sumw2", "n")
 
@@ -139,8 +139,7 @@ def complete(hists: DataFrame, channels: Sequence[str], variations: Sequence[str
     The expected keys are generated per stored bin, and a missing histogram is a
     fact about (channel, variation), not about a bin.
     """
-    # a histogram set is bounded by its bins: filled once, used three times
-    hists = inline_if_small(hists)
+    hists = written(hists)  # filled once, used three times
     names = [v for v in variations if v != "nominal"]
     slots = F.array(
         *[F.struct(F.lit(c).alias("channel"), F.lit(v).alias(variation)) for c in channels for v in ["nominal", *names]]
@@ -190,14 +189,28 @@ def remove(store: DataFrame, keys: DataFrame) -> DataFrame:
 # --- uncertainties ----------------------------------------------------------------
 
 
-def uncertainty_band(hists: DataFrame, keys: Sequence[str], statistical: bool = False) -> DataFrame:
+def every_bin(hists: DataFrame, keys: Sequence[str], bins: Sequence[str]) -> DataFrame:
+    """The set with a row for every source and direction of a histogram in every bin
+    that any of them has: a bin that is not stored is empty, so its content is 0."""
+    outer = [k for k in keys if k not in bins]
+    stored = written(hists.groupBy(*keys, "source", "direction").agg(F.sum("sumw").alias("sumw"), F.sum("sumw2").alias("sumw2")))
+    # both sides are lists of one histogram; without outer keys there is one list each
+    places = stored.select(*keys).distinct().withColumn("_one", F.lit(1))
+    kinds = stored.select(*outer, "source", "direction").distinct().withColumn("_one", F.lit(1))
+    grid = null_safe_join(places, kinds, [*outer, "_one"]).drop("_one")
+    full = null_safe_join(grid, stored, [*keys, "source", "direction"], "left")
+    return full.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("sumw", "sumw2")})
+
+
+def uncertainty_band(hists: DataFrame, keys: Sequence[str], statistical: bool = False, bins: Sequence[str] = ("ix",)) -> DataFrame:
     """Asymmetric band around the nominal.
 
     ``hists`` has a column ``source`` (``nominal`` or the variation) and
     ``direction`` (``up``/``down``). Per source the larger upward and the larger
-    downward excursion count; sources add in quadrature.
+    downward excursion count; sources add in quadrature. A source that lacks one
+    direction in the whole histogram does not count; a bin that is not stored is 0.
     """
-    by_source = hists.groupBy(*keys, "source").agg(
+    by_source = every_bin(hists, keys, bins).groupBy(*keys, "source").agg(
         F.sum(F.when(F.col("source") == "nominal", F.col("sumw"))).alias("nominal"),
         F.sum(F.when(F.col("source") == "nominal", F.col("sumw2"))).alias("stat2"),
         F.sum(F.when(F.col("direction") == "up", F.col("sumw"))).alias("up"),
@@ -207,7 +220,7 @@ def uncertainty_band(hists: DataFrame, keys: Sequence[str], statistical: bool =
     # window groups hold one row per source.
     w = Window.partitionBy(*keys)
     rows = by_source.withColumns(
-        {"_nom": F.max("nominal").over(w), "_stat2": F.max("stat2").over(w)}
+        {"_nom": F.coalesce(F.max("nominal").over(w), F.lit(0.0)), "_stat2": F.max("stat2").over(w)}
     ).withColumns({"_du": F.col("up") - F.col("_nom"), "_dd": F.col("down") - F.col("_nom")})
     rise = F.greatest(F.lit(0.0), F.col("_du"), F.col("_dd"))
     fall = F.greatest(F.lit(0.0), -F.col("_du"), -F.col("_dd"))
@@ -272,13 +285,16 @@ def relative_variation(hists: DataFrame, channel: str, r: float) -> DataFrame:
     return rows.withColumns({"sumw": value, "source": F.lit("relative")}).drop("_f")
 
 
-def max_variation(hists: DataFrame, keys: Sequence[str]) -> DataFrame:
+def max_variation(hists: DataFrame, keys: Sequence[str], bins: Sequence[str] = ("ix",)) -> DataFrame:
     """Per bin the largest upward and the most downward variation with their
-    errors; a bin never moves past the nominal (``source = 'nominal'``)."""
+    errors; a bin never moves past the nominal (``source = 'nominal'``). A bin that
+    is not stored is 0."""
     w = Window.partitionBy(*keys)
+    hists = every_bin(hists, keys, bins)
     nominal = F.max(F.when(F.col("source") == "nominal", F.col("sumw"))).over(w)
     nominal_err = F.max(F.when(F.col("source") == "nominal", F.col("sumw2"))).over(w)
-    rows = hists.withColumns({"_nom": nominal, "_nerr": nominal_err}).withColumn("_d", F.col("sumw") - F.col("_nom"))
+    zero = F.lit(0.0)
+    rows = hists.withColumns({"_nom": F.coalesce(nominal, zero), "_nerr": F.coalesce(nominal_err, zero)}).withColumn("_d", F.col("sumw") - F.col("_nom"))
     out = rows.groupBy(*keys).agg(
         F.max("_nom").alias("nominal"),
         F.max("_nerr").alias("_nerr"),
@@ -300,16 +316,26 @@ def max_variation(hists: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- presentation tables ----------------------------------------------------------
 
 
-def blind(hists: DataFrame, axis: Axis, ranges: Sequence[tuple[float, float]]) -> DataFrame:
-    """Bins whose centre lies in a closed range: content -1, error 0."""
-    c = axis.center(F.col("ix"))
-    hit = F.lit(False)
-    for lo, hi in ranges:
-        hit = hit | c.between(lo, hi)
-    hit = F.coalesce(hit, F.lit(False))
-    return hists.withColumns(
-        {"sumw": F.when(hit, -1.0).otherwise(F.col("sumw")), "sumw2": F.when(hit, 0.0).otherwise(F.col("sumw2"))}
+def blind(hists: DataFrame, axis: Axis, ranges: Sequence[tuple[float, float]], keys: Sequence[str] = ()) -> DataFrame:
+    """Bins whose centre lies in a closed range: content -1, error 0, also where
+    nothing was stored for a histogram (named by ``keys``)."""
+    edges = axis.all_edges()
+    centers = [0.5 * (a + b) for a, b in zip(edges, edges[1:])]
+    hidden = [i + 1 for i, c in enumerate(centers) if any(lo <= c <= hi for lo, hi in ranges)]
+    if not hidden:
+        return hists
+    own = [*keys, "ix"]
+    extra = [c for c in hists.columns if c not in (*own, *CONTENT)]
+    if extra:
+        raise ValueError(f"columns {extra} neither name a histogram nor are contents")
+    slots = hists.select(*keys).distinct() if keys else hists.select(F.lit(1).alias("_one")).distinct()
+    slots = slots.withColumn("ix", F.explode(F.array(*[F.lit(i).cast(hists.schema["ix"].dataType) for i in hidden])))
+    counts = hists.filter(F.col("ix").isin(*hidden)).select(*own, F.col("n").alias("_n"))
+    masked = null_safe_join(slots, counts, own, "left").select(
+        *own, F.lit(-1.0).alias("sumw"), F.lit(0.0).alias("sumw2"), F.coalesce("_n", F.lit(0)).cast(hists.schema["n"].dataType).alias("n")
     )
+    seen = hists.filter(~F.coalesce(F.col("ix").isin(*hidden), F.lit(False)))
+    return seen.unionByName(masked.select(*hists.columns))
 
 
 def stack_order(hists: DataFrame, nx: int, floor: float = 1e-6, channel: str = "channel") -> DataFrame:
@@ -352,19 +378,20 @@ def merge_campaigns(hists: DataFrame, keys: Sequence[str], scale_after: float =
     nominal of a campaign that lacks it, and exists only if some campaign has it.
     ``hists`` has the columns campaign, variation (``nominal`` or name) and ix.
     """
-    hists = inline_if_small(hists)
+    hists = written(hists)  # filled once, used several times
     totals = hists.groupBy(*keys, "campaign", "variation").agg(F.sum("sumw").alias("_t"))
     per_campaign = totals.groupBy(*keys, "campaign").agg(F.collect_set("variation").alias("_have"))
     wanted = totals.filter("variation != 'nominal'").groupBy(*keys).agg(F.collect_set("variation").alias("_want"))
-    plan = per_campaign.join(wanted, list(keys), "left").select(
+    plan = null_safe_join(per_campaign, wanted, keys, "left").select(
         *keys, "campaign", F.col("_have"), F.explode(F.concat(F.array(F.lit("nominal")), F.coalesce("_want", F.array().cast("array<string>")))).alias("target")
     )
     # which stored variation feeds which target, one row per (campaign, target)
     feed = plan.withColumn(
         "variation", F.when(F.array_contains("_have", F.col("target")), F.col("target")).otherwise(F.lit("nominal"))
-    ).join(totals, [*keys, "campaign", "variation"])
+    )
+    feed = null_safe_join(feed, totals, [*keys, "campaign", "variation"])
     feed = feed.filter((F.col("target") != "nominal") | (F.col("_t") != 0)).select(*keys, "campaign", "variation", "target")
-    rows = hists.join(feed, [*keys, "campaign", "variation"]).groupBy(*keys, F.col("target").alias("variation"), "ix").agg(*_sums())
+    rows = null_safe_join(hists, feed, [*keys, "campaign", "variation"]).groupBy(*keys, F.col("target").alias("variation"), "ix").agg(*_sums())
     return clip_negative(rescale(rows, F.lit(scale_after)), floor).drop("clipped")
 
 
@@ -414,16 +441,21 @@ def stack_total(hists: DataFrame, keys: Sequence[str], roles: dict[str, set[str]
     variation, the other part stays nominal. ``hists`` is complete, that is it
     has every variation of every channel.
 
-    Each nominal row of the fixed part is used by every variation, so the
-    variation list is attached to it as an array instead of joining tables.
+    The moving part is summed per variation, the fixed part once, and the sums meet in
+    one join on the bins; no list of variations is made. A bin that only the fixed part
+    has stands under the nominal.
     """
-    hists = inline_if_small(hists)
     stacked = [c for c, r in roles.items() if "stack" in r]
     dd = [c for c in stacked if "data_driven" in roles[c]]
     moving = F.col("channel").isin(*[c for c in stacked if (c in dd) == (vary == "dd")])
-    rows = hists.filter(F.col("channel").isin(*stacked))
-    names = sorted(r[0] for r in hists.select(variation).distinct().limit(10_000).collect())
-    fixed = rows.filter(~moving & (F.col(variation) == "nominal")).withColumn(variation, F.explode(F.array(*[F.lit(n) for n in names])))
-    cols = [*keys, variation, *CONTENT]
-    both = rows.filter(moving).select(*cols).unionByName(fixed.select(*cols))
-    return both.groupBy(*keys, variation).agg(*_sums())
+    rows = written(hists.filter(F.col("channel").isin(*stacked)).select("channel", *keys, variation, *CONTENT))
+    moved = rows.filter(moving).groupBy(*keys, variation).agg(*_sums())
+    still = rows.filter(~moving & (F.col(variation) == "nominal")).groupBy(*keys).agg(*[F.sum(c).alias(f"_f_{c}") for c in CONTENT])
+    side = still.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    both = moved.join(side, [moved[k].eqNullSafe(side[f"_k_{k}"]) for k in keys], "full")
+    zero = {"sumw": F.lit(0.0), "sumw2": F.lit(0.0), "n": F.lit(0).cast("long")}
+    return both.select(
+        *[F.coalesce(k, f"_k_{k}").alias(k) for k in keys],
+        F.coalesce(variation, F.lit("nominal")).alias(variation),
+        *[(F.coalesce(F.col(c), zero[c]) + F.coalesce(F.col(f"_f_{c}"), zero[c])).alias(c) for c in CONTENT],
+    )

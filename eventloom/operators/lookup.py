@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.vectors import bind, double_array
 from eventloom.operators.scale import values_table
 
-INLINE_CELLS = 20_000
+INLINE_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)

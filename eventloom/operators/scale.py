@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 from eventloom.functions.vectors import double_array
 from eventloom.session import shared_dir
 
-#: Largest group table that is carried through the driver as an inline relation.
-MAX_INLINE_ROWS = 10_000
-
-
 def _sql_literal(value, kind: str) -> str:
     if value is None:
         return f"CAST(NULL AS {kind})"
@@ -51,17 +47,6 @@ def values_table(spark: SparkSession, schema: str, rows: Sequence[Sequence]) ->
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
 
 
-def inline_if_small(df: DataFrame, max_rows: int = MAX_INLINE_ROWS) -> DataFrame:
-    """Compute a table that should be small. Up to ``max_rows`` rows it comes
-    back as an inline relation; a larger one is returned as it was and joins
-    fall back to a shuffle."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return values_table(df.sparkSession, schema, [tuple(r) for r in rows])
-
-
 def written(df: DataFrame) -> DataFrame:
     """Store an intermediate table in the shared folder and read it back, for
     results that several actions use. It survives the loss of executors."""
@@ -70,13 +55,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a missing key equals a missing key. The result has
+    the columns of ``left``, then those of ``right`` that are not keys."""
+    side = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    joined = left.join(side, [left[k].eqNullSafe(side[f"_k_{k}"]) for k in keys], how) if keys else left.join(side, how="cross")
+    return joined.drop(*[f"_k_{k}" for k in keys])
+
+
 def attach_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Add group aggregates to every row: partial aggregation, then a join."""
+    """Add group aggregates to every row: partial aggregation, then a join whose
+    form (broadcast or shuffle) follows the size of the group table at run time."""
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    small = inline_if_small(totals)
-    renamed = small.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *aggs)
-    on = [df[k].eqNullSafe(renamed[f"_t_{k}"]) for k in keys]
-    return df.join(renamed, on, "left").select(*df.columns, *aggs)
+    return null_safe_join(df, totals, keys, "left").select(*df.columns, *aggs)
 
 
 def value_edges(df: DataFrame, value: str, buckets: int) -> list[float]:
@@ -159,7 +150,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = ranged.select("*", *[F.sum(src).over(inside).alias(f"_l_{new}") for new, src in sums.items()])
-    out = local.join(offsets, [*groups, "_range"])
+    out = null_safe_join(local, offsets, [*groups, "_range"])
     return out.select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums])
 
 
@@ -205,5 +196,5 @@ def _ranked(df: DataFrame, tagged: DataFrame, rank: str, groups: Sequence[str],
     offsets = counts.select(*groups, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inside = Window.partitionBy(*groups, "_range").orderBy(*order)
     local = tagged.withColumn("_r", F.row_number().over(inside))
-    joined = local.join(offsets, [*groups, "_range"])
+    joined = null_safe_join(local, offsets, [*groups, "_range"])
     return joined.select(*df.columns, (F.col("_o") + F.col("_r")).alias(rank))

@@ -16,8 +16,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: Sequence[str], v
     Counts are rounded half to even; the test part shrinks so that at least one
     training row stays.
     """
-    ranked = shuffled_rank(df, "_rank", key, strata, seed)
-    rows = attach_totals(ranked, strata, _total=F.count(F.lit(1)))
+    rows = shuffled_rank(attach_totals(df, strata, _total=F.count(F.lit(1))), "_rank", key, strata, seed)
     n = F.col("_total")
     n_val = F.bround(n * F.lit(val), 0).cast("long")
     want = F.bround(n * F.lit(test), 0).cast("long")

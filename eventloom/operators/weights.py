@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.scale import attach_totals, inline_if_small
+from eventloom.operators.scale import attach_totals
 
 
 def mc_scale(lumi: Column, xsec: Column, total: Column, weighted_by_xsec: bool = False) -> Column:
@@ -33,7 +33,7 @@ def balanced(df: DataFrame, weight: str, klass: str, group: str, out: str = "bal
     sums = df.groupBy(klass, group).agg(F.sum(w).alias("_sum"))
     # group table: one row per (class, group)
     n = F.count_if(F.col("_sum") > 0).over(Window.partitionBy(klass))
-    sums = inline_if_small(sums.withColumn("_n", n)).withColumnsRenamed({klass: "_k", group: "_g"})
+    sums = sums.withColumn("_n", n).withColumnsRenamed({klass: "_k", group: "_g"})
     factor = F.when(F.col("_sum") > 0, 1.0 / F.col("_n") / F.col("_sum")).otherwise(F.lit(0.0))
     joined = df.join(sums, df[klass].eqNullSafe(sums["_k"]) & df[group].eqNullSafe(sums["_g"]), "left")
     return joined.select(*[df[c] for c in df.columns], (w * factor).alias(out))
@@ -61,7 +61,7 @@ def class_targets(df: DataFrame, weight: str, klass: str, targets: dict, out: st
     total = F.sum("_sum").over(alone)
     wanted = F.sum(F.when(F.col("_sum") > 0, F.col("_rel"))).over(alone)
     factor = F.when((F.col("_sum") > 0) & (total > 0), total * F.col("_rel") / wanted / F.col("_sum")).otherwise(F.lit(1.0))
-    table = inline_if_small(table.select(F.col(klass).alias("_k"), factor.alias("_f")))
+    table = table.select(F.col(klass).alias("_k"), factor.alias("_f"))
     joined = df.join(table, df[klass].eqNullSafe(table["_k"]), "left")
     return joined.select(*[df[c] for c in df.columns], (F.col(weight) * F.col("_f")).alias(out))
 
@@ -94,7 +94,7 @@ def channel_shares(
         .when(F.col("_sum") > 0, F.col("_total") * share / F.col("_sum"))
         .otherwise(F.lit(0.0))
     )
-    t = inline_if_small(t.select(F.col(klass).alias("_k"), F.col(channel).alias("_c"), factor.alias("_f")))
+    t = t.select(F.col(klass).alias("_k"), F.col(channel).alias("_c"), factor.alias("_f"))
     joined = df.join(t, df[klass].eqNullSafe(t["_k"]) & df[channel].eqNullSafe(t["_c"]), "left")
     return joined.select(*[df[c] for c in df.columns], (F.col(weight) * F.col("_f")).alias(out))
 

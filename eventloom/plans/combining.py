@@ -8,7 +8,7 @@ from eventloom.functions.binning import Axis, equal_width_position
 from eventloom.operators import fit as T
 from eventloom.operators import histalgebra as A
 from eventloom.operators import histogram as H
-from eventloom.operators.scale import inline_if_small
+from eventloom.operators.scale import written
 from eventloom.plans.registry import query
 from eventloom.plans.tables import SQL_EV, SQL_OBJ, flat_events, heads, objects, r, sql_bin, table
 
@@ -127,7 +127,10 @@ SQL_B = f"""WITH {SQL_OBJ}, {SQL_EV}, c AS (SELECT pt, rel, score, w FROM obj JO
 v AS (
   SELECT 'nominal' AS source, '' AS direction, pt AS x, w FROM c UNION ALL SELECT 'rel', 'up', pt * (1 + rel), w FROM c UNION ALL SELECT 'rel', 'down', pt * (1 - rel), w FROM c
   UNION ALL SELECT 'wgt', 'up', pt, w * (1 + score / 5) FROM c UNION ALL SELECT 'wgt', 'down', pt, w * (1 - score / 10) FROM c),
-h AS (SELECT source, direction, {sql_bin('x', 12, 10.0, 70.0)} AS ix, sum(w) AS sumw, sum(w * w) AS sumw2 FROM v GROUP BY 1, 2, 3),
+stored AS (SELECT source, direction, {sql_bin('x', 12, 10.0, 70.0)} AS ix, sum(w) AS sumw, sum(w * w) AS sumw2 FROM v
+  WHERE NOT (source = 'wgt' AND direction = 'up' AND x BETWEEN 20 AND 30) AND NOT (source = 'nominal' AND x BETWEEN 60 AND 65) GROUP BY 1, 2, 3),
+h AS (SELECT k.source, k.direction, b.ix, coalesce(s.sumw, 0) AS sumw, coalesce(s.sumw2, 0) AS sumw2 FROM (SELECT DISTINCT source, direction FROM stored) k
+  CROSS JOIN (SELECT DISTINCT ix FROM stored) b LEFT JOIN stored s ON s.source = k.source AND s.direction = k.direction AND s.ix = b.ix),
 n AS (SELECT ix, sumw AS nom, sumw2 AS nom2 FROM h WHERE source = 'nominal')"""
 
 
@@ -136,11 +139,12 @@ def varied_set(spark, sf):
     ev = flat_events(spark, sf, ["pt", "rel", "score"], ["w"])
     pt, w, rel, s = (F.col(c) for c in ("pt", "w", "rel", "score"))
     ok = F.lit(True)
+    # one side of a source and the nominal are empty in some bins
     shifts = [
-        H.Shift("nominal|", pt, ok, w),
+        H.Shift("nominal|", pt, ~pt.between(60, 65), w),
         H.Shift("rel|up", pt * (1.0 + rel), ok, w),
         H.Shift("rel|down", pt * (1.0 - rel), ok, w),
-        H.Shift("wgt|up", pt, ok, w * (1.0 + s / 5.0)),
+        H.Shift("wgt|up", pt, ~pt.between(20, 30), w * (1.0 + s / 5.0)),
         H.Shift("wgt|down", pt, ok, w * (1.0 - s / 10.0)),
     ]
     hist = H.fill_shifts(ev, Axis("pt", 12, 10.0, 70.0), shifts)
@@ -149,26 +153,27 @@ def varied_set(spark, sf):
 
 
 @query(
-    f"""{SQL_B}, s AS (SELECT h.source, n.ix, n.nom, n.nom2, coalesce(max(sumw) FILTER (direction = 'up'), nom) - nom AS du, coalesce(max(sumw) FILTER (direction = 'down'), nom) - nom AS dd FROM n LEFT JOIN h ON h.ix = n.ix AND h.source <> 'nominal' GROUP BY 1, 2, 3, 4)
+    f"""{SQL_B}, s AS (SELECT h.source, n.ix, n.nom, n.nom2, max(sumw) FILTER (direction = 'up') - nom AS du, max(sumw) FILTER (direction = 'down') - nom AS dd FROM n JOIN h ON h.ix = n.ix AND h.source <> 'nominal' GROUP BY 1, 2, 3, 4)
 SELECT ix, round(nom, 9) AS nominal, round(sqrt(sum(power(greatest(0::DOUBLE, du, dd), 2)) + nom2), 6) AS err_up, round(sqrt(sum(power(greatest(0::DOUBLE, -du, -dd), 2)) + nom2), 6) AS err_down,
-  round(sqrt(sum(power(greatest(0::DOUBLE, du, dd), 2)) + nom2) / nom, 6) AS rel_up FROM s GROUP BY ix, nom, nom2"""
+  CASE WHEN nom = 0 THEN 0 ELSE round(sqrt(sum(power(greatest(0::DOUBLE, du, dd), 2)) + nom2) / nom, 6) END AS rel_up FROM s GROUP BY ix, nom, nom2"""
 )
 def uncertainty_band(spark, sf):
     """Quadrature band of all variation pairs with the statistical part; its ratio."""
     band = A.uncertainty_band(varied_set(spark, sf), ["ix"], statistical=True)
-    rel = A.ratio_band(band).select("ix", F.col("err_up").alias("rel_up"))
-    ratio_col = F.when(F.col("nominal") == 0, 0.0).otherwise(F.col("err_up") / F.col("nominal"))
-    assert rel.columns == ["ix", "rel_up"]
-    return band.select("ix", r("nominal", 9).alias("nominal"), r("err_up").alias("err_up"), r("err_down").alias("err_down"), r(ratio_col).alias("rel_up"))
+    rel = A.ratio_band(band).select("ix", r("err_up").alias("rel_up"))
+    out = band.select("ix", r("nominal", 9).alias("nominal"), r("err_up").alias("err_up"), r("err_down").alias("err_down"))
+    return out.join(rel, "ix")
 
 
 @query(
-    f"""{SQL_B} SELECT n.ix, round(nom, 9) AS nominal, round(nom + greatest(0, max(sumw - nom)), 6) AS upper, round(nom + least(0, min(sumw - nom)), 6) AS lower FROM n JOIN h USING (ix) GROUP BY n.ix, nom"""
+    f"""{SQL_B} SELECT n.ix, round(nom, 9) AS nominal, round(nom + greatest(0, max(sumw - nom)), 6) AS upper, round(nom + least(0, min(sumw - nom)), 6) AS lower,
+  round(sqrt(CASE WHEN max(sumw - nom) > 0 THEN arg_max(sumw2, sumw) ELSE nom2 END), 6) AS upper_error, round(sqrt(CASE WHEN min(sumw - nom) < 0 THEN arg_min(sumw2, sumw) ELSE nom2 END), 6) AS lower_error
+  FROM n JOIN h USING (ix) GROUP BY n.ix, nom, nom2"""
 )
 def largest_variation(spark, sf):
     """Per bin the largest upward and the most downward variation."""
     out = A.max_variation(varied_set(spark, sf), ["ix"])
-    return out.select("ix", r("nominal", 9).alias("nominal"), r("upper").alias("upper"), r("lower").alias("lower"))
+    return out.select("ix", r("nominal", 9).alias("nominal"), *[r(c).alias(c) for c in ("upper", "lower", "upper_error", "lower_error")])
 
 
 FACTORS = {"1-URGENT": (0.9, 1.1), "2-HIGH": (0.8, 1.3)}
@@ -193,10 +198,14 @@ def normalisation_band(spark, sf):
     return out.select("ix", r("nominal", 9).alias("nominal"), r("err_up").alias("err_up"), r("err_down").alias("err_down"))
 
 
-@query(f"""{SQL_H} SELECT channel, era, ix, round(CASE WHEN ix IN (3, 4, 5) THEN -1 ELSE sumw END, 9) AS sumw, round(CASE WHEN ix IN (3, 4, 5) THEN 0 ELSE sumw2 END, 6) AS sumw2, n FROM h""")
+@query(
+    f"""{SQL_H} SELECT channel, era, ix, round(sumw, 9) AS sumw, round(sumw2, 6) AS sumw2, n FROM h WHERE ix NOT IN (3, 4, 5)
+UNION ALL SELECT s.channel, s.era, CAST(b.ix AS INTEGER), -1.0::DOUBLE, 0.0::DOUBLE, coalesce(h.n, 0) FROM (SELECT DISTINCT channel, era FROM h) s CROSS JOIN (VALUES (3), (4), (5)) b(ix)
+  LEFT JOIN h ON h.channel = s.channel AND h.era = s.era AND h.ix = b.ix"""
+)
 def blinded(spark, sf):
     """Bins with their centre in a closed range are blinded."""
-    return _out(A.blind(channel_hist(spark, sf, "channel", "era"), W, [(1.0, 1.8), (2.25, 2.3)]), "channel", "era", "ix")
+    return _out(A.blind(channel_hist(spark, sf, "channel", "era"), W, [(1.0, 1.8), (2.25, 2.3)], ["channel", "era"]), "channel", "era", "ix")
 
 
 @query(
@@ -343,9 +352,8 @@ def fit_bins(spark, sf):
     aggs = []
     for name, f in (("sr", "R"), ("anti", "A"), ("tight", "N")):
         aggs += [F.coalesce(F.sum(F.when(flag == f, m)), F.lit(0.0)).alias(name), F.coalesce(F.sum(F.when(flag == f, m * m)), F.lit(0.0)).alias(f"{name}2")]
-    # a histogram has a known, small number of bins: filled once, then inline, so
-    # the steps of a fit do not scan the events again
-    return inline_if_small(rows.groupBy("ix").agg(*aggs).filter(F.col("ix").between(1, FINE.n)))
+    # filled once, so the steps of a fit do not scan the events again
+    return written(rows.groupBy("ix").agg(*aggs).filter(F.col("ix").between(1, FINE.n)))
 
 
 @query(SQL_FIT + " SELECT CAST(region AS INTEGER) AS region, round(sr, 6) AS sr, round(\"anti\", 6) AS \"anti\", round(tight, 6) AS tight, round(share, 6) AS share FROM q")
@@ -365,7 +373,7 @@ SELECT round(sum(wt * r0 * r0), 4) AS m0_0, round(sum(wt * r0 * r1), 4) AS m0_1,
 def normal_equations(spark, sf):
     """Normal matrix and right-hand side of the region fit as distributed sums."""
     regions = T.region_shares(T.by_region(fit_bins(spark, sf), FINE, REGIONS))
-    shares = [x["share"] for x in regions.orderBy("region").select("share").limit(REGIONS.n).collect()]
+    shares = T.share_list(regions, REGIONS.n)
     sums = T.normal_sums(T.region_rows(regions, shares), REGIONS.n)
     return sums.select(*[r(c, 4).alias(c) for c in sums.columns])
 
@@ -373,7 +381,7 @@ def normal_equations(spark, sf):
 def _fit(spark, sf):
     bins = fit_bins(spark, sf)
     regions = T.region_shares(T.by_region(bins, FINE, REGIONS))
-    shares = [x["share"] for x in regions.orderBy("region").select("share").limit(REGIONS.n).collect()]
+    shares = T.share_list(regions, REGIONS.n)
     sol = T.solve(T.region_rows(regions, shares), REGIONS.n)
     return bins, regions, shares, sol
 

@@ -8,18 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def largest_group(children: DataFrame, key: str) -> int:
-    """Rows of the largest key: one aggregation over the key column alone."""
-    counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-
-
 def collect_children(children: DataFrame, key: str, order: Sequence[str], fields: dict[str, Column], name: str) -> DataFrame:
     """One row per key with the children as an ordered array of structs.
 
-    An event is one row by the data model, with tens of objects, so a key's
-    children fit in a row; callers prove it with ``largest_group`` where the
-    input is not known. Only the needed fields are collected. The result is
+    An event is one row by the data model, so a key's children fit in a row. Only the needed fields are collected. The result is
     hash-partitioned by the key, which a following join on it reuses.
     """
     items = F.struct(*[F.col(o).alias(f"_{o}") for o in order], *[c.alias(f) for f, c in fields.items()])

@@ -1,7 +1,10 @@
 """Edge cases on small literal frames."""
 
+import datetime
+import decimal
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from eventloom.operators import splits as SP
 from eventloom.operators import steps as S
 from eventloom.operators import variations as VA
 from eventloom.operators import weights as W
-from eventloom.operators.scale import attach_totals, inline_if_small, kth_value, ordered_rank, running_totals, values_table
+from eventloom.operators.scale import attach_totals, kth_value, ordered_rank, running_totals, values_table
 
 
 def one(spark, **cols):
@@ -283,11 +286,52 @@ def test_totals_without_a_window(spark, skewed):
     assert out.filter("c = 'hot'").first()["n"] == 10000 and out.count() == 20000
 
 
-def test_large_group_tables_are_not_inlined(spark, skewed):
-    small = inline_if_small(skewed.groupBy("x").count(), max_rows=10)
-    assert small.count() == skewed.select("x").distinct().count()
-    text = spark.createDataFrame([("it's \\ here", None)], "s string, d double")
-    assert inline_if_small(text).first() == text.first()
+def test_totals_for_any_key_type(spark):
+    rows = [(d, t, c, a, i) for i, (d, t, c, a) in enumerate([(datetime.date(2020, 1, 1), datetime.datetime(2020, 1, 1, 3), decimal.Decimal("1.50"), [1, 2]), (None, None, None, None)] * 5)]
+    df = spark.createDataFrame(rows, "d date, t timestamp, c decimal(12,2), a array<int>, i int")
+    for key in ("d", "t", "c", "a"):
+        out = attach_totals(df, [key], n=F.count(F.lit(1))).collect()
+        assert len(out) == 10 and {r["n"] for r in out} == {5}
+
+
+def test_missing_group_keys_keep_their_rows(spark):
+    df = spark.range(20).withColumn("s", F.when(F.col("id") % 2 == 0, "a")).withColumn("w", F.lit(1.0))
+    out = SP.stratified_split(df, ["s"], ["id"], 0.2, 0.2, 3)
+    assert sorted(r["id"] for r in out.collect()) == list(range(20))
+    assert {(r["s"], r["split"]): r["count"] for r in out.groupBy("s", "split").count().collect()} == {(s, k): n for s in ("a", None) for k, n in (("train", 6), ("val", 2), ("test", 2))}
+    curve = O.cut_scan(df.withColumn("b", F.lit(1.0)), "id", "w", "b", 4, ["s"])
+    assert {r["s"] for r in curve.collect()} == {"a", None}
+    sums = running_totals(df, "id", {"c": "w"}, ["s"]).collect()
+    assert len(sums) == 20 and max(r["c"] for r in sums) == 10.0
+
+
+def test_empty_bins_are_zero(spark):
+    rows = [("nominal", "", 1, 10.0), ("nominal", "", 2, 4.0), ("s", "up", 2, 5.0), ("s", "down", 1, 8.0), ("s", "down", 3, 2.0), ("one", "up", 1, 99.0)]
+    hists = spark.createDataFrame([(*r, 1.0) for r in rows], "source string, direction string, ix int, sumw double, sumw2 double")
+    band = {r["ix"]: (r["nominal"], r["err_up"], r["err_down"]) for r in A.uncertainty_band(hists, ["ix"]).collect()}
+    assert band == {1: (10.0, 0.0, 10.0), 2: (4.0, 1.0, 4.0), 3: (0.0, 2.0, 0.0)}
+    most = {r["ix"]: (r["upper"], r["lower"]) for r in A.max_variation(hists.filter("source <> 'one'"), ["ix"]).collect()}
+    assert most == {1: (10.0, 0.0), 2: (5.0, 0.0), 3: (2.0, 0.0)}
+    few = spark.createDataFrame([("a", 1, 3.0, 9.0, 1)], "channel string, ix int, sumw double, sumw2 double, n long")
+    out = A.blind(few, Axis("x", 4, 0.0, 4.0), [(0.4, 1.6)], ["channel"]).collect()
+    assert sorted((r["ix"], r["sumw"], r["sumw2"], r["n"]) for r in out) == [(1, -1.0, 0.0, 1), (2, -1.0, 0.0, 0)]
+
+
+def test_weight_vectors_and_distinct_edges():
+    assert O.simplex_grid(0.5, 2) == [(0.0, 1.0), (0.5, 0.5), (1.0, 0.0)] and O.simplex_grid(0.25, 1) == [(1.0,)]
+    grid = O.simplex_grid(0.1, 4)
+    assert len(grid) == len(set(grid)) == 286 and all(abs(sum(g) - 1) < 1e-9 for g in grid)
+    got = O._apart(np.array([1.0, 1.0, -1.0, 5.0]), 0.0, 9.0)
+    assert got[0] == 1.0 and got == sorted(set(got)) and abs(got[2] - 1.0) < 1e-12 and got[3] == 5.0
+    with pytest.raises(ValueError):
+        O._apart(np.array([9.0]), 0.0, 9.0)
+
+
+def test_large_tables_are_looked_up(spark):
+    n = 150
+    table = L.BinnedTable([("x", list(range(n + 1))), ("y", list(range(n + 1)))], [float(i) for i in range(n * n)])
+    out = spark.range(n).select((table.at(F.col("id") + 0.5, F.lit(3.5))).alias("v")).collect()
+    assert [r["v"] for r in out] == [i * n + 3.0 for i in range(n)]
 
 
 def test_values_table_is_a_local_relation(spark):
