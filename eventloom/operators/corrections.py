@@ -229,14 +229,35 @@ def jet_identification(o: Column, style: str) -> Column:
     )
 
 
+#: fixed values: largest muon and charged electromagnetic fraction of a jet that is no
+#: lepton, the |eta| up to which they are known, and the electromagnetic sum of loose jets
+LEPTON_FRACTION, LEPTON_ETA, LOOSE_SUM = 0.8, 2.7, 0.9
+
+
+def no_lepton(o: Column) -> Column:
+    """The jet is not a misidentified lepton; forward jets are not tested."""
+    inside = F.abs(o["eta"]) <= LEPTON_ETA
+    return ~inside | ((o["muEF"] < LEPTON_FRACTION) & (o["chEmEF"] < LEPTON_FRACTION))
+
+
+def identified(style: str) -> Callable[[Column], Column]:
+    """Tight identification with the lepton veto."""
+    return lambda o: jet_identification(o, style) & no_lepton(o)
+
+
+def loose_jet(o: Column) -> Column:
+    """Jets that the veto map may reject an event for, beside pt and identification."""
+    return (o["neEmEF"] + o["chEmEF"]) < LOOSE_SUM
+
+
 @correction("jet_veto")
 def jet_veto(
     df: DataFrame,
     ctx: Context,
     coll: str = "jets",
     leptons: Sequence[str] = ("muons",),
-    identify: Callable[[Column], Column] = lambda o: o["tight"],
-    loose: Callable[[Column], Column] = lambda o: F.lit(True),
+    identify: Callable[[Column], Column] = identified("bits"),
+    loose: Callable[[Column], Column] = loose_jet,
     pt: str = "pt_jec",
     shifts: dict[str, Callable[[Column], Column]] | None = None,
     good_pt: float = 30.0,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,15 +146,33 @@ def feature_histograms(df: DataFrame, axes: Sequence[Axis], groups: Sequence[str
     )
 
 
+#: fixed values: ranges of features by name, the first fitting pattern counts
+FEATURE_RANGES = (
+    ("*dr*", 0.0, 5.0),
+    ("*_m_*", 0.0, 400.0),
+    ("dimuon_mass", 0.0, 400.0),
+    ("jet_cent", 0.0, 1.0),
+    ("*btag*", 0.0, 1.0),
+    ("sublead_mu_p*_p[xy]", -200.0, 200.0),
+    ("sublead_mu_p*_pz", -400.0, 400.0),
+    ("lead_mu_p*_p[xy]", -400.0, 400.0),
+    ("jet*_p[xy]", -400.0, 400.0),
+    ("lead_mu_p*_pz", -500.0, 500.0),
+    ("jet*_pz", -500.0, 500.0),
+    ("lead_mu_p*_mass", 0.0, 50.0),
+    ("jet*_mass", 0.0, 50.0),
+    ("sumjet_pt", 0.0, 1500.0),
+    ("sumbjet_pt", 0.0, 1000.0),
+    ("*", -400.0, 400.0),
+)
+#: fixed values: first and last edge of counts, in unit bins
+FEATURE_COUNTS = {"nGoodJet": (3.5, 10.5), "nBJet": (2.5, 5.5)}
+
+
 def default_feature_axis(feature: str, n: int = 40) -> Axis:
-    """Range of a feature chosen from the kind of quantity its name shows."""
-    name = feature.lower()
-    if "dr" in name.split("_") or name.endswith("_dr"):
-        return Axis(feature, n, 0.0, 6.0)
-    if any(t in name for t in ("score", "btag", "mva", "iso", "cent")):
-        return Axis(feature, n, 0.0, 1.0)
-    if name.startswith("n"):
-        return Axis(feature, 12, 0.0, 12.0)
-    if name.endswith(("px", "py", "pz")):
-        return Axis(feature, n, -500.0, 500.0)
-    return Axis(feature, n, 0.0, 500.0)
+    """Range of a feature by its name."""
+    if feature in FEATURE_COUNTS:
+        lo, hi = FEATURE_COUNTS[feature]
+        return Axis(feature, round(hi - lo), lo, hi)
+    lo, hi = next((lo, hi) for pattern, lo, hi in FEATURE_RANGES if fnmatchcase(feature, pattern))
+    return Axis(feature, n, lo, hi)

@@ -9,6 +9,8 @@ from eventloom.operators.corrections import (
     ERA_THRESHOLDS,
     Context,
     apply_corrections,
+    add_fields,
+    identified,
     jet_identification,
     lepton_for_overlap,
     muon_for_overlap,
@@ -171,6 +173,14 @@ def jet_resolution(spark, sf):
 
 def _veto(spark, sf, leptons, **more):
     df = apply_corrections(jets(spark, sf), ["jet_scale_mc"], Context(tables={"l2": L2}))
+    fractions = {
+        "jetId": lambda o: o["part"],
+        "neHEF": lambda o: o["score"],
+        "neEmEF": lambda o: o["mass"] / 8.0,
+        "chEmEF": lambda o: o["rel"] * 8.0,
+        "muEF": lambda o: o["score"] * 0.95,
+    }
+    df = add_fields(df, "jets", fractions)
     df = df.withColumns(
         {
             "muons": F.filter("jets", lambda o: (o["charge"] > 0) & (o["score"] > 0.6)),
@@ -179,17 +189,17 @@ def _veto(spark, sf, leptons, **more):
     )
     opts = {
         "leptons": leptons,
-        "identify": lambda o: o["score"] < 0.9,
-        "loose": lambda o: o["mass"] < 4.5,
         "shifts": {"up": lambda o: o["pt_jec"] * 1.2, "down": lambda o: o["pt_jec"] * 0.8},
         **more,
     }
     return apply_corrections(df, ["jet_veto"], Context(tables={"veto_map": VETO}, options={"jet_veto": opts}))
 
 
-SQL_VETO = f"""{SQL_L2}, v AS (SELECT *, {sql_at(VETO, 'eta', 'phi')} = 0 AS pass_veto, score < 0.9 AS id_tight FROM jet),
-w0 AS (SELECT k, max(CASE WHEN pt_jec > 15 AND id_tight AND mass < 4.5 AND NOT pass_veto THEN 1 ELSE 0 END) AS b0,
-  max(CASE WHEN pt_jec * 1.2 > 15 AND id_tight AND mass < 4.5 AND NOT pass_veto THEN 1 ELSE 0 END) AS b1, max(CASE WHEN pt_jec * 0.8 > 15 AND id_tight AND mass < 4.5 AND NOT pass_veto THEN 1 ELSE 0 END) AS b2 FROM v GROUP BY k)"""
+SQL_VETO = f"""{SQL_L2}, v AS (SELECT *, {sql_at(VETO, 'eta', 'phi')} = 0 AS pass_veto,
+  (part >> 1) & 1 = 1 AND (abs(eta) <= 2.7 OR (abs(eta) <= 3 AND score < 0.99) OR (abs(eta) > 3 AND mass / 8 < 0.4)) AND (abs(eta) > 2.7 OR (score * 0.95 < 0.8 AND rel * 8 < 0.8)) AS id_tight,
+  mass / 8 + rel * 8 < 0.9 AS loose FROM jet),
+w0 AS (SELECT k, max(CASE WHEN pt_jec > 15 AND id_tight AND loose AND NOT pass_veto THEN 1 ELSE 0 END) AS b0,
+  max(CASE WHEN pt_jec * 1.2 > 15 AND id_tight AND loose AND NOT pass_veto THEN 1 ELSE 0 END) AS b1, max(CASE WHEN pt_jec * 0.8 > 15 AND id_tight AND loose AND NOT pass_veto THEN 1 ELSE 0 END) AS b2 FROM v GROUP BY k)"""
 
 
 def _sql_good(refs: str) -> str:
@@ -220,9 +230,10 @@ def jet_veto_two_leptons(spark, sf):
 
 
 @query(
-    f"""{SQL_JET}, x AS (SELECT *, abs(eta) AS a, score AS ne, mass / 5 AS em, rel * 10 AS ch, CAST(part % 4 AS INTEGER) AS cm, CAST(supp % 3 AS INTEGER) AS nm FROM j0)
+    f"""{SQL_JET}, x AS (SELECT *, abs(eta) AS a, score AS ne, mass / 5 AS em, rel * 10 AS ch, CAST(part % 4 AS INTEGER) AS cm, CAST(supp % 3 AS INTEGER) AS nm, score * 0.95 AS mu, rel * 12 AS cem FROM j0)
 SELECT k, i, (a <= 2.6 AND ne < 0.99 AND em < 0.9 AND cm + nm > 1 AND ch > 0.01 AND cm > 0) OR (a > 2.6 AND a <= 2.7 AND ne < 0.9 AND em < 0.99) OR (a > 2.7 AND a <= 3 AND ne < 0.99) OR (a > 3 AND nm >= 2 AND em < 0.4) AS by_fractions,
-  (part >> 1) & 1 = 1 AND (a <= 2.7 OR (a <= 3 AND ne < 0.99) OR (a > 3 AND em < 0.4)) AS by_bits FROM x"""
+  (part >> 1) & 1 = 1 AND (a <= 2.7 OR (a <= 3 AND ne < 0.99) OR (a > 3 AND em < 0.4)) AS by_bits,
+  (part >> 1) & 1 = 1 AND (a <= 2.7 OR (a <= 3 AND ne < 0.99) OR (a > 3 AND em < 0.4)) AND (a > 2.7 OR (mu < 0.8 AND cem < 0.8)) AS no_lepton FROM x"""
 )
 def jet_identification_flags(spark, sf):
     """Identification from energy fractions and from the stored bit."""
@@ -236,11 +247,13 @@ def jet_identification_flags(spark, sf):
             (o["part"] % 4).alias("chMult"),
             (o["supp"] % 3).alias("neMult"),
             o["part"].alias("jetId"),
+            (o["score"] * 0.95).alias("muEF"),
+            (o["rel"] * 12.0).alias("chEmEF"),
         ),
     )
     df = jets(spark, sf).select("k", F.posexplode_outer(j).alias("i", "o"))
     o = F.col("o")
-    return df.select("k", "i", jet_identification(o, "fractions").alias("by_fractions"), jet_identification(o, "bits").alias("by_bits"))
+    return df.select("k", "i", jet_identification(o, "fractions").alias("by_fractions"), jet_identification(o, "bits").alias("by_bits"), identified("bits")(o).alias("no_lepton"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -45,21 +45,30 @@ def first_fraction(df: DataFrame, fraction: float, key: Sequence[str]) -> DataFr
 
 @dataclass
 class SkimJob:
-    """Selection of events: steps, columns to keep, optional ledger column."""
+    """Selection of events: steps, columns to keep, optional ledger column.
+
+    With an envelope (simulation only) the steps named in ``replaced`` are left out:
+    their nominal cuts would drop events that pass under a variation only, and the
+    envelope stands for them. ``after`` are steps on the kept events.
+    """
 
     steps: StepList
     columns: Sequence[str]
     is_data: bool = False
     data_filter: object = None  # DataFrame -> DataFrame, e.g. run ranges
     envelope: object = None  # DataFrame -> DataFrame, simulation only
+    replaced: Collection[str] = ()
+    after: StepList = field(default_factory=StepList)
     extra: dict = field(default_factory=dict)
 
     def rows(self, events: DataFrame) -> DataFrame:
         if self.is_data and self.data_filter is not None:
             events = self.data_filter(events)
+        steps = self.steps
         if not self.is_data and self.envelope is not None:
             events = self.envelope(events)
-        out = apply_steps(events, self.steps)
+            steps = steps.without(self.replaced)
+        out = apply_steps(events, steps + self.after)
         return out.select(*[c for c in self.columns if c in out.columns])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.binning import Axis
 from eventloom.operators import histogram as H
 from eventloom.operators import steps as S
+from eventloom.plans.jobs import SkimJob
 from eventloom.plans.registry import query
 from eventloom.plans.tables import SQL_EV, SQL_OBJ, events, heads, nested, r, sql_bin, sql_folded
 
@@ -257,12 +258,43 @@ WHERE CASE WHEN status = 'F' THEN w > 1 ELSE w > 0.5 END"""
 def data_or_simulation(spark, sf):
     """Parts of a pipeline that apply to data only or to simulation only."""
     ev = heads(spark, sf, "status", "w")
-    cuts = {True: "w > 1", False: "w > 0.5D"}
-    parts = [
-        S.apply_steps(ev.filter((F.col("status") == "F") == F.lit(is_data)), S.StepList([("cut", "range", cuts[is_data])]))
-        for is_data in (True, False)
-    ]
-    return parts[0].unionByName(parts[1]).select("k", "status", r("w", 9).alias("w"), F.lit(True).alias("kept"))
+    data = SkimJob(S.StepList([("cut", "range", "w > 0.8D")]), ["k", "status", "w", "seen"], is_data=True, data_filter=lambda d: d.filter("w > 1"), after=S.StepList([("define", "seen", "w > 1")]))
+    simulation = SkimJob(S.StepList([("cut", "range", "w > 0.5D")]), ["k", "status", "w", "seen"], data_filter=lambda d: d.filter("w > 9"), after=S.StepList([("define", "seen", "w > 0.5D")]))
+    parts = [job.rows(ev.filter((F.col("status") == "F") == F.lit(job.is_data))) for job in (data, simulation)]
+    return parts[0].unionByName(parts[1]).select("k", "status", r("w", 9).alias("w"), F.col("seen").alias("kept"))
+
+
+HARD = S.StepList([("define", "n_hard", "size(filter(obj, o -> o.pt > 40))"), ("cut", "two hard", "n_hard >= 2"), ("cut", "light", "w > 0.3D"), ("define", "w2", "w * w")])
+
+
+@query(
+    f"""WITH {SQL_OBJ}, {SQL_EV}, n AS (SELECT k, CAST(sum(CASE WHEN pt > 40 THEN 1 ELSE 0 END) AS INTEGER) AS n_hard, CAST(sum(CASE WHEN pt * (1 + rel) > 40 THEN 1 ELSE 0 END) AS INTEGER) AS n_up FROM obj GROUP BY k),
+kept AS (SELECT ev.*, n_hard, n_up FROM ev JOIN n USING (k) WHERE n_up >= 2 AND w > 0.3::DOUBLE),
+a AS (SELECT channel, count(*) AS n_rows, sum(w) AS sum_w FROM ev GROUP BY channel)
+SELECT channel, n_rows, round(sum_w, 6) AS sum_w, count(kept.k) AS n_kept, count(*) FILTER (n_hard >= 2) AS n_nominal, round(coalesce(sum(kept.w * kept.w), 0), 6) AS sum_w2
+FROM a LEFT JOIN kept USING (channel) GROUP BY channel, n_rows, a.sum_w"""
+)
+def systematic_skim(spark, sf):
+    """Envelope skim written with its ledger and read back: events that pass under a
+    variation only are kept, totals count events before any cut."""
+    import uuid
+
+    from eventloom.session import shared_dir
+    from eventloom.sources.histstore import snapshot
+    from eventloom.sources.ledger import ledger
+
+    ev = events(spark, sf, ["pt", "rel"], ["w", "channel"])
+    envelope = lambda d: S.envelope_filter(d, "obj", "pt", ["rel"], lambda o: F.lit(True), 2, 40.0)
+    job = SkimJob(HARD, ["channel", "k", "n_hard", "w2"], envelope=envelope, replaced={"two hard"})
+    path = f"{shared_dir(spark)}/skim-{uuid.uuid4().hex}"
+    snapshot(job.rows(ev), f"{path}/events", job.columns, ["channel"])
+    snapshot(ledger(ev, ["channel"], "w"), f"{path}/ledger", ["channel", "n_rows", "sum_w"])
+    kept = spark.read.parquet(f"{path}/events").groupBy("channel").agg(
+        F.count("k").alias("n_kept"), F.count_if(F.col("n_hard") >= 2).alias("n_nominal"), F.sum("w2").alias("sum_w2")
+    )
+    total = spark.read.parquet(f"{path}/ledger").join(kept, "channel", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return total.select("channel", "n_rows", r("sum_w").alias("sum_w"), zero("n_kept"), zero("n_nominal"), r(F.coalesce("sum_w2", F.lit(0.0))).alias("sum_w2"))
 
 
 @query(

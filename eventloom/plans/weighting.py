@@ -222,14 +222,20 @@ def contract_checks(spark, sf):
 
 @query(
     f"""WITH {SQL_OBJ}, b AS (SELECT 'pt' AS feature, flag, CAST(least(greatest({sql_bin('pt', 10, 10.0, 60.0)}, 1), 10) AS INTEGER) AS ix, mass FROM obj
-  UNION ALL SELECT 'score', flag, CAST(least(greatest({sql_bin('score', 40, 0.0, 1.0)}, 1), 40) AS INTEGER), mass FROM obj),
+  UNION ALL SELECT 'jet_btag', flag, CAST(least(greatest({sql_bin('score', 40, 0.0, 1.0)}, 1), 40) AS INTEGER), mass FROM obj
+  UNION ALL SELECT 'dr_pair', flag, CAST(least(greatest({sql_bin('phi + 3.14', 40, 0.0, 5.0)}, 1), 40) AS INTEGER), mass FROM obj
+  UNION ALL SELECT 'sublead_mu_p4_px', flag, CAST(least(greatest({sql_bin('pt * 3 * cos(phi)', 40, -200.0, 200.0)}, 1), 40) AS INTEGER), mass FROM obj
+  UNION ALL SELECT 'nGoodJet', flag, CAST(least(greatest({sql_bin('(part % 13)', 7, 3.5, 10.5)}, 1), 7) AS INTEGER), mass FROM obj),
 h AS (SELECT feature, flag, ix, sum(mass) AS s, sum(mass * mass) AS s2, count(*) AS n FROM b GROUP BY 1, 2, 3)
 SELECT feature, flag, ix, n, round(s / sum(s) OVER (PARTITION BY feature, flag), 6) AS content, round(sqrt(s2) / sum(s) OVER (PARTITION BY feature, flag), 6) AS error FROM h"""
 )
 def feature_histograms(spark, sf):
     """Feature shapes by group, outside values clipped into the outer bins."""
-    axes = [Axis("pt", 10, 10.0, 60.0), Q.default_feature_axis("score")]
-    out = Q.feature_histograms(objects(spark, sf, "pt", "score", "flag", "mass"), axes, ["flag"], F.col("mass"))
+    axes = [Axis("pt", 10, 10.0, 60.0), *[Q.default_feature_axis(n) for n in ("jet_btag", "dr_pair", "sublead_mu_p4_px", "nGoodJet")]]
+    rows = objects(spark, sf, "pt", "score", "phi", "part", "flag", "mass").withColumns(
+        {"jet_btag": F.col("score"), "dr_pair": F.col("phi") + 3.14, "sublead_mu_p4_px": F.col("pt") * 3.0 * F.cos("phi"), "nGoodJet": F.col("part") % 13}
+    )
+    out = Q.feature_histograms(rows, axes, ["flag"], F.col("mass"))
     return out.select("feature", "flag", "ix", "n", r("content").alias("content"), r("error").alias("error"))
 
 
