@@ -114,7 +114,8 @@ def solve(rows: DataFrame, k: int) -> Solution:
 
 def region_rows(regions: DataFrame, shares: Sequence[float]) -> DataFrame:
     """Equations of the fit: value = sr, row = tight * shares with anti added on
-    the own region."""
+    the own region. ``regions`` has one row per equation: a region, or a fine bin
+    with the number of its region."""
     k = len(shares)
     cols = {
         f"r{i}": F.col("tight") * F.lit(float(shares[i])) + F.when(F.col("region") == i, F.col("anti")).otherwise(F.lit(0.0))
@@ -137,9 +138,12 @@ def predict(wide: DataFrame, region: Column, params: Sequence[float], mean: floa
     )
 
 
-def goodness(predicted: DataFrame, params: int) -> DataFrame:
-    """chi2, degrees of freedom and their quotient."""
-    out = predicted.agg(F.sum(F.col("pull") * F.col("pull")).alias("chi2"), (F.count(F.lit(1)) - params).alias("ndof"))
+def goodness(rows: DataFrame, params: Sequence[float]) -> DataFrame:
+    """chi2, degrees of freedom and their quotient of the equations that were fitted
+    (``r0.., value, sigma`` of ``region_rows``)."""
+    fitted = sum((F.col(f"r{i}") * F.lit(float(p)) for i, p in enumerate(params)), F.lit(0.0))
+    pull = (F.col("value") - fitted) / F.col("sigma")
+    out = rows.agg(F.coalesce(F.sum(pull * pull), F.lit(0.0)).alias("chi2"), (F.count(F.lit(1)) - len(params)).alias("ndof"))
     return out.withColumn("chi2_ndof", F.when(F.col("ndof") > 0, F.col("chi2") / F.col("ndof")).otherwise(F.lit(0.0)))
 
 

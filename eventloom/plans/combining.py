@@ -339,11 +339,34 @@ REGIONS = Axis("pt", edges=(0.0, 30.0, 60.0, 120.0))
 SQL_FIT = f"""WITH {SQL_OBJ}, f AS (SELECT {sql_bin('pt', 24, 0.0, 120.0)} AS ix,
   sum(mass) FILTER (flag = 'R') AS sr, sum(mass * mass) FILTER (flag = 'R') AS sr2, sum(mass) FILTER (flag = 'A') AS "anti", sum(mass * mass) FILTER (flag = 'A') AS anti2,
   sum(mass) FILTER (flag = 'N') AS tight, sum(mass * mass) FILTER (flag = 'N') AS tight2 FROM obj GROUP BY 1),
-b AS (SELECT *, CASE WHEN 5 * ix - 2.5 < 30 THEN 0 WHEN 5 * ix - 2.5 < 60 THEN 1 ELSE 2 END AS region FROM f WHERE ix BETWEEN 1 AND 24),
+b AS (SELECT CAST(x.ix AS INTEGER) AS ix, coalesce(sr, 0) AS sr, coalesce(sr2, 0) AS sr2, coalesce("anti", 0) AS "anti", coalesce(tight, 0) AS tight,
+  CASE WHEN 5 * x.ix - 2.5 < 30 THEN 0 WHEN 5 * x.ix - 2.5 < 60 THEN 1 ELSE 2 END AS region FROM range(1, 25) x(ix) LEFT JOIN f ON f.ix = x.ix),
 g AS (SELECT region, sum(sr) AS sr, sum(sr2) AS sr2, sum("anti") AS "anti", sum(tight) AS tight FROM b GROUP BY region),
 q AS (SELECT *, "anti" / sum("anti") OVER () AS share FROM g)"""
 
 
+def sql_solution(rows: str) -> str:
+    """Weighted least squares of three regions by determinants, on regions or bins."""
+    m = {(i, j): f"m{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+
+    def minor(i: int, j: int) -> str:
+        (a, b), (c, d) = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+        sign = "" if (i + j) % 2 == 0 else "-"
+        return f"{sign}({m[a, c]} * {m[b, d]} - {m[a, d]} * {m[b, c]})"
+
+    sums = ", ".join(f"sum(wt * r{i} * r{j}) AS m{i}{j}" for i in range(3) for j in range(i, 3))
+    sums += ", " + ", ".join(f"sum(wt * r{i} * sr) AS b{i}" for i in range(3))
+    cov = ", ".join(f"{minor(i, j)} / det AS c{i}{j}" for i in range(3) for j in range(3))
+    pars = ", ".join(f"c{i}0 * b0 + c{i}1 * b1 + c{i}2 * b2 AS p{i}" for i in range(3))
+    mean_var = " + ".join(f"s{i} * c{i}{j} * s{j}" for i in range(3) for j in range(3))
+    rows_of = ", ".join(f"tight * s{i} + CASE WHEN region = {i} THEN \"anti\" ELSE 0 END AS r{i}" for i in range(3))
+    return f""", sh AS (SELECT {", ".join(f"coalesce(max(share) FILTER (region = {i}), 0) AS s{i}" for i in range(3))} FROM q),
+eq AS (SELECT *, {rows_of}, 1 / power(CASE WHEN sr2 > 0 THEN sqrt(sr2) WHEN sr > 0 THEN sqrt(sr) ELSE 1 END, 2) AS wt FROM {rows}, sh),
+su AS (SELECT {sums}, count(*) AS n FROM eq), de AS (SELECT *, m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02) AS det FROM su),
+co AS (SELECT *, {cov} FROM de), pa AS (SELECT *, {pars} FROM co),
+fit AS (SELECT pa.*, s0 * p0 + s1 * p1 + s2 * p2 AS mean, sqrt(greatest({mean_var}, 0)) AS mean_err FROM pa, sh)"""
+
+
 def fit_bins(spark, sf):
     """One row per fine bin: signal region, anti and tight control sums."""
     flag = F.col("flag")
@@ -353,7 +376,9 @@ def fit_bins(spark, sf):
     for name, f in (("sr", "R"), ("anti", "A"), ("tight", "N")):
         aggs += [F.coalesce(F.sum(F.when(flag == f, m)), F.lit(0.0)).alias(name), F.coalesce(F.sum(F.when(flag == f, m * m)), F.lit(0.0)).alias(f"{name}2")]
     # filled once, so the steps of a fit do not scan the events again
-    return written(rows.groupBy("ix").agg(*aggs).filter(F.col("ix").between(1, FINE.n)))
+    stored = rows.groupBy("ix").agg(*aggs)
+    every = spark.range(1, FINE.n + 1).select(F.col("id").cast("int").alias("ix"))
+    return written(every.join(stored, "ix", "left").fillna(0.0))
 
 
 @query(SQL_FIT + " SELECT CAST(region AS INTEGER) AS region, round(sr, 6) AS sr, round(\"anti\", 6) AS \"anti\", round(tight, 6) AS tight, round(share, 6) AS share FROM q")
@@ -378,39 +403,56 @@ def normal_equations(spark, sf):
     return sums.select(*[r(c, 4).alias(c) for c in sums.columns])
 
 
-def _fit(spark, sf):
+def _fit(spark, sf, level):
+    """Bins, regions, shares, equations and solution of a fit on regions or bins."""
     bins = fit_bins(spark, sf)
-    regions = T.region_shares(T.by_region(bins, FINE, REGIONS))
+    regions = written(T.region_shares(T.by_region(bins, FINE, REGIONS)))
     shares = T.share_list(regions, REGIONS.n)
-    sol = T.solve(T.region_rows(regions, shares), REGIONS.n)
-    return bins, regions, shares, sol
+    rows = regions if level == "region" else bins.withColumn("region", REGIONS.region(FINE.center(F.col("ix"))))
+    rows = T.region_rows(rows, shares)
+    return bins, regions, shares, rows, T.solve(rows, REGIONS.n)
 
 
-@query()
+@query(
+    SQL_FIT
+    + sql_solution("b")
+    + """, pr AS (SELECT ix, sr, CASE WHEN sr2 > 0 THEN sqrt(sr2) WHEN sr > 0 THEN sqrt(sr) ELSE 1 END AS sigma,
+  CASE region WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END * "anti" + mean * tight AS prediction FROM b, fit)
+SELECT ix, round(sr, 6) AS sr, round(prediction, 4) AS prediction, round((sr - prediction) / sigma, 4) AS pull, CASE WHEN prediction = 0 THEN 0 ELSE round(sr / prediction, 4) END AS ratio FROM pr"""
+)
 def fitted_prediction(spark, sf):
-    """Prediction, pull and ratio per fine bin from the fitted factors."""
-    bins, _, shares, sol = _fit(spark, sf)
+    """Prediction, pull and ratio per fine bin from factors fitted on the bins."""
+    bins, _, shares, _, sol = _fit(spark, sf, "bin")
     mean, _ = sol.mean(shares)
     out = T.predict(bins, REGIONS.region(FINE.center(F.col("ix"))), sol.params, mean)
-    return out.select("ix", *[r(c).alias(c) for c in ("sr", "prediction", "pull", "ratio")])
+    return out.select("ix", r("sr").alias("sr"), *[r(c, 4).alias(c) for c in ("prediction", "pull", "ratio")])
 
 
-@query(SQL_FIT + " SELECT CAST(region AS INTEGER) AS region, round(sr, 3) AS sr, round(sr, 3) AS prediction FROM q")
+@query(
+    SQL_FIT
+    + sql_solution("q")
+    + """ SELECT CAST(region AS INTEGER) AS region, round(sr, 3) AS sr, round(CASE region WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END * "anti" + mean * tight, 3) AS prediction FROM q, fit"""
+)
 def fit_closure(spark, sf):
     """With one factor per region the fit reproduces every region yield."""
-    _, regions, shares, sol = _fit(spark, sf)
+    _, regions, shares, _, sol = _fit(spark, sf, "region")
     mean, _ = sol.mean(shares)
     out = T.predict(regions, F.col("region"), sol.params, mean)
     return out.select("region", r("sr", 3).alias("sr"), r("prediction", 3).alias("prediction"))
 
 
-@query()
+@query(
+    SQL_FIT
+    + sql_solution("b")
+    + """, x AS (SELECT sum(wt * power(sr - r0 * p0 - r1 * p1 - r2 * p2, 2)) AS chi2, count(*) - 3 AS ndof FROM eq, fit)
+SELECT round(chi2, 4) AS chi2, ndof, round(chi2 / ndof, 4) AS chi2_ndof, round(mean, 6) AS mean, round(mean_err, 6) AS mean_error FROM x, fit"""
+)
 def fit_quality(spark, sf):
     """chi2, degrees of freedom and mean factor of the fit on fine bins."""
-    bins, _, shares, sol = _fit(spark, sf)
+    _, _, shares, rows, sol = _fit(spark, sf, "bin")
     mean, err = sol.mean(shares)
-    out = T.goodness(T.predict(bins, REGIONS.region(FINE.center(F.col("ix"))), sol.params, mean), REGIONS.n)
-    return out.select(r("chi2").alias("chi2"), "ndof", r("chi2_ndof").alias("chi2_ndof"), F.lit(round(mean, 6)).alias("mean"), F.lit(round(err, 6)).alias("mean_error"))
+    out = T.goodness(rows, sol.params)
+    return out.select(r("chi2", 4).alias("chi2"), "ndof", r("chi2_ndof", 4).alias("chi2_ndof"), F.lit(round(mean, 6)).alias("mean"), F.lit(round(err, 6)).alias("mean_error"))
 
 
 @query(
