@@ -90,15 +90,25 @@ def mix_ranking(spark, sf):
     return out.select("point", F.get("weights", F.lit(0)).alias("w0"), r("significance", 4).alias("significance"))
 
 
-@query()
+def _sql_unbound():
+    points = [(0.5, 0.5), *O.simplex_grid(0.25, 2)]
+    return "grid(point, w1, w2) AS (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(points)) + ")"
+
+
+@query(
+    f"""{SQL_SC}, {_sql_unbound()}, rows_ AS (
+  SELECT point, s0 / (0.0::DOUBLE + w1 * s1 + w2 * s2 + 0.000001::DOUBLE) AS x0, sig, bkg, 1 AS c FROM sc, grid UNION ALL SELECT -1, s0, sig, bkg, 1 FROM sc),
+{sql_scan('rows_', 'x0', 100, 'point')}, best AS (SELECT point, max(z) AS z FROM curve WHERE s > 0 AND b > 0 GROUP BY point)
+SELECT CASE point WHEN -1 THEN 'baseline' WHEN 0 THEN 'uniform' ELSE 'best' END AS kind, round(max(z), 4) AS significance FROM best GROUP BY 1"""
+)
 def mix_comparison(spark, sf):
     """Pure signal score, uniform mix and best unbound mix against each other."""
     df = scored(spark, sf)
-    base = O.best_cut(O.cut_scan(df, "s0", "sig", "bkg", 100)).select(F.lit("baseline").alias("kind"), r("significance").alias("significance"))
+    base = O.best_cut(O.cut_scan(df, "s0", "sig", "bkg", 100)).select(F.lit("baseline").alias("kind"), r("significance", 4).alias("significance"))
     uniform = O.rank_mixes(df, ["s0", "s1", "s2"], "sig", "bkg", [(0.5, 0.5)], 100, bound=False)
     ranking = O.rank_mixes(df, ["s0", "s1", "s2"], "sig", "bkg", O.simplex_grid(0.25, 2), 100, bound=False)
     best = ranking.orderBy(F.desc("significance"), "point").limit(1)
-    pick = lambda d, n: d.select(F.lit(n).alias("kind"), r("significance").alias("significance"))
+    pick = lambda d, n: d.select(F.lit(n).alias("kind"), r("significance", 4).alias("significance"))
     return base.unionByName(pick(uniform, "uniform")).unionByName(pick(best, "best"))
 
 
