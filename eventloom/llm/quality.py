@@ -12,21 +12,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import string
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from eventloom.llm.common import arrow_map, text_of
 
 #: labelled rows from which lexicon terms are taken
-LABELLED_ROWS = 10_000
+LABELLED_ROWS = 8000
 #: documents that train the scorer
 SCORER_ROWS = 8000
 #: hashed word features of the scorer
@@ -35,17 +36,28 @@ BUCKETS = 1 << 18
 STEMS = (4, 5, 6)
 
 GOOD, BAD, NONE = "g", "b", "-"
+#: labellers on prose; the others are on abuse
+N_SHAPE = 7
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MARKS = re.compile(r"[%$#*&|~^=<>{}\\]|!!")
+_MARKS = re.compile(r"[%$#*&|~^<>{}\\]|!!")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
 
+_NUMERIC = str.maketrans("", "", string.digits + ".,;:?!()\"'-@+/_’")
+
+
 def _vote(value: float, good: float, bad: float) -> str:
     """Good up to ``good``, bad from ``bad``, between them no vote."""
     return GOOD if value <= good else BAD if value >= bad else NONE
 
 
+def _plain(word: str) -> bool:
+    """Numbers, addresses and compounds of letters are no junk."""
+    left = word.translate(_NUMERIC)
+    return not left or left.isalpha()
+
+
 def shape_votes(text: str) -> str:
     """Votes of the labellers on prose: marks, plain words, capitals, stutter,
     repeated triples, vocabulary, word length. Short texts get fewer votes."""
@@ -54,12 +66,12 @@ def shape_votes(text: str) -> str:
     if not n:
         return BAD + NONE * 6
     kinds = set(w)
-    odd = {x for x in kinds if not x.strip(".,;:?!()\"'").isalpha()}
+    odd = {x for x in kinds if not x.strip(".,;:?!()\"'").isalpha() and not _plain(x)}
     return "".join(
         (
             _vote(len(_MARKS.findall(text)) / len(text), 0.002, 0.008),
             _vote(sum(map(odd.__contains__, w)) / n if odd else 0, 0.08, 0.15) if n >= 8 else NONE,
-            _vote(len(_UPPER.findall(text)) / len(text), 0.06, 0.15) if n >= 8 else NONE,
+            _vote(len(_UPPER.findall(text)) / len(text), 0.1, 0.3) if n >= 8 else NONE,
             _vote(sum(map(eq, w, w[1:])) / n, 0.03, 0.08) if n >= 30 else NONE,
             _vote(1 - len(set(zip(w, w[1:], w[2:]))) / (n - 2), 0.2, 0.55) if n >= 30 else NONE,
             _vote(1 - math.log(len(kinds)) / math.log(n), 0.12, 0.25) if n >= 30 else NONE,
@@ -78,12 +90,13 @@ def cover_terms(rows: list[tuple[str, bool]], least: int = 4, precision: float =
     """Terms that tell flagged rows from others, found greedily: each next term covers
     the most flagged rows that are still uncovered, so a group of copies adds one
     term at most. A term must be precise and cover ``least`` new rows."""
-    inside, outside = defaultdict(set), defaultdict(int)
+    often = Counter(t for text, flag in rows if flag for t in terms_of(text))
+    inside, outside = {t: set() for t, c in often.items() if c >= least}, defaultdict(int)
+    del often
     for no, (text, flag) in enumerate(rows):
         if flag:
-            for t in terms_of(text):
+            for t in terms_of(text) & inside.keys():
                 inside[t].add(no)
-    inside = {t: s for t, s in inside.items() if len(s) >= least}
     for text, flag in rows:
         if not flag:
             for t in terms_of(text) & inside.keys():
@@ -166,6 +179,12 @@ def fit_label_model(counts: dict[str, int], rounds: int = 60) -> LabelModel:
     return model
 
 
+def indicators(votes: str) -> list[str]:
+    """Features of the votes: each of them, and whether any of a kind objects."""
+    parts = (votes[:N_SHAPE], votes[N_SHAPE:])
+    return [f"{k}{v}" for k, v in enumerate(votes)] + [f"any{k}{BAD if BAD in p else GOOD}" for k, p in enumerate(parts)]
+
+
 @dataclass
 class Scorer:
     """Linear score of vote indicators and hashed words."""
@@ -175,7 +194,7 @@ class Scorer:
     bias: float
 
     def score(self, votes: str, hashed: np.ndarray) -> float:
-        z = self.bias + sum(self.votes.get(f"{k}{v}", 0.0) for k, v in enumerate(votes) if v != NONE)
+        z = self.bias + sum(self.votes.get(x, 0.0) for x in indicators(votes))
         if len(hashed):
             z += float(self.words[hashed].sum()) / math.sqrt(len(hashed))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
@@ -186,12 +205,12 @@ def hashed_words(words: set[str]) -> np.ndarray:
     return np.unique(np.fromiter((digest(x) % BUCKETS for x in words), np.int32, len(words)))
 
 
-def fit_scorer(rows: list[tuple[str, np.ndarray, float]], rounds: int = 30, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
+def fit_scorer(rows: list[tuple[str, np.ndarray, float]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Scorer:
     """Logistic regression on posterior labels by gradient steps with AdaGrad."""
-    names = sorted({f"{k}{v}" for votes, _, _ in rows for k, v in enumerate(votes)})
+    names = sorted({x for votes, _, _ in rows for x in indicators(votes)})
     place = {x: i for i, x in enumerate(names)}
-    width = len(rows[0][0])
-    dense = np.array([[place[f"{k}{v}"] for k, v in enumerate(votes)] for votes, _, _ in rows])
+    dense = np.array([[place[x] for x in indicators(votes)] for votes, _, _ in rows])
+    width = dense.shape[1]
     goal = np.array([p for _, _, p in rows])
     size = np.array([len(h) for _, h, _ in rows])
     flat = np.concatenate([h for _, h, _ in rows]) if size.sum() else np.zeros(0, np.int32)
@@ -206,7 +225,7 @@ def fit_scorer(rows: list[tuple[str, np.ndarray, float]], rounds: int = 30, rate
         dw = np.bincount(flat, err[owner] * scale, BUCKETS) + decay * ww
         gv, gw, gb = gv + dv * dv, gw + dw * dw, gb + err.sum() ** 2
         wv, ww, bias = wv - rate * dv / np.sqrt(gv), ww - 0.1 * rate * dw / np.sqrt(gw), bias - rate * err.sum() / math.sqrt(gb)
-    return Scorer({x: float(wv[i]) for x, i in place.items()}, ww.astype(np.float32), float(bias))
+    return Scorer({x: float(wv[i]) for x, i in place.items() if said[i]}, ww.astype(np.float32), float(bias))
 
 
 @dataclass
@@ -221,7 +240,6 @@ class Classifier:
         return self.scorer.score(votes, hashed_words(words))
 
 
-N_SHAPE = 7
 
 
 def votes_and_words(text: str, lexicons: Lexicons) -> tuple[str, set[str]]:
@@ -260,12 +278,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     sample_ids = docs.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(SCORER_ROWS)
     kind = pa.schema([("votes", pa.string()), ("hashed", pa.list_(pa.int32()))])
-    sample: list[Row] = arrow_map(docs.join(sample_ids, "id").select("text"), features, "votes string, hashed array<int>", kind).collect()
-    rows = [(r["votes"], np.array(r["hashed"], np.int32), prose.posterior(r["votes"][:N_SHAPE]) * civil.posterior(r["votes"][N_SHAPE:])) for r in sample]
+    sample = arrow_map(docs.join(sample_ids, "id").select("text"), features, "votes string, hashed array<int>", kind).toArrow()
+
+    def goal(votes: str) -> float:
+        return prose.posterior(votes[:N_SHAPE]) * civil.posterior(votes[N_SHAPE:])
+
+    rows = [(v, h.values.to_numpy(), goal(v)) for v, h in zip(sample.column("votes").to_pylist(), sample.column("hashed"))]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     # patterns the sample has missed are learned from the pattern alone
     drawn = {v for v, _, _ in rows}
-    rows += [(p, np.zeros(0, np.int32), prose.posterior(p[:N_SHAPE]) * civil.posterior(p[N_SHAPE:])) for p in sorted(patterns) if p not in drawn]
+    rows += [(p, np.zeros(0, np.int32), goal(p)) for p in sorted(patterns) if p not in drawn]
     return Classifier(lexicons, prose, civil, fit_scorer(rows))
 
 
