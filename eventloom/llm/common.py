@@ -9,6 +9,8 @@ as empty. Intermediate tables that several jobs read are stored in the folder of
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.scale import written
 
-__all__ = ["arrow_map", "pairs_of", "spread", "table", "text_of", "tokenizer_path", "written"]
+__all__ = ["arrow_map", "kept_in_worker", "pairs_of", "spread", "table", "text_of", "tokenizer_path", "written"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,6 +37,14 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def kept_in_worker(key: tuple, make: Callable[[], object]):
+    """What is costly to make, once per worker process: these outlive single tasks."""
+    kept = sys.modules.setdefault("_eventloom_worker", types.ModuleType("_eventloom_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, arrow: pa.Schema) -> DataFrame:
     """``mapInArrow`` with a function from columns as lists to columns as lists."""
 

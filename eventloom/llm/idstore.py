@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from eventloom.llm.common import text_of
-from eventloom.llm.tokens import Encoder
+from eventloom.llm.tokens import encoder_of
 
 #: documents on which the dictionary is trained, and its size at most
 SAMPLE_ROWS, DICTIONARY_BYTES = 2000, 112_640
@@ -55,7 +55,7 @@ def _wide(data: bytes, width: int) -> bytes:
 
 def _encoded(df: DataFrame, tokenizer: str, end: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(tokenizer), end.to_bytes(4, "little")
+        encoder, last = encoder_of(tokenizer), end.to_bytes(4, "little")
         for batch in batches:
             out = [_narrow(encoder.one(t) + last, width) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
@@ -82,7 +82,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
     """Write the store. Null and empty texts are the end id alone; rows without an id
     come first; rows that repeat an id are in the order of their texts' hashes."""
     spark = df.sparkSession
-    width = 2 if Encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else 4
+    width = 2 if encoder_of(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else 4
     data = train_dictionary(df, tokenizer, id_col, text_col, end, width)
     name = xxhash.xxh64_hexdigest(data)
     schema = StructType([StructField("dictionary_hash", StringType()), StructField("data", BinaryType())])
@@ -92,8 +92,11 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        encoder, last = Encoder(tokenizer), end.to_bytes(4, "little")
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
+        encoder, last = encoder_of(tokenizer), end.to_bytes(4, "little")
+        shared = zstandard.ZstdCompressionDict(data) if data else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         ids, counts, frames, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import text_of
-from eventloom.llm.tokens import Encoder
+from eventloom.llm.tokens import encoder_of
 
 #: tokens of a sequence
 WINDOW = 2048
@@ -79,7 +79,7 @@ def pieces(df: DataFrame, path: str, id_col: str, text_col: str, window: int, en
     last = end.to_bytes(4, "little")
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

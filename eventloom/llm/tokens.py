@@ -3,25 +3,31 @@
 A text is cut where its vocabulary never joins characters: before white space that
 follows other characters, and between a letter and the marks that end a word. The ids
 of a text are those of its pieces, one after the other, and words that recur are
-encoded once per task.
+encoded once per worker.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import sys
 from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-#: written words, and pieces of them, that a task remembers
-MEMO = 1 << 19
+from eventloom.llm.common import kept_in_worker
+
+#: written words, and pieces of them, that a worker remembers
+MEMO = 3 << 17
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PIECE = re.compile(rf"\s*\S*[{_L}](?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)|\s*\S+|\s+")
+#: marks that end a word; an apostrophe may begin a contraction
+_MARKS = string.punctuation.replace("'", "")
+_M = re.escape(_MARKS)
+_PIECE = re.compile(rf"[^\S ](?=\S)|\s*\S*[{_L}](?=[{_M}]*(?:\s|\Z))|[{_M}]+(?=\s|\Z)|\s*\S+|\s+")
 #: one unit of the vocabulary before merging
-_LETTERS = re.compile(rf" ?[{_L}]+").fullmatch
+_LETTERS = re.compile(rf"[{_L}]+").fullmatch
 _WIDE = re.compile("[^\x00-ɏ]")
 # white space to Python only, or to some libraries only: such texts are encoded whole
 _ODD = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
@@ -48,6 +54,41 @@ class _Memo(dict):
         return got
 
 
+class _Words(_Memo):
+    """Written words; those of letters, with or without marks at the end, go straight
+    to the vocabulary's merges. ``lead`` is the white space before each word."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.encoder, self.lead, self.cores = encoder, lead, {}
+        self.first = lead.replace(" ", encoder.space)
+        self.direct = encoder.direct and (not encoder.drops_space if lead else True)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+            self.cores.clear()
+        core = word.rstrip(_MARKS)
+        got = self.cores.get(core)
+        if got is None:
+            if self.direct and _LETTERS(core) and not (self.encoder.drops_case and core != core.lower()):
+                unit = core if core.isascii() else core.encode().decode("latin-1").translate(self.encoder.letters)
+                got = self.cores[core] = _packed(self.encoder.merge(self.first + unit))
+            else:
+                got = self[word] = self.encoder.joined(self.lead + word)
+                return got
+        if len(core) != len(word):
+            got += self.encoder.pieces[word[len(core) :]]
+        self[word] = got
+        return got
+
+
+def _packed(tokens: list) -> bytes:
+    ids = array("I", [x.id for x in tokens])
+    if sys.byteorder != "little":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class Encoder:
     """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as bytes,
     without special tokens; their strings in a text are ordinary text."""
@@ -61,26 +102,26 @@ class Encoder:
         self.drops_space = self._whole(" a") == self._whole("a")
         self.drops_case = self._whole("AÉ") == self._whole("aé")
         self.letters = _byte_letters()
-        self.direct = self._merged("aé" if self.drops_space else " aé") == self._whole(" aé")
+        self.space = chr(self.letters[32])
+        self.merge = self.tokenizer.model.tokenize
+        unit = "é".encode().decode("latin-1").translate(self.letters)
+        self.direct = _packed(self.merge(("" if self.drops_space else self.space) + "a" + unit)) == self._whole(" aé")
         self.pieces = _Memo(self._piece)
-        self.words = _Memo(lambda word: self._joined(word))
-        self.spaced = _Memo(lambda word: self._joined(" " + word))
+        self.words, self.spaced = _Words(self, ""), _Words(self, " ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merged(self, unit: str) -> bytes:
-        """Ids of one unit straight from the vocabulary's merges."""
-        got = self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))
-        ids = array("I", [x.id for x in got])
-        return ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
-
     def _piece(self, piece: str) -> bytes:
-        if self.direct and _LETTERS(piece) and not (self.drops_case and piece != piece.lower()):
-            return self._merged(piece)
+        spaced = piece[0] == " " and not self.drops_space
+        letters = piece[1:] if spaced else piece
+        if self.direct and _LETTERS(letters) and not (self.drops_case and piece != piece.lower()):
+            unit = letters.encode().decode("latin-1").translate(self.letters)
+            return _packed(self.merge((self.space if spaced else "") + unit))
         return self._whole(piece)
 
-    def _joined(self, text: str) -> bytes:
+    def joined(self, text: str) -> bytes:
+        """Ids of a text by its pieces."""
         found = _PIECE.findall(text)
         return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
@@ -92,9 +133,14 @@ class Encoder:
                 text = text.lower()
             return b"".join(map(self.words.__getitem__, text.split()))
         if _LATE_SPACE.search(text):
-            return self._joined(text)
+            return self.joined(text)
         first, *rest = text.split(" ")
         return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.one(t) for t in texts]
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process."""
+    return kept_in_worker(("encoder", path), lambda: Encoder(path))
