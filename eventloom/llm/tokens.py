@@ -31,8 +31,8 @@ _LETTERS = re.compile(rf"[{_L}]+").fullmatch
 _WIDE = re.compile("[^\x00-ɏ]")
 # white space to Python only, or to some libraries only: such texts are encoded whole
 _ODD = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
-#: a space that does not begin the white space between two words
-_LATE_SPACE = re.compile(r"\s ")
+#: white space of several characters, whose last one may belong to the next word
+_WIDE_SPACE = re.compile(r"\s\s")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -132,9 +132,13 @@ class Encoder:
             if self.drops_case and not _WIDE.search(text):
                 text = text.lower()
             return b"".join(map(self.words.__getitem__, text.split()))
-        if _LATE_SPACE.search(text):
+        if _WIDE_SPACE.search(text):
             return self.joined(text)
-        first, *rest = text.split(" ")
+        # a single line end is a token of its own
+        return self.pieces["\n"].join([self._line(line) for line in text.split("\n")])
+
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
         return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
