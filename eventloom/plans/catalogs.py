@@ -36,10 +36,11 @@ SQL_FILES = f"WITH e AS (SELECT o_orderkey AS k, o_orderpriority AS channel, {SQ
 @query("SELECT 'lines' AS channel, 'lineitem.parquet' AS name, TRUE AS complete, count(*) AS n FROM lineitem UNION ALL SELECT 'orders_like', 'orders.parquet', FALSE, count(*) FROM orders UNION ALL SELECT 'people', 'customer.parquet', TRUE, count(*) FROM customer UNION ALL SELECT 'people', 'supplier.parquet', TRUE, count(*) FROM supplier")
 def catalog_scan(spark, sf):
     """Catalog from JSON, missing paths dropped, all files scanned as one table."""
-    import os
-
     doc = json.dumps({"dir": {c: sf for c in TABLES}, "file": TABLES})
-    there = values_table(spark, "path string", [(f"{sf}/{n}",) for n in sorted(os.listdir(sf))])
+    # any store that Spark reads is listed by Spark; a table is a file or a folder
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf)
+    name = F.regexp_extract("path", r"([^/]+\.parquet)(?:/[^/]*)?$", 1)
+    there = listed.select(F.concat(F.lit(f"{sf}/"), name).alias("path")).distinct()
     cat = C.read_catalog(spark, doc, there)
     rows = C.read_channels(spark, cat)
     counts = rows.groupBy("channel", "source_file").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventloom.operators.scale import values_table
 
@@ -96,19 +97,19 @@ def unknown_folders(named: DataFrame) -> DataFrame:
     return named.filter(F.col("channel").isNull()).groupBy("folder").agg(F.count(F.lit(1)).alias("n_paths"))
 
 
-def read_channels(spark: SparkSession, catalog: DataFrame, max_paths: int = 1_000_000) -> DataFrame:
+def read_channels(spark: SparkSession, catalog: DataFrame, schema: StructType | None = None) -> DataFrame:
     """All files of a catalog as one event table with channel and source file.
 
-    One scan over all paths; the channel comes from a join on the file name, so
-    the plan does not grow with the number of channels.
+    One scan over all paths, which Spark's reader takes as a list; the channel comes
+    from a join of the file name with the catalog itself, so the plan does not grow
+    with the number of channels. Without a ``schema`` those of all files are merged.
     """
-    rows = catalog.select("channel", "path").limit(max_paths + 1).collect()
-    if len(rows) > max_paths:
-        raise ValueError("catalog too large, read by folder")
-    events = spark.read.option("mergeSchema", "true").parquet(*[r["path"] for r in rows])
+    paths = [r["path"] for r in catalog.select("path").distinct().toLocalIterator()]
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    events = reader.parquet(*paths)
     file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     events = events.withColumns({"_file": file, "_dir": F.regexp_replace(file, "/[^/]+$", "")})
-    names = values_table(spark, "channel string, source_file string", [(r["channel"], r["path"].rstrip("/")) for r in rows])
+    names = catalog.select("channel", F.rtrim("path", F.lit("/")).alias("source_file"))
     # a catalog path is a single file or a folder of part files
     one = names.select(F.col("source_file").alias("_file"), F.col("channel").alias("_c1"))
     many = names.select(F.col("source_file").alias("_dir"), F.col("channel").alias("_c2"))
