@@ -220,14 +220,21 @@ def run_comparison(spark, sf):
     return wide.select("label", r("first").alias("first"), r("second").alias("second"))
 
 
+def labelled_vectors(spark, sf):
+    """Vectors by component with three labels and a weight; names of the components."""
+    e = table(spark, sf, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"f{i}" for i in range(width)]
+    label = F.least(F.col("label"), F.lit(2)).cast("double")
+    df = e.select(label.alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return df.withColumn("w", F.when(F.col("label") == 2, 0.3).otherwise(F.lit(1.0))), names
+
+
 @query()
 def trained_classifier(spark, sf):
     """Multinomial regression with per-event weights, trained and scored."""
-    e = table(spark, sf, "embeddings")
-    df = e.select(
-        "vec_id", F.least(F.col("label"), F.lit(2)).cast("double").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(8)]
-    ).withColumn("w", F.when(F.col("label") == 2, 0.3).otherwise(F.lit(1.0)))
-    model = M.train_multinomial(df, [f"f{i}" for i in range(8)], "label", "w", max_iter=10)
+    df, names = labelled_vectors(spark, sf)
+    model = M.train_multinomial(df, names, "label", "w", max_iter=30)
     scored = model.transform(df).select(F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred"))
     return scored.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
 
