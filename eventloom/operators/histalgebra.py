@@ -27,15 +27,20 @@ def _sums(where: Column | None = None) -> list[Column]:
 # --- combination ------------------------------------------------------------------
 
 
-def merge(hists: DataFrame, members: dict[str, str], keys: Sequence[str], channel: str = "channel") -> DataFrame:
+def merge(hists: DataFrame, members: dict[str, str], keys: Sequence[str], channel: str = "channel", edges: Sequence[str] = ()) -> DataFrame:
     """Merge component channels; ``members`` maps component to merged channel,
-    components that are not listed keep their own name."""
+    components that are not listed keep their own name. With ``edges`` (the columns
+    of the bin edges) components whose bins differ by more than 1e-9 are an error."""
     target = None
     for part, whole in members.items():
         cond = F.col(channel) == part
         target = F.when(cond, F.lit(whole)) if target is None else target.when(cond, F.lit(whole))
-    named = hists.withColumn(channel, F.coalesce(target, F.col(channel)))
-    return named.groupBy(channel, *keys).agg(*_sums())
+    named = hists if target is None else hists.withColumn(channel, F.coalesce(target, F.col(channel)))
+    out = named.groupBy(channel, *keys).agg(*_sums(), *[F.min(e).alias(e) for e in edges], *[F.max(e).alias(f"_top_{e}") for e in edges])
+    for e in edges:
+        wrong = F.raise_error(F.concat(F.lit(f"bins of different {e} in "), F.col(channel))).cast("double")
+        out = out.withColumn(e, F.when((F.col(f"_top_{e}") != F.col(e)) & (F.col(f"_top_{e}") - F.col(e) > 1e-9), wrong).otherwise(F.col(e))).drop(f"_top_{e}")
+    return out
 
 
 def check_same_binning(hists: DataFrame, group: Sequence[str], bins: Sequence[str] = ("ix",), edges: Sequence[str] = ("x_lo", "x_hi")) -> DataFrame:
@@ -81,6 +86,38 @@ def rescale(hists: DataFrame, factor: Column) -> DataFrame:
     return hists.withColumns({"sumw": F.col("sumw") * factor, "sumw2": F.col("sumw2") * factor * factor})
 
 
+def combine_eras(
+    hists: DataFrame,
+    keys: Sequence[str],
+    roles: dict[str, str],
+    luminosity: dict[object, float],
+    eras: dict[str, Sequence],
+    target: Sequence,
+    scales: dict[str, float] | None = None,
+    channel: str = "channel",
+    era: str = "era",
+) -> DataFrame:
+    """Sum the eras of every role. Measured roles (``data``, ``data_driven``) count as
+    they are; simulation of the eras in ``eras[role]`` is scaled to the luminosity of
+    the ``target`` eras, and by the scale of its process. An era without luminosity
+    or a role without eras is an error; rows of other eras or channels are left out."""
+    def total(chosen: Sequence) -> float:
+        if not chosen or any(e not in luminosity for e in chosen):
+            raise ValueError(f"no luminosity for {list(chosen)}")
+        return sum(luminosity[e] for e in chosen)
+
+    factor = F.lit(None).cast("double")
+    for c, role in roles.items():
+        f = 1.0 if role in ("data", "data_driven") else total(target) / total(eras[role])
+        mine = (F.col(channel) == c) & F.col(era).isin(*eras[role])
+        factor = F.when(mine, F.lit(f * (scales or {}).get(c, 1.0))).otherwise(factor)
+    named = F.lit(None).cast("string")
+    for c, role in roles.items():
+        named = F.when(F.col(channel) == c, F.lit(role)).otherwise(named)
+    rows = hists.withColumns({"_f": factor, "role": named}).filter(F.col("_f").isNotNull())
+    return rescale(rows, F.col("_f")).groupBy("role", *keys).agg(*_sums())
+
+
 def crop(hists: DataFrame, axis: Axis, lo: float, hi: float) -> DataFrame:
     """Bins that lie fully inside [lo, hi], numbered from 1 again."""
     edges = axis.all_edges()

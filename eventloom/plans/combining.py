@@ -32,9 +32,9 @@ SQL_MERGED = "CASE WHEN channel IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN chann
 
 @query(f"""{SQL_H} SELECT {SQL_MERGED} AS channel, era, ix, round(sum(sumw), 9) AS sumw, round(sum(sumw2), 6) AS sumw2, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1, 2, 3""")
 def merged_channels(spark, sf):
-    """Component channels merged; a common binning is checked first."""
+    """Component channels merged under a common binning, which is checked."""
     hist = H.with_edges(channel_hist(spark, sf, "channel", "era"), W)
-    return _out(A.merge(hist, MERGED, ["era", "ix"]), "channel", "era", "ix")
+    return _out(A.merge(hist, MERGED, ["era", "ix"], edges=("x_lo", "x_hi")), "channel", "era", "ix")
 
 
 @query(
@@ -88,23 +88,24 @@ def unit_shapes(spark, sf):
 
 
 ROLES = {"1-URGENT": "signal", "2-HIGH": "stack", "3-MEDIUM": "stack", "4-NOT SPECIFIED": "data_driven", "5-LOW": "data"}
-ERA_SCALE = {1995: 1.2, 1996: 1.2, 1997: 1.2, 1998: 0.9, 1999: 0.9, 2000: 0.9, 2001: 0.9}
+ERA_LUMI = {1992: 4.0, 1993: 5.0, 1994: 6.0, 1995: 3.5, 1996: 2.5, 1997: 4.5, 1998: 1.5}
+MEASURED, SIMULATED, SIGNAL = [1992, 1993, 1994, 1995, 1996, 1997, 1998], [1994, 1995, 1996], [1993, 1997]
 
 
 @query(
-    f"""{SQL_H} SELECT CASE channel WHEN '1-URGENT' THEN 'signal' WHEN '4-NOT SPECIFIED' THEN 'data_driven' WHEN '5-LOW' THEN 'data' ELSE 'stack' END AS role, ix,
-  round(sum(sumw * CASE WHEN channel IN ('5-LOW', '4-NOT SPECIFIED') THEN 1.0 ELSE CASE WHEN era < 1998 THEN 1.2 ELSE 0.9 END END * CASE WHEN channel = '2-HIGH' THEN 1.5 ELSE 1.0 END), 9) AS sumw FROM h GROUP BY 1, 2"""
+    f"""{SQL_H}, l(era, lumi) AS (VALUES {", ".join(f"({e}, {v}::DOUBLE)" for e, v in ERA_LUMI.items())}),
+t AS (SELECT sum(lumi) AS target, sum(lumi) FILTER (era IN (1994, 1995, 1996)) AS mc, sum(lumi) FILTER (era IN (1993, 1997)) AS sig FROM l),
+x AS (SELECT h.*, CASE channel WHEN '1-URGENT' THEN 'signal' WHEN '4-NOT SPECIFIED' THEN 'data_driven' WHEN '5-LOW' THEN 'data' ELSE 'stack' END AS role FROM h JOIN l USING (era)),
+y AS (SELECT x.*, CASE role WHEN 'signal' THEN target / sig WHEN 'stack' THEN target / mc ELSE 1 END * CASE WHEN channel = '2-HIGH' THEN 1.5 ELSE 1 END AS f FROM x, t
+  WHERE CASE role WHEN 'signal' THEN era IN (1993, 1997) WHEN 'stack' THEN era IN (1994, 1995, 1996) ELSE TRUE END)
+SELECT role, ix, round(sum(sumw * f), 6) AS sumw, round(sum(sumw2 * f * f), 5) AS sumw2 FROM y GROUP BY 1, 2"""
 )
 def combined_eras(spark, sf):
-    """Eras combined with luminosity factors by role and per-process scales."""
+    """Eras combined: simulation scaled to the luminosity of the data, by role."""
     hist = channel_hist(spark, sf, "channel", "era")
-    role = F.lit(None).cast("string")
-    for c, v in ROLES.items():
-        role = F.when(F.col("channel") == c, F.lit(v)).otherwise(role)
-    era = F.when(F.col("era") < 1998, 1.2).otherwise(F.lit(0.9))
-    factor = F.when(F.col("role").isin("data", "data_driven"), 1.0).otherwise(era) * F.when(F.col("channel") == "2-HIGH", 1.5).otherwise(F.lit(1.0))
-    hist = A.rescale(hist.withColumn("role", role), factor)
-    return hist.groupBy("role", "ix").agg(r(F.sum("sumw"), 9).alias("sumw"))
+    eras = {"data": MEASURED, "data_driven": MEASURED, "stack": SIMULATED, "signal": SIGNAL}
+    out = A.combine_eras(hist, ["ix"], ROLES, ERA_LUMI, eras, MEASURED, {"2-HIGH": 1.5})
+    return out.select("role", "ix", r("sumw").alias("sumw"), r("sumw2", 5).alias("sumw2"))
 
 
 @query(

@@ -317,6 +317,18 @@ def test_empty_bins_are_zero(spark):
     assert sorted((r["ix"], r["sumw"], r["sumw2"], r["n"]) for r in out) == [(1, -1.0, 0.0, 1), (2, -1.0, 0.0, 0)]
 
 
+def test_eras_and_binnings_are_checked(spark):
+    rows = [("mc", 1, 1, 2.0, 1.0, 1, 0.0, 1.0), ("mc", 2, 1, 9.0, 1.0, 1, 0.0, 1.0), ("obs", 1, 1, 3.0, 1.0, 1, 0.0, 1.0), ("obs", 2, 1, 4.0, 1.0, 1, 0.5, 1.0)]
+    hists = spark.createDataFrame(rows, "channel string, era int, ix int, sumw double, sumw2 double, n long, x_lo double, x_hi double")
+    out = A.combine_eras(hists, ["ix"], {"mc": "stack", "obs": "data"}, {1: 2.0, 2: 6.0}, {"stack": [1], "data": [1, 2]}, [1, 2], {"mc": 0.5})
+    assert {r["role"]: (r["sumw"], r["sumw2"]) for r in out.collect()} == {"stack": (4.0, 4.0), "data": (7.0, 2.0)}
+    with pytest.raises(ValueError):
+        A.combine_eras(hists, ["ix"], {"mc": "stack"}, {1: 2.0}, {"stack": [3]}, [1])
+    assert A.merge(hists.filter("channel = 'mc'"), {}, ["ix"], edges=["x_lo", "x_hi"]).first()["sumw"] == 11.0
+    with pytest.raises(Exception, match="bins of different x_lo"):
+        A.merge(hists, {}, ["ix"], edges=["x_lo", "x_hi"]).collect()
+
+
 def test_weight_vectors_and_distinct_edges():
     assert O.simplex_grid(0.5, 2) == [(0.0, 1.0), (0.5, 0.5), (1.0, 0.0)] and O.simplex_grid(0.25, 1) == [(1.0,)]
     grid = O.simplex_grid(0.1, 4)
