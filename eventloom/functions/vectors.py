@@ -75,15 +75,6 @@ def first_true(flags: Column) -> Column:
 # --- gathers and links ----------------------------------------------------------
 
 
-def gather(coll: Column, index: Column) -> Column:
-    """``coll[index]``, NULL when the index is negative or out of range."""
-    return F.get(coll, index)
-
-
-def gather_or(coll: Column, index: Column, field: str, default) -> Column:
-    return F.coalesce(F.get(coll, index)[field], F.lit(default))
-
-
 def linked_field(coll: Column, link: str, targets: Column, field: str, missing: float) -> Column:
     """For every object the field of the object it links to."""
     return F.transform(coll, lambda o: F.coalesce(F.get(targets, o[link])[field], F.lit(missing)))
@@ -149,6 +140,7 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
 
 
 def distances_from(coll: Column, eta: Column, phi: Column) -> Column:
+    """Distance of every object from one direction."""
     return F.transform(coll, lambda o: delta_r(o["eta"], o["phi"], eta, phi))
 
 
@@ -342,18 +334,6 @@ def centrality(coll: Column) -> Column:
     return F.when(e > 0, total(coll, lambda o: o["pt"]) / e).otherwise(F.lit(0.0))
 
 
-def with_fields(coll: Column, **fields: Callable[[Column], Column]) -> Column:
-    """Add or replace struct fields; later ones see earlier ones."""
-
-    def extend(out: Column, name: str, make: Callable[[Column], Column]) -> Column:
-        return F.transform(out, lambda o: o.withField(name, make(o)))
-
-    out = coll
-    for name, make in fields.items():
-        out = extend(out, name, make)
-    return out
-
-
 def zip_records(**arrays: Column) -> Column:
     """Parallel arrays to one array of records named by the keywords."""
     names = list(arrays)

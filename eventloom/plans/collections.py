@@ -91,10 +91,11 @@ def distances(spark, sf):
     out = ev.select(
         "k",
         F.posexplode_outer(
-            F.transform(
+            F.zip_with(
                 "obj",
-                lambda o: F.struct(
-                    K.delta_r(o["eta"], o["phi"], a["eta"], a["phi"]).alias("dr"),
+                V.distances_from(F.col("obj"), a["eta"], a["phi"]),
+                lambda o, dr: F.struct(
+                    dr.alias("dr"),
                     F.abs(K.delta_phi(o["phi"], a["phi"])).alias("dphi"),
                     K.folded_delta_r(o["eta"], o["phi"], a["eta"], a["phi"]).alias("folded"),
                 ),
