@@ -10,7 +10,7 @@ from eventloom.operators import histalgebra as A
 from eventloom.operators import histogram as H
 from eventloom.operators.scale import written
 from eventloom.plans.registry import query
-from eventloom.plans.tables import SQL_EV, SQL_OBJ, flat_events, heads, objects, r, sql_bin, table
+from eventloom.plans.tables import SQL_EV, SQL_OBJ, flat_events, heads, objects, r, sql_bin
 
 W = Axis("w", 10, 0.0, 5.0)
 WIDE_EDGES = [0.0, 10.0, 20.0, 40.0, 70.0, 100.0]

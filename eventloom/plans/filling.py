@@ -8,7 +8,7 @@ from eventloom.functions.binning import Axis
 from eventloom.operators import histogram as H
 from eventloom.operators import variations as X
 from eventloom.plans.registry import query
-from eventloom.plans.tables import SQL_EV, SQL_OBJ, flat_events, heads, nested, events, objects, r, sql_bin, sql_edges, table
+from eventloom.plans.tables import SQL_EV, SQL_OBJ, flat_events, heads, events, objects, r, sql_bin, sql_edges
 
 EDGES = (0.0, 5.0, 10.0, 20.0, 40.0, 70.0, 90.0)
 W = Axis("w", 25, 0.0, 5.0)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.binning import Axis
-from eventloom.operators import histogram as H
 from eventloom.operators.scale import ordered_rank
 from eventloom.operators.steps import StepList, apply_steps, apply_variant
 from eventloom.operators.variations import weight_product

@@ -10,7 +10,7 @@ from eventloom.operators import joins as J
 from eventloom.operators import lookup as L
 from eventloom.operators.scale import values_table
 from eventloom.plans.registry import query
-from eventloom.plans.tables import SQL_EV, SQL_OBJ, flat_events, heads, nested, objects, r, table
+from eventloom.plans.tables import SQL_EV, SQL_OBJ, heads, nested, objects, r, table
 from eventloom.sources import intervals as I
 
 KEY = ["run", "block", "k"]

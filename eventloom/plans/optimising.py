@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import optimise as O
 from eventloom.operators.scale import values_table
 from eventloom.plans.registry import query
-from eventloom.plans.tables import SQL_EV, SQL_OBJ, heads, objects, r, table
+from eventloom.plans.tables import SQL_EV, SQL_OBJ, heads, objects, r
 
 
 def scored(spark, sf):

@@ -9,7 +9,7 @@ from eventloom.operators import histogram as H
 from eventloom.operators import steps as S
 from eventloom.plans.jobs import SkimJob
 from eventloom.plans.registry import query
-from eventloom.plans.tables import SQL_EV, SQL_OBJ, events, heads, nested, r, sql_bin, sql_folded
+from eventloom.plans.tables import SQL_EV, SQL_OBJ, events, heads, nested, r, sql_bin
 
 PT = Axis("lead_pt", 20, 0.0, 100.0)
 
