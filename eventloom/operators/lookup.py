@@ -64,7 +64,7 @@ class BinnedTable:
     def key_no(self, category: int, key: Column) -> Column:
         """0-based number of a key, NULL for an unknown one."""
         keys = self.categories[category][1]
-        known = F.expr("array(" + ", ".join(repr(k) for k in keys) + ")")
+        known = F.array(*[F.lit(k) for k in keys])
         return F.nullif(F.array_position(known, key), F.lit(0)) - 1
 
     def fixed(self, *keys) -> "BinnedTable":

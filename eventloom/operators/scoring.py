@@ -20,19 +20,25 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 def dense_scores(features: Column, layers: Sequence[Layer]) -> Column:
     """Class probabilities of a feature array: linear layers with ReLU between
-    them and a softmax at the end. Arrow batches, one matrix product per layer."""
+    them and a softmax at the end. Arrow batches, one matrix product per layer. A
+    missing array, or one with a missing number, has no scores."""
     weights = [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64)) for w, b in layers]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(batch: pd.Series) -> pd.Series:
-        if not len(batch):
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in batch])
+        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        rows = {k: np.asarray(v, dtype=np.float64) for k, v in batch.items() if v is not None}
+        rows = {k: v for k, v in rows.items() if not np.isnan(v).any()}
+        if not rows:
+            return out
+        x = np.stack(list(rows.values()))
         for no, (w, b) in enumerate(weights):
             x = x @ w.T + b
             if no < len(weights) - 1:
                 x = np.maximum(x, 0.0)
-        return pd.Series(list(softmax(x)))
+        for k, p in zip(rows, softmax(x)):
+            out[k] = p
+        return out
 
     return score(features)
 

@@ -339,6 +339,17 @@ def test_weight_vectors_and_distinct_edges():
         O._apart(np.array([9.0]), 0.0, 9.0)
 
 
+def test_scores_of_missing_features(spark):
+    from eventloom.operators.scoring import dense_scores
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0, None])], "i int, f array<double>")
+    out = {r["i"]: r["s"] for r in df.select("i", dense_scores(F.col("f"), [([[1.0, 0.0], [0.0, 1.0]], [0.0, 0.0])]).alias("s")).collect()}
+    assert out[2] is None and out[3] is None and sum(out[1]) == pytest.approx(1.0)
+    table = L.BinnedTable([("x", [0.0, 1.0])], [3.0, 4.0], [("k", ["a\\b", "it's"])])
+    got = spark.createDataFrame([("a\\b",), ("it's",), ("no",), (None,)], "k string").select(table.at(F.col("k"), F.lit(0.5)).alias("v")).collect()
+    assert [r["v"] for r in got] == [3.0, 4.0, None, None]
+
+
 def test_large_tables_are_looked_up(spark):
     n = 150
     table = L.BinnedTable([("x", list(range(n + 1))), ("y", list(range(n + 1)))], [float(i) for i in range(n * n)])
