@@ -4,8 +4,9 @@ The CGK random walk turns edit distance into Hamming distance: it reads the word
 a window, copies the current word at every step and moves on or stays by a random
 bit of that word, so that two walks over similar windows fall into step again. Bits
 of a walk are its words at sampled steps; the hash of a few sampled steps is an LSH
-key, and many walks with keys of their own reach the wanted recall. Windows of the
-size of an item that share a key with it are verified by exact edit distance.
+key. Edits of one kind only put walks out of step for good, so keys do not decide:
+windows of the size of an item that share a key with it are verified first by exact
+edit distance, which bounds the verification of the others.
 
 Only windows that can match are walked: an item of ``n`` words found with ``e``
 edits shares at least one run of ``q = (n - e) // (e + 1)`` words with the text, and
@@ -183,13 +184,17 @@ class Items:
 
     def _best(self, h: np.ndarray, starts: np.ndarray, no: int) -> tuple[int, int, int, int] | None:
         item, mine, most, _, keys = self.items[no]
+        keyed = (self.walks.keys(h, starts, len(mine)) == keys).any(axis=0)
         best = None
-        for s in starts[(self.walks.keys(h, starts, len(mine)) == keys).any(axis=0)].tolist():
-            d = edit_distance(mine, h[s : s + len(mine) + most].tolist(), most)
-            if d <= most and (best is None or d < best[3]):
+        # a shared key tells which windows come first; none is passed over
+        for s in [*starts[keyed].tolist(), *starts[~keyed].tolist()]:
+            # a later start must be closer than the best, an earlier one as close
+            bound = most if best is None else best[3] - (s > best[1])
+            if bound < 0:
+                continue
+            d = edit_distance(mine, h[s : s + len(mine) + bound].tolist(), bound)
+            if d <= bound:
                 best = (item, s, len(mine), d)
-            if d == 0:
-                break
         return best
 
     def search(self, texts: list[str], memo: _Memo | None = None) -> list[list[tuple[int, int, int, int]]]:

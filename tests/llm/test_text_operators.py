@@ -240,6 +240,21 @@ def test_decontamination_finds_edited_items(spark, sf):
     assert found / tried >= 0.97
 
 
+def test_decontamination_finds_one_sided_edits():
+    rng = np.random.default_rng(9)
+    for n in (30, 59, 120):
+        items = decontam.Items([(k, " ".join(f"w{k}x{j}" for j in range(n))) for k in range(12)])
+        for kind in ("delete", "insert"):
+            texts = []
+            for k in range(12):
+                w = [f"w{k}x{j}" for j in range(n)]
+                for i in range(int(decontam.EDITS * n)):
+                    at = int(rng.integers(1, len(w) - 1))
+                    w[at : at + (kind == "delete")] = [] if kind == "delete" else [f"new{i}"]
+                texts.append(" ".join(["before", "it", *w, "after", "it"]))
+            assert [[h[0] for h in hits] for hits in items.search(texts)] == [[k] for k in range(12)]
+
+
 def test_decontamination_against_sliding_windows(spark, sf, texts):
     items = decontam.Items([(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()][:12])
     memo = decontam._Memo()
