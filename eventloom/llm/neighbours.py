@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled into the unit ball and given one more coordinate that makes them
-unit vectors, so that the nearest by angle are the largest by inner product. A
-pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns
-them, and the nearest signed axis is the bucket in a table. A query visits, in every
+Vectors are divided into bands of about equal norm. Those of a band are scaled into
+the unit ball by its upper end and given one more coordinate that makes them unit
+vectors, so that the nearest by angle are the largest by inner product; the bands keep
+that coordinate small. Bands of few vectors are scored whole. In the others a
+pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns the vectors, and the nearest signed axis is the bucket in a table. A query visits, in every
 table, the buckets of its nearest signed axes, and everything in them is scored
 exactly. A first visit of the nearest bucket of each table gives every query a lower
-bound for what can still count. Equal vectors are indexed once, with the smallest of
+bound for what can still count; bands that lie below it are left out.  Equal vectors are indexed once, with the smallest of
 their ids.
 """
 
@@ -25,6 +26,8 @@ TABLES, PROBES = 6, 48
 NEAREST = 20
 #: vectors of a bucket that one task scores at a time
 BLOCK = 8192
+#: ratio of the norms at the ends of a band, and vectors of a band that is scored whole
+BAND, FEW = 1.15, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -57,12 +60,16 @@ def nearest_axes(x: np.ndarray, table: int, count: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :count]
 
 
-def unit_rows(x: np.ndarray, longest: float) -> np.ndarray:
-    """Rows over ``longest``, completed to unit length by one more coordinate."""
-    x = x / longest
+def unit_rows(x: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Rows over ``upper``, completed to unit length by one more coordinate."""
+    x = x / upper[:, None]
     return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]])
 
 
+def _norm(v: str) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
 def _usable(v: Column) -> Column:
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.isNotNull() & F.coalesce(good, F.lit(False)) & F.exists(v, lambda x: x != 0)
@@ -73,10 +80,10 @@ def _matrix(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _bucketed(df: DataFrame, longest: float, width: int, probes: int, tables: int, query: bool) -> DataFrame:
-    """Rows ``cid, v`` (and ``bound`` of a query) once per visited bucket, with
-    ``tab, bucket``."""
-    names = ["cid", "v"] + ["bound"] * query
+def _bucketed(df: DataFrame, width: int, probes: int, tables: int, query: bool) -> DataFrame:
+    """Rows ``cid, v`` and ``band, upper`` (of a query ``bound, norm``) once per visited
+    bucket, with ``tab, bucket``."""
+    names = ["cid", "v", *(("bound", "norm") if query else ("band", "upper"))]
 
     def run(batches):
         for batch in batches:
@@ -86,7 +93,7 @@ def _bucketed(df: DataFrame, longest: float, width: int, probes: int, tables: in
             if query:
                 x = np.hstack([x / np.sqrt((x * x).sum(1))[:, None], np.zeros((len(x), 1))])
             else:
-                x = unit_rows(x, longest)
+                x = unit_rows(x, batch.column(3).to_numpy())
             for tab in range(tables):
                 axes = nearest_axes(x, tab, probes)
                 rows = pa.array(np.repeat(np.arange(len(x)), axes.shape[1]))
@@ -94,7 +101,8 @@ def _bucketed(df: DataFrame, longest: float, width: int, probes: int, tables: in
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "tab", "bucket"])
 
     kind = df.schema["v"].dataType.simpleString()
-    return df.select(*names).mapInArrow(run, f"cid long, v {kind}, {'bound double, ' if query else ''}tab int, bucket int")
+    more = "bound double, norm double" if query else "band long, upper double"
+    return df.select(*names).mapInArrow(run, f"cid long, v {kind}, {more}, tab int, bucket int")
 
 
 def _scored(width: int, nearest: int):
@@ -121,29 +129,53 @@ def _scored(width: int, nearest: int):
     return score
 
 
-def _of_width(kinds: DataFrame, asked: DataFrame, width: int, longest: float, nearest: int, tables: int, probes: int) -> DataFrame:
+def _whole(found: DataFrame, queries: DataFrame, width: int, nearest: int) -> DataFrame:
+    """Every query (``cid, v, bound``) against every row of ``found``, in blocks."""
+    count = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int")
+    i = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    j = F.pmod(F.xxhash64("cid"), F.col("asking")).cast("int")
+    cut = written(found.agg(count.alias("blocks")).crossJoin(queries.agg(count.alias("asking"))))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.crossJoin(cut).withColumn("j", j).withColumn("i", each("blocks")).select("i", "j", "cid", "v", "bound")
+    right = found.crossJoin(cut).withColumn("i", i).withColumn("j", each("asking")).select("i", "j", "cid", "v")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_scored(width, nearest + 1), "qid long, cid long, score double")
+
+
+def _of_width(kinds: DataFrame, asked: DataFrame, width: int, longest: float, nearest: int, tables: int, probes: int, few: int) -> DataFrame:
     """Largest inner products between distinct queries and distinct vectors."""
-    found = _bucketed(kinds, longest, width, 1, tables, False)
+    # norms that differ by rounding only do not part at the ends of a band
+    step = F.floor(F.log(F.lit(longest) / _norm("v")) / float(np.log(BAND)) + 1e-4).cast("long")
+    banded = written(kinds.select("cid", "v", F.greatest(step, F.lit(0)).alias("band")))
+    bands = written(banded.groupBy("band").agg(F.count("*").alias("of_band"), F.max(_norm("v")).alias("upper")))
+    banded = banded.join(bands, "band")
+    small = banded.where(F.col("of_band") <= few).select("cid", "v")
+    found = _bucketed(banded.where(F.col("of_band") > few), width, 1, tables, False)
     # a crowded bucket is dealt out in blocks, which all of its queries visit
-    sizes = written(found.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    found = found.join(sizes, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).drop("blocks")
-    keys = ("tab", "bucket", "block")
+    at = ["band", "tab", "bucket"]
+    sizes = written(found.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("upper").alias("upper")))
+    found = found.join(sizes.drop("upper"), at).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).drop("blocks")
+    keys = (*at, "block")
 
     def visit(queries: DataFrame, count: int) -> DataFrame:
-        visits = _bucketed(queries, longest, width, count, tables, True).join(sizes, ["tab", "bucket"])
-        visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        pairs = visits.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(_scored(width, nearest + 1), "qid long, cid long, score double")
+        visits = _bucketed(queries.withColumn("norm", _norm("v")), width, count, tables, True).join(sizes, ["tab", "bucket"])
+        visits = visits.where(F.col("norm") * F.col("upper") * (1 + 1e-9) >= F.col("bound"))
+        visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "upper", "norm")
+        return visits.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(_scored(width, nearest + 1), "qid long, cid long, score double")
+
+    def joined(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("qid", "cid").agg(F.max("score").alias("score"))
 
+    free = asked.withColumn("bound", F.lit(float("-inf")))
+    first = written(_whole(small, free, width, nearest))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    near = visit(asked.withColumn("bound", F.lit(float("-inf"))), 1)
+    near = joined(visit(free, 1).unionAll(first))
     last = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest + 1).where(F.col("n") == nearest + 1)
     bounds = last.select(F.col("qid").alias("cid"), F.col("score").alias("bound"))
     bounded = written(asked.join(bounds, "cid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))))
-    return visit(bounded, probes)
+    return joined(visit(bounded, probes).unionAll(first))
 
 
-def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, probes: int = PROBES, few: int = FEW) -> DataFrame:
     """The ``nearest`` rows of each row where ``is_query``, itself left out:
     ``query_id, rank, vec_id, score``, largest inner product first, ties to smaller
     ids; a query gets fewer rows if fewer are found.
@@ -157,19 +189,19 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     # of equal vectors no more than nearest + 1 ids can appear in one answer
     first = Window.partitionBy("v").orderBy("id")
-    few = rows.select("id", "v").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1)
-    kinds = written(few.groupBy("v").agg(F.min("id").alias("cid"), F.sort_array(F.collect_list("id")).alias("ids")))
+    named = rows.select("id", "v").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1)
+    kinds = written(named.groupBy("v").agg(F.min("id").alias("cid"), F.sort_array(F.collect_list("id")).alias("ids")))
     # a vector that has the smallest id of several kinds would name them alike
     kinds = written(kinds.withColumn("cid", F.xxhash64("v", "cid")))
     asked = rows.where("asks").select("id", "v").distinct()
     asks = written(asked.join(kinds.select("v", "cid"), "v").select("id", "cid"))
     wanted = kinds.join(asks.select("cid").distinct(), "cid", "left_semi")
-    shapes = kinds.groupBy(F.size("v").alias("width")).agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("longest")).collect()
+    shapes = kinds.groupBy(F.size("v").alias("width")).agg(F.max(_norm("v")).alias("longest")).collect()
     empty = kinds.select(F.col("cid").alias("qid"), "cid", F.lit(0.0).alias("score")).limit(0)
     pairs = empty
     for s in sorted(shapes):
         fits = F.size("v") == s["width"]
-        pairs = pairs.unionAll(_of_width(kinds.where(fits), wanted.where(fits), s["width"], s["longest"], nearest, tables, probes))
+        pairs = pairs.unionAll(_of_width(kinds.where(fits), wanted.where(fits), s["width"], s["longest"], nearest, tables, probes, few))
     # more kinds than one answer needs, so that ties at the end are decided by id
     top = written(pairs.withColumn("n", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("n") <= nearest + 1))
     named = top.join(kinds.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))

@@ -113,6 +113,30 @@ def test_neighbours_recall(spark, sf):
     assert hit / total >= 0.9
 
 
+def recall_of_search(spark, x, **how):
+    """Share of the true answers found by every 20th row, and the fewest answers."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, **how).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = range(0, len(x), 20)
+    hits = [len(got.get(q, set()) & {j for j in np.argsort(-(x @ x[q]), kind="stable")[:21].tolist() if j != q}) for q in asked]
+    return sum(hits) / (len(asked) * min(20, len(x) - 1)), min(len(got.get(q, ())) for q in asked)
+
+
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_neighbours_uneven_norms(spark, norms):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((5000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if norms == "outlier":
+        x[7] *= 10
+    else:
+        x *= np.exp(rng.standard_normal(5000))[:, None]
+    recall, least = recall_of_search(spark, x, few=200)
+    assert recall >= 0.9 and least == 20
+
+
 def test_neighbours_odd_rows(spark):
     v = [1.0, 2.0]
     rows = [(0, v), (20, v), (3, v), (3, v), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [None, 1.0]), (None, v), (120, [5.0]), (7, [float("inf"), 0.0])]
