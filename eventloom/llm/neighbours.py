@@ -7,7 +7,8 @@ that coordinate small. Bands of few vectors are scored whole. In the others a
 pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns the vectors, and the nearest signed axis is the bucket in a table. A query visits, in every
 table, the buckets of its nearest signed axes, and everything in them is scored
 exactly. A first visit of the nearest bucket of each table gives every query a lower
-bound for what can still count; bands that lie below it are left out.  Equal vectors are indexed once, with the smallest of
+bound for what can still count; bands that lie below it are left out. A query that has
+met fewer vectors than it may name is scored against all. Equal vectors are indexed once, with the smallest of
 their ids.
 """
 
@@ -172,13 +173,17 @@ def _of_width(kinds: DataFrame, asked: DataFrame, width: int, longest: float, ne
     last = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest + 1).where(F.col("n") == nearest + 1)
     bounds = last.select(F.col("qid").alias("cid"), F.col("score").alias("bound"))
     bounded = written(asked.join(bounds, "cid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))))
-    return joined(visit(bounded, probes).unionAll(first))
+    pairs = written(joined(visit(bounded, probes).unionAll(first)))
+    full = pairs.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > nearest).select(F.col("qid").alias("cid"))
+    # where all vectors are few, all have been scored
+    short = written(free.join(full, "cid", "left_anti").crossJoin(bands.agg(F.max("of_band").alias("most"))).where(F.col("most") > few).drop("most"))
+    return joined(pairs.unionAll(_whole(banded.select("cid", "v"), short, width, nearest)))
 
 
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, probes: int = PROBES, few: int = FEW) -> DataFrame:
     """The ``nearest`` rows of each row where ``is_query``, itself left out:
     ``query_id, rank, vec_id, score``, largest inner product first, ties to smaller
-    ids; a query gets fewer rows if fewer are found.
+    ids; a query gets fewer rows only if there are fewer candidates.
 
     Vectors that are null, zero, or hold a null or a number that is not finite take no
     part, nor do rows without an id. Vectors of different lengths are not compared.

@@ -137,6 +137,15 @@ def test_neighbours_uneven_norms(spark, norms):
     assert recall >= 0.9 and least == 20
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+@pytest.mark.parametrize("n", [10, 50])
+def test_neighbours_of_few(spark, n, few):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    recall, least = recall_of_search(spark, x, few=few)
+    assert least == min(20, n - 1) and recall > 0.8
+
+
 def test_neighbours_odd_rows(spark):
     v = [1.0, 2.0]
     rows = [(0, v), (20, v), (3, v), (3, v), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [None, 1.0]), (None, v), (120, [5.0]), (7, [float("inf"), 0.0])]
