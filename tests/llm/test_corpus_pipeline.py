@@ -1,5 +1,7 @@
 """The pipeline: each stage against what its operator must do to the stage's input."""
 
+from collections import Counter
+
 import corpus_pipeline
 from compare import compare
 
@@ -32,3 +34,32 @@ def test_stages(spark, sf):
 
 def test_line_dedup_sql(spark, con, sf):
     assert compare(spark, con, queries.QUERIES["op4_line_dedup"], queries.SQL["op4_line_dedup"], sf)[0] is None
+
+
+def test_near_copies_against_all_pairs(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    sets, holders = {}, {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    for i in sets:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    links, linked = {i: set() for i in sets}, 0
+    for i, mine in sets.items():
+        shared = Counter(j for s in mine for j in holders[s] if j != i)
+        links[i] = {j for j, n in shared.items() if 5 * n >= 4 * (len(mine) + len(sets[j]) - n)}
+        linked += sum(mine != sets[j] for j in links[i])
+    assert linked
+    kept, seen = set(), set()
+    for i in sorted(sets):
+        if i not in seen:
+            kept.add(i)
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in seen:
+                    seen.add(k)
+                    todo += links[k]
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()} == kept
