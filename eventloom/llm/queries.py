@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, quality, simhash, suffixes, webpages
+from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, periods, quality, simhash, suffixes, webpages
 from eventloom.llm.common import table, tokenizer_path
 from eventloom.session import shared_dir
 
@@ -112,3 +112,22 @@ def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
 def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return webpages.extracted(pages).selectExpr("page_id", "url", "_x_text AS text", "_x_chars AS n_chars")
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = periods.with_loops(table(spark, sf, "documents"))
+    found = periods.periodic_runs(docs, least_words=6, least_times=4)
+    longest = F.array_max(F.transform("_x_runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("back"), (-r.period).alias("short"))))
+    line = F.transform("_x_runs", lambda r: F.concat_ws("", F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size("_x_runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"),
+        F.expr("1000 * best.length div -best.short").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"),
+        F.sha2("_x_text", 256).alias("collapsed_sha256"),
+    )
