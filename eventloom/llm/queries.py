@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, periods, quality, simhash, suffixes, webpages
+from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, periods, quality, simhash, spelling, suffixes, webpages
 from eventloom.llm.common import table, tokenizer_path
 from eventloom.session import shared_dir
 
@@ -131,3 +131,8 @@ def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"),
         F.sha2("_x_text", 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"), least_letters=5, least_count=3, drop_every=97)
