@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, periods, quality, simhash, spelling, suffixes, webpages
+from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, periods, prefixjoin, quality, simhash, spelling, suffixes, webpages
 from eventloom.llm.common import table, tokenizer_path
 from eventloom.session import shared_dir
 
@@ -136,3 +136,32 @@ def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(table(spark, sf, "documents"), least_letters=5, least_count=3, drop_every=97)
+
+
+@query(
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+           ELSE [concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]) FOR i IN range(1, len(w) - 2)] END) AS g
+  FROM words),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_common
+  FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (
+  SELECT a, b FROM pair JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
+  WHERE 100 * n_common >= 85 * (s.n + t.n - n_common)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id
+GROUP BY d.doc_id, s.n
+"""
+)
+def op12_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixjoin.similar_groups(table(spark, sf, "documents"), size=4, percent=85)
