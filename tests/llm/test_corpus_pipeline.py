@@ -9,6 +9,35 @@ from eventloom.llm import decontam, quality, queries
 from eventloom.llm.common import table, written
 
 
+def kept_of_near_copies(rows):
+    """Ids that remain of ``rows`` (id, text): the smallest of each group of texts
+    whose five-word shingles have a similarity of 0.8 or more, all pairs tried. Also
+    the number of linked pairs of different sets."""
+    sets, holders = {}, {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    for i in sets:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    links, linked = {i: set() for i in sets}, 0
+    for i, mine in sets.items():
+        shared = Counter(j for s in mine for j in holders[s] if j != i)
+        links[i] = {j for j, n in shared.items() if 5 * n >= 4 * (len(mine) + len(sets[j]) - n)}
+        linked += sum(mine != sets[j] for j in links[i])
+    kept, seen = set(), set()
+    for i in sorted(sets):
+        if i not in seen:
+            kept.add(i)
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in seen:
+                    seen.add(k)
+                    todo += links[k]
+    return kept, linked
+
+
 def test_stages(spark, sf):
     docs = table(spark, sf, "documents")
     columns = docs.columns
@@ -23,8 +52,8 @@ def test_stages(spark, sf):
     assert {r["doc_id"] for r in fit.collect()} == want
     assert {r["doc_id"] for r in lines.collect()} == want
     before = {r["doc_id"]: r["text"] for r in lines.collect()}
-    kept = [r["text"] for r in single.collect()]
-    assert len(set(kept)) == len(kept) and set(kept) == set(before.values())
+    kept, _ = kept_of_near_copies(before.items())
+    assert {r["doc_id"]: r["text"] for r in single.collect()} == {i: before[i] for i in kept}
     items = decontam.load_items(table(spark, sf, "benchmark"))
     hits = dict(zip([r["doc_id"] for r in single.collect()], items.search([r["text"] or "" for r in single.collect()])))
     assert {r["doc_id"] for r in clean.collect()} == {i for i, h in hits.items() if not h}
@@ -39,27 +68,6 @@ def test_line_dedup_sql(spark, con, sf):
 def test_near_copies_against_all_pairs(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
-    sets, holders = {}, {}
-    for r in docs.collect():
-        w = (r["text"] or "").encode().lower().split()
-        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    for i in sets:
-        for s in sets[i]:
-            holders.setdefault(s, []).append(i)
-    links, linked = {i: set() for i in sets}, 0
-    for i, mine in sets.items():
-        shared = Counter(j for s in mine for j in holders[s] if j != i)
-        links[i] = {j for j, n in shared.items() if 5 * n >= 4 * (len(mine) + len(sets[j]) - n)}
-        linked += sum(mine != sets[j] for j in links[i])
+    kept, linked = kept_of_near_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert linked
-    kept, seen = set(), set()
-    for i in sorted(sets):
-        if i not in seen:
-            kept.add(i)
-            todo = [i]
-            while todo:
-                k = todo.pop()
-                if k not in seen:
-                    seen.add(k)
-                    todo += links[k]
     assert {r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()} == kept
