@@ -29,8 +29,9 @@ _PIECE = re.compile(rf"[^\S ](?=\S)|\s*\S*[{_L}](?=[{_M}]*(?:\s|\Z))|[{_M}]+(?=\
 #: one unit of the vocabulary before merging
 _LETTERS = re.compile(rf"[{_L}]+").fullmatch
 _WIDE = re.compile("[^\x00-ɏ]")
-# white space to Python only, or to some libraries only: such texts are encoded whole
-_ODD = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
+# white space to Python only, or to some libraries only, and the letter whose lower case
+# ends in a mark: such texts are encoded whole
+_ODD = re.compile("[\x1c-\x1f\x85\u0130᠎​⁠﻿]")
 #: white space of several characters, whose last one may belong to the next word
 _WIDE_SPACE = re.compile(r"\s\s")
 
@@ -91,13 +92,14 @@ def _packed(tokens: list) -> bytes:
 
 class Encoder:
     """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as bytes,
-    without special tokens; their strings in a text are ordinary text."""
+    without added special tokens. A text that holds the string of an added token of the
+    vocabulary is encoded whole, so the string gets the id the library gives it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [re.compile(re.escape(t.content), re.IGNORECASE).search for t in self.tokenizer.get_added_tokens_decoder().values()]
         # what the vocabulary does not tell apart
         self.drops_space = self._whole(" a") == self._whole("a")
         self.drops_case = self._whole("AÉ") == self._whole("aé")
@@ -126,7 +128,7 @@ class Encoder:
         return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def one(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _ODD.search(text) or any(found(text) for found in self.added):
             return self._whole(text)
         if self.drops_space:
             if self.drops_case and not _WIDE.search(text):
