@@ -95,7 +95,9 @@ def op5_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return suffixes.without_repeats(table(spark, sf, "documents")).drop("kept")
+    out = suffixes.without_repeats(table(spark, sf, "documents"))
+    # a removed run may end inside a character
+    return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, quality, queries, simhash, suffixes, webpages
 from eventloom.llm.common import table, tokenizer_path
@@ -173,10 +175,22 @@ ODD_TEXTS = ["", " ", "a  b", " a\n\n b ", "it's  don't\t\tx", "x y z", "<|en
 def test_encoder_equals_whole_texts(name, texts):
     e = Encoder(tokenizer_path(name))
     sample = [t or "" for t in list(texts.values())[:60]] + ODD_TEXTS
-    want = [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in sample]
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in sample]
     assert e.encode(sample) == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library_on_random_strings(name):
+    rnd = random.Random(11)
+    bits = [*"abzAÉéİıßǅʼnſK’'\"“”«»…-–.,;:!?()[]<>|_&%$#@0159²½", *"  \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u200b\ufeff", "\u0301", "\u0307", "日", "ع", "Ω", "я", "😀", "n't", "'s", "'LL", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "</w>", "BELEDİ", "ŞİRKETİ", "the", " The", "ing"]
+    sample = ["".join(rnd.choices(bits, k=rnd.randint(1, 14))) for _ in range(30_000)]
+    sample += ["BELEDİ, “x”", "ŞİRKETİ’Nİ.", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y"]
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(sample, add_special_tokens=False)]
+    assert [t for t, a, b in zip(sample, Encoder(tokenizer_path(name)).encode(sample), want) if a != b] == []
+
+
 def check_packing(rows, ids, window):
     seqs, cover = {}, {}
     for r in rows:
@@ -195,7 +209,7 @@ def check_packing(rows, ids, window):
 
 
 def test_packing(spark, sf, texts):
-    tok = Encoder(tokenizer_path("word_bpe_49k.json")).tokenizer
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
     assert check_packing(queries.op3_packing(spark, sf).collect(), ids, 2048) > 0.97
 
@@ -221,7 +235,7 @@ def test_packing_odd_rows(spark):
 
 
 def test_id_store(spark, sf, texts):
-    tok = Encoder(tokenizer_path("byte_bpe_50k.json")).tokenizer
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     at = 0
     for r in sorted(queries.op5_token_ids(spark, sf).collect(), key=lambda r: r["doc_id"]):
         ids = np.array([*tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -532,3 +546,11 @@ def test_simhash_odd_rows(spark):
     kept = [r["doc_id"] for r in simhash.keep_one(rows).collect()]
     assert sorted(kept, key=str) == sorted([1, 3, 3, 4, 6, None], key=str)
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0 and simhash.keep_one(docs_of(spark, [])).count() == 0
+
+
+def test_suffix_query(spark, sf, texts):
+    rows = queries.QUERIES["op1_suffix_dedup"](spark, sf).collect()
+    want = brute_kept([(t or "").encode() for t in texts.values()], 400)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == dict(zip(texts, want))
+    whole = {r["doc_id"]: r["text"] for r in rows if not r["n_removed"]}
+    assert whole == {i: texts[i] or "" for i in whole} and len(whole) < len(rows)
