@@ -7,6 +7,7 @@ MODULES = (
     "collections",
     "joining",
     "filling",
+    "collecting",
     "combining",
     "weighting",
     "optimising",
