@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.binning import Axis
-from eventloom.operators.scale import kth_value
+from eventloom.operators.ranks import kth_smallest
 
 #: above this many weights the fill explodes a weight list instead of adding
 #: two aggregates per weight (keeps generated code inside its field limit)
@@ -141,15 +141,22 @@ def scale(hist: DataFrame, factor: Column) -> DataFrame:
     return hist.withColumns({"sumw": F.col("sumw") * factor, "sumw2": F.col("sumw2") * factor * factor})
 
 
+def value_ranges(df: DataFrame, value: str, modes: dict[str, tuple[bool, bool]]) -> dict[str, tuple[float, float]]:
+    """Ranges for automatic binning, of all modes together: minimum and maximum, or,
+    where a mode trims its low or high end, the k-th smallest or largest value with
+    k = max(1, 1% of the rows). The values are not sorted; the source is read once, or
+    twice where an end is trimmed (more often only beyond millions of rows)."""
+    trimmed = [any(ends[i] for ends in modes.values()) for i in (0, 1)]
+
+    def ranks(n: int) -> list[int]:
+        k = max(1, n // 100)
+        return [r for r, wanted in zip((k, n - k + 1), trimmed) if wanted]
+
+    found, lo, hi, _ = kth_smallest(df, value, ranks)
+    low, high = found[0] if trimmed[0] else lo, found[-1] if trimmed[1] else hi
+    return {m: (low if ends[0] else lo, high if ends[1] else hi) for m, ends in modes.items()}
+
+
 def value_range(df: DataFrame, value: str, trim_low: bool = False, trim_high: bool = False) -> tuple[float, float]:
-    """Range for automatic binning: minimum and maximum, or the k-th smallest /
-    largest value with k = max(1, 1% of the rows)."""
-    lo, hi, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
-    if not n:
-        raise ValueError(f"no data in {value}")
-    k = max(1, n // 100)
-    if trim_low:
-        lo = kth_value(df, value, k)
-    if trim_high:
-        hi = kth_value(df, value, n - k + 1)
-    return lo, hi
+    """One mode of ``value_ranges``."""
+    return value_ranges(df, value, {"": (trim_low, trim_high)})[""]

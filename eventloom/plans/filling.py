@@ -75,7 +75,7 @@ def automatic_range(spark, sf):
 
     o = objects(spark, sf, "pt")
     modes = {"full": (False, False), "low": (True, False), "both": (True, True)}
-    rows = [(m, *(round(x, 9) for x in H.value_range(o, "pt", *trim))) for m, trim in modes.items()]
+    rows = [(m, round(lo, 9), round(hi, 9)) for m, (lo, hi) in H.value_ranges(o, "pt", modes).items()]
     return values_table(spark, "mode string, lo double, hi double", rows)
 
 
