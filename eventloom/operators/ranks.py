@@ -26,7 +26,7 @@ CELLS = 1 << 14
 #: cells of a bracket at least, so that every pass makes progress
 LEAST_CELLS = 16
 #: rows of a task, times series, whose cells are held before they are made fewer
-ROWS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 1 << 20
 #: parts in which the cells of one series are merged
 SLOTS = 16
 PASSES = 16
@@ -54,12 +54,14 @@ class Cells:
         inside &= after < len(edges)
         region = 2 * after + inside
         table = np.array(sums, np.float64).reshape(len(sums), len(x))
-        order = np.argsort(region if len(edges) > 10_000 else region.astype(np.int16), kind="stable")
-        if inside.any():
-            within = np.flatnonzero(inside[order])
+        if inside.all():
+            order = np.argsort(x)
+        else:
+            order = np.argsort(region if len(edges) > 10_000 else region.astype(np.int16), kind="stable")
             # brackets follow each other, so their values can be sorted together
+            within = np.flatnonzero(inside[order])
             picked = order[within]
-            order[within] = picked[np.argsort(x[picked], kind="stable")]
+            order[within] = picked[np.argsort(x[picked])]
         c = cls(region[order], x[order], x[order], table[:, order])
         new = (np.diff(c.region) != 0) | ((c.region[1:] % 2 == 1) & (np.diff(c.hi) != 0)) if len(x) else np.empty(0, bool)
         return c._combined(np.flatnonzero(np.concatenate([[True], new]))) if len(x) else c
