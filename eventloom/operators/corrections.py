@@ -718,11 +718,38 @@ def lepton_for_overlap(p: Column) -> Column:
 # --- trigger study ---------------------------------------------------------------
 
 
+#: fixed values: muons of the trigger study. Smallest identification score and largest
+#: tag of the matched jet, cuts of loose muons, and the tag of the jet that muons which
+#: fail the score may have, by cone pt (linear between the two pt), and their isolation
+PROMPT_SCORE, PROMPT_TAG = 0.64, 0.2480
+LOOSE_MUON = {"cone_pt": 15.0, "eta": 2.4, "dxy": 0.05, "dz": 0.1, "sip3d": 8.0, "mini_iso": 0.4}
+TAG_HIGH_PT, TAG_LOW_PT, TAG_AT_HIGH, TAG_SLOPE, TAG_AT_LOW = 45.0, 20.0, 0.0485, 0.00798, 0.2480
+FAKEABLE_JET_ISO = 0.5
+#: fixed values: distance up to which the matched jet counts, and its share in cone pt
+CONE_DR, CONE_SHARE = 0.4, 0.9
+
+
 def cone_pt(pt: Column, iso: Column, jet_pt: Column, jet_dr: Column, divide: bool = True) -> Column:
     """pt of the object or of its matched jet: 0.9 of the jet when close, else
     pt / (1 + iso) (or times)."""
     far = pt / (1.0 + iso) if divide else pt * (1.0 + iso)
-    return F.when(jet_dr <= 0.4, 0.9 * jet_pt).otherwise(far)
+    return F.when(jet_dr <= CONE_DR, CONE_SHARE * jet_pt).otherwise(far)
+
+
+def loose_muon(o: Column) -> Column:
+    """Cone pt, acceptance, impact parameters, identification, mini isolation."""
+    cut = LOOSE_MUON
+    near = (F.abs(o["dxy"]) < cut["dxy"]) & (F.abs(o["dz"]) < cut["dz"]) & (F.abs(o["sip3d"]) < cut["sip3d"])
+    return (o["cone_pt"] > cut["cone_pt"]) & (F.abs(o["eta"]) < cut["eta"]) & near & o["medium_id"] & (o["mini_iso"] < cut["mini_iso"])
+
+
+def fakeable_tag(o: Column, tuned: bool = False) -> Column:
+    """The jet tag that a muon below the score may have."""
+    if tuned:
+        return o["jet_df_corr"] < PROMPT_TAG
+    c = o["cone_pt"]
+    falling = (TAG_HIGH_PT - c) * TAG_SLOPE + TAG_AT_HIGH
+    return o["jet_df_corr"] < F.when(c >= TAG_HIGH_PT, TAG_AT_HIGH).when(c > TAG_LOW_PT, falling).otherwise(F.lit(TAG_AT_LOW))
 
 
 @correction("trigger_study")
@@ -731,16 +758,25 @@ def trigger_study(
     ctx: Context,
     muons: str = "muons",
     jets: str = "jets",
-    jet_good: Callable[[Column], Column] = lambda j: j["pt"] > 15.0,
-    mva: Callable[[Column], Column] = lambda o: (o["mva"] >= 0.64) & (o["jet_df_corr"] < 0.2480),
-    loose: Callable[[Column], Column] = lambda o: (o["cone_pt"] > 15.0) & (F.abs(o["eta"]) < 2.4),
+    event_weight: str | None = "veto_weight",
+    jet_good: Callable[[Column], Column] = lambda j: j["id_tight"] & (j["pt"] > 15.0),
+    mva: Callable[[Column], Column] = lambda o: (o["mva"] >= PROMPT_SCORE) & (o["jet_df_corr"] < PROMPT_TAG),
+    loose: Callable[[Column], Column] = loose_muon,
     fakeable: bool = False,
+    tuned: bool = False,
     jet_pt: float = 30.0,
     jet_dr: float = 0.7,
 ) -> DataFrame:
-    """Object chain of the trigger study: link muons to good jets, cone pt,
-    corrected isolation, loose (and fakeable) muons, exactly one selected muon
-    and a recoil jet away from it."""
+    """Object chain of the trigger study: events of positive weight, muons linked to
+    good jets, cone pt (from the mini isolation), corrected isolation (the matched jet,
+    else the isolation ``pf_iso``), loose (and fakeable) muons, exactly one selected
+    muon and a recoil jet away from it.
+
+    A fakeable muon is loose and passes the score, or stays below it with a small tag of
+    its jet (by cone pt, or one cut if ``tuned``) and ``jet_rel_iso`` below 0.5.
+    """
+    if event_weight is not None:
+        df = df.filter(F.col(event_weight) > 0)
     df = df.withColumn("_jet_ok", V.mask(F.col(jets), jet_good))
     df = add_fields(df, muons, {"jet_link": lambda o: F.when(F.get("_jet_ok", o["jet_idx"]), o["jet_idx"]).otherwise(F.lit(-1))})
 
@@ -759,22 +795,21 @@ def trigger_study(
         df,
         muons,
         {
-            "rel_iso_corr": lambda o: F.when(o["jet_dr"] < 0.4, o["jet_pt"] / o["pt"] - 1.0).otherwise(o["iso"]),
-            "jet_df_corr": lambda o: F.when(o["jet_dr"] < 0.4, o["jet_df"]).otherwise(F.lit(0.0)),
+            "rel_iso_corr": lambda o: F.when(o["jet_dr"] < CONE_DR, o["jet_pt"] / o["pt"] - 1.0).otherwise(o["pf_iso"]),
+            "jet_df_corr": lambda o: F.when(o["jet_dr"] < CONE_DR, o["jet_df"]).otherwise(F.lit(0.0)),
         },
     )
     df = add_fields(df, muons, {"pass_mva": mva})
     df = add_fields(
-        df, muons, {"cone_pt": lambda o: F.when(o["pass_mva"], o["pt"]).otherwise(cone_pt(o["pt"], o["iso"], o["jet_pt"], o["jet_dr"]))}
+        df, muons, {"cone_pt": lambda o: F.when(o["pass_mva"], o["pt"]).otherwise(cone_pt(o["pt"], o["mini_iso"], o["jet_pt"], o["jet_dr"]))}
     )
     df = add_fields(df, muons, {"is_loose": loose})
     if fakeable:
 
-        def threshold(o: Column) -> Column:
-            c = o["cone_pt"]
-            return F.when(c >= 45.0, 0.0485).when(c > 20.0, (45.0 - c) * 0.00798 + 0.0485).otherwise(F.lit(0.2480))
+        def below(o: Column) -> Column:
+            return (o["mva"] < PROMPT_SCORE) & fakeable_tag(o, tuned) & (o["jet_rel_iso"] < FAKEABLE_JET_ISO)
 
-        df = add_fields(df, muons, {"is_fakeable": lambda o: o["is_loose"] & (o["pass_mva"] | (o["jet_df_corr"] < threshold(o)))})
+        df = add_fields(df, muons, {"is_fakeable": lambda o: o["is_loose"] & (o["pass_mva"] | below(o))})
     flag = "is_fakeable" if fakeable else "is_loose"
     df = settle(df, muons)
     df = df.withColumn("_sel", V.positions(V.mask(F.col(muons), lambda o: o[flag]))).filter(F.size("_sel") == 1)
@@ -792,5 +827,6 @@ def trigger_study(
             "lead_jet_pt": F.get(F.col(jets), F.get("_far", F.lit(0)))["pt"],
             "lead_cone_pt": F.col("_lead")["cone_pt"],
             "lead_pt": F.col("_lead")["pt"],
+            "lead_rel_iso": F.col("_lead")["rel_iso_corr"],
         }
     ).drop("_jet_ok", "_sel", "_lead", "_far")

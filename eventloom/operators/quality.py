@@ -146,27 +146,83 @@ def feature_histograms(df: DataFrame, axes: Sequence[Axis], groups: Sequence[str
     )
 
 
-#: fixed values: ranges of features by name, the first fitting pattern counts
-FEATURE_RANGES = (
+#: fixed values: ranges of the features, by name
+FEATURE_RANGES = {
+    "jet1_px": (-400.0, 400.0),
+    "jet1_py": (-400.0, 400.0),
+    "jet1_pz": (-500.0, 500.0),
+    "jet1_mass": (0.0, 50.0),
+    "jet1_btag": (0.0, 1.0),
+    "jet1_dr_mu1": (0.0, 5.0),
+    "jet1_dr_mu2": (0.0, 5.0),
+    "jet2_px": (-400.0, 400.0),
+    "jet2_py": (-400.0, 400.0),
+    "jet2_pz": (-500.0, 500.0),
+    "jet2_mass": (0.0, 50.0),
+    "jet2_btag": (0.0, 1.0),
+    "jet2_dr_mu1": (0.0, 5.0),
+    "jet2_dr_mu2": (0.0, 5.0),
+    "jet3_px": (-400.0, 400.0),
+    "jet3_py": (-400.0, 400.0),
+    "jet3_pz": (-500.0, 500.0),
+    "jet3_mass": (0.0, 50.0),
+    "jet3_btag": (0.0, 1.0),
+    "jet3_dr_mu1": (0.0, 5.0),
+    "jet3_dr_mu2": (0.0, 5.0),
+    "jet4_px": (-400.0, 400.0),
+    "jet4_py": (-400.0, 400.0),
+    "jet4_pz": (-500.0, 500.0),
+    "jet4_mass": (0.0, 50.0),
+    "jet4_btag": (0.0, 1.0),
+    "jet4_dr_mu1": (0.0, 5.0),
+    "jet4_dr_mu2": (0.0, 5.0),
+    "bjet_dr_01": (0.0, 5.0),
+    "bjet_dr_02": (0.0, 5.0),
+    "bjet_dr_03": (0.0, 5.0),
+    "bjet_dr_12": (0.0, 5.0),
+    "bjet_dr_13": (0.0, 5.0),
+    "bjet_dr_23": (0.0, 5.0),
+    "bjet_m_01": (0.0, 400.0),
+    "bjet_m_02": (0.0, 400.0),
+    "bjet_m_03": (0.0, 400.0),
+    "bjet_m_12": (0.0, 400.0),
+    "bjet_m_13": (0.0, 400.0),
+    "bjet_m_23": (0.0, 400.0),
+    "lead_mu_px": (-400.0, 400.0),
+    "lead_mu_py": (-400.0, 400.0),
+    "lead_mu_pz": (-500.0, 500.0),
+    "sublead_mu_px": (-200.0, 200.0),
+    "sublead_mu_py": (-200.0, 200.0),
+    "sublead_mu_pz": (-400.0, 400.0),
+    "lead_mu_miniPFRelIso_all": (-400.0, 400.0),
+    "sublead_mu_miniPFRelIso_all": (-400.0, 400.0),
+    "lead_mu_jetRelIso": (-400.0, 400.0),
+    "sublead_mu_jetRelIso": (-400.0, 400.0),
+    "lead_mu_jetDF": (-400.0, 400.0),
+    "sublead_mu_jetDF": (-400.0, 400.0),
+    "lead_mu_promptMVA": (-400.0, 400.0),
+    "sublead_mu_promptMVA": (-400.0, 400.0),
+    "dimuon_dr": (0.0, 5.0),
+    "dimuon_mass": (0.0, 400.0),
+    "sumjet_pt": (0.0, 1500.0),
+    "sumbjet_pt": (0.0, 1000.0),
+    "jet_cent": (0.0, 1.0),
+}
+#: fixed values: first and last edge of counts, in unit bins
+FEATURE_COUNTS = {"nGoodJet": (3.5, 10.5), "nBJet": (2.5, 5.5)}
+#: fixed values: ranges of other names, the first fitting pattern counts
+OTHER_RANGES = (
     ("*dr*", 0.0, 5.0),
     ("*_m_*", 0.0, 400.0),
-    ("dimuon_mass", 0.0, 400.0),
-    ("jet_cent", 0.0, 1.0),
     ("*btag*", 0.0, 1.0),
     ("sublead_mu_p*_p[xy]", -200.0, 200.0),
     ("sublead_mu_p*_pz", -400.0, 400.0),
-    ("lead_mu_p*_p[xy]", -400.0, 400.0),
-    ("jet*_p[xy]", -400.0, 400.0),
     ("lead_mu_p*_pz", -500.0, 500.0),
     ("jet*_pz", -500.0, 500.0),
     ("lead_mu_p*_mass", 0.0, 50.0),
     ("jet*_mass", 0.0, 50.0),
-    ("sumjet_pt", 0.0, 1500.0),
-    ("sumbjet_pt", 0.0, 1000.0),
     ("*", -400.0, 400.0),
 )
-#: fixed values: first and last edge of counts, in unit bins
-FEATURE_COUNTS = {"nGoodJet": (3.5, 10.5), "nBJet": (2.5, 5.5)}
 
 
 def default_feature_axis(feature: str, n: int = 40) -> Axis:
@@ -174,5 +230,7 @@ def default_feature_axis(feature: str, n: int = 40) -> Axis:
     if feature in FEATURE_COUNTS:
         lo, hi = FEATURE_COUNTS[feature]
         return Axis(feature, round(hi - lo), lo, hi)
-    lo, hi = next((lo, hi) for pattern, lo, hi in FEATURE_RANGES if fnmatchcase(feature, pattern))
+    if feature in FEATURE_RANGES:
+        return Axis(feature, n, *FEATURE_RANGES[feature])
+    lo, hi = next((lo, hi) for pattern, lo, hi in OTHER_RANGES if fnmatchcase(feature, pattern))
     return Axis(feature, n, lo, hi)

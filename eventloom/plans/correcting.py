@@ -482,27 +482,49 @@ def overlap_first_rule(spark, sf):
     return apply_corrections(gen_events(spark, sf), ["overlap"], ctx).select("k", "n_additional")
 
 
-@query(
-    f"""WITH {SQL_OBJ}, jt AS (SELECT k, i, pt, eta, phi FROM obj), mu AS (SELECT o.k, o.i, o.pt, o.eta, o.phi, o.rel AS iso, o.score AS mva, o.mass / 20 AS df,
-    CASE WHEN t.pt > 15 THEN t.pt END AS jpt, CASE WHEN t.pt > 15 THEN {sql_dr('o', 't')} END AS jdr FROM obj o LEFT JOIN obj t ON o.k = t.k AND t.i = o.i - 1),
+def sql_trigger_study(selected: str) -> str:
+    return f"""WITH {SQL_OBJ}, kept AS (SELECT *, part % 7 <> 0 AS id FROM obj WHERE k % 11 <> 0), mu AS (SELECT o.k, o.i, o.pt, o.eta, o.phi, o.rel AS mini, o.rel * 1.5::DOUBLE AS pf, o.score AS jri, o.score AS mva, o.mass / 20 AS df,
+    abs((o.part % 13) / 100.0::DOUBLE - 0.065::DOUBLE) < 0.05 AND abs((o.supp % 9) / 35.0::DOUBLE - 0.12::DOUBLE) < 0.1 AND o.part % 10 < 8 AND o.charge + o.part % 5 > 0 AS fine,
+    CASE WHEN t.pt > 15 AND t.id THEN t.pt END AS jpt, CASE WHEN t.pt > 15 AND t.id THEN {sql_dr('o', 't')} END AS jdr FROM kept o LEFT JOIN kept t ON o.k = t.k AND t.i = o.i - 1),
 m1 AS (SELECT *, coalesce(jpt, -999) AS jet_pt, coalesce(jdr, 999) AS jet_dr, CASE WHEN jdr < 0.4 THEN df ELSE 0 END AS dfc FROM mu),
-m2 AS (SELECT *, mva >= 0.64 AND dfc < 0.248 AS pm FROM m1),
-m3 AS (SELECT *, CASE WHEN pm THEN pt WHEN jet_dr <= 0.4 THEN 0.9 * jet_pt ELSE pt / (1 + iso) END AS cone FROM m2),
-l AS (SELECT * FROM m3 WHERE cone > 40 AND abs(eta) < 2.4 AND (pm OR dfc < CASE WHEN cone >= 45 THEN 0.0485 WHEN cone > 20 THEN (45 - cone) * 0.00798 + 0.0485 ELSE 0.248 END)),
+m2 AS (SELECT *, mva >= 0.64 AND dfc < 0.248 AS pm, CASE WHEN jet_dr < 0.4 THEN jet_pt / pt - 1 ELSE pf END AS iso FROM m1),
+m3 AS (SELECT *, CASE WHEN pm THEN pt WHEN jet_dr <= 0.4 THEN 0.9 * jet_pt ELSE pt / (1 + mini) END AS cone FROM m2),
+l AS (SELECT * FROM m3 WHERE cone > 15 AND abs(eta) < 2.4 AND fine AND mini < 0.4 AND ({selected})),
 one AS (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM l QUALIFY c = 1),
-f AS (SELECT one.k, one.i, one.pt AS lead_pt, one.cone, jt.i AS ji, jt.pt AS jpt2 FROM one JOIN jt ON one.k = jt.k WHERE jt.pt > 30 AND {sql_dr('jt', 'one')} > 0.7)
-SELECT k, CAST(i AS INTEGER) AS lead_idx, round(lead_pt, 9) AS lead_pt, round(cone, 6) AS lead_cone_pt, CAST(count(*) AS INTEGER) AS n_iso_jet, round(arg_min(jpt2, ji), 9) AS lead_jet_pt FROM f GROUP BY k, i, lead_pt, cone"""
-)
-def trigger_study_objects(spark, sf):
-    """Linked jets, cone pt, fakeable muons, one muon and a recoil jet."""
-    ev = nested(spark, sf, "pt", "eta", "phi", "rel", "score", "mass")
+f AS (SELECT one.k, one.i, one.pt AS lead_pt, one.cone, one.iso, jt.i AS ji, jt.pt AS jpt2 FROM one JOIN kept jt ON one.k = jt.k WHERE jt.id AND jt.pt > 30 AND {sql_dr('jt', 'one')} > 0.7)
+SELECT k, CAST(i AS INTEGER) AS lead_idx, round(lead_pt, 9) AS lead_pt, round(cone, 6) AS lead_cone_pt, round(iso, 6) AS lead_rel_iso, CAST(count(*) AS INTEGER) AS n_iso_jet, round(arg_min(jpt2, ji), 9) AS lead_jet_pt FROM f GROUP BY k, i, lead_pt, cone, iso"""
+
+
+def _trigger_study(spark, sf, **opts):
+    ev = nested(spark, sf, "pt", "eta", "phi", "rel", "score", "mass", "part", "supp", "charge")
     mu = F.transform(
         "obj",
         lambda o, i: F.struct(
-            o["pt"].alias("pt"), o["eta"].alias("eta"), o["phi"].alias("phi"), o["rel"].alias("iso"), o["score"].alias("mva"), (o["mass"] / 20.0).alias("jet_df"), (i - 1).alias("jet_idx")
+            o["pt"].alias("pt"), o["eta"].alias("eta"), o["phi"].alias("phi"), o["rel"].alias("mini_iso"), (o["rel"] * 1.5).alias("pf_iso"), o["score"].alias("jet_rel_iso"), o["score"].alias("mva"),
+            (o["mass"] / 20.0).alias("jet_df"), (i - 1).alias("jet_idx"), ((o["part"] % 13) / F.lit(100.0) - 0.065).alias("dxy"), ((o["supp"] % 9) / F.lit(35.0) - 0.12).alias("dz"),
+            (o["part"] % 10).cast("double").alias("sip3d"), (o["charge"] + o["part"] % 5 > 0).alias("medium_id"),
         ),
-    )
-    df = ev.select("k", mu.alias("muons"), F.transform("obj", lambda o: F.struct(o["pt"].alias("pt"), o["eta"].alias("eta"), o["phi"].alias("phi"))).alias("jets"))
-    opts = {"fakeable": True, "loose": lambda o: (o["cone_pt"] > 40.0) & (F.abs(o["eta"]) < 2.4)}
+    )
+    jets = F.transform("obj", lambda o: F.struct(o["pt"].alias("pt"), o["eta"].alias("eta"), o["phi"].alias("phi"), (o["part"] % 7 != 0).alias("id_tight")))
+    df = ev.select("k", F.when(F.col("k") % 11 == 0, 0.0).otherwise(F.lit(1.0)).alias("veto_weight"), mu.alias("muons"), jets.alias("jets"))
     out = apply_corrections(df, ["trigger_study"], Context(options={"trigger_study": opts}))
-    return out.select("k", "lead_idx", r("lead_pt", 9).alias("lead_pt"), r("lead_cone_pt").alias("lead_cone_pt"), "n_iso_jet", r("lead_jet_pt", 9).alias("lead_jet_pt"))
+    return out.select("k", "lead_idx", r("lead_pt", 9).alias("lead_pt"), r("lead_cone_pt").alias("lead_cone_pt"), r("lead_rel_iso").alias("lead_rel_iso"), "n_iso_jet", r("lead_jet_pt", 9).alias("lead_jet_pt"))
+
+
+@query(sql_trigger_study("pm OR mva < 0.64 AND jri < 0.5 AND dfc < CASE WHEN cone >= 45 THEN 0.0485 WHEN cone > 20 THEN (45 - cone) * 0.00798 + 0.0485 ELSE 0.248 END"))
+def trigger_study_objects(spark, sf):
+    """Weight filter, linked jets, cone pt, both isolations, fakeable muons, one muon
+    and a recoil jet."""
+    return _trigger_study(spark, sf, fakeable=True)
+
+
+@query(sql_trigger_study("pm OR mva < 0.64 AND jri < 0.5 AND dfc < 0.248"))
+def trigger_study_tuned(spark, sf):
+    """Fakeable muons with one cut on the tag."""
+    return _trigger_study(spark, sf, fakeable=True, tuned=True)
+
+
+@query(sql_trigger_study("TRUE"))
+def trigger_study_loose(spark, sf):
+    """The stage of loose muons."""
+    return _trigger_study(spark, sf)
