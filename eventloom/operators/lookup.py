@@ -12,7 +12,7 @@ import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.vectors import bind, double_array
@@ -138,31 +138,74 @@ def join_lookup_array(
     return joined.withColumn(out, values).drop("_vs")
 
 
+#: ranges that one row carries at least where a run has more
+RANGE_CHUNK = 128
+
+
+def last_not_after(items: Column, x: Column, start: str) -> Column:
+    """Position of the last of the sorted ``items`` whose field ``start`` is at most
+    ``x``, by halving; -1 if there is none or ``x`` is missing."""
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(items) + 1.0)).cast("int")))
+
+    def halve(at: Column, _: Column) -> Column:
+        lo, hi = at["lo"], at["hi"]
+        middle = F.floor((lo + hi) / 2).cast("int")
+        right = (lo < hi) & F.coalesce(F.get(items, middle)[start] <= x, F.lit(False))
+        return F.struct(F.when(right, middle + 1).otherwise(lo).alias("lo"), F.when(right | (lo >= hi), hi).otherwise(middle).alias("hi"))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi"))
+    return F.aggregate(steps, whole, halve, lambda at: at["lo"] - 1)
+
+
+def _range_index(ranges: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Ranges of each run in order, in chunks of a size that grows with the root of
+    their number: ``_run, _firsts`` (first bound and number of each chunk) and ``_crun,
+    _chunk, _ranges``. ``top`` is the largest end of all ranges up to one."""
+    order = Window.partitionBy("run").orderBy("lo", "hi", *[f for f in fields if f not in ("lo", "hi", "top")])
+    ranked = ranges.select(
+        "run", "lo", "hi", *[f for f in fields if f not in ("lo", "hi", "top")],
+        F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
+        F.row_number().over(order).alias("_no"),
+        F.count(F.lit(1)).over(Window.partitionBy("run")).alias("_n"),
+    )
+    size = F.greatest(F.lit(RANGE_CHUNK), F.ceil(F.sqrt("_n")))
+    placed = ranked.withColumn("_chunk", F.floor((F.col("_no") - 1) / size).cast("int"))
+    chunks = placed.groupBy(F.col("run").alias("_crun"), "_chunk").agg(F.sort_array(F.collect_list(F.struct("_no", *fields))).alias("_ranges"))
+    firsts = chunks.groupBy(F.col("_crun").alias("_run")).agg(F.sort_array(F.collect_list(F.struct("_chunk", F.col("_ranges")[0]["lo"].alias("lo")))).alias("_firsts"))
+    return firsts, chunks
+
+
+def _last_range(df: DataFrame, run: str, block: str, ranges: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Adds ``_range``, the last range of the row's run that begins at or before its
+    block. Two joins, whatever the number of ranges: the first brings the chunk bounds
+    of the run, the second one chunk; each is searched by halving."""
+    firsts, chunks = _range_index(ranges, fields)
+    found = df.join(firsts, df[run] == F.col("_run"), "left")
+    found = found.withColumn("_at", F.get("_firsts", last_not_after(F.col("_firsts"), F.col(block), "lo"))["_chunk"]).drop("_run", "_firsts")
+    found = found.join(chunks, (found[run] == chunks["_crun"]) & (found["_at"] == chunks["_chunk"]), "left")
+    hit = F.get("_ranges", last_not_after(F.col("_ranges"), F.col(block), "lo"))
+    return found.withColumn("_range", hit).drop("_at", "_crun", "_chunk", "_ranges")
+
+
 def in_ranges(df: DataFrame, run: str, block: str, ranges: DataFrame) -> DataFrame:
     """Keep rows whose run is listed and whose block lies in any closed range.
 
-    ``ranges`` has (run, lo, hi). The run is an equi key, so the join hashes on
-    it and checks the bounds as a residual condition.
+    ``ranges`` has (run, lo, hi), any number per run, also overlapping ones: a block is
+    inside if some range that begins at or before it ends at or after it.
     """
-    r = ranges.select(F.col("run").alias("_run"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    cond = (df[run] == r["_run"]) & df[block].between(r["_lo"], r["_hi"])
-    return df.join(r, cond, "left_semi")
+    found = _last_range(df, run, block, ranges, ["lo", "top"])
+    return found.filter(F.col(block) <= F.col("_range")["top"]).select(*df.columns)
 
 
 def interval_value(df: DataFrame, run: str, block: str, tables: dict[str, DataFrame], default: float = 0.0) -> DataFrame:
     """Per table the value of the range that contains the block, else the
     default. Of overlapping ranges the one that begins last counts.
 
-    The ranges of a run are folded into one row per run (a run has few ranges),
-    so the row count of ``df`` never changes and one join serves each table.
+    The row count of ``df`` never changes; ranges are searched by halving, so a run may
+    have any number of them.
     """
     for name, table in tables.items():
-        folded = table.groupBy(F.col("run").alias("_run")).agg(
-            F.sort_array(F.collect_list(F.struct("lo", "hi", "value")), asc=False).alias("_ranges")
-        )
-        hit = F.get(F.filter("_ranges", lambda r: F.col(block) >= r["lo"]), F.lit(0))
-        value = F.when(F.col(block) <= hit["hi"], hit["value"])
-        df = df.join(folded, df[run] == folded["_run"], "left").withColumn(
-            name, F.coalesce(value, F.lit(default))
-        ).drop("_run", "_ranges")
+        found = _last_range(df, run, block, table, ["lo", "hi", "value"])
+        value = F.when(F.col(block) <= F.col("_range")["hi"], F.col("_range")["value"])
+        df = found.withColumn(name, F.coalesce(value, F.lit(default))).drop("_range")
     return df

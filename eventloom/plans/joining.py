@@ -106,6 +106,37 @@ def prescale_lookup(spark, sf):
     return apply_corrections(heads(spark, sf, "run", "block"), ["prescale"], ctx).select("k", "prescale_a", "prescale_b")
 
 
+SQL_MANY_RANGES = """rg AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END AS run, (o_orderkey * 7 + j) * 10 AS lo, (o_orderkey * 7 + j) * 10 + (o_orderkey * (j + 3)) % 10 AS hi,
+    ((o_orderkey + j) % 17) * 0.5::DOUBLE AS value FROM orders, (SELECT range AS j FROM range(7))),
+ln AS (SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_partkey % 10 = 0 THEN 2 ELSE 1 END AS run, (l_orderkey * 7 + l_suppkey % 8) * 10 + l_partkey % 10 AS block FROM lineitem)"""
+
+
+def _many_ranges(spark, sf):
+    """Seven ranges for every order, nearly all of them in one run."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("j"))
+    lo = (F.col("o") * 7 + F.col("j")) * 10
+    return o.select(F.when(F.col("o") % 50 == 0, 2).otherwise(1).alias("run"), lo.alias("lo"), (lo + (F.col("o") * (F.col("j") + 3)) % 10).alias("hi"), ((F.col("o") + F.col("j")) % 17 * F.lit(0.5)).alias("value"))
+
+
+def _numbered_lines(spark, sf):
+    li = table(spark, sf, "lineitem")
+    block = (F.col("l_orderkey") * 7 + F.col("l_suppkey") % 8) * 10 + F.col("l_partkey") % 10
+    return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.when(F.col("l_partkey") % 10 == 0, 2).otherwise(1).alias("run"), block.alias("block"))
+
+
+@query(f"WITH {SQL_MANY_RANGES} SELECT k, line, coalesce(CASE WHEN block <= hi THEN value END, -1.0::DOUBLE) AS scale FROM ln ASOF LEFT JOIN rg ON ln.run = rg.run AND ln.block >= rg.lo")
+def prescale_of_long_lists(spark, sf):
+    """Values of ranges where one run has very many of them."""
+    out = L.interval_value(_numbered_lines(spark, sf), "run", "block", {"scale": _many_ranges(spark, sf)}, default=-1.0)
+    return out.select("k", "line", "scale")
+
+
+@query(f"WITH {SQL_MANY_RANGES} SELECT k, line, block FROM ln WHERE EXISTS (SELECT 1 FROM rg WHERE rg.run = ln.run AND rg.lo = ln.block - ln.block % 10 AND ln.block <= rg.hi)")
+def run_ranges_of_long_lists(spark, sf):
+    """Rows inside any of the very many ranges of a run."""
+    return L.in_ranges(_numbered_lines(spark, sf), "run", "block", _many_ranges(spark, sf)).select("k", "line", "block")
+
+
 PT_EDGES = (0.0, 10.0, 20.0, 40.0, 60.0, 100.0)
 ETA_EDGES = (-2.4, -1.5, 0.0, 1.5, 2.4)
 FLAGS = ("A", "N", "R")

@@ -361,3 +361,34 @@ def test_values_table_is_a_local_relation(spark):
     t = values_table(spark, "a string, b double", [("x", float("inf")), ("y", None)])
     assert "LocalTableScan" in t._jdf.queryExecution().executedPlan().toString()
     assert t.filter("a = 'x'").first()["b"] == float("inf")
+
+
+def test_ranges_of_all_features():
+    """Every feature has its fixed range, whatever patterns its name fits."""
+    from eventloom.operators import quality as Q
+
+    assert set(Q.FEATURE_RANGES) | set(Q.FEATURE_COUNTS) == set(X.FEATURES)
+    want = {"lead_mu_pz": (-500.0, 500.0), "jet3_pz": (-500.0, 500.0), "sublead_mu_px": (-200.0, 200.0), "sublead_mu_py": (-200.0, 200.0), "sublead_mu_pz": (-400.0, 400.0), "lead_mu_px": (-400.0, 400.0), "jet1_dr_mu2": (0.0, 5.0), "bjet_m_13": (0.0, 400.0), "jet4_mass": (0.0, 50.0), "jet2_btag": (0.0, 1.0), "jet_cent": (0.0, 1.0), "dimuon_mass": (0.0, 400.0), "sumjet_pt": (0.0, 1500.0), "sumbjet_pt": (0.0, 1000.0), "lead_mu_jetDF": (-400.0, 400.0), "some_dr": (0.0, 5.0), "jet9_pz": (-500.0, 500.0), "other": (-400.0, 400.0)}
+    assert {n: (Q.default_feature_axis(n).lo, Q.default_feature_axis(n).hi) for n in want} == want
+    assert Q.default_feature_axis("nBJet") == Axis("nBJet", 3, 2.5, 5.5) and Q.default_feature_axis("nGoodJet").n == 7
+
+
+def test_interval_search_against_all_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(L, "RANGE_CHUNK", 3)
+    rnd = random.Random(2)
+    ranges = [(run, lo, lo + rnd.randint(-2, 30), float(k)) for k, (run, lo) in enumerate((rnd.randint(1, 3), rnd.randint(0, 400)) for _ in range(260))]
+    rows = [(k, rnd.choice([1, 2, 3, 4, None]), rnd.choice([None, *range(-5, 450)])) for k in range(900)]
+    table = spark.createDataFrame(ranges, "run int, lo int, hi int, value double")
+    df = spark.createDataFrame(rows, "k int, run int, block int")
+    inside = {k for k, run, b in rows if b is not None and any(r == run and lo <= b <= hi for r, lo, hi, _ in ranges)}
+    assert {r["k"] for r in L.in_ranges(df, "run", "block", table).collect()} == inside
+    got = {r["k"]: r["v"] for r in L.interval_value(df, "run", "block", {"v": table}, -7.0).collect()}
+    for k, run, b in rows:
+        begun = [(lo, hi, v) for r, lo, hi, v in ranges if b is not None and r == run and lo <= b]
+        last = max(begun, default=None)
+        assert got[k] == (last[2] if last and b <= last[1] else -7.0)
+    none = table.where("false")
+    assert L.in_ranges(df, "run", "block", none).count() == 0
+    assert {r["v"] for r in L.interval_value(df, "run", "block", {"v": none}, 1.5).collect()} == {1.5}
