@@ -180,3 +180,36 @@ def stored_variants(spark, sf):
     K.save(H.with_edges(hist.withColumn("var", F.lit("w")), ax), path)
     back = K.load(spark, path, factor=2.0, fold=ax.n)
     return K.variants(back).withColumn("found", F.lit(True))
+
+
+SQL_SKIMMED = """WITH e AS (SELECT o_orderstatus AS status, o_orderpriority AS channel, o_totalprice / 100000 AS w FROM orders),
+g AS (SELECT status, count(*) AS n_rows, sum(w) AS sum_w, count(*) FILTER (w > 1.5 AND channel <> '5-LOW') AS n_kept, sum(w) FILTER (w > 1.5 AND channel <> '5-LOW') AS kept_w FROM e GROUP BY status)"""
+
+
+@query(
+    SQL_SKIMMED
+    + """ SELECT 'status=' || status AS input, 'ok' AS state, n_rows, round(sum_w, 6) AS sum_w, n_kept, round(kept_w, 6) AS kept_w, FALSE AS due FROM g
+UNION ALL SELECT 'none', 'no_rows', NULL, NULL, NULL, NULL, TRUE FROM g WHERE status = 'F' UNION ALL SELECT 'broken', 'no_rows', NULL, NULL, NULL, NULL, TRUE FROM g WHERE status = 'F'"""
+)
+def tolerant_skim(spark, sf):
+    """Skim of a folder with an empty file and one that is no table: rows, ledger and
+    states in one pass over the events, outputs named by a manifest."""
+    import uuid
+
+    from eventloom.session import shared_dir
+    from eventloom.sources import skimrun as K
+
+    base = f"{shared_dir(spark)}/skims/{uuid.uuid4().hex}"
+    ev = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("channel"), F.expr("o_totalprice / 100000D").alias("w"), F.col("o_orderstatus").alias("status"))
+    ev.repartition("status").write.partitionBy("status").parquet(f"{base}/in")
+    ev.where("false").drop("status").coalesce(1).write.parquet(f"{base}/in/none")
+    ev.limit(1).select(F.lit("no table at all").alias("value")).write.text(f"{base}/in/broken")
+    listing = K.listed(spark, f"{base}/in", "part-*")
+    events = K.tolerant_events(spark, f"{base}/in", ev.drop("status").schema, "part-*")
+    K.run_skim(events, listing, f"{base}/out", (F.col("w") > 1.5) & (F.col("channel") != "5-LOW"), ["k", "w"], F.col("w"))
+    folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    states = K.manifest(spark, f"{base}/out").groupBy(folder.alias("input"), "state").agg(F.sum("n_rows").alias("n_rows"), F.sum("sum_w").alias("sum_w"), F.sum("n_kept").alias("n_kept"))
+    kept = K.kept_rows(spark, f"{base}/out").groupBy(F.regexp_extract("source", "([^/]+)/[^/]+$", 1).alias("input")).agg(F.sum("w").alias("kept_w"))
+    again = K.due(listing, f"{base}/out").select(folder.alias("input"), F.lit(True).alias("due")).distinct()
+    out = states.join(kept, "input", "left").join(again, "input", "left")
+    return out.select("input", "state", "n_rows", r("sum_w").alias("sum_w"), "n_kept", r("kept_w").alias("kept_w"), F.coalesce("due", F.lit(False)).alias("due"))

@@ -133,3 +133,63 @@ def test_smear_draws_are_normal_and_reproducible(spark):
     z = F.sqrt(-2.0 * F.log(1.0 - u1)) * F.cos(F.lit(6.283185307179586) * u2)
     r = df.agg(F.avg(z).alias("m"), F.stddev(z).alias("s")).first()
     assert abs(r["m"]) < 0.03 and abs(r["s"] - 1) < 0.03
+
+
+def test_skim_of_bad_files(spark, tmp_path):
+    """A truncated table, a file that is none, an empty one; a second run after repair."""
+    from eventloom.sources import skimrun as K
+
+    src, store = tmp_path / "in", str(tmp_path / "out")
+    rows = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("w"), F.array(F.struct("id", F.lit("é").alias("s"))).alias("objects"))
+    for name, part in (("a", rows.where("id < 1000")), ("b", rows.where("id >= 1000")), ("e", rows.where("false"))):
+        part.coalesce(1).write.parquet(str(src / name))
+    (whole,) = (src / "b").glob("part-*")
+    data = whole.read_bytes()
+    (src / "b" / f".{whole.name}.crc").write_bytes(b"")
+    whole.write_bytes(data[: len(data) // 2])
+    (src / "junk").mkdir()
+    (src / "junk" / "part-0.parquet").write_bytes(b"no table")
+    listing = lambda: K.listed(spark, str(src), "part-*")
+    name = lambda p: p.rsplit("/", 2)[1]
+    states = lambda: {name(r["path"]): (r["state"], r["n_rows"], r["sum_w"], r["n_kept"]) for r in K.manifest(spark, store).collect()}
+    assert K.manifest(spark, store).count() == 0 and K.due(listing(), store).count() == 4
+    skim = lambda files: K.run_skim(K.tolerant_events(spark, str(src), rows.schema, "part-*").join(files.select(F.col("path").alias("source")), "source", "left_semi"), files, store, F.col("w") > 2, ["id", "objects"], F.col("w"))
+    first = skim(listing())
+    w = lambda a, b: [float(k % 7) for k in range(a, b)]
+    a_row = ("ok", 1000, sum(w(0, 1000)), sum(x > 2 for x in w(0, 1000)))
+    assert states() == {"a": a_row, "b": ("no_rows", None, None, None), "e": ("no_rows", None, None, None), "junk": ("no_rows", None, None, None)}
+    # a run that was written but never committed does not count
+    K.split_rows(K.tolerant_events(spark, str(src), rows.schema, "part-*"), F.lit(True), ["id", "objects"], F.col("w")).write.partitionBy("kind").parquet(f"{store}/runs/{'0' * 32}")
+    assert sorted(r["id"] for r in K.kept_rows(spark, store).collect()) == [k for k in range(1000) if k % 7 > 2]
+    # repaired input: only what is due runs again
+    whole.write_bytes(data)
+    (src / "b" / f".{whole.name}.crc").unlink()
+    again = K.due(listing(), store)
+    assert sorted(name(r["path"]) for r in again.collect()) == ["b", "e", "junk"]
+    assert skim(again) != first
+    assert states()["b"] == ("ok", 2000, sum(w(1000, 3000)), sum(x > 2 for x in w(1000, 3000))) and states()["a"] == a_row
+    kept = K.kept_rows(spark, store).collect()
+    assert sorted(r["id"] for r in kept) == [k for k in range(3000) if k % 7 > 2] and kept[0]["objects"][0]["s"] == "é"
+
+
+def test_incomplete_output_is_set_aside(spark, tmp_path):
+    from eventloom.sources import skimrun as K
+
+    rows = spark.range(50).select("id", F.lit(1.0).alias("w"), F.when(F.col("id") < 20, "x").otherwise("y").alias("source"))
+    listing = spark.createDataFrame([("x", 1), ("y", 1), ("z", 1)], "path string, length int")
+    parts = K.split_rows(rows, F.col("id") % 2 == 0, ["id"], F.col("w"))
+    lost = parts.where("NOT (kind = 'events' AND source = 'x' AND row.id = 4)")
+    lost.write.partitionBy("kind").parquet(f"{tmp_path}/runs/{'a' * 32}")
+    K.commit(spark, str(tmp_path), "a" * 32, listing)
+    assert {r["path"]: (r["state"], r["n_kept"]) for r in K.manifest(spark, str(tmp_path)).collect()} == {"x": ("incomplete", 10), "y": ("ok", 15), "z": ("no_rows", None)}
+    assert {r["source"] for r in K.kept_rows(spark, str(tmp_path)).collect()} == {"y"}
+    assert sorted(r["path"] for r in K.due(listing, str(tmp_path)).collect()) == ["x", "z"]
+
+
+def test_skim_reads_the_events_once(spark, sf):
+    from eventloom.sources import skimrun as K
+
+    ev = spark.read.parquet(f"{sf}/orders.parquet").withColumn("source", F.col("_metadata.file_path"))
+    df = K.split_rows(ev, F.col("o_totalprice") > 1e5, ["o_orderkey"], F.col("o_totalprice"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "o_orderdate" not in plan
