@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,34 @@ def with_selection(df: DataFrame, coll: str, good: Callable[[Column], Column], t
     return df.withColumn("_tag", F.filter("_good", tagged))
 
 
+def _feature_columns(top: Sequence[Column], good: Column, tag: Column, m1: Column, m2: Column, fields: dict[str, str]) -> dict[str, Column]:
+    """All features by name from the best four jets, the good and the tagged jets and
+    two muons; jets of ``top`` and the muons have ``p4``."""
+    out: dict[str, Column] = {}
+    for n, j in enumerate(top, start=1):
+        out |= {f"jet{n}_{c}": j["p4"][c] for c in ("px", "py", "pz")}
+        out |= {
+            f"jet{n}_mass": j["mass"],
+            f"jet{n}_btag": j["score"],
+            f"jet{n}_dr_mu1": delta_r(j["eta"], j["phi"], m1["eta"], m1["phi"]),
+            f"jet{n}_dr_mu2": delta_r(j["eta"], j["phi"], m2["eta"], m2["phi"]),
+        }
+    out |= {f"bjet_dr_{i}{j}": delta_r(top[i]["eta"], top[i]["phi"], top[j]["eta"], top[j]["phi"]) for i, j in PAIRS}
+    out |= {f"bjet_m_{i}{j}": pair_mass(top[i]["p4"], top[j]["p4"]) for i, j in PAIRS}
+    out |= {f"{w}_mu_{c}": m["p4"][c] for w, m in (("lead", m1), ("sublead", m2)) for c in ("px", "py", "pz")}
+    out |= {f"{w}_mu_{f}": m[fields[f]] for f in MUON_FIELDS for w, m in (("lead", m1), ("sublead", m2))}
+    out |= {
+        "dimuon_dr": delta_r(m1["eta"], m1["phi"], m2["eta"], m2["phi"]),
+        "dimuon_mass": pair_mass(m1["p4"], m2["p4"]),
+        "nGoodJet": F.size(good),
+        "nBJet": F.size(tag),
+        "sumjet_pt": V.total(good, lambda j: j["pt"]),
+        "sumbjet_pt": V.total(tag, lambda j: j["pt"]),
+        "jet_cent": V.centrality(good),
+    }
+    return out
+
+
 def extract_features(
     df: DataFrame,
     keep: Sequence[str],
@@ -100,32 +129,103 @@ def extract_features(
     df = df.withColumns({"_m1": p4(F.col("_m1")), "_m2": p4(F.col("_m2"))})
     m1, m2 = F.col("_m1"), F.col("_m2")
     top = [F.get("_top", F.lit(i)) for i in range(4)]
-    out: dict[str, Column] = {}
-    for n, j in enumerate(top, start=1):
-        out |= {f"jet{n}_{c}": j["p4"][c] for c in ("px", "py", "pz")}
-        out |= {
-            f"jet{n}_mass": j["mass"],
-            f"jet{n}_btag": j["score"],
-            f"jet{n}_dr_mu1": delta_r(j["eta"], j["phi"], m1["eta"], m1["phi"]),
-            f"jet{n}_dr_mu2": delta_r(j["eta"], j["phi"], m2["eta"], m2["phi"]),
-        }
-    out |= {f"bjet_dr_{i}{j}": delta_r(top[i]["eta"], top[i]["phi"], top[j]["eta"], top[j]["phi"]) for i, j in PAIRS}
-    out |= {f"bjet_m_{i}{j}": pair_mass(top[i]["p4"], top[j]["p4"]) for i, j in PAIRS}
-    out |= {f"{w}_mu_{c}": m["p4"][c] for w, m in (("lead", m1), ("sublead", m2)) for c in ("px", "py", "pz")}
-    out |= {f"{w}_mu_{f}": m[fields[f]] for f in MUON_FIELDS for w, m in (("lead", m1), ("sublead", m2))}
-    out |= {
-        "dimuon_dr": delta_r(m1["eta"], m1["phi"], m2["eta"], m2["phi"]),
-        "dimuon_mass": pair_mass(m1["p4"], m2["p4"]),
-        "nGoodJet": F.size("_good"),
-        "nBJet": F.size("_tag"),
-        "sumjet_pt": V.total(F.col("_good"), lambda j: j["pt"]),
-        "sumbjet_pt": V.total(F.col("_tag"), lambda j: j["pt"]),
-        "jet_cent": V.centrality(F.col("_good")),
-    }
+    out = _feature_columns(top, F.col("_good"), F.col("_tag"), m1, m2, fields)
     same = (m1["charge"] * m2["charge"] > 0).alias("isSameSign")
     return df.select(*keep, *[out[f].cast("double").alias(f) for f in FEATURES], same)
 
 
+@dataclass(frozen=True)
+class JetVariation:
+    """A variation of the inputs: the pt of a jet and the pt of a muon. The nominal one
+    changes neither."""
+
+    name: str
+    jet: Callable[[Column], Column] = lambda j: j["pt"]
+    muon: Callable[[Column], Column] = lambda m: m["pt"]
+
+
+def jet_variations(sources: Sequence[str] = (), resolution: bool = False, muon_scale: tuple[str, str] | None = None, muon_resolution: tuple[str, str] | None = None) -> list[JetVariation]:
+    """Nominal, every relative jet source up and down, the jet resolution, and the muon
+    pt taken from other fields (up, down)."""
+
+    def relative(source: str, sign: float) -> Callable[[Column], Column]:
+        return lambda j: j["pt"] * (1.0 + sign * j[source])
+
+    def smeared(d: str) -> Callable[[Column], Column]:
+        return lambda j: j["pt"] / j["jer"] * j[f"jer_{d}"]
+
+    def other(field: str) -> Callable[[Column], Column]:
+        return lambda m: m[field]
+
+    sides = (("up", 1.0), ("down", -1.0))
+    out = [JetVariation("nominal")]
+    out += [JetVariation(f"{s}_{d}", jet=relative(s, sign)) for s in sources for d, sign in sides]
+    if resolution:
+        out += [JetVariation(f"JER_corr_{d}", jet=smeared(d)) for d, _ in sides]
+    for label, pair in (("scale", muon_scale), ("resol", muon_resolution)):
+        if pair:
+            out += [JetVariation(f"MuonRoch_{label}_{d}", muon=other(f)) for (d, _), f in zip(sides, pair)]
+    return out
+
+
+def varied_vectors(
+    df: DataFrame,
+    variations: Sequence[JetVariation],
+    out: str = "vectors",
+    is_data: Column | bool = False,
+    jets: str = "jets",
+    muons: str = "muons",
+    lead: str = "lead_idx",
+    sublead: str = "sublead_idx",
+    fit: Callable[[Column], Column] = lambda j: j["fit"],
+    jet_pt: float = 30.0,
+    tagged: Callable[[Column], Column] = lambda j: j["score"] > 0.1272,
+    scale_mass: bool = False,
+    muon_fields: dict[str, str] | None = None,
+) -> DataFrame:
+    """Add ``out``: for every variation the vector of all features (in the order of
+    ``FEATURES``), rebuilt from the varied jets and muons, or null where the event fails
+    the selection under it. Rows of data only have the first one.
+
+    A good jet has the varied pt above ``jet_pt`` and is ``fit``, whatever its pt. The
+    varied pt of every jet are one array in the jet; the features are written once, over
+    the number of the variation, so the plan does not grow with the variations. Nothing
+    is exploded or joined.
+    """
+    fields = muon_fields or {f: f for f in MUON_FIELDS}
+    pts = F.transform(F.col(jets), lambda j: j.withField("_pts", F.array(*[v.jet(j).cast("double") for v in variations])))
+    pair = F.array(*[F.get(F.col(muons), F.col(i)) for i in (lead, sublead)])
+    pair = F.transform(pair, lambda m: m.withField("_pts", F.array(*[v.muon(m).cast("double") for v in variations])))
+    n = F.size(muons)
+    valid = F.col(lead).between(0, n - 1) & F.col(sublead).between(0, n - 1)
+    df = df.withColumns({"_vj": pts, "_vm": F.when(valid, pair)})
+
+    def vector(no: Column) -> Column:
+        def moved(j: Column) -> Column:
+            new = j["_pts"][no]
+            jet = j.withField("pt", new)
+            return jet.withField("mass", j["mass"] * new / F.greatest(j["pt"], F.lit(1e-6))) if scale_mass else jet
+
+        def of_good(good: Column) -> Column:
+            def of_top(top: Column) -> Column:
+                def of_muons(ms: Column) -> Column:
+                    cols = _feature_columns([top[i] for i in range(4)], good, F.filter(good, tagged), ms[0], ms[1], fields)
+                    return F.array(*[cols[f].cast("double") for f in FEATURES])
+
+                turned = F.transform("_vm", lambda m: m.withField("pt", m["_pts"][no]))
+                return V.bind(V.with_p4(turned), of_muons)
+
+            best = V.bind(V.with_p4(V.top_by(good, "score", 4)), of_top)
+            return F.when((F.size(good) >= 4) & F.col("_vm").isNotNull(), best)
+
+        kept = F.filter("_vj", lambda j: (j["_pts"][no] > jet_pt) & fit(j))
+        return V.bind(F.transform(kept, moved), of_good)
+
+    data = is_data if isinstance(is_data, Column) else F.lit(is_data)
+    last = F.when(data, 0).otherwise(F.lit(len(variations) - 1))
+    return df.withColumn(out, F.transform(F.sequence(F.lit(0), last), vector)).drop("_vj", "_vm")
+
+
 def assignment_features(
     df: DataFrame,
     keep: Sequence[str],

@@ -6,10 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.operators.corrections import settle
+
 Layer = tuple[Sequence[Sequence[float]], Sequence[float]]
 
 
@@ -43,6 +47,46 @@ def dense_scores(features: Column, layers: Sequence[Layer]) -> Column:
     return score(features)
 
 
+def dense_scores_of_each(vectors: Column, layers: Sequence[Layer]) -> Column:
+    """Class probabilities of every vector in an array of feature vectors: all vectors of
+    an Arrow batch go through one matrix product per layer. A missing vector, or one with
+    a missing number, has no scores; a missing array has none."""
+    weights = [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64)) for w, b in layers]
+    width, classes = weights[0][0].shape[1], len(weights[-1][1])
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def score(batch: pa.Array) -> pa.Array:
+        each = batch.flatten()
+        flat = each.flatten()
+        values = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False)
+        there = each.is_valid().to_numpy(zero_copy_only=False)
+        x = values.reshape(-1, width)
+        fine = ~np.isnan(x).any(axis=1)
+        x = x[fine]
+        for no, (w, b) in enumerate(weights):
+            x = x @ w.T + b
+            if no < len(weights) - 1:
+                x = np.maximum(x, 0.0)
+        scored = np.zeros(len(each), bool)
+        scored[np.flatnonzero(there)[fine]] = True
+        ends = np.concatenate([[0], np.cumsum(scored) * classes]).astype(np.int32)
+        p = softmax(x).ravel() if len(x) else np.empty(0)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(p), mask=pa.array(~scored))
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        outer = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(outer), lists, mask=pc.is_null(batch))
+
+    return score(vectors)
+
+
+def scores_by_variation(df: DataFrame, vectors: str, layers: Sequence[Layer], names: Sequence[str], out: str = "scores") -> DataFrame:
+    """Add ``out``: a map from variation to its class probabilities (null where the
+    event fails the selection under it)."""
+    # the vectors are made once, before the batches, and not as part of the call
+    scored = settle(df, vectors).withColumn(out, dense_scores_of_each(F.col(vectors), layers))
+    return scored.withColumn(out, F.map_from_arrays(F.slice(F.lit(list(names)), F.lit(1), F.size(out)), F.col(out)))
+
+
 def with_prediction(df: DataFrame, features: Column, layers: Sequence[Layer], classes: Sequence[str]) -> DataFrame:
     """Add ``scores``, ``predicted`` (first of equal maxima), ``best_score`` and
     ``class_name``."""

@@ -292,3 +292,124 @@ def training_rows(spark, sf):
     out = X.extract_features(ev, ["k", "best_supp"], muon_fields=MUON_MAP).filter(F.col("isSameSign") & (F.col("best_supp") % 2 == 0))
     node = F.array(*[r(f"jet{n}_btag", 9) for n in range(1, 5)])
     return out.select("k", node.alias("scores"), r("sumjet_pt", 9).alias("sumjet_pt"))
+
+
+#: relative jet sources as multiples of one, the muon pt fields, and a network for all features
+JET_SOURCES = {f"src{n}": n / 4 for n in range(1, 12)}
+VARIATIONS = X.jet_variations(list(JET_SOURCES), True, ("pt_scale_up", "pt_scale_dn"), ("pt_resol_up", "pt_resol_dn"))
+WIDE_1 = [[round(((i * 5 + j * 3) % 11 - 5) / 2000, 4) for j in range(len(X.FEATURES))] for i in range(6)]
+WIDE_LAYERS = [(WIDE_1, BIAS_1), (WEIGHTS_2, BIAS_2)]
+
+
+def _sql_variations() -> str:
+    rows = [("nominal", "pt", "pt")]
+    rows += [(f"{n}_{d}", f"pt * (1 {s} rel * {f}::DOUBLE)", "pt") for n, f in JET_SOURCES.items() for d, s in (("up", "+"), ("down", "-"))]
+    rows += [("JER_corr_up", "pt / (1 + score / 20) * (1.1::DOUBLE + score / 20)", "pt"), ("JER_corr_down", "pt / (1 + score / 20) * (0.9::DOUBLE + score / 20)", "pt")]
+    rows += [(f"MuonRoch_{n}", "pt", f"pt * {f}") for n, f in (("scale_up", "(1 + rel / 10)"), ("scale_down", "(1 - rel / 10)"), ("resol_up", "(1 + score / 50)"), ("resol_down", "(1 - score / 50)"))]
+    assert [n for n, _, _ in rows] == [v.name for v in VARIATIONS]
+    return " UNION ALL ".join(f"SELECT *, '{n}' AS v, {jet} AS jpt, {mu} AS mpt FROM x" for n, jet, mu in rows)
+
+
+def _sql_features() -> dict[str, str]:
+    """Every feature over the jets t1 to t4, the muons a and b and the sums e."""
+    out = {}
+    for n in range(1, 5):
+        out |= {f"jet{n}_{c}": f"t{n}.{c}" for c in ("px", "py", "pz")}
+        out |= {f"jet{n}_mass": f"t{n}.mass", f"jet{n}_btag": f"t{n}.score", f"jet{n}_dr_mu1": sql_dr(f"t{n}", "a"), f"jet{n}_dr_mu2": sql_dr(f"t{n}", "b")}
+    for i, j in X.PAIRS:
+        out |= {f"bjet_dr_{i}{j}": sql_dr(f"t{i + 1}", f"t{j + 1}"), f"bjet_m_{i}{j}": sql_mass(f"t{i + 1}", f"t{j + 1}")}
+    for who, m in (("lead", "a"), ("sublead", "b")):
+        out |= {f"{who}_mu_{c}": f"{m}.{c}" for c in ("px", "py", "pz")} | {f"{who}_mu_{f}": f"{m}.{field}" for f, field in MUON_MAP.items()}
+    out |= {"dimuon_dr": sql_dr("a", "b"), "dimuon_mass": sql_mass("a", "b")}
+    out |= {"nGoodJet": "CAST(n_good AS DOUBLE)", "nBJet": "CAST(n_b AS DOUBLE)", "sumjet_pt": "s", "sumbjet_pt": "coalesce(sb, 0)", "jet_cent": "s / en"}
+    assert set(out) == set(X.FEATURES)
+    return {f: out[f] for f in X.FEATURES}
+
+
+def sql_feature_tables(variations: str, jet_pt: float) -> str:
+    """CTEs up to the row of jets, muons and sums per event and variation; ``variations``
+    selects from x and adds v, jpt and mpt."""
+    jets = f"jt AS (SELECT k, v, i, score, eta, phi, jpt AS pt, mass * jpt / greatest(pt, 1e-6) AS mass FROM vo WHERE jpt > {jet_pt} AND abs(eta) < 2.2)"
+    good = f"good AS (SELECT *, {sql_p4('o')}, row_number() OVER (PARTITION BY k, v ORDER BY score DESC, i) AS q, count(*) OVER (PARTITION BY k, v) AS c FROM jt o)"
+    muons = f"mu AS (SELECT *, {sql_p4('o')} FROM (SELECT k, v, i, mpt AS pt, eta, phi, mass, score, rel, charge FROM vo WHERE i < 2) o)"
+    sums = "e AS (SELECT k, v, count(*) AS n_good, count(*) FILTER (score > 0.1272) AS n_b, sum(pt) AS s, sum(pt) FILTER (score > 0.1272) AS sb, sum(sqrt(pt * cosh(eta) * pt * cosh(eta) + mass * mass)) AS en FROM good GROUP BY k, v HAVING count(*) >= 4)"
+    tops = ", ".join(f"t{n} AS (SELECT * FROM good WHERE q = {n})" for n in range(1, 5))
+    return f"WITH {SQL_OBJ}, x AS (SELECT * FROM obj), vo AS ({variations}), {jets}, {good}, {muons}, {sums}, {tops}, a AS (SELECT * FROM mu WHERE i = 0), b AS (SELECT * FROM mu WHERE i = 1)"
+
+
+_JOINED = "e JOIN t1 USING (k, v) JOIN t2 USING (k, v) JOIN t3 USING (k, v) JOIN t4 USING (k, v) JOIN a USING (k, v) JOIN b USING (k, v)"
+
+
+@query(
+    sql_feature_tables("SELECT *, 'nominal' AS v, pt AS jpt, pt AS mpt FROM x", 10.0)
+    + " SELECT e.k, "
+    + ", ".join(f'round({x}, 5) AS "{f}"' for f, x in _sql_features().items())
+    + f' , a.charge * b.charge > 0 AS "isSameSign" FROM {_JOINED}'
+)
+def flat_features_all(spark, sf):
+    """All 61 features of the flat table."""
+    out = X.extract_features(feature_events(spark, sf), ["k"], muon_fields=MUON_MAP)
+    return out.select("k", *[r(f, 5).alias(f) for f in X.FEATURES], "isSameSign")
+
+
+def _varied_events(spark, sf):
+    """Jets with eleven sources and a resolution, muons with four other pt."""
+    ev = events(spark, sf, ["pt", "eta", "phi", "mass", "score", "rel", "charge"], ["status"])
+
+    def jet(o):
+        jer = 1.0 + o["score"] / 20.0
+        parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score")] + [(o["rel"] * f).alias(s) for s, f in JET_SOURCES.items()]
+        return F.struct(*parts, jer.alias("jer"), (jer + 0.1).alias("jer_up"), (jer - 0.1).alias("jer_down"), (F.abs(o["eta"]) < 2.2).alias("fit"))
+
+    def muon(o):
+        parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score", "rel", "charge")]
+        moved = {"pt_scale_up": 1.0 + o["rel"] / 10.0, "pt_scale_dn": 1.0 - o["rel"] / 10.0, "pt_resol_up": 1.0 + o["score"] / 50.0, "pt_resol_dn": 1.0 - o["score"] / 50.0}
+        return F.struct(*parts, *[(o["pt"] * f).alias(n) for n, f in moved.items()])
+
+    has = lambda n: F.when(F.size("obj") > n, n).otherwise(-1)
+    return ev.select("k", "status", F.transform("obj", jet).alias("jets"), F.transform("obj", muon).alias("muons"), has(0).alias("lead_idx"), has(1).alias("sublead_idx"))
+
+
+def _sql_wide_net() -> str:
+    hidden = ", ".join(f"greatest({_sql_dot(w, 'x', b)}, 0.0::DOUBLE)" for w, b in zip(WIDE_1, BIAS_1))
+    outs = ", ".join(f"exp({_sql_dot(w, 'h', b)}) AS e{i}" for i, (w, b) in enumerate(zip(WEIGHTS_2, BIAS_2)))
+    return f"""{sql_feature_tables(_sql_variations(), 25.0)}, fx AS (SELECT e.k, e.v, [{", ".join(_sql_features().values())}] AS x FROM {_JOINED} JOIN orders ON o_orderkey = e.k WHERE e.v = 'nominal' OR o_orderstatus <> 'P'),
+hx AS (SELECT k, v, [{hidden}] AS h FROM fx), ox AS (SELECT k, v, {outs} FROM hx)
+SELECT k, v AS variation, round(e0 / (e0 + e1 + e2), 6) AS signal, round(e1 / (e0 + e1 + e2), 6) AS background, round(e2 / (e0 + e1 + e2), 6) AS other FROM ox"""
+
+
+@query(_sql_wide_net())
+def scores_under_variations(spark, sf):
+    """Scores of a network on all 61 features under nominal, eleven jet sources, the jet
+    resolution and the muon pt, up and down; one status plays data (nominal only)."""
+    ev = X.varied_vectors(_varied_events(spark, sf), VARIATIONS, is_data=F.col("status") == "P", jet_pt=25.0, scale_mass=True, muon_fields=MUON_MAP)
+    scored = M.scores_by_variation(ev.select("k", "vectors"), "vectors", WIDE_LAYERS, [v.name for v in VARIATIONS])
+    rows = scored.select("k", F.explode_outer("scores").alias("variation", "p")).where("p IS NOT NULL")
+    return rows.select("k", "variation", *[r(F.get("p", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)])
+
+
+def _sql_assignment() -> dict[str, str]:
+    out = {}
+    for n in range(1, 5):
+        out |= {f"jet{n}_{c}": f"t{n}.{c}" for c in ("px", "py", "pz", "mass", "score")}
+        out |= {f"jet{n}_dr_mu1": sql_folded(f"t{n}", "a"), f"jet{n}_dr_mu2": sql_folded(f"t{n}", "b")}
+    for i, j in X.PAIRS:
+        out |= {f"pair_dr_{i}{j}": sql_folded(f"t{i + 1}", f"t{j + 1}"), f"pair_m_{i}{j}": f"{sql_mass(f't{i + 1}', f't{j + 1}')} / 125"}
+    return out | {"sum_jet_pt": "s", "sum_bjet_pt": "coalesce(sb, 0)"}
+
+
+@query(
+    f"""WITH {SQL_OBJ}, p AS (SELECT *, {sql_p4('o')} FROM obj o), gm AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS g, count(*) OVER (PARTITION BY k) AS c FROM p WHERE rel < 0.06),
+a AS (SELECT * FROM gm WHERE g = 1 AND c > 1), b AS (SELECT * FROM gm WHERE g = 2),
+gj AS (SELECT p.* FROM p JOIN a USING (k) JOIN b USING (k) WHERE {GOOD.replace('pt', 'p.pt').replace('eta', 'p.eta')} AND {sql_folded('p', 'a')} > 0.4 AND {sql_folded('p', 'b')} > 0.4),
+t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, i) AS q FROM gj), {", ".join(f"t{n} AS (SELECT * FROM t WHERE q = {n})" for n in range(1, 5))},
+e AS (SELECT k, count(*) AS n, count(*) FILTER (score > 0.1272) AS nb, sum(pt) AS s, sum(pt) FILTER (score > 0.1272) AS sb FROM gj GROUP BY k HAVING count(*) > 3)
+SELECT e.k, {", ".join(f'round({x}, 5) AS {n}' for n, x in _sql_assignment().items())}, CAST(e.n AS INTEGER) AS n_good_jet, CAST(e.nb AS INTEGER) AS n_bjet, CAST(a.c AS INTEGER) AS n_good_muon, a.c = 2 AND abs(a.charge + b.charge) = 2 AS pass_ss,
+  CAST(CASE {" ".join(f"WHEN t{i + 1}.supp % 2 = 0 AND t{j + 1}.supp % 2 = 0 THEN {no}" for no, (i, j) in enumerate(X.PAIRS))} ELSE -1 END AS INTEGER) AS label
+FROM e JOIN t1 USING (k) JOIN t2 USING (k) JOIN t3 USING (k) JOIN t4 USING (k) JOIN a USING (k) JOIN b USING (k)"""
+)
+def assignment_features_all(spark, sf):
+    """All outputs of the jet-pair assignment."""
+    out = X.assignment_features(feature_events(spark, sf), ["k"], muon_good=lambda m: m["rel"] < 0.06)
+    numbers = [r(n, 5).alias(n) for n in _sql_assignment()]
+    return out.select("k", *numbers, "n_good_jet", "n_bjet", "n_good_muon", "pass_ss", "label")

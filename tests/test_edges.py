@@ -392,3 +392,30 @@ def test_interval_search_against_all_ranges(spark, monkeypatch):
     none = table.where("false")
     assert L.in_ranges(df, "run", "block", none).count() == 0
     assert {r["v"] for r in L.interval_value(df, "run", "block", {"v": none}, 1.5).collect()} == {1.5}
+
+
+def test_vectors_and_scores_under_variations(spark):
+    from eventloom.operators import scoring as M
+
+    jet = lambda pt, score: (float(pt), 0.5, 0.3, 4.0, score, 0.1, pt > 0)
+    jets = [jet(40, 0.9), jet(31, 0.8), jet(50, 0.2), jet(60, 0.05), jet(28, 0.5)]
+    muons = [(20.0, 0.1, 0.2, 0.1, 1, 0.5), (10.0, -0.1, 1.2, 0.1, 1, 0.4)]
+    rows = [(1, False, jets, muons, 0, 1), (2, True, jets, muons, 0, 1), (3, False, jets[:3], muons, 0, 1), (4, False, jets, muons, 0, 5), (5, None, [], [], -1, -1)]
+    kinds = "k int, data boolean, jets array<struct<pt:double,eta:double,phi:double,mass:double,score:double,s:double,fit:boolean>>, muons array<struct<pt:double,eta:double,phi:double,mass:double,charge:int,v:double>>, lead_idx int, sublead_idx int"
+    fields = {f: "v" for f in X.MUON_FIELDS}
+    variations = X.jet_variations(["s"], muon_scale=("v", "v"))
+    assert [v.name for v in variations] == ["nominal", "s_up", "s_down", "MuonRoch_scale_up", "MuonRoch_scale_down"]
+    df = spark.createDataFrame(rows, kinds)
+    out = X.varied_vectors(df, variations, is_data=F.col("data"), scale_mass=True, muon_fields=fields)
+    got = {r["k"]: [None if v is None else dict(zip(X.FEATURES, v)) for v in r["vectors"]] for r in out.collect()}
+    plain = X.extract_features(df.where("k = 1").withColumn("jets", F.transform("jets", lambda j: j.withField("good", j["pt"] > 30))), ["k"], muon_fields=fields).first()
+    assert got[1][0] == {f: plain[f] for f in X.FEATURES}
+    # up: five good jets; down: two of them fall below the cut
+    assert got[1][1]["nGoodJet"] == 5 and got[1][1]["sumjet_pt"] == pytest.approx(1.1 * 209) and got[1][1]["jet1_mass"] == pytest.approx(4.4)
+    assert got[1][2] is None and got[1][3]["nGoodJet"] == 4 and got[1][3]["lead_mu_px"] == pytest.approx(0.5 * math.cos(0.2))
+    assert [len(v) for v in got.values()] == [5, 1, 5, 5, 5] and got[2] == got[1][:1] and {str(v) for k in (3, 4, 5) for v in got[k]} == {"None"}
+    layers = [([[0.01] * 61, [-0.01] * 61], [0.0, 0.1])]
+    scores = {r["k"]: r["scores"] for r in M.scores_by_variation(out, "vectors", layers, [v.name for v in variations]).collect()}
+    z = sum(plain[f] for f in X.FEATURES)
+    assert scores[1]["nominal"][0] == pytest.approx(1 / (1 + math.exp(-0.02 * z + 0.1))) and scores[1]["s_down"] is None and list(scores[2]) == ["nominal"]
+    assert M.scores_by_variation(out.where("false"), "vectors", layers, [v.name for v in variations]).collect() == []
