@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
 from eventloom.operators import features as X
+from eventloom.operators import importance as I
 from eventloom.operators import quality as Q
 from eventloom.operators import scoring as M
 from eventloom.operators import splits as S
@@ -413,3 +414,50 @@ def assignment_features_all(spark, sf):
     out = X.assignment_features(feature_events(spark, sf), ["k"], muon_good=lambda m: m["rel"] < 0.06)
     numbers = [r(n, 5).alias(n) for n in _sql_assignment()]
     return out.select("k", *numbers, "n_good_jet", "n_bjet", "n_good_muon", "pass_ss", "label")
+
+
+#: seven groups of all components, and a network for them
+EMBEDDING = 64
+PARTS = {f"part{n}": list(range(lo, hi)) for n, (lo, hi) in enumerate(((0, 10), (10, 20), (20, 30), (30, 40), (40, 48), (48, 56), (56, 64)))}
+LONG_1 = [[round(((i * 13 + j * 7) % 17 - 8) / 4, 3) for j in range(EMBEDDING)] for i in range(6)]
+LONG_LAYERS = [(LONG_1, BIAS_1), (WEIGHTS_2, BIAS_2)]
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join(f"{x}::DOUBLE" for x in xs) + "]"
+
+
+def _sql_importance(repeats: int, seed: int) -> str:
+    """The same ranks, bijections and network, with one step per round."""
+    plans = [(scope, g, lo[0], lo[-1] + 1) for scope in (0, 1) for g, lo in PARTS.items() for _ in range(repeats)]
+    rows = ", ".join(f"({no}, {scope}, '{g}', {lo}, {hi}, {[list(t) for t in I.round_numbers(no, seed)]})" for no, (scope, g, lo, hi) in enumerate(plans))
+    steps = []
+    for k in range(1, I.ROUNDS + 1):
+        other = f"((rounds[{k}][1] - y) % m + m) % m"
+        u = f"(((greatest(y, {other}) % {I.PRIME}) * rounds[{k}][2] + rounds[{k}][3]) % {I.PRIME})"
+        steps.append(f"y{k} AS (SELECT * REPLACE (CASE WHEN ({u} * {u}) % {I.PRIME} % 2 = 1 THEN {other} ELSE y END AS y) FROM {f'y{k - 1}' if k > 1 else 'sent'})")
+    hidden = lambda x: "[" + ", ".join(f"greatest(list_dot_product({x}, {_sql_list(w)}) + {b}::DOUBLE, 0.0::DOUBLE)" for w, b in zip(LONG_1, BIAS_1)) + "]"
+    outs = lambda h: ", ".join(f"list_dot_product({h}, {_sql_list(w)}) + {b}::DOUBLE AS o{i}" for i, (w, b) in enumerate(zip(WEIGHTS_2, BIAS_2)))
+    pick = "CASE WHEN o0 >= o1 AND o0 >= o2 THEN 0 WHEN o1 >= o2 THEN 1 ELSE 2 END"
+    return f"""WITH e AS (SELECT vec_id, [CAST(v AS DOUBLE) FOR v IN embedding] AS x, CAST(label % 3 AS INTEGER) AS c, 1.0::DOUBLE + abs(CAST(embedding[4] AS DOUBLE)) AS w FROM embeddings),
+z AS (SELECT c, count(*) AS n, sum(count(*)) OVER (ORDER BY c) - count(*) AS first, sum(count(*)) OVER () AS total FROM e GROUP BY c),
+d AS (SELECT e.*, n, CAST(first AS BIGINT) AS first, CAST(total AS BIGINT) AS total, row_number() OVER (PARTITION BY e.c ORDER BY md5(concat_ws('|', '{seed}', CAST(vec_id AS VARCHAR))), vec_id) - 1 AS place FROM e JOIN z USING (c)),
+plan(no, scope, grp, lo, hi, rounds) AS (VALUES {rows}),
+sent AS (SELECT no, scope, grp, lo, hi, rounds, x, CASE WHEN scope = 1 THEN n ELSE total END AS m, CASE WHEN scope = 1 THEN first ELSE 0 END AS base, CASE WHEN scope = 1 THEN place ELSE first + place END AS y FROM d, plan),
+{", ".join(steps)},
+v AS (SELECT no, scope, grp, d.c, d.w, list_concat(list_concat(d.x[1:lo], s.x[lo + 1:hi]), d.x[hi + 1:]) AS x FROM y{I.ROUNDS} s JOIN d ON d.first + d.place = base + y),
+u AS (SELECT -1 AS no, -1 AS scope, '' AS grp, c, w, x FROM d UNION ALL SELECT * FROM v),
+h AS (SELECT no, scope, grp, c, w, {hidden('x')} AS h FROM u), o AS (SELECT no, scope, grp, c, w, {outs('h')} FROM h),
+r AS (SELECT no, scope, grp, c, sum(CASE WHEN {pick} = c THEN w ELSE 0 END) AS good, sum(w) AS w FROM o GROUP BY ALL),
+t AS (SELECT 'all' AS scope, grp, sum(good) / {repeats} / sum(w) * {repeats} AS p FROM r WHERE scope = 0 GROUP BY grp UNION ALL SELECT 'class ' || CAST(c AS VARCHAR), grp, sum(good) / sum(w) FROM r WHERE scope = 1 GROUP BY c, grp),
+b AS (SELECT 'all' AS scope, sum(good) / sum(w) AS b FROM r WHERE scope = -1 UNION ALL SELECT 'class ' || CAST(c AS VARCHAR), good / w FROM r WHERE scope = -1)
+SELECT t.scope, grp AS "group", round(b, 9) AS baseline, round(p, 9) AS permuted, round(greatest(0, b - p), 9) AS importance FROM t JOIN b USING (scope)"""
+
+
+@query(_sql_importance(5, 3))
+def group_importance(spark, sf):
+    """Importance of seven groups of all components: five repeats, all rows and per
+    class, one ranking."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).alias("truth"), (1.0 + F.abs(F.get("embedding", F.lit(3)).cast("double"))).alias("w"))
+    out = I.group_importance(e, ["vec_id"], "embedding", "truth", "w", LONG_LAYERS, PARTS, 5, 3)
+    return out.select("scope", "group", *[r(c, 9).alias(c) for c in ("baseline", "permuted", "importance")])
