@@ -323,6 +323,13 @@ def product(coll: Column, factor: Callable[[Column], Column], where: Predicate |
     return F.aggregate(coll, F.lit(1.0), step)
 
 
+def products(coll: Column, factors: Callable[[Column], Column], count: int) -> Column:
+    """Element-wise product of ``count`` factors over the objects: all products in one
+    walk over the collection."""
+    ones = F.array_repeat(F.lit(1.0), count)
+    return F.aggregate(coll, ones, lambda acc, o: F.zip_with(acc, factors(o), lambda a, b: a * b))
+
+
 def total(coll: Column, value: Callable[[Column], Column], where: Predicate | None = None) -> Column:
     chosen = coll if where is None else F.filter(coll, where)
     return F.aggregate(chosen, F.lit(0.0), lambda acc, o: acc + value(o))

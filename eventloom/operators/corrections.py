@@ -9,6 +9,7 @@ applied to tables that went through part of it. Calibration tables are
 from __future__ import annotations
 
 import inspect
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
 from eventloom.functions.kinematics import delta_phi, folded_delta_r
-from eventloom.operators.lookup import BinnedTable, interval_value
+from eventloom.operators.lookup import BinnedTable, interval_value, side_by_side
 from eventloom.operators.scale import keyed_uniform
 from eventloom.operators.variations import quadrature_shift
 
@@ -342,60 +343,49 @@ def btag_working_point(
     def where(o: Column) -> tuple[Column, Column]:
         return F.abs(V.clamp(o["eta"], -2.49, 2.49)), V.clamp(o[pt], 20.1, 999.9)
 
-    # all parts of a table share one cell number, found once per jet
-    first = next(iter(points))
+    # all parts of a table share one cell number, found once per jet, and lie side by side
+    names = list(points)
+    parts = [(syst, wp) for wp in names for syst in ("central", "up", "down")]
+    parts += [(f"{d}_{s}", source_point) for s in sources for d in ("up", "down")]
+    sf_at = side_by_side([sf_t.fixed(*part).values for part in parts])
+    eff_at = side_by_side([eff_t.fixed(wp).values for wp in names])
     df = add_fields(
         df,
         coll,
         {
-            "_sf_cell": lambda o: sf_t.fixed("central", first).cell(o["flavour"], *where(o)),
-            "_eff_cell": lambda o: eff_t.fixed(first).cell(o["flavour"], *where(o)),
+            "_sf_cell": lambda o: sf_t.fixed("central", names[0]).cell(o["flavour"], *where(o)),
+            "_eff_cell": lambda o: eff_t.fixed(names[0]).cell(o["flavour"], *where(o)),
         },
     )
-
-    def sf(syst: str, wp: str) -> Callable[[Column], Column]:
-        return lambda o: F.when(o["flavour"] == 0, 1.0).otherwise(sf_t.fixed(syst, wp).value(o["_sf_cell"]))
-
+    ones = F.array_repeat(F.lit(1.0), len(parts))
+    df = add_fields(df, coll, {"_sf": lambda o: F.when(o["flavour"] == 0, ones).otherwise(sf_at(o["_sf_cell"])), "_eff": lambda o: eff_at(o["_eff_cell"])})
     values = {}
-    for wp in points:
-        values |= {
-            f"sf_{wp}": sf("central", wp),
-            f"sf_{wp}_up": sf("up", wp),
-            f"sf_{wp}_down": sf("down", wp),
-            f"eff_{wp}": lambda o, wp=wp: eff_t.fixed(wp).value(o["_eff_cell"]),
-        }
+    for no, wp in enumerate(names):
+        values |= {f"sf_{wp}{suffix}": (lambda o, i=3 * no + k: F.get(o["_sf"], F.lit(i))) for k, suffix in enumerate(("", "_up", "_down"))}
+        values[f"eff_{wp}"] = lambda o, no=no: F.get(o["_eff"], F.lit(no))
     df = add_fields(df, coll, values)
-    cols = {}
-    for wp, cut in points.items():
-        for suffix in ("", "_up", "_down"):
-            cols[f"{out}_{wp}{suffix}"] = tag_weight(
-                F.col(coll),
-                lambda o, n=f"sf_{wp}{suffix}": o[n],
-                lambda o, wp=wp: o[f"eff_{wp}"],
-                lambda o, cut=cut: o["score"] > cut,
-                lambda o: o["good"],
-            )
-    df = add_columns(df, cols)
-    varied = {}
-    for s in sources:
-        for d in ("up", "down"):
-            varied[f"{out}_{s}_{d}"] = tag_weight(
-                F.col(coll),
-                sf(f"{d}_{s}", source_point),
-                lambda o: o[f"eff_{source_point}"],
-                lambda o: o["score"] > points[source_point],
-                lambda o: o["good"],
-            )
-    df = add_columns(df, {**varied, out: F.col(f"{out}_{source_point}")})
+    point_of = F.lit([names.index(wp) for _, wp in parts])
+    cuts = V.double_array([points[wp] for wp in names])
+
+    def factors(o: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            no = F.get(point_of, i)
+            e = F.get(o["_eff"], no)
+            # e < 1 in this branch, NULLIF keeps the other branch from dividing
+            free = F.when(e < 1.0, (1.0 - s * e) / F.nullif(1.0 - e, F.lit(0.0))).otherwise(F.lit(1.0))
+            return F.when(o["score"] > F.get(cuts, no), s).otherwise(free)
+
+        return F.transform(o["_sf"], one)
+
+    all_weights = V.products(F.filter(coll, lambda o: o["good"]), factors, len(parts))
+    df = df.withColumn("_weights", all_weights)
+    columns = [f"{out}_{wp}{suffix}" for wp in names for suffix in ("", "_up", "_down")]
+    varied = [f"{out}_{s}_{d}" for s in sources for d in ("up", "down")]
+    df = add_columns(df, {n: F.get("_weights", F.lit(i)) for i, n in enumerate(columns + varied)}).drop("_weights")
+    df = add_columns(df, {out: F.col(f"{out}_{source_point}")})
     if varied:
-        all_varied = [F.col(c) for c in varied]
-        df = add_columns(
-            df,
-            {
-                f"{out}_total_up": quadrature_shift(F.col(out), all_varied, True),
-                f"{out}_total_down": quadrature_shift(F.col(out), all_varied, False),
-            },
-        )
+        shifts = [F.col(c) for c in varied]
+        df = add_columns(df, {f"{out}_total_up": quadrature_shift(F.col(out), shifts, True), f"{out}_total_down": quadrature_shift(F.col(out), shifts, False)})
     return df
 
 
@@ -439,26 +429,21 @@ def btag_shape(df: DataFrame, ctx: Context, coll: str = "jets", sources: Sequenc
         },
     )
 
-    def sf(syst: Callable[[Column], list[tuple[Column | None, str]]]) -> Callable[[Column], Column]:
-        def one(o: Column) -> Column:
-            (cond, first), (_, other) = syst(o)
-            value = t.fixed(first).value(o["_shape_cell"])
-            if cond is not None:
-                value = F.when(cond, value).otherwise(t.fixed(other).value(o["_shape_cell"]))
-            return F.when(o["_shape_valid"], value).otherwise(F.lit(1.0))
-
-        return one
-
-    cols = {out: V.product(F.col(coll), sf(lambda o: [(None, "central"), (None, "central")]), lambda o: o["good"])}
+    # where a source does not act on a flavour, its part holds the central values; the
+    # flavour is the first key of a cell
+    known = t.categories[1][1]
+    central = t.fixed("central").values
+    size = len(central) // len(known)
+    parts = [central]
     for s in sources:
-        flavours = SHAPE_FLAVOURS[s]
-        for d in ("up", "down"):
-            cols[f"{out}_{s}_{d}"] = V.product(
-                F.col(coll),
-                sf(lambda o, s=s, d=d, fl=flavours: [(o["flavour"].isin(*fl), f"{d}_{s}"), (None, "central")]),
-                lambda o: o["good"],
-            )
-    return add_columns(df, cols)
+        acts = [known[i // size] in SHAPE_FLAVOURS[s] for i in range(len(central))]
+        parts += [[v if on else c for v, c, on in zip(t.fixed(f"{d}_{s}").values, central, acts)] for d in ("up", "down")]
+    at = side_by_side(parts)
+    ones = F.array_repeat(F.lit(1.0), len(parts))
+    factors = lambda o: F.when(o["_shape_valid"], at(o["_shape_cell"])).otherwise(ones)
+    df = df.withColumn("_weights", V.products(F.filter(coll, lambda o: o["good"]), factors, len(parts)))
+    names = [out] + [f"{out}_{s}_{d}" for s in sources for d in ("up", "down")]
+    return add_columns(df, {n: F.get("_weights", F.lit(i)) for i, n in enumerate(names)}).drop("_weights")
 
 
 # --- muons -----------------------------------------------------------------------
@@ -485,26 +470,28 @@ def muon_efficiency(
             values[field_of(c, v)] = lambda o, c=c, v=v: t.fixed(c, v).value(o["_sf_cell"])
     df = add_fields(df, coll, values)
 
-    def event(shift: str | None = None, direction: str = "nominal") -> Column:
-        def factor(o: Column) -> Column:
-            f = F.lit(1.0)
-            for c in components:
-                f = f * o[field_of(c, direction if c == shift else "nominal")]
-            return f
-
-        if index is not None:
-            one = F.get(F.col(coll), F.col(index))
-            return F.coalesce(factor(one), F.lit(1.0))
+    # products over the components of a cell, nominal and one component shifted
+    tables = {(c, v): t.fixed(c, v).values for c in components for v in ("nominal", "up", "down")}
+    kinds = [None] + [(c, d) for c in components for d in ("up", "down")]
+    pick = lambda c, kind: tables[c, kind[1] if kind and kind[0] == c else "nominal"]
+    at = side_by_side([[math.prod(cell) for cell in zip(*(pick(c, kind) for c in components))] for kind in kinds])
+    factors = lambda o: at(o["_sf_cell"])
+    ones = F.array_repeat(F.lit(1.0), len(kinds))
+    if index is not None:
+        weights = F.coalesce(factors(F.get(F.col(coll), F.col(index))), ones)
+    else:
         lead = F.exists(F.col(coll), lambda o: o["good"] & (o[pt] > 20.0))
-        return F.when(lead, V.product(F.col(coll), factor, lambda o: o["good"] & (o[pt] > 15.0))).otherwise(F.lit(1.0))
-
-    df = add_columns(df, {out: event()})
+        chosen = F.filter(coll, lambda o: o["good"] & (o[pt] > 15.0))
+        weights = F.when(lead, V.products(chosen, factors, len(kinds))).otherwise(ones)
+    df = df.withColumn("_weights", weights)
+    shifted = {(c, d): F.get("_weights", F.lit(1 + 2 * i + k)) for i, c in enumerate(components) for k, d in enumerate(("up", "down"))}
+    nominal = F.get("_weights", F.lit(0))
     if len(components) == 1:
         only = components[0]
-        return add_columns(df, {f"{out}_up": event(only, "up"), f"{out}_down": event(only, "down")})
-    up = F.sqrt(sum((F.pow(event(c, "up") - F.col(out), 2) for c in components), F.lit(0.0)))
-    down = F.sqrt(sum((F.pow(F.col(out) - event(c, "down"), 2) for c in components), F.lit(0.0)))
-    return add_columns(df, {f"{out}_up": F.col(out) + up, f"{out}_down": F.greatest(F.lit(0.0), F.col(out) - down)})
+        return add_columns(df, {out: nominal, f"{out}_up": shifted[only, "up"], f"{out}_down": shifted[only, "down"]}).drop("_weights")
+    up = F.sqrt(sum((F.pow(shifted[c, "up"] - nominal, 2) for c in components), F.lit(0.0)))
+    down = F.sqrt(sum((F.pow(nominal - shifted[c, "down"], 2) for c in components), F.lit(0.0)))
+    return add_columns(df, {out: nominal, f"{out}_up": nominal + up, f"{out}_down": F.greatest(F.lit(0.0), nominal - down)}).drop("_weights")
 
 
 @correction("trigger")

@@ -9,7 +9,7 @@ A larger table is joined on computed bin numbers, an equi join.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,6 +113,19 @@ class BinnedTable:
         return values_table(spark, ", ".join([*names, "value double"]), list(self.cells()))
 
 
+def side_by_side(columns: Sequence[Sequence[float]]) -> Callable[[Column], Column]:
+    """Several tables (or parts) of one layout as one array literal: from a cell number
+    to the array of their values there, one lookup for all of them."""
+    sizes = {len(c) for c in columns}
+    if len(sizes) != 1:
+        raise ValueError("tables of different layouts")
+    flat = [float(v) for cell in zip(*columns) for v in cell]
+    if len(flat) > INLINE_CELLS:
+        raise ValueError("tables too large to inline")
+    n = len(columns)
+    return lambda cell: F.slice(double_array(flat), cell * n + 1, F.lit(n))
+
+
 def join_lookup(df: DataFrame, table: BinnedTable, inputs: dict[str, Column], out: str) -> DataFrame:
     """Lookup by a join on category keys and bin numbers. The table is an inline
     relation, so Spark broadcasts it only when its size allows."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
 from eventloom.operators.corrections import (
+    SHAPE_FLAVOURS,
     ERA_THRESHOLDS,
     Context,
     apply_corrections,
@@ -329,6 +330,63 @@ def btag_shapes(spark, sf):
     return df.select("k", *[r(c).alias(c) for c in df.columns if c.startswith("btag_shape")])
 
 
+#: thirteen sources of the working points and all sources of the shapes
+MANY_TAG_SOURCES = [f"tag{n}" for n in range(1, 14)]
+MANY_TAG_SF = binned(
+    [("eta", ABS_ETAS), ("pt", PTS)], 0.9, 0.02,
+    [("syst", ["central", "up", "down"] + [f"{d}_{s}" for s in MANY_TAG_SOURCES for d in ("up", "down")]), ("wp", list(WPS)), ("flavour", FLAVOURS)], 11,
+)
+_MANY_COLUMNS = _TAG_COLUMNS[:9] + [(f"btag_weight_{s}_{d}", f"{d}_{s}", "M") for s in MANY_TAG_SOURCES for d in ("up", "down")]
+_MANY_VARIED = [c for c, _, _ in _MANY_COLUMNS[9:]]
+ALL_SHAPES = list(SHAPE_FLAVOURS)
+MANY_SHAPE = binned(
+    [("eta", ABS_ETAS), ("pt", (0.0, 30.0, 60.0, 200.0)), ("score", (0.0, 0.3, 0.6, 1.1))], 0.9, 0.03,
+    [("syst", ["central"] + [f"{d}_{s}" for s in ALL_SHAPES for d in ("up", "down")]), ("flavour", FLAVOURS)], 8,
+)
+
+
+def _sql_many(syst: str, wp: str) -> str:
+    """As _sql_factor with the scale factor and efficiency bound as columns."""
+    return f"(CASE WHEN NOT good THEN 1.0::DOUBLE WHEN score > {WPS[wp]} THEN sf_{syst}_{wp} WHEN eff_{wp} < 1 THEN (1 - sf_{syst}_{wp} * eff_{wp}) / (1 - eff_{wp}) ELSE 1.0::DOUBLE END)"
+
+
+def _sql_many_bound() -> str:
+    a, p = _sql_where(20.1, 999.9)
+    sf = {f"sf_{s}_{wp}": f"CASE WHEN flavour = 0 THEN 1.0::DOUBLE ELSE {sql_at(MANY_TAG_SF, '=' + s, '=' + wp, 'flavour', a, p)} END" for _, s, wp in _MANY_COLUMNS}
+    eff = {f"eff_{wp}": sql_at(BTAG_EFF, "=" + wp, "flavour", a, p) for wp in WPS}
+    return ", ".join(f"{x} AS {n}" for n, x in (sf | eff).items())
+
+
+@query(
+    f"""{SQL_GOOD}, bound AS (SELECT *, {_sql_many_bound()} FROM gj), p AS (SELECT k, {", ".join(f"product({_sql_many(s, wp)}) AS {c}" for c, s, wp in _MANY_COLUMNS)} FROM bound GROUP BY k)
+SELECT k, {", ".join(f"round({c}, 6) AS {c}" for c, _, _ in _MANY_COLUMNS)},
+  round(btag_weight_M + sqrt({" + ".join(f"power(greatest(0, {c} - btag_weight_M), 2)" for c in _MANY_VARIED)}), 6) AS total_up,
+  round(greatest(0, btag_weight_M - sqrt({" + ".join(f"power(greatest(0, btag_weight_M - {c}), 2)" for c in _MANY_VARIED)})), 6) AS total_down FROM p"""
+)
+def btag_thirteen_sources(spark, sf):
+    """Working points with thirteen sources: 35 products in one walk over the jets."""
+    opts = {"points": WPS, "sources": MANY_TAG_SOURCES}
+    df = apply_corrections(_good_jets(spark, sf), ["btag_working_point"], Context(tables={"btag_sf": MANY_TAG_SF, "btag_eff": BTAG_EFF}, options={"btag_working_point": opts}))
+    return df.select("k", *[r(c).alias(c) for c, _, _ in _MANY_COLUMNS], r("btag_weight_total_up").alias("total_up"), r("btag_weight_total_down").alias("total_down"))
+
+
+def _sql_every_shape() -> str:
+    a, p = _sql_where(20.1, 199.9)
+    s = "least(greatest(score, 0.0001), 1.0999)"
+    value = {n: sql_at(MANY_SHAPE, "=" + n, "flavour", a, p, s) for n in MANY_SHAPE.categories[0][1]}
+    used = lambda n, fl: value[n] if fl is None else f"CASE WHEN flavour IN ({', '.join(map(str, fl))}) THEN {value[n]} ELSE {value['central']} END"
+    cols = {"btag_shape": ("central", None)} | {f"btag_shape_{x}_{d}": (f"{d}_{x}", SHAPE_FLAVOURS[x]) for x in ALL_SHAPES for d in ("up", "down")}
+    return ", ".join(f"round(product(CASE WHEN good AND abs(eta) <= 2.5 AND mass < 4.5 THEN {used(*x)} ELSE 1.0::DOUBLE END), 6) AS {c}" for c, x in cols.items())
+
+
+@query(f"{SQL_GOOD} SELECT k, {_sql_every_shape()} FROM gj GROUP BY k")
+def btag_all_shapes(spark, sf):
+    """Shape weights of all eight sources."""
+    opts = {"sources": ALL_SHAPES}
+    df = apply_corrections(_good_jets(spark, sf), ["btag_shape"], Context(tables={"btag_shape": MANY_SHAPE}, options={"btag_shape": opts}))
+    return df.select("k", *[r(c).alias(c) for c in df.columns if c.startswith("btag_shape")])
+
+
 @query(
     f"""{SQL_GOOD}, {SQL_EV}, t AS (SELECT gj.*, CASE WHEN era < 1997 THEN 0.245 WHEN era < 1999 THEN 0.1917 ELSE 0.1272 END AS cut FROM gj JOIN ev USING (k))
 SELECT k, round(product({_sql_factor('central', 'M').replace(f"score > {WPS['M']}", "score > cut")}), 6) AS weight FROM t GROUP BY k"""
