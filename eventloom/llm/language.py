@@ -7,12 +7,16 @@ share of its band is its smoothed count over the whole corpus. The last band hol
 words that are too many to send to tasks, and unknown ones: their counts come by a
 join, so all statistics cover the whole corpus.
 
-The model is trained by truncated backpropagation on a bounded sample of training
-documents. Scoring carries the state over the windows of a document to its end.
+The model is trained by truncated backpropagation on all training documents. It starts
+as the model of the counts alone. In every round the tasks take the weights of the last
+one through a part of the documents, each document in one round, and return them; the
+mean of the weights by tokens begins the next round. Scoring carries the state over the
+windows of a document to its end.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import text_of, written
+from eventloom.llm.common import kept_in_worker, text_of, written
 
 #: token that ends a document; no word holds a space
 END = b" "
@@ -34,13 +38,18 @@ CLASSES, CLASS_WORDS = 32, 64
 BANDS = (CLASSES * CLASS_WORDS, 1 << 13, 1 << 15, 1 << 18)
 #: state of the network
 STATE = 16
-#: documents of the training sample, and tokens of them at most
-SAMPLE_ROWS, SAMPLE_TOKENS = 1500, 1_000_000
+#: ends of the rounds of training, in 64ths of the documents by a hash of their id
+ROUNDS = (1, 4, 16, 64)
 #: steps of a window, lanes side by side in training and scoring
-STEPS, TRAIN_LANES, LANES = 32, 64, 512
-EPOCHS, RATE = 3, 0.004
-#: tokens scored at a time
-SLICE = 1 << 21
+STEPS, TRAIN_LANES, LANES = 32, 512, 512
+#: size of a step at the beginning and at the end of a task's part
+RATE, LAST_RATE = 0.01, 0.001
+#: windows that a task's lanes are to make at least; parts of fewer tokens have fewer lanes
+LEAST_WINDOWS = 64
+#: tokens scored, and learned from, at a time
+SLICE, TRAIN_SLICE = 1 << 21, 1 << 20
+#: parts in which the weights of the tasks are added up
+SLOTS = 16
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -102,7 +111,7 @@ class Network:
     N_CLASS = CLASSES + len(BANDS)
     BEGIN = N_INPUT - 1
 
-    def __init__(self, seed: int = 5, p: dict[str, np.ndarray] | None = None):
+    def __init__(self, seed: int = 5, p: dict[str, np.ndarray] | None = None, vocabulary: Vocabulary | None = None):
         if p is not None:
             self.p = p
             return
@@ -117,6 +126,28 @@ class Network:
             "c": draw(STATE, self.N_CLASS), "cb": np.zeros(self.N_CLASS, np.float32),
             "w": draw(CLASSES, STATE, CLASS_WORDS) * np.float32(0.5), "wb": np.zeros((CLASSES, CLASS_WORDS), np.float32),
         }
+        if vocabulary is not None:
+            # what the counts say without any state; ranks without a word get half a count
+            heads = np.full(BANDS[0], 0.5)
+            listed = vocabulary.counts[: BANDS[0]] + 0.5
+            heads[: len(listed)] = listed
+            heads = heads.reshape(CLASSES, CLASS_WORDS)
+            self.p["wb"][:] = np.log(heads)
+            self.p["cb"][:] = np.log(np.append(heads.sum(1), np.maximum(0.5, 10**vocabulary.log_mass)))
+            for k in ("c", "w"):
+                self.p[k] *= np.float32(0.1)
+
+    def packed(self) -> bytes:
+        return b"".join(self.p[k].astype("<f4").tobytes() for k in sorted(self.p))
+
+    def unpacked(self, data: bytes) -> "Network":
+        """A network of this one's shape from packed weights."""
+        out, at = {}, 0
+        for k in sorted(self.p):
+            n = self.p[k].size
+            out[k] = np.frombuffer(data, "<f4", n, at).reshape(self.p[k].shape).astype(np.float32)
+            at += 4 * n
+        return Network(p=out)
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state from the old one and rows of the input table."""
@@ -167,93 +198,141 @@ def _laid_out(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarra
     return token, fresh, owner
 
 
-def train(docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Network:
-    """Truncated backpropagation over windows of ``STEPS``; the state goes on from one
-    window to the next of a lane. Steps are Adam's."""
-    net = Network(seed)
-    docs = [d for d in docs if len(d)]
-    if not docs:
-        return net
-    token, fresh, _ = _laid_out(docs, TRAIN_LANES)
-    first = {k: np.zeros_like(v) for k, v in net.p.items()}
-    second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    count = 0
-    windows = -(-len(token) // STEPS)
-    for epoch in range(epochs):
+class Trainer:
+    """Truncated backpropagation over windows of ``STEPS`` words; the state goes on from
+    one window to the next of a lane. Steps are Adam's."""
+
+    def __init__(self, net: Network):
+        self.net, self.count, self.tokens = net, 0, 0
+        self.first = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in net.p.items()}
+
+    def learn(self, docs: list[np.ndarray]) -> None:
+        """One walk over documents (ranks with the end token)."""
+        size = sum(map(len, docs))
+        if not size:
+            return
+        self.tokens += size
+        lanes = min(TRAIN_LANES, max(8, size // (STEPS * LEAST_WINDOWS)))
+        # longer than the mean lane, a text goes on in another lane with a new state
+        most = max(STEPS, -(-size // lanes))
+        parts = [d[at : at + most] for d in docs for at in range(0, len(d), most)]
+        token, fresh, _ = _laid_out(parts, lanes)
         h = np.zeros((token.shape[1], STATE), np.float32)
         before = np.full(token.shape[1], Network.BEGIN)
+        windows = -(-len(token) // STEPS)
         for w in range(windows):
-            t, f = token[w * STEPS : (w + 1) * STEPS], fresh[w * STEPS : (w + 1) * STEPS]
-            grads, h, before = _window(net, t, f, h, before)
-            count += 1
-            pace = rate * (1 - 0.9 * (epoch * windows + w) / (epochs * windows))
-            for k, g in grads.items():
-                np.clip(g, -1, 1, out=g)
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                net.p[k] -= (pace * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.999**count)) + 1e-8)).astype(np.float32)
-    return net
+            # lanes that have ended take no more part
+            at = w * STEPS
+            on = int(np.count_nonzero(token[at] >= 0))
+            grads, h, before = _window(self.net, token[at : at + STEPS, :on], fresh[at : at + STEPS, :on], h[:on], before[:on])
+            self._step(grads, RATE + (LAST_RATE - RATE) * w / windows)
+
+    def _step(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.count += 1
+        fast, slow = 1 - 0.9**self.count, 1 - 0.999**self.count
+        for k, g in grads.items():
+            np.clip(g, -1, 1, out=g)
+            first, second = self.first[k], self.second[k]
+            first += np.float32(0.1) * (g - first)
+            second += np.float32(0.001) * (g * g - second)
+            self.net.p[k] -= np.float32(rate / fast) * first / (np.sqrt(second / np.float32(slow)) + np.float32(1e-8))
 
 
 def _window(net: Network, token: np.ndarray, fresh: np.ndarray, h: np.ndarray, before: np.ndarray):
     """Gradients of the mean loss of one window, and where the next begins."""
-    p, steps, lanes = net.p, *token.shape
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
-    kept = []
+    p, (steps, lanes) = net.p, token.shape
+    kind = p["x"].dtype
+    old, new, r, n = (np.empty((steps, lanes, STATE), kind) for _ in range(4))
+    zr = np.empty((steps, lanes, 2 * STATE), kind)
+    live, after = token >= 0, _inputs(token)
+    source = np.empty((steps, lanes), np.int64)
+    begins, full = fresh.any(1).tolist(), live.all(1).tolist()
     for s in range(steps):
-        start = fresh[s][:, None]
-        h = np.where(start, np.float32(0), h)
-        source = np.where(fresh[s], Network.BEGIN, before)
-        new, z, r, n = net.step(h, p["x"][source])
-        kept.append((h, new, z, r, n, source))
-        live = token[s] >= 0
-        h = np.where(live[:, None], new, h)
-        before = np.where(live, _inputs(token[s]), before)
-    states = np.stack([k[1] for k in kept]).reshape(-1, STATE)
-    flat = token.ravel()
-    live = np.flatnonzero(flat >= 0)
-    scale = np.float32(1 / max(1, len(live)))
-    hs, ranks = states[live], flat[live]
+        if begins[s]:
+            h = np.where(fresh[s][:, None], kind.type(0), h)
+            before = np.where(fresh[s], Network.BEGIN, before)
+        old[s], source[s] = h, before
+        a = p["x"][before] + p["b"]
+        zr[s] = _sigmoid(a[:, : 2 * STATE] + h @ p["u"])
+        z = zr[s, :, :STATE]
+        r[s] = zr[s, :, STATE:] * h
+        n[s] = np.tanh(a[:, 2 * STATE :] + r[s] @ p["v"])
+        new[s] = n[s] + z * (h - n[s])
+        if full[s]:
+            h, before = new[s], after[s]
+        else:
+            h = np.where(live[s][:, None], new[s], h)
+            before = np.where(live[s], after[s], before)
+    flat = np.flatnonzero(live.ravel())
+    scale = kind.type(1 / max(1, len(flat)))
+    hs, ranks = new.reshape(-1, STATE)[flat], token.ravel()[flat]
     kinds = _classes(ranks)
-    prob = np.exp(net.class_log(hs))
-    prob[np.arange(len(live)), kinds] -= 1
+    # by class, so that the words of one lie together
+    order = np.argsort(kinds, kind="stable")
+    flat, hs, ranks, kinds = flat[order], hs[order], ranks[order], kinds[order]
+    grads = {"w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "x": np.zeros_like(p["x"])}
+    prob = _softmax(hs @ p["c"] + p["cb"])
+    prob[np.arange(len(flat)), kinds] -= 1
     prob *= scale
-    grads["c"], grads["cb"] = hs.T @ prob, prob.sum(0)
+    grads["c"], grads["cb"] = hs.T @ prob, _column_sums(prob)
     dh = prob @ p["c"].T
-    order = np.argsort(kinds, kind="stable")
-    edges = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(kinds, np.arange(CLASSES + 1)).tolist()
     for k in range(CLASSES):
-        idx = order[edges[k] : edges[k + 1]]
-        if len(idx):
-            q = np.exp(net.word_log(hs[idx], k))
-            q[np.arange(len(idx)), ranks[idx] - k * CLASS_WORDS] -= 1
+        lo, hi = edges[k], edges[k + 1]
+        if lo < hi:
+            q = _softmax(hs[lo:hi] @ p["w"][k] + p["wb"][k])
+            q[np.arange(hi - lo), ranks[lo:hi] - k * CLASS_WORDS] -= 1
             q *= scale
-            grads["w"][k], grads["wb"][k] = hs[idx].T @ q, q.sum(0)
-            dh[idx] += q @ p["w"][k].T
-    back = np.zeros((steps * lanes, STATE), np.float32)
-    back[live] = dh
+            grads["w"][k], grads["wb"][k] = hs[lo:hi].T @ q, _column_sums(q)
+            dh[lo:hi] += q @ p["w"][k].T
+    back = np.zeros((steps * lanes, STATE), kind)
+    back[flat] = dh
     back = back.reshape(steps, lanes, STATE)
-    carry = np.zeros((lanes, STATE), np.float32)
+    z = zr[:, :, :STATE]
+    to_z, to_n, slope = (old - n) * z * (1 - z), (1 - z) * (1 - n * n), zr[:, :, STATE:] * (1 - zr[:, :, STATE:])
+    rows = np.empty((steps, lanes, 3 * STATE), kind)
+    carry = np.zeros((lanes, STATE), kind)
+    vt, ut = p["v"].T.copy(), p["u"].T.copy()
     for s in range(steps - 1, -1, -1):
-        old, new, z, r, n, source = kept[s]
-        on = (token[s] >= 0)[:, None]
-        g = np.where(on, carry + back[s], 0)
-        through = np.where(on, 0, carry)
-        dz, dn = g * (old - n), g * (1 - z)
-        dn = dn * (1 - n * n)
-        drh = dn @ p["v"].T
-        dr = drh * old
-        da = np.concatenate([dz * z * (1 - z), dr * r * (1 - r)], axis=1)
-        grads["u"] += old.T @ da
-        grads["v"] += (r * old).T @ dn
-        full = np.concatenate([da, dn], axis=1)
-        np.add.at(grads["x"], source, full)
-        grads["b"] += full.sum(0)
-        carry = g * z + drh * r + da @ p["u"].T + through
-        carry = np.where(fresh[s][:, None], np.float32(0), carry)
+        g = carry + back[s]
+        if not full[s]:
+            through = np.where(live[s][:, None], kind.type(0), carry)
+            g = np.where(live[s][:, None], g, kind.type(0))
+        row = rows[s]
+        dn = row[:, 2 * STATE :]
+        np.multiply(g, to_n[s], out=dn)
+        drh = dn @ vt
+        np.multiply(g, to_z[s], out=row[:, :STATE])
+        np.multiply(drh * old[s], slope[s], out=row[:, STATE : 2 * STATE])
+        carry = g * z[s] + drh * zr[s, :, STATE:] + row[:, : 2 * STATE] @ ut
+        if not full[s]:
+            carry += through
+        if begins[s]:
+            carry = np.where(fresh[s][:, None], kind.type(0), carry)
+    rows = rows.reshape(-1, 3 * STATE)
+    grads["u"] = old.reshape(-1, STATE).T @ rows[:, : 2 * STATE]
+    grads["v"] = r.reshape(-1, STATE).T @ rows[:, 2 * STATE :]
+    grads["b"] = _column_sums(rows)
+    # rows of the input table that occur, summed up
+    source = source.ravel()
+    order = np.argsort(source.astype(np.int16), kind="stable")
+    heads = np.flatnonzero(np.diff(source[order], prepend=-1))
+    grads["x"][source[order[heads]]] = np.add.reduceat(rows[order], heads, axis=0)
     return grads, h, before
 
 
+def _softmax(y: np.ndarray) -> np.ndarray:
+    y -= y.max(axis=1, keepdims=True)
+    np.exp(y, out=y)
+    y /= (y @ np.ones(y.shape[1], y.dtype))[:, None]
+    return y
+
+
+def _column_sums(y: np.ndarray) -> np.ndarray:
+    return np.ones(len(y), y.dtype) @ y
+
+
 def log10_scores(net: Network, vocabulary: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each document (ranks with the end token) but for the counts
     of unlisted words, which are to be added."""
@@ -333,15 +412,58 @@ def fit(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, Network]:
     top = counts.where(F.col("c") >= (least if least is not None else size["total"] or 0)).toArrow()
     top = top.sort_by([("c", "descending"), ("word", "ascending")]).slice(0, BANDS[-1])
     vocabulary = Vocabulary(top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64), size["total"] or 0, size["distinct"])
-    known = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    picked = docs.select("id").where(known & F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    sample, size_ = [], 0
-    for r in docs.join(picked, "id").select("id", "text").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).collect():
-        ranks = vocabulary.ranks([*words_of(r["text"]), END])
-        if size_ + len(ranks) <= SAMPLE_TOKENS:
-            sample.append(ranks)
-            size_ += len(ranks)
-    return vocabulary, train(sample)
+    return vocabulary, trained(docs, vocabulary)[0]
+
+
+def trained(docs: DataFrame, vocabulary: Vocabulary) -> tuple[Network, int]:
+    """The network after all rounds, and the number of tokens it has learned from: every
+    token of every training document (``id, text``) once. A task returns its weights and
+    tokens, which have a fixed size; they are added up in parts before the driver takes
+    the mean."""
+    net = Network(vocabulary=vocabulary)
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary.words)  # of bounded size
+    counts = (vocabulary.counts, vocabulary.total, vocabulary.distinct)
+    name = ("vocabulary", uuid.uuid4().hex)
+    training = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
+    place = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(ROUNDS[-1]))
+    learned, begin = 0, 0
+    for end in ROUNDS:
+        start = docs.sparkSession.sparkContext.broadcast(net.packed())
+
+        def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            vocabulary = kept_in_worker(name, lambda: Vocabulary(words.value, *counts))
+            trainer, held, size = Trainer(Network().unpacked(start.value)), [], 0
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    held.append(vocabulary.ranks([*words_of(text), END]))
+                    size += len(held[-1])
+                    if size >= TRAIN_SLICE:
+                        trainer.learn(held)
+                        held, size = [], 0
+            trainer.learn(held)
+            if trainer.tokens:
+                slot = TaskContext.get().partitionId() % SLOTS
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([trainer.tokens]), pa.array([trainer.net.packed()], pa.binary())], names=["slot", "n", "weights"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = 0, 0
+            for batch in batches:
+                for tokens, data in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist()):
+                    total, n = total + tokens * np.frombuffer(data, "<f4").astype(np.float64), n + tokens
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
+
+        part = docs.where(training & (place >= begin) & (place < end)).select("text")
+        sent = part.mapInArrow(learn, "slot int, n long, weights binary")
+        sums = sent.repartition(SLOTS, "slot").mapInArrow(add, "n long, total binary").collect()
+        n = sum(r["n"] for r in sums)
+        if n:
+            mean = sum(np.frombuffer(r["total"], np.float64) for r in sums) / n
+            net = net.unpacked(mean.astype("<f4").tobytes())
+        learned, begin = learned + n, end
+    return net, learned
 
 
 _ROW = "k long, id long, held_out boolean, n_tokens long, n_known long, n_open long, base double, score double, h long, n long"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from eventloom.llm import decontam, idstore, language, linededup, neighbours, packing, quality, queries, simhash, suffixes, webpages
-from eventloom.llm.common import table, tokenizer_path
+from eventloom.llm.common import table, tokenizer_path, written
 from eventloom.llm.linking import components
 from eventloom.llm.tokens import Encoder
 from eventloom.session import shared_dir
@@ -397,7 +397,6 @@ def test_main_text_odd_rows(spark, sf):
 
 def test_language_counts(spark, sf, texts, monkeypatch):
     monkeypatch.setattr(language, "BANDS", (2048, 2200, 2400, 3000))
-    monkeypatch.setattr(language, "EPOCHS", 1)
     words = {i: [*(t or "").encode().lower().split(), b" "] for i, t in texts.items()}
     counts = Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     total, distinct = sum(counts.values()), len(counts)
@@ -461,6 +460,34 @@ def test_language_held_out_beats_base(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_language_learns_from_every_training_token(spark, sf, texts, monkeypatch):
+    """Small slices, cut texts and several tasks: each token is learned from once."""
+    monkeypatch.setattr(language, "TRAIN_SLICE", 3000)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.unionAll(docs.sparkSession.createDataFrame([(None, "a row without an id"), (10**6, "w " * 40_000)], docs.schema)).repartition(5)
+    vocabulary, _ = language.fit(docs.limit(0), written(language.token_counts(docs)))
+    net, learned = language.trained(docs, vocabulary)
+    assert learned == vocabulary.total > 90_000
+    start = language.Network(vocabulary=vocabulary)
+    ranks = [vocabulary.ranks([*language.words_of(t or ""), language.END]) for i, t in texts.items() if not language.held_out(i)]
+    assert language.log10_scores(net, vocabulary, ranks).sum() > language.log10_scores(start, vocabulary, ranks).sum()
+    again = language.trained(docs, vocabulary)[0]
+    assert all(np.allclose(net.p[k], again.p[k]) for k in net.p)
+
+
+def test_language_starts_from_the_counts(monkeypatch):
+    words = [b"w%d" % k for k in range(2500)]
+    counts = np.arange(2500, 0, -1, dtype=float)
+    vocabulary = language.Vocabulary(words, counts, int(counts.sum()), 2500)
+    net = language.Network(vocabulary=vocabulary)
+    net.p["c"][:], net.p["w"][:] = 0, 0
+    alone = language.log10_scores(net, vocabulary, [np.array([k], np.int32) for k in (0, 70, 2047, 2300)])
+    want = [vocabulary.log_count[k] - vocabulary.log_all for k in (0, 70, 2047, 2300)]
+    assert alone == pytest.approx(want, abs=1e-3)
+    same = net.unpacked(net.packed())
+    assert all((same.p[k] == net.p[k]).all() for k in net.p)
+
+
 def test_language_odd_rows(spark):
     out = language.scored(docs_of(spark, ODD)).collect()
     assert len(out) == len(ODD) and {r["n_tokens"] for r in out if r["doc_id"] in (1, 2, 5)} == {1}
