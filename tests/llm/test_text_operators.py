@@ -581,3 +581,43 @@ def test_suffix_query(spark, sf, texts):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == dict(zip(texts, want))
     whole = {r["doc_id"]: r["text"] for r in rows if not r["n_removed"]}
     assert whole == {i: texts[i] or "" for i in whole} and len(whole) < len(rows)
+
+
+@pytest.mark.parametrize(
+    "page,chars",
+    [("<script " * 700_000, 5_599_999), ('<script "' * 600_000, 5_400_000), ("<div>x" * 800_000, None), ("<div>" * 300_000 + "</p>" * 800_000, 0), ("<ul><li><ul>" + "<div>" * 300_000 + "<li>y</li>" * 300_000, None),
+     ("<" * 5_000_000, None), ("<!-- " * 1_000_000, 0), ("<p '>" * 1_000_000, 0), ("a " * 2_500_000, 4_999_999)],
+    ids=["unclosed", "quotes", "nested", "stray ends", "lists", "brackets", "comments", "quoted ends", "one block"],
+)
+def test_main_text_of_bad_pages(page, chars):
+    """Five million characters of markup that never closes take time in proportion."""
+    import time
+
+    began = time.process_time()
+    text = webpages.main_text(page)
+    assert time.process_time() - began < 30 and (chars is None or len(text) == chars)
+
+
+def test_scanner():
+    tokens = lambda page: [(t or f"{'/' if closing else ''}{tag}{attributes}") for t, tag, closing, attributes in webpages._tokens(page)]
+    assert tokens("a<p class=\"x>y\">b</p >c<br/>") == ["a", 'p class="x>y"', "b", "/p ", "c", "br/"]
+    assert tokens("<!-- <p> --><SCRIPT a='>'>if (a<b) '</p>'</script >d<style>never") == ["d"]
+    assert tokens("1 < 2 <3 <!doctype html><?x?></%><q") == ["1 ", "<", " 2 ", "<", "3 ", "<", "q"]
+    assert tokens("<p a='x<b>y") == ["<", "p a='x", "b", "y"]
+    blocks = webpages.blocks_of("<div><p>one<p>two</div><ul><li>three<li>four</ul>")
+    assert [(b.text, b.tag, b.depth, b.shared) for b in blocks] == [("one", "p", 2, 0), ("two", "p", 2, 1), ("three", "li", 2, 0), ("four", "li", 2, 1)]
+    weights = [w for _, _, w in webpages.edges_of(blocks)]
+    near = webpages.ADJACENT + webpages.NEAR * webpages.FADE**2
+    assert weights == pytest.approx([near, webpages.ADJACENT, near])
+
+
+def test_cut_follows_the_neighbours():
+    """A doubtful block takes the label of its neighbours in the tree, one of its own does not."""
+    p = "<p>This is a sentence of a text that goes on for a while, as sentences of texts do.</p>"
+    page = f"<div>{p}{p}<p>No.</p>{p}</div><div><div><a href=x>No.</a></div></div>"
+    blocks = webpages.blocks_of(page)
+    costs = [webpages.content_cost(b) for b in blocks]
+    assert [c > 0 for c in costs] == [True, True, costs[2] > 0, True, False]
+    costs[2] = -0.3
+    keep = webpages.minimum_cut(costs, webpages.edges_of(blocks))
+    assert keep == [True, True, True, True, False]
