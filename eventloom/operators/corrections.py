@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
 from eventloom.functions.kinematics import delta_phi, folded_delta_r
-from eventloom.operators.lookup import BinnedTable, interval_value, side_by_side
+from eventloom.operators.lookup import BinnedTable, Lookup, StoredTable, interval_value, looked_up_fields, side_by_side
 from eventloom.operators.scale import keyed_uniform
 from eventloom.operators.variations import quadrature_shift
 
@@ -27,8 +27,10 @@ from eventloom.operators.variations import quadrature_shift
 class Context:
     era: str = ""
     dataset: str = ""
-    tables: dict[str, BinnedTable] = field(default_factory=dict)
+    tables: dict[str, BinnedTable | StoredTable] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    #: columns that name an event, for tables too large to go into the plan
+    key: Sequence[str] = ()
     options: dict[str, dict] = field(default_factory=dict)
 
 
@@ -93,6 +95,14 @@ def add_fields(df: DataFrame, coll: str, fields: dict[str, Callable[[Column], Co
     return df.withColumn(coll, F.transform(coll, extend))
 
 
+def add_looked_up(df: DataFrame, ctx: Context, coll: str, *stages: dict[str, Callable[[Column], Column] | Lookup]) -> DataFrame:
+    """Like ``add_fields`` in several stages, whose fields may be lookups in tables of
+    any size. Fields that are there stay as they are."""
+    have = element_fields(df, coll)
+    todo = [{n: f for n, f in stage.items() if n not in have} for stage in stages]
+    return looked_up_fields(df, coll, [s for s in todo if s], ctx.key) if any(todo) else df
+
+
 def settle(df: DataFrame, *names: str) -> DataFrame:
     """Compute derived columns once before filters that use them.
 
@@ -120,12 +130,9 @@ def jet_scale_mc(df: DataFrame, ctx: Context, coll: str = "jets", with_phi: bool
     def raw(o: Column) -> Column:
         return o["pt"] * (1.0 - o["raw"])
 
-    def factor(o: Column) -> Column:
-        return t.at(o["eta"], o["phi"], raw(o)) if with_phi else t.at(o["eta"], raw(o))
-
-    df = add_fields(df, coll, {"l2": factor})
-    return add_fields(
-        df, coll, {"pt_jec": lambda o: raw(o) * o["l2"], "mass_jec": lambda o: o["mass"] * (1.0 - o["raw"]) * o["l2"]}
+    level_2 = Lookup(t, lambda o: (o["eta"], o["phi"], raw(o)) if with_phi else (o["eta"], raw(o)))
+    return add_looked_up(
+        df, ctx, coll, {"l2": level_2}, {"pt_jec": lambda o: raw(o) * o["l2"], "mass_jec": lambda o: o["mass"] * (1.0 - o["raw"]) * o["l2"]}
     )
 
 
@@ -138,16 +145,16 @@ def jet_scale_data(df: DataFrame, ctx: Context, coll: str = "jets", run: str = "
     def raw(o: Column) -> Column:
         return o["pt"] * (1.0 - o["raw"])
 
-    df = add_fields(df, coll, {"l2": lambda o: l2.at(o["eta"], o["phi"], raw(o)) if with_phi else l2.at(o["eta"], raw(o))})
-
-    def residual(o: Column) -> Column:
+    def residual(o: Column) -> Sequence[Column]:
         after = raw(o) * o["l2"]
-        return res.at(F.col(run), o["eta"], after) if use_run else res.at(o["eta"], after)
+        return (F.col(run), o["eta"], after) if use_run else (o["eta"], after)
 
-    df = add_fields(df, coll, {"residual": residual})
-    return add_fields(
+    return add_looked_up(
         df,
+        ctx,
         coll,
+        {"l2": Lookup(l2, lambda o: (o["eta"], o["phi"], raw(o)) if with_phi else (o["eta"], raw(o)))},
+        {"residual": Lookup(res, residual)},
         {
             "pt_jec": lambda o: raw(o) * o["l2"] * o["residual"],
             "mass_jec": lambda o: o["mass"] * (1.0 - o["raw"]) * o["l2"] * o["residual"],
@@ -161,6 +168,8 @@ def jet_scale_sources(df: DataFrame, ctx: Context, coll: str = "jets", sources:
     t = ctx.tables["scale_sources"]
     if not sources:
         return df
+    if not t.inline:
+        return add_looked_up(df, ctx, coll, {s: Lookup(t, lambda o, s=s: (s, o["eta"], o[pt])) for s in sources})
     df = add_fields(df, coll, {"_scale_cell": lambda o: t.fixed(sources[0]).cell(o["eta"], o[pt])})
     return add_fields(df, coll, {s: (lambda o, s=s: t.fixed(s).value(o["_scale_cell"])) for s in sources})
 
@@ -273,14 +282,10 @@ def jet_veto(
     hold only selected objects). ``shifts`` adds a weight per shifted pt.
     """
     vmap = ctx.tables["veto_map"]
-    df = add_fields(
-        df,
-        coll,
-        {
-            "pass_veto": lambda o: vmap.at(V.clamp(o["eta"], -5.191, 5.191), V.clamp(o["phi"], -3.1415, 3.1415)) == 0.0,
-            "id_tight": identify,
-        },
-    )
+    cell = Lookup(vmap, lambda o: (V.clamp(o["eta"], -5.191, 5.191), V.clamp(o["phi"], -3.1415, 3.1415)))
+    if "pass_veto" not in element_fields(df, coll):
+        df = add_looked_up(df, ctx, coll, {"_veto": cell}, {"pass_veto": lambda o: o["_veto"] == 0.0})
+    df = add_fields(df, coll, {"id_tight": identify})
 
     def weight(value: Callable[[Column], Column]) -> Column:
         bad = F.exists(F.col(coll), lambda o: (value(o) > 15.0) & o["id_tight"] & loose(o) & ~o["pass_veto"])

@@ -3,7 +3,8 @@
 A binned table is small by nature (one value per calibration cell). Up to
 ``INLINE_CELLS`` cells it becomes one array literal and the lookup is index
 arithmetic inside the row: no join, usable inside lambdas over collections.
-A larger table is joined on computed bin numbers, an equi join.
+A larger table, or one that is a DataFrame (``StoredTable``), is joined on the cell
+number, an equi join; ``looked_up_fields`` chooses by table.
 """
 
 from __future__ import annotations
@@ -16,24 +17,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.vectors import bind, double_array
-from eventloom.operators.scale import values_table
+from eventloom.operators.scale import values_table, written
 
 INLINE_CELLS = 1 << 20
+#: inner edges of an axis from which a bin is found by halving
+SEARCHED = 64
 
 
-@dataclass(frozen=True)
-class BinnedTable:
-    """Values over category keys and binned axes, last axis fastest.
-
-    ``flow`` is ``clamp`` (inputs are moved into the table) or ``error``.
-    """
+class _Layout:
+    """Category keys and binned axes of a table, and the number of a cell in it."""
 
     axes: Sequence[tuple[str, Sequence[float]]]
-    values: Sequence[float]
-    categories: Sequence[tuple[str, Sequence]] = field(default_factory=tuple)
-    flow: str = "clamp"
+    categories: Sequence[tuple[str, Sequence]]
+    flow: str
 
-    def __post_init__(self) -> None:
+    def size(self) -> int:
         cells = 1
         for _, keys in self.categories:
             cells *= len(keys)
@@ -41,10 +39,9 @@ class BinnedTable:
             if any(b <= a for a, b in zip(edges, edges[1:])):
                 raise ValueError(f"axis {name}: edges must increase")
             cells *= len(edges) - 1
-        if cells != len(self.values):
-            raise ValueError(f"table has {len(self.values)} values for {cells} cells")
         if self.flow not in ("clamp", "error"):
             raise ValueError("flow must be clamp or error")
+        return cells
 
     def bin_no(self, axis: int, x: Column) -> Column:
         """0-based bin of ``x`` on an axis."""
@@ -54,6 +51,8 @@ class BinnedTable:
             b = F.lit(0)
         elif len(inner) == 1:
             b = (x >= float(inner[0])).cast("int")
+        elif len(inner) > SEARCHED:
+            b = F.when(x.isNotNull(), bind(F.struct(double_array(inner).alias("e"), x.alias("x")), lambda v: count_up_to(v["e"], v["x"])))
         else:
             b = bind(x, lambda v: F.size(F.filter(double_array(inner), lambda e: e <= v)))
         if self.flow == "error":
@@ -67,15 +66,6 @@ class BinnedTable:
         known = F.array(*[F.lit(k) for k in keys])
         return F.nullif(F.array_position(known, key), F.lit(0)) - 1
 
-    def fixed(self, *keys) -> "BinnedTable":
-        """The part of the table with literal leading category keys."""
-        values = list(self.values)
-        for (name, known), k in zip(self.categories, keys):
-            size = len(values) // len(known)
-            no = list(known).index(k)
-            values = values[no * size : (no + 1) * size]
-        return BinnedTable(self.axes, values, self.categories[len(keys) :], self.flow)
-
     def cell(self, *inputs: Column) -> Column:
         """Flat cell number for category keys followed by axis coordinates.
         Several tables (or parts) with the same layout can share it."""
@@ -88,6 +78,36 @@ class BinnedTable:
             flat = no if flat is None else flat * (len(edges) - 1) + no
         return flat.cast("int")
 
+
+@dataclass(frozen=True)
+class BinnedTable(_Layout):
+    """Values over category keys and binned axes, last axis fastest.
+
+    ``flow`` is ``clamp`` (inputs are moved into the table) or ``error``.
+    """
+
+    axes: Sequence[tuple[str, Sequence[float]]]
+    values: Sequence[float]
+    categories: Sequence[tuple[str, Sequence]] = field(default_factory=tuple)
+    flow: str = "clamp"
+
+    def __post_init__(self) -> None:
+        if self.size() != len(self.values):
+            raise ValueError(f"table has {len(self.values)} values for {self.size()} cells")
+
+    @property
+    def inline(self) -> bool:
+        return len(self.values) <= INLINE_CELLS
+
+    def fixed(self, *keys) -> "BinnedTable":
+        """The part of the table with literal leading category keys."""
+        values = list(self.values)
+        for (name, known), k in zip(self.categories, keys):
+            size = len(values) // len(known)
+            no = list(known).index(k)
+            values = values[no * size : (no + 1) * size]
+        return BinnedTable(self.axes, values, self.categories[len(keys) :], self.flow)
+
     def value(self, cell: Column) -> Column:
         if len(self.values) > INLINE_CELLS:
             raise ValueError("table too large to inline, use join_lookup")
@@ -113,6 +133,100 @@ class BinnedTable:
         return values_table(spark, ", ".join([*names, "value double"]), list(self.cells()))
 
 
+@dataclass(frozen=True)
+class StoredTable(_Layout):
+    """A table of any size whose values are a DataFrame ``cell, value`` (cells numbered
+    as in ``BinnedTable``). Cells without a row have no value."""
+
+    axes: Sequence[tuple[str, Sequence[float]]]
+    values: DataFrame
+    categories: Sequence[tuple[str, Sequence]] = field(default_factory=tuple)
+    flow: str = "clamp"
+    inline = False
+
+    def __post_init__(self) -> None:
+        self.size()
+
+    def fixed(self, *keys) -> "StoredTable":
+        """The part with literal leading category keys."""
+        first, size = 0, self.size()
+        for (_, known), k in zip(self.categories, keys):
+            size //= len(known)
+            first += list(known).index(k) * size
+        part = self.values.where(F.col("cell").between(first, first + size - 1)).select((F.col("cell") - first).alias("cell"), "value")
+        return StoredTable(self.axes, part, self.categories[len(keys) :], self.flow)
+
+
+def stored(spark: SparkSession, table: BinnedTable) -> StoredTable:
+    """A table of the driver as one that is joined; its values are stored once."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"cell": range(len(table.values)), "value": [float(v) for v in table.values]})
+    return StoredTable(table.axes, written(spark.createDataFrame(frame)), table.categories, table.flow)
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A field of objects that comes from a table: ``inputs`` gives, for an object, the
+    category keys and coordinates; leading literals select a part of the table."""
+
+    table: BinnedTable | StoredTable
+    inputs: Callable[[Column], Sequence[Column | str | int]]
+
+    def here(self) -> tuple[Sequence, _Layout, Callable[[Column], Sequence[Column]]]:
+        """The literal keys, and the rest of the inputs for the part they select."""
+        given = list(itertools.takewhile(lambda x: isinstance(x, (str, int)), self.inputs(F.col("_o"))))
+        return given, self.table.fixed(*given) if given else self.table, lambda o: list(self.inputs(o))[len(given) :]
+
+
+def looked_up_fields(df: DataFrame, coll: str, stages: Sequence[dict[str, Callable[[Column], Column] | Lookup]], key: Sequence[str]) -> DataFrame:
+    """Add fields to the objects of a collection, stage by stage: each a function of the
+    object or a ``Lookup``; a stage may use the fields of the ones before.
+
+    With tables that fit into the plan all is done inside the row. If one does not, the
+    collection is taken apart once, the objects go through all stages as rows, joined
+    with the tables on the cell, and are put together once, by ``key``, in their order.
+    """
+    looks = [f for stage in stages for f in stage.values() if isinstance(f, Lookup)]
+    if all(f.table.inline for f in looks):
+        for stage in stages:
+            made = {n: (lambda o, f=f: f.table.at(*f.inputs(o))) if isinstance(f, Lookup) else f for n, f in stage.items()}
+            extended = lambda o, made=made: _with_fields(o, {n: f(o) for n, f in made.items()})
+            df = df.withColumn(coll, F.transform(coll, lambda o: extended(o)))
+        return df
+    if not key:
+        raise ValueError("a table of this size needs the key of the events")
+    spark = df.sparkSession
+    # the outer form keeps Spark from adding a size filter that would compute a
+    # derived collection a second time
+    rows = df.select(*[c for c in df.columns if c != coll], F.posexplode_outer(coll).alias("_p", "_o")).filter(F.col("_p").isNotNull())
+    for stage in stages:
+        new: dict[str, Column] = {}
+        for n, f in stage.items():
+            if not isinstance(f, Lookup):
+                new[n] = f(F.col("_o"))
+            elif f.table.inline:
+                new[n] = f.table.at(*f.inputs(F.col("_o")))
+            else:
+                _, part, inputs = f.here()
+                part = part if isinstance(part, StoredTable) else stored(spark, part)
+                cells = part.values.select(F.col("cell").cast("long").alias(f"_c_{n}"), F.col("value").alias(f"_v_{n}"))
+                rows = rows.withColumn("_cell", part.cell(*inputs(F.col("_o"))).cast("long")).join(cells, F.col("_cell") == F.col(f"_c_{n}"), "left").drop("_cell", f"_c_{n}")
+                new[n] = F.col(f"_v_{n}")
+        rows = rows.withColumn("_o", _with_fields(F.col("_o"), new)).drop(*[f"_v_{n}" for n in stage])
+    parts = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_p", "_o"))).alias("_all"))
+    kind = rows.schema["_o"].dataType.simpleString()
+    out = df.drop(coll).join(parts, list(key), "left")
+    objects = F.coalesce(F.transform("_all", lambda x: x["_o"]), F.array().cast(f"array<{kind}>"))
+    return out.select(*[(objects.alias(coll) if c == coll else F.col(c)) for c in df.columns])
+
+
+def _with_fields(o: Column, fields: dict[str, Column]) -> Column:
+    for n, value in fields.items():
+        o = o.withField(n, value)
+    return o
+
+
 def side_by_side(columns: Sequence[Sequence[float]]) -> Callable[[Column], Column]:
     """Several tables (or parts) of one layout as one array literal: from a cell number
     to the array of their values there, one lookup for all of them."""
@@ -158,16 +272,21 @@ RANGE_CHUNK = 128
 def last_not_after(items: Column, x: Column, start: str) -> Column:
     """Position of the last of the sorted ``items`` whose field ``start`` is at most
     ``x``, by halving; -1 if there is none or ``x`` is missing."""
+    return count_up_to(items, x, lambda i: i[start]) - 1
+
+
+def count_up_to(items: Column, x: Column, value: Callable[[Column], Column] = lambda i: i) -> Column:
+    """How many of the sorted ``items`` are at most ``x``, by halving."""
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(items) + 1.0)).cast("int")))
 
     def halve(at: Column, _: Column) -> Column:
         lo, hi = at["lo"], at["hi"]
         middle = F.floor((lo + hi) / 2).cast("int")
-        right = (lo < hi) & F.coalesce(F.get(items, middle)[start] <= x, F.lit(False))
+        right = (lo < hi) & F.coalesce(value(F.get(items, middle)) <= x, F.lit(False))
         return F.struct(F.when(right, middle + 1).otherwise(lo).alias("lo"), F.when(right | (lo >= hi), hi).otherwise(middle).alias("hi"))
 
     whole = F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi"))
-    return F.aggregate(steps, whole, halve, lambda at: at["lo"] - 1)
+    return F.aggregate(steps, whole, halve, lambda at: at["lo"])
 
 
 def _range_index(ranges: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:

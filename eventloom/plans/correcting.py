@@ -16,7 +16,7 @@ from eventloom.operators.corrections import (
     lepton_for_overlap,
     muon_for_overlap,
 )
-from eventloom.operators.lookup import BinnedTable
+from eventloom.operators.lookup import BinnedTable, StoredTable
 from eventloom.plans.registry import query
 from eventloom.plans.tables import SQL_EV, SQL_OBJ, events, heads, nested, r, sql_dr, sql_folded
 
@@ -137,6 +137,34 @@ def jet_energy_data(spark, sf):
     return per_jet(df, "pt_jec", "mass_jec").select("k", "i", r("pt_jec", 8).alias("pt_jec"), r("mass_jec", 8).alias("mass_jec"))
 
 
+#: a residual of more than a million cells: run, fine eta and fine pt
+FINE_ETA, FINE_PT = tuple(-2.4 + k * 0.08 for k in range(61)), tuple(k * 0.05 for k in range(2601))
+
+
+def _fine_residual(spark) -> StoredTable:
+    """Values follow from the number of the cell by a rule."""
+    cells = spark.range(len(YEARS) * 60 * 2600).select(F.col("id").alias("cell"), (F.lit(0.9) + (F.col("id") % 1009) / F.lit(9973.0)).alias("value"))
+    return StoredTable([("eta", FINE_ETA), ("pt", FINE_PT)], cells, [("run", YEARS)])
+
+
+def _sql_fine(x: str, edges: str) -> str:
+    return f"len([e FOR e IN {edges} IF e <= {x}])"
+
+
+@query(
+    f"""{SQL_JET}, {SQL_EV}, j1 AS (SELECT j0.*, run, pt * (1 - raw) AS rp FROM j0 JOIN ev USING (k)), j2 AS (SELECT *, {sql_at(L2, 'eta', 'rp')} AS l2 FROM j1),
+j3 AS (SELECT *, ((CASE run {' '.join(f'WHEN {y} THEN {i}' for i, y in enumerate(YEARS))} END) * 60 + {_sql_fine('eta', '[-2.4::DOUBLE + q * 0.08::DOUBLE FOR q IN range(1, 60)]')}) * 2600 + {_sql_fine('(rp * l2)', '[q * 0.05::DOUBLE FOR q IN range(1, 2600)]')} AS cell FROM j2),
+j4 AS (SELECT *, 0.9::DOUBLE + (cell % 1009) / 9973.0::DOUBLE AS residual FROM j3)
+SELECT k, i, round(residual, 9) AS residual, round(rp * l2 * residual, 8) AS pt_jec, round(mass * (1 - raw) * l2 * residual, 8) AS mass_jec FROM j4"""
+)
+def jet_energy_fine(spark, sf):
+    """A residual table of over a million cells, joined while the jets are apart once."""
+    ctx = Context(tables={"l2": L2, "residual": _fine_residual(spark)}, key=["k"])
+    df = apply_corrections(jets(spark, sf, head=["run"]), ["jet_scale_data"], ctx)
+    out = per_jet(df, "residual", "pt_jec", "mass_jec")
+    return out.select("k", "i", r("residual", 9).alias("residual"), r("pt_jec", 8).alias("pt_jec"), r("mass_jec", 8).alias("mass_jec"))
+
+
 @query(SQL_L2 + " SELECT k, i, " + ", ".join(f"round({sql_at(SCALE_SOURCES, '=' + s, 'eta', 'pt_jec')}, 9) AS \"{s}\"" for s in SOURCES) + " FROM jet")
 def jet_energy_sources(spark, sf):
     """Relative uncertainty of every source as an own field."""

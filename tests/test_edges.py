@@ -419,3 +419,39 @@ def test_vectors_and_scores_under_variations(spark):
     z = sum(plain[f] for f in X.FEATURES)
     assert scores[1]["nominal"][0] == pytest.approx(1 / (1 + math.exp(-0.02 * z + 0.1))) and scores[1]["s_down"] is None and list(scores[2]) == ["nominal"]
     assert M.scores_by_variation(out.where("false"), "vectors", layers, [v.name for v in variations]).collect() == []
+
+
+def test_tables_inside_and_beside_the_plan(spark, monkeypatch):
+    """Corrections give the same objects whether their tables fit into the plan or not."""
+    from eventloom.operators import corrections as C
+    from eventloom.plans import correcting as P
+
+    rows = [(1, 1996, [(30.0, 0.5, 0.1, 4.0, 0.05), (12.0, -2.3, 3.0, 2.0, 0.0)], [(0.5, 0.2)]), (2, 1900, [(80.0, 1.1, -3.0, 9.0, 0.1)], []), (3, 1994, [], []), (4, 1994, None, [])]
+    kinds = "k int, run int, jets array<struct<pt:double,eta:double,phi:double,mass:double,raw:double>>, muons array<struct<eta:double,phi:double>>"
+    df = spark.createDataFrame(rows, kinds).withColumn("more", F.lit("x"))
+    names = ["jet_scale_data", "jet_scale_sources"]
+    tables = {"l2": P.L2, "residual": P.RESIDUAL, "scale_sources": P.SCALE_SOURCES}
+    options = {"jet_scale_sources": {"sources": P.SOURCES}}
+    run = lambda t, **more: C.apply_corrections(df, names, C.Context(tables=t, options=options, **more))
+    inside = run(tables)
+    beside = run({n: L.stored(spark, t) for n, t in tables.items()}, key=["k"])
+    key = lambda r: r["k"]
+    assert beside.columns == inside.columns == df.columns
+    want = sorted(inside.where("k < 4").collect(), key=key)
+    assert sorted(beside.where("k < 4").collect(), key=key) == want and want[1]["jets"][0]["residual"] is None and want[0]["jets"][1]["l2"] is not None
+    assert run({n: L.stored(spark, t) for n, t in tables.items()}, key=["k"]).where("k = 4").first()["jets"] == []
+    # a table that only grew beyond the limit needs no other call
+    monkeypatch.setattr(L, "INLINE_CELLS", 4)
+    assert sorted(run(tables, key=["k"]).where("k < 4").collect(), key=key) == want
+    with pytest.raises(ValueError, match="key"):
+        run(tables)
+    assert beside.where("false").collect() == []
+
+
+def test_count_up_to(spark):
+    edges = [0.5 * k for k in range(200)]
+    table = L.BinnedTable([("x", [-1.0, *edges, 1e9])], list(range(201)))
+    values = [None, -5.0, -0.1, 0.0, 0.49, 0.5, 50.2, 99.5, 1e12, float("nan")]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    got = [r["b"] for r in df.select("k", table.bin_no(0, F.col("x")).alias("b")).orderBy("k").collect()]
+    assert got == [None, 0, 0, 1, 1, 2, 101, 200, 200, 200]
