@@ -234,3 +234,17 @@ def default_feature_axis(feature: str, n: int = 40) -> Axis:
         return Axis(feature, n, *FEATURE_RANGES[feature])
     lo, hi = next((lo, hi) for pattern, lo, hi in OTHER_RANGES if fnmatchcase(feature, pattern))
     return Axis(feature, n, lo, hi)
+
+
+def prompt_counts(df: DataFrame, n_true: Column, leading: Column, subleading: Column, weight: Column, scale: float = 1.0, most: int = 3) -> DataFrame:
+    """Yields ``kind, category, n, yield`` of one pass over events: by the number of true
+    prompt objects (``true``, ``most`` and more together), and by how many of the two
+    leading reconstructed ones are prompt (``reco``: 0, 1, 2). Unknown flags are false,
+    an unknown number counts as none."""
+    known = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    kinds = F.array(
+        F.struct(F.lit("true").alias("kind"), F.least(F.coalesce(n_true, F.lit(0)), F.lit(most)).cast("int").alias("category")),
+        F.struct(F.lit("reco").alias("kind"), (known(leading) + known(subleading)).alias("category")),
+    )
+    rows = df.select(weight.cast("double").alias("_w"), F.inline(kinds))
+    return rows.groupBy("kind", "category").agg(F.count(F.lit(1)).alias("n"), (F.sum("_w") * scale).alias("yield"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.scale import values_table
 from eventloom.plans.registry import query
-from eventloom.plans.tables import SQL_EV, heads, r, table
+from eventloom.plans.tables import SQL_EV, heads, r, sql_bin, table
 from eventloom.sources import catalog as C
 from eventloom.sources import ledger as L
 
@@ -182,6 +182,28 @@ def stored_variants(spark, sf):
     return K.variants(back).withColumn("found", F.lit(True))
 
 
+@query(
+    f"""WITH {SQL_EV}, b AS (SELECT era, channel, greatest(1, least(10, {sql_bin('w', 10, 0.0, 2.0)})) AS ix, w FROM ev),
+v AS (SELECT era, channel, ix, 'MCTotalWeight' AS weight, w FROM b UNION ALL SELECT era, channel, ix, 'MCTotalWeight_up', w * 1.1::DOUBLE FROM b)
+SELECT era, channel, 'w' AS var, weight, CAST(ix AS INTEGER) AS ix, round(sum(w) / 7, 6) AS sumw, round(sum(w * w) / 49, 5) AS sumw2, count(*) AS n FROM v GROUP BY era, channel, weight, ix"""
+)
+def stored_contents(spark, sf):
+    """Contents of stored histograms, loaded with a factor and folded flow bins."""
+    import uuid
+
+    from eventloom.functions.binning import Axis
+    from eventloom.operators import histogram as H
+    from eventloom.session import shared_dir
+    from eventloom.sources import histstore as K
+
+    ax = Axis("w", 10, 0.0, 2.0)
+    hist = H.fill_weights(heads(spark, sf, "channel", "era", "w"), [ax], {"MCTotalWeight": F.col("w"), "MCTotalWeight_up": F.col("w") * 1.1}, ["era", "channel"])
+    path = f"{shared_dir(spark)}/hists-{uuid.uuid4().hex}"
+    K.save(H.with_edges(hist.withColumn("var", F.lit("w")), ax), path)
+    back = K.load(spark, path, factor=1 / 7, fold=ax.n)
+    return back.select("era", "channel", "var", "weight", "ix", r("sumw").alias("sumw"), r("sumw2", 5).alias("sumw2"), "n")
+
+
 SQL_SKIMMED = """WITH e AS (SELECT o_orderstatus AS status, o_orderpriority AS channel, o_totalprice / 100000 AS w FROM orders),
 g AS (SELECT status, count(*) AS n_rows, sum(w) AS sum_w, count(*) FILTER (w > 1.5 AND channel <> '5-LOW') AS n_kept, sum(w) FILTER (w > 1.5 AND channel <> '5-LOW') AS kept_w FROM e GROUP BY status)"""
 

@@ -498,6 +498,27 @@ def muon_momentum(spark, sf):
     return out.select("k", "i", *[r(c).alias(c) for c in ("pt_scaled", "pt_corr", "pt_reso_up", "pt_scale_up")])
 
 
+def _sql_guarded(v: str) -> str:
+    return f"(CASE WHEN {v} / ps > 2 OR {v} / ps < 0.1 OR {v} < 0 THEN ps ELSE {v} END)"
+
+
+def _sql_momentum(sign: str) -> str:
+    unc = f"sqrt(greatest(0.0::DOUBLE, power({sql_at(MUON_SCALE, '=stat_m', 'eta', 'phi')}, 2) / (pc * pc) + power({sql_at(MUON_SCALE, '=stat_a', 'eta', 'phi')}, 2) + 2 * charge * {sql_at(MUON_SCALE, '=rho', 'eta', 'phi')} * {sql_at(MUON_SCALE, '=stat_m', 'eta', 'phi')} / pc * {sql_at(MUON_SCALE, '=stat_a', 'eta', 'phi')}))"
+    reso = f"ps * (1 + (kk {sign} {sql_at(SMEAR_K, '=unc', 'ae')}) * ((pc / ps - 1) / nullif(kk, 0)))"
+    return f"round(CASE WHEN kk > 0 AND ae <= 2.4 THEN {_sql_guarded(reso)} ELSE pc END, 6), round(CASE WHEN ae <= 2.4 THEN pc {sign} pc * pc * {unc} ELSE pc END, 6)"
+
+
+@query(f"{SQL_MS}, d(k, i, side, reso, scale) AS (SELECT k, i, 'up', {_sql_momentum('+')} FROM c UNION ALL SELECT k, i, 'down', {_sql_momentum('-')} FROM c) SELECT k, i, side, reso, scale FROM d")
+def muon_momentum_sides(spark, sf):
+    """Both sides of the resolution and of the scale of the muon momentum."""
+    tables = {"muon_scale": MUON_SCALE, "smear_sigma": SMEAR_SIGMA, "smear_k": SMEAR_K, "smear_quantile": SMEAR_QUANTILE}
+    ctx = Context(tables=tables, options={"muon_smear": {"key": ["k", "block"]}})
+    df = apply_corrections(muons(spark, sf, "block"), ["muon_scale", "muon_smear"], ctx)
+    out = per_jet(df, *[f"pt_{v}_{d}" for v in ("reso", "scale") for d in ("up", "down")], coll="muons")
+    sides = F.array(*[F.struct(F.lit(d).alias("side"), r(f"pt_reso_{d}").alias("reso"), r(f"pt_scale_{d}").alias("scale")) for d in ("up", "down")])
+    return out.select("k", "i", F.inline(sides))
+
+
 def gen_events(spark, sf):
     """Objects as generator particles (codes from their numbers) and jets."""
     ev = events(spark, sf, ["pt", "eta", "phi", "part", "supp"], ["channel"]).filter(F.size("obj") > 0)

@@ -138,6 +138,21 @@ def truth_category_yields(spark, sf):
     return ev.select(n, "w").groupBy("n_true").agg(r(F.sum("w") * 108.96).alias("yield"))
 
 
+@query(
+    f"""WITH {SQL_OBJ}, {SQL_EV}, n AS (SELECT k, count(*) FILTER (flag = 'N') AS c, bool_or(i = 0 AND flag = 'N') AS a, bool_or(i = 1 AND flag = 'N') AS b FROM obj GROUP BY k),
+x AS (SELECT w, coalesce(c, 0) AS c, CAST(coalesce(a, FALSE) AS INTEGER) + CAST(coalesce(b, FALSE) AS INTEGER) AS reco FROM ev LEFT JOIN n USING (k))
+SELECT 'true' AS kind, CAST(least(c, 3) AS INTEGER) AS category, count(*) AS n, round(sum(w) * 108.96, 6) AS yield FROM x GROUP BY 2
+UNION ALL SELECT 'reco', reco, count(*), round(sum(w) * 108.96, 6) FROM x GROUP BY 2"""
+)
+def prompt_report(spark, sf):
+    """Yields by true prompt objects and by prompt ones among the two leading."""
+    ev = events(spark, sf, ["flag"], ["w"])
+    prompt = lambda o: o["flag"] == "N"
+    flag = lambda i: prompt(F.get("obj", F.lit(i)))
+    out = Q.prompt_counts(ev, F.size(F.filter("obj", prompt)), flag(0), flag(1), F.col("w"), 108.96)
+    return out.select("kind", "category", "n", r("yield").alias("yield"))
+
+
 @query(
     f"""{SQL_S}, x AS (SELECT *, sw > 0 AS pos FROM s)
 SELECT 'all' AS part, CAST(NULL AS VARCHAR) AS value, count(*) AS n_events, round(sum(sw), 8) AS weight_sum, round(sum(abs(sw)), 8) AS abs_weight_sum FROM x
