@@ -184,7 +184,7 @@ def stored_variants(spark, sf):
 
 @query(
     f"""WITH {SQL_EV}, b AS (SELECT era, channel, greatest(1, least(10, {sql_bin('w', 10, 0.0, 2.0)})) AS ix, w FROM ev),
-v AS (SELECT era, channel, ix, 'MCTotalWeight' AS weight, w FROM b UNION ALL SELECT era, channel, ix, 'MCTotalWeight_up', w * 1.1::DOUBLE FROM b)
+v AS (SELECT era, channel, ix, 'MCTotalWeight' AS weight, sqrt(w) AS w FROM b UNION ALL SELECT era, channel, ix, 'MCTotalWeight_up', sqrt(w) * 1.1::DOUBLE FROM b)
 SELECT era, channel, 'w' AS var, weight, CAST(ix AS INTEGER) AS ix, round(sum(w) / 7, 6) AS sumw, round(sum(w * w) / 49, 5) AS sumw2, count(*) AS n FROM v GROUP BY era, channel, weight, ix"""
 )
 def stored_contents(spark, sf):
@@ -197,7 +197,7 @@ def stored_contents(spark, sf):
     from eventloom.sources import histstore as K
 
     ax = Axis("w", 10, 0.0, 2.0)
-    hist = H.fill_weights(heads(spark, sf, "channel", "era", "w"), [ax], {"MCTotalWeight": F.col("w"), "MCTotalWeight_up": F.col("w") * 1.1}, ["era", "channel"])
+    hist = H.fill_weights(heads(spark, sf, "channel", "era", "w"), [ax], {"MCTotalWeight": F.sqrt("w"), "MCTotalWeight_up": F.sqrt("w") * 1.1}, ["era", "channel"])
     path = f"{shared_dir(spark)}/hists-{uuid.uuid4().hex}"
     K.save(H.with_edges(hist.withColumn("var", F.lit("w")), ax), path)
     back = K.load(spark, path, factor=1 / 7, fold=ax.n)
