@@ -582,7 +582,15 @@ def overlap_two_leptons(spark, sf):
     return apply_corrections(gen_events(spark, sf), ["overlap"], ctx).select("k", "n_additional", "n_from_top", "n_masked")
 
 
-@query()
+@query(
+    f"""WITH {SQL_OBJ}, a AS (SELECT *, CAST(CASE supp % 5 WHEN 0 THEN 6 WHEN 1 THEN 25 WHEN 2 THEN 13 ELSE 500 + part % 100 END AS INTEGER) AS code FROM obj),
+h AS (SELECT *, code >= 500 AND part % 2 = 1 AS b FROM a),
+t AS (SELECT h.k, h.i, h.eta, h.phi FROM h LEFT JOIN h c ON h.k = c.k AND c.i = h.i + 1 WHERE h.b AND NOT coalesce(c.b, FALSE)),
+o AS (SELECT t.k, t.i, t.eta, t.phi, coalesce(arg_max(u.code, u.i), -2) AS src FROM t LEFT JOIN a u ON t.k = u.k AND u.i BETWEEN t.i - 9 AND t.i - 1 AND u.code IN (6, 25) GROUP BY ALL),
+j AS (SELECT k, i, part % 3 <> 0 AS fl, eta + 0.1::DOUBLE AS eta, phi FROM a WHERE i % 2 = 0),
+n AS (SELECT k, i, arg_min(src, (d, oi)) AS src FROM (SELECT j.k, j.i, o.i AS oi, o.src, {sql_folded('j', 'o')} AS d FROM j JOIN o ON j.k = o.k) WHERE d < 0.4 GROUP BY k, i)
+SELECT k, CAST(count(*) FILTER (fl AND coalesce(src, -1) NOT IN (6, -1)) AS INTEGER) AS n_additional FROM j LEFT JOIN n USING (k, i) GROUP BY k HAVING count(*) FILTER (fl AND coalesce(src, -1) NOT IN (6, -1)) < 2"""
+)
 def overlap_first_rule(spark, sf):
     """The first rule: fewer than two additional jets, last copies only."""
     ctx = Context(dataset="anything", options={"overlap": {"rule": "v1"}})
