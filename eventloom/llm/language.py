@@ -19,13 +19,14 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import kept_in_worker, text_of, written
@@ -41,13 +42,13 @@ STATE = 16
 #: ends of the rounds of training, in 64ths of the documents by a hash of their id
 ROUNDS = (1, 4, 16, 64)
 #: steps of a window, lanes side by side in training and scoring
-STEPS, TRAIN_LANES, LANES = 32, 512, 512
+STEPS, TRAIN_LANES, LANES = 32, 256, 512
 #: size of a step at the beginning and at the end of a task's part
 RATE, LAST_RATE = 0.01, 0.001
 #: windows that a task's lanes are to make at least; parts of fewer tokens have fewer lanes
 LEAST_WINDOWS = 64
 #: tokens scored, and learned from, at a time
-SLICE, TRAIN_SLICE = 1 << 21, 1 << 20
+SLICE, TRAIN_SLICE = 3 << 20, 1 << 20
 #: parts in which the weights of the tasks are added up
 SLOTS = 16
 
@@ -84,8 +85,14 @@ class Vocabulary:
         self.log_all = float(np.log10(self.total + 0.5 * (self.distinct + 1)))
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        get, last = self.rank.get, self.last
-        return np.array([get(w, last) for w in words], np.int32)
+        return np.array(list(map(self.rank.get, words, repeat(self.last))), np.int32)
+
+
+def _shared(spark: SparkSession, vocabulary: Vocabulary) -> Callable[[], Vocabulary]:
+    """The vocabulary in tasks, made once per worker; what is sent has a bounded size."""
+    words = spark.sparkContext.broadcast(vocabulary.words)
+    counts, name = (vocabulary.counts, vocabulary.total, vocabulary.distinct), ("vocabulary", uuid.uuid4().hex)
+    return lambda: kept_in_worker(name, lambda: Vocabulary(words.value, *counts))
 
 
 def _classes(ranks: np.ndarray) -> np.ndarray:
@@ -158,15 +165,32 @@ class Network:
         n = np.tanh(a[:, 2 * STATE :] + (r * h) @ p["v"])
         return z * h + (1 - z) * n, z, r, n
 
-    def class_log(self, h: np.ndarray) -> np.ndarray:
-        y = h @ self.p["c"] + self.p["cb"]
-        y -= y.max(axis=1, keepdims=True)
-        return y - np.log(np.exp(y).sum(axis=1, keepdims=True))
+    def class_log(self, h: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Log probability of a class for every state."""
+        return _picked(h @ self.p["c"] + self.p["cb"], kinds)
+
+    def word_log(self, h: np.ndarray, k: int, words: np.ndarray) -> np.ndarray:
+        """Log probability of a word of class ``k`` for every state."""
+        return _picked(h @ self.p["w"][k] + self.p["wb"][k], words)
+
 
-    def word_log(self, h: np.ndarray, k: int) -> np.ndarray:
-        y = h @ self.p["w"][k] + self.p["wb"][k]
+def _powers(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of all rows, in place, and the sums of rows, with a common shift;
+    rows far below the largest one get a shift of their own."""
+    ones = np.ones(y.shape[1], y.dtype)
+    if y.size and y.max() - y.min() > 60:
         y -= y.max(axis=1, keepdims=True)
-        return y - np.log(np.exp(y).sum(axis=1, keepdims=True))
+    else:
+        y -= y.max(initial=0)
+    np.exp(y, out=y)
+    return y, y @ ones
+
+
+def _picked(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of every row the log of the share of one exponential."""
+    e, total = _powers(y)
+    # a share too small for the type is the smallest it knows
+    return np.log(np.maximum(e[np.arange(len(e)), at], np.finfo(e.dtype).tiny) / total)
 
 
 def _lanes(lengths: list[int], lanes: int) -> list[list[int]]:
@@ -183,19 +207,33 @@ def _lanes(lengths: list[int], lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda lane: -sum(lengths[i] for i in lane))
 
 
-def _laid_out(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranks by step and lane (-1: no token), whether a document begins there, and the
-    number of the document."""
-    dealt = _lanes([len(d) for d in docs], lanes)
-    steps = max(sum(len(docs[i]) for i in lane) for lane in dealt)
-    token, fresh, owner = np.full((steps, len(dealt)), -1, np.int32), np.zeros((steps, len(dealt)), bool), np.zeros((steps, len(dealt)), np.int32)
-    for k, lane in enumerate(dealt):
-        at = 0
-        for i in lane:
-            n = len(docs[i])
-            token[at : at + n, k], owner[at : at + n, k], fresh[at, k] = docs[i], i, True
-            at += n
-    return token, fresh, owner
+class _Layout:
+    """Documents in lanes, window by window. Lanes are in order of length, so those that
+    still have tokens come first; nothing is padded."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int):
+        dealt = _lanes([len(d) for d in docs], lanes)
+        order = [i for lane in dealt for i in lane]
+        lengths = np.array([len(docs[i]) for i in order], np.int64)
+        self.flat = np.concatenate([docs[i] for i in order])
+        self.owner = np.repeat(np.array(order, np.int32), lengths)
+        self.fresh = np.zeros(len(self.flat), bool)
+        self.fresh[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        self.size = np.array([sum(len(docs[i]) for i in lane) for lane in dealt], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.lanes, self.steps = len(dealt), int(self.size.max(initial=0))
+
+    def window(self, at: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks by step and lane (-1: no token), whether a document begins there, and the
+        number of the document, of the lanes that have tokens at step ``at``."""
+        on = int(np.searchsorted(-self.size, -at, "left"))
+        step = np.arange(at, min(at + steps, self.steps))[:, None]
+        place = self.start[:on] + step
+        over = step >= self.size[:on]
+        if over.any():
+            place[over] = 0
+            return np.where(over, -1, self.flat[place]), self.fresh[place] & ~over, self.owner[place]
+        return self.flat[place], self.fresh[place], self.owner[place]
 
 
 class Trainer:
@@ -217,15 +255,15 @@ class Trainer:
         # longer than the mean lane, a text goes on in another lane with a new state
         most = max(STEPS, -(-size // lanes))
         parts = [d[at : at + most] for d in docs for at in range(0, len(d), most)]
-        token, fresh, _ = _laid_out(parts, lanes)
-        h = np.zeros((token.shape[1], STATE), np.float32)
-        before = np.full(token.shape[1], Network.BEGIN)
-        windows = -(-len(token) // STEPS)
+        layout = _Layout(parts, lanes)
+        h = np.zeros((layout.lanes, STATE), np.float32)
+        before = np.full(layout.lanes, Network.BEGIN)
+        windows = -(-layout.steps // STEPS)
         for w in range(windows):
             # lanes that have ended take no more part
-            at = w * STEPS
-            on = int(np.count_nonzero(token[at] >= 0))
-            grads, h, before = _window(self.net, token[at : at + STEPS, :on], fresh[at : at + STEPS, :on], h[:on], before[:on])
+            token, fresh, _ = layout.window(w * STEPS, STEPS)
+            on = token.shape[1]
+            grads, h, before = _window(self.net, token, fresh, h[:on], before[:on])
             self._step(grads, RATE + (LAST_RATE - RATE) * w / windows)
 
     def _step(self, grads: dict[str, np.ndarray], rate: float) -> None:
@@ -243,8 +281,7 @@ def _window(net: Network, token: np.ndarray, fresh: np.ndarray, h: np.ndarray, b
     """Gradients of the mean loss of one window, and where the next begins."""
     p, (steps, lanes) = net.p, token.shape
     kind = p["x"].dtype
-    old, new, r, n = (np.empty((steps, lanes, STATE), kind) for _ in range(4))
-    zr = np.empty((steps, lanes, 2 * STATE), kind)
+    old, new, z, gate, r, n = (np.empty((steps, lanes, STATE), kind) for _ in range(6))
     live, after = token >= 0, _inputs(token)
     source = np.empty((steps, lanes), np.int64)
     begins, full = fresh.any(1).tolist(), live.all(1).tolist()
@@ -254,11 +291,12 @@ def _window(net: Network, token: np.ndarray, fresh: np.ndarray, h: np.ndarray, b
             before = np.where(fresh[s], Network.BEGIN, before)
         old[s], source[s] = h, before
         a = p["x"][before] + p["b"]
-        zr[s] = _sigmoid(a[:, : 2 * STATE] + h @ p["u"])
-        z = zr[s, :, :STATE]
-        r[s] = zr[s, :, STATE:] * h
-        n[s] = np.tanh(a[:, 2 * STATE :] + r[s] @ p["v"])
-        new[s] = n[s] + z * (h - n[s])
+        zr = _sigmoid(a[:, : 2 * STATE] + h @ p["u"])
+        z[s], gate[s] = zr[:, :STATE], zr[:, STATE:]
+        np.multiply(gate[s], h, out=r[s])
+        np.tanh(a[:, 2 * STATE :] + r[s] @ p["v"], out=n[s])
+        np.multiply(z[s], h - n[s], out=new[s])
+        new[s] += n[s]
         if full[s]:
             h, before = new[s], after[s]
         else:
@@ -269,7 +307,7 @@ def _window(net: Network, token: np.ndarray, fresh: np.ndarray, h: np.ndarray, b
     hs, ranks = new.reshape(-1, STATE)[flat], token.ravel()[flat]
     kinds = _classes(ranks)
     # by class, so that the words of one lie together
-    order = np.argsort(kinds, kind="stable")
+    order = np.argsort(kinds.astype(np.int16), kind="stable")
     flat, hs, ranks, kinds = flat[order], hs[order], ranks[order], kinds[order]
     grads = {"w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "x": np.zeros_like(p["x"])}
     prob = _softmax(hs @ p["c"] + p["cb"])
@@ -289,8 +327,15 @@ def _window(net: Network, token: np.ndarray, fresh: np.ndarray, h: np.ndarray, b
     back = np.zeros((steps * lanes, STATE), kind)
     back[flat] = dh
     back = back.reshape(steps, lanes, STATE)
-    z = zr[:, :, :STATE]
-    to_z, to_n, slope = (old - n) * z * (1 - z), (1 - z) * (1 - n * n), zr[:, :, STATE:] * (1 - zr[:, :, STATE:])
+    left = 1 - z
+    to_z = old - n
+    to_z *= z
+    to_z *= left
+    np.multiply(n, n, out=n)
+    to_n = left
+    to_n *= 1 - n
+    slope = gate * (1 - gate)
+    slope *= old
     rows = np.empty((steps, lanes, 3 * STATE), kind)
     carry = np.zeros((lanes, STATE), kind)
     vt, ut = p["v"].T.copy(), p["u"].T.copy()
@@ -304,8 +349,11 @@ def _window(net: Network, token: np.ndarray, fresh: np.ndarray, h: np.ndarray, b
         np.multiply(g, to_n[s], out=dn)
         drh = dn @ vt
         np.multiply(g, to_z[s], out=row[:, :STATE])
-        np.multiply(drh * old[s], slope[s], out=row[:, STATE : 2 * STATE])
-        carry = g * z[s] + drh * zr[s, :, STATE:] + row[:, : 2 * STATE] @ ut
+        np.multiply(drh, slope[s], out=row[:, STATE : 2 * STATE])
+        carry = row[:, : 2 * STATE] @ ut
+        carry += g * z[s]
+        drh *= gate[s]
+        carry += drh
         if not full[s]:
             carry += through
         if begins[s]:
@@ -323,10 +371,9 @@ def _window(net: Network, token: np.ndarray, fresh: np.ndarray, h: np.ndarray, b
 
 
 def _softmax(y: np.ndarray) -> np.ndarray:
-    y -= y.max(axis=1, keepdims=True)
-    np.exp(y, out=y)
-    y /= (y @ np.ones(y.shape[1], y.dtype))[:, None]
-    return y
+    e, total = _powers(y)
+    e *= (1 / total)[:, None]
+    return e
 
 
 def _column_sums(y: np.ndarray) -> np.ndarray:
@@ -339,15 +386,14 @@ def log10_scores(net: Network, vocabulary: Vocabulary, docs: list[np.ndarray]) -
     out = np.zeros(len(docs))
     if not docs:
         return out
-    token, fresh, owner = _laid_out(docs, LANES)
-    h = np.zeros((token.shape[1], STATE), np.float32)
-    before = np.full(token.shape[1], Network.BEGIN)
+    layout = _Layout(docs, LANES)
+    h = np.zeros((layout.lanes, STATE), np.float32)
+    before = np.full(layout.lanes, Network.BEGIN)
     rows = net.p["x"]
-    for at in range(0, len(token), STEPS):
+    for at in range(0, layout.steps, STEPS):
         # lanes that have ended take no more part
-        on = int(np.count_nonzero(token[at] >= 0))
-        t, f = token[at : at + STEPS, :on], fresh[at : at + STEPS, :on]
-        h, before = h[:on], before[:on]
+        t, f, owner = layout.window(at, STEPS)
+        h, before = h[: t.shape[1]], before[: t.shape[1]]
         after = _inputs(t)
         states = np.empty((*t.shape, STATE), np.float32)
         for s in range(len(t)):
@@ -356,17 +402,17 @@ def log10_scores(net: Network, vocabulary: Vocabulary, docs: list[np.ndarray]) -
                 before = np.where(f[s], Network.BEGIN, before)
             h = states[s] = net.step(h, rows[before])[0]
             before = after[s]  # past the end of a lane anything will do
-        flat, who = t.ravel(), owner[at : at + STEPS, :on].ravel()
+        flat, who = t.ravel(), owner.ravel()
         live = np.flatnonzero(flat >= 0)
         ranks, hs = flat[live], states.reshape(-1, STATE)[live]
         kinds = _classes(ranks)
-        logs = net.class_log(hs)[np.arange(len(live)), kinds].astype(np.float64)
-        order = np.argsort(kinds, kind="stable")
-        edges = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
+        logs = net.class_log(hs, kinds).astype(np.float64)
+        order = np.argsort(kinds.astype(np.int16), kind="stable")
+        edges = np.searchsorted(kinds[order], np.arange(CLASSES + 1)).tolist()
         for k in range(CLASSES):
             idx = order[edges[k] : edges[k + 1]]
             if len(idx):
-                logs[idx] += net.word_log(hs[idx], k)[np.arange(len(idx)), ranks[idx] - k * CLASS_WORDS]
+                logs[idx] += net.word_log(hs[idx], k, ranks[idx] - k * CLASS_WORDS)
         logs /= np.log(10)
         tail = np.flatnonzero(kinds >= CLASSES)
         logs[tail] -= vocabulary.log_mass[kinds[tail] - CLASSES]
@@ -398,8 +444,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, Network]:
-    """Vocabulary from the counts of all training documents, and the network."""
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    """Vocabulary from the counts of all training documents."""
     size = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
     # the smallest count that no more words reach than fit the list; equal counts are
     # listed together or not at all, so no task sorts the words
@@ -411,19 +457,16 @@ def fit(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, Network]:
         least = r["c"]
     top = counts.where(F.col("c") >= (least if least is not None else size["total"] or 0)).toArrow()
     top = top.sort_by([("c", "descending"), ("word", "ascending")]).slice(0, BANDS[-1])
-    vocabulary = Vocabulary(top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64), size["total"] or 0, size["distinct"])
-    return vocabulary, trained(docs, vocabulary)[0]
+    return Vocabulary(top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64), size["total"] or 0, size["distinct"])
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary) -> tuple[Network, int]:
+def trained(docs: DataFrame, vocabulary: Vocabulary, shared: Callable[[], Vocabulary] | None = None) -> tuple[Network, int]:
     """The network after all rounds, and the number of tokens it has learned from: every
     token of every training document (``id, text``) once. A task returns its weights and
     tokens, which have a fixed size; they are added up in parts before the driver takes
     the mean."""
     net = Network(vocabulary=vocabulary)
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary.words)  # of bounded size
-    counts = (vocabulary.counts, vocabulary.total, vocabulary.distinct)
-    name = ("vocabulary", uuid.uuid4().hex)
+    shared = shared or _shared(docs.sparkSession, vocabulary)
     training = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
     place = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(ROUNDS[-1]))
     learned, begin = 0, 0
@@ -433,7 +476,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> tuple[Network, int]:
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            vocabulary = kept_in_worker(name, lambda: Vocabulary(words.value, *counts))
+            vocabulary = shared()
             trainer, held, size = Trainer(Network().unpacked(start.value)), [], 0
             for batch in batches:
                 for text in batch.column(0).to_pylist():
@@ -473,15 +516,13 @@ _ROW_ARROW = pa.schema(
 )
 
 
-def _parts(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
+def _parts(docs: DataFrame, shared: Callable[[], Vocabulary], net: Network) -> DataFrame:
     """Two kinds of rows: per document what listed words give (``h`` is null), and per
     document and unlisted word its hash ``h`` and number ``n``."""
-    plain = (vocabulary.words, vocabulary.counts, vocabulary.total, vocabulary.distinct, net.p)
-    shared = docs.sparkSession.sparkContext.broadcast(plain)  # of bounded size: listed words and weights
+    weights = docs.sparkSession.sparkContext.broadcast(net.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *words, p = shared.value
-        vocabulary, net = Vocabulary(*words), Network(p=p)
+        vocabulary, net = shared(), Network().unpacked(weights.value)
 
         def solve(keys: list, ids: list, ranks: list[np.ndarray], opened: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
             scores = log10_scores(net, vocabulary, ranks)
@@ -531,8 +572,10 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text"))
     counts = written(token_counts(docs))
-    vocabulary, net = fit(docs, counts)
-    parts = written(_parts(docs, vocabulary, net))
+    vocabulary = vocabulary_of(counts)
+    shared = _shared(df.sparkSession, vocabulary)
+    net, _ = trained(docs, vocabulary, shared)
+    parts = written(_parts(docs, shared, net))
     rows, words = parts.where("h IS NULL"), parts.where("h IS NOT NULL").select("k", "h", "n")
     rare = counts.select(F.xxhash64("word").alias("h"), "c")
     looked = words.join(rare, "h", "left")

@@ -439,7 +439,8 @@ def test_network_gradient():
             for t in d:
                 s = net.step(s, net.p["x"][b])[0]
                 k = int(language._classes(np.array([t]))[0])
-                out -= net.class_log(s)[0, k] + (net.word_log(s, k)[0, t - k * language.CLASS_WORDS] if k < language.CLASSES else 0)
+                at = lambda w: np.array([w])
+                out -= net.class_log(s, at(k))[0] + (net.word_log(s, k, at(t - k * language.CLASS_WORDS))[0] if k < language.CLASSES else 0)
                 b = language._inputs(np.array([t]))
         return out / 14
 
@@ -465,7 +466,7 @@ def test_language_learns_from_every_training_token(spark, sf, texts, monkeypatch
     monkeypatch.setattr(language, "TRAIN_SLICE", 3000)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.unionAll(docs.sparkSession.createDataFrame([(None, "a row without an id"), (10**6, "w " * 40_000)], docs.schema)).repartition(5)
-    vocabulary, _ = language.fit(docs.limit(0), written(language.token_counts(docs)))
+    vocabulary = language.vocabulary_of(written(language.token_counts(docs)))
     net, learned = language.trained(docs, vocabulary)
     assert learned == vocabulary.total > 90_000
     start = language.Network(vocabulary=vocabulary)
