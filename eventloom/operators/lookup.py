@@ -307,10 +307,22 @@ def _range_index(ranges: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, D
     return firsts, chunks
 
 
+def _longest(ranges: DataFrame) -> int:
+    """Ranges of the run that has most; the table of ranges is read for it."""
+    return ranges.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def _last_range(df: DataFrame, run: str, block: str, ranges: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Adds ``_range``, the last range of the row's run that begins at or before its
-    block. Two joins, whatever the number of ranges: the first brings the chunk bounds
-    of the run, the second one chunk; each is searched by halving."""
+    block. Where no run has more ranges than a chunk, one join brings those of the run.
+    Else two joins, whatever the number of ranges: the first brings the chunk bounds of
+    the run, the second one chunk. What a row gets is searched by halving."""
+    if _longest(ranges) <= RANGE_CHUNK:
+        order = [f for f in fields if f not in ("lo", "hi")]
+        whole = ranges.groupBy(F.col("run").alias("_run")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", *order))).alias("_ranges"))
+        found = df.join(whole, df[run] == F.col("_run"), "left")
+        hit = F.get("_ranges", last_not_after(F.col("_ranges"), F.col(block), "lo"))
+        return found.withColumn("_range", hit).drop("_run", "_ranges")
     firsts, chunks = _range_index(ranges, fields)
     found = df.join(firsts, df[run] == F.col("_run"), "left")
     found = found.withColumn("_at", F.get("_firsts", last_not_after(F.col("_firsts"), F.col(block), "lo"))["_chunk"]).drop("_run", "_firsts")
@@ -323,8 +335,12 @@ def in_ranges(df: DataFrame, run: str, block: str, ranges: DataFrame) -> DataFra
     """Keep rows whose run is listed and whose block lies in any closed range.
 
     ``ranges`` has (run, lo, hi), any number per run, also overlapping ones: a block is
-    inside if some range that begins at or before it ends at or after it.
+    inside if some range that begins at or before it ends at or after it. Short lists
+    are a condition of the join, long ones are searched.
     """
+    if _longest(ranges) <= RANGE_CHUNK:
+        r = ranges.select(F.col("run").alias("_run"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        return df.join(r, (df[run] == r["_run"]) & df[block].between(r["_lo"], r["_hi"]), "left_semi")
     found = _last_range(df, run, block, ranges, ["lo", "top"])
     return found.filter(F.col(block) <= F.col("_range")["top"]).select(*df.columns)
 

@@ -373,10 +373,11 @@ def test_ranges_of_all_features():
     assert Q.default_feature_axis("nBJet") == Axis("nBJet", 3, 2.5, 5.5) and Q.default_feature_axis("nGoodJet").n == 7
 
 
-def test_interval_search_against_all_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [3, 40, 1000])
+def test_interval_search_against_all_ranges(spark, monkeypatch, chunk):
     import random
 
-    monkeypatch.setattr(L, "RANGE_CHUNK", 3)
+    monkeypatch.setattr(L, "RANGE_CHUNK", chunk)
     rnd = random.Random(2)
     ranges = [(run, lo, lo + rnd.randint(-2, 30), float(k)) for k, (run, lo) in enumerate((rnd.randint(1, 3), rnd.randint(0, 400)) for _ in range(260))]
     rows = [(k, rnd.choice([1, 2, 3, 4, None]), rnd.choice([None, *range(-5, 450)])) for k in range(900)]
