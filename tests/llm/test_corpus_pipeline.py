@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from compare import compare
 
 from eventloom.llm import decontam, quality, queries
@@ -71,3 +72,32 @@ def test_near_copies_against_all_pairs(spark):
     kept, linked = kept_of_near_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert linked
     assert {r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()} == kept
+
+
+GOOD = "The council met on Monday to discuss the new library. Members agreed that the building, which opened in 1962, needs repairs before the winter. A report on the cost is expected next month, and residents may comment on it until then."
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, _x_id string"
+ROWS = [
+    (1, GOOD, "en", "s", None, "x"), (2, None, "en", "s", 0, "x"), (3, "", "en", "s", 0, "x"), (None, GOOD + " More.", "en", "s", 1, "x"), (4, GOOD, "en", "s", 1, None),
+    (4, GOOD + " Another sentence follows here for this one.", "en", None, 1, "x"), (5, (GOOD + " ") * 300, "en", "s", 1, "x"), (7, " \n\t", None, None, 1, "x"),
+]
+
+
+@pytest.mark.parametrize("docs,labels,items", [(ROWS, [(1, 1, 0), (None, 1, 0)], [(1, " ".join(GOOD.split()[5:25])), (None, None), (2, "")]), (ROWS, [], []), ([], [(1, 1, 0)], [(1, "an item")])], ids=["odd", "no labels or items", "no documents"])
+def test_odd_rows(spark, tmp_path, docs, labels, items):
+    for name, rows, kinds in (("documents", docs, KINDS), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    now = table(spark, str(tmp_path), "documents")
+    ids = []
+    for _, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, now, str(tmp_path)))
+        ids.append({r["doc_id"] for r in out.select("doc_id").collect()})
+        assert len(ids) == 5 or out.columns == now.columns
+        now = out
+    assert ids[-1] == ids[-2] and corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    if not docs:
+        assert ids == [set()] * 5
+        return
+    assert ids[0] == ids[1] and {1, 2, 3, 4, 7, None} <= ids[0]
+    # texts without words are copies of each other; a row without an id stays
+    assert ids[2] - {5} == {1, 2, None}
+    assert ids[3] - {5} == ({2} if items else {1, 2, None})
