@@ -10,14 +10,16 @@ number, an equi join; ``looked_up_fields`` chooses by table.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.vectors import bind, double_array
-from eventloom.operators.scale import values_table, written
+from eventloom.operators.scale import bucket_count, value_edges, values_table, written
 
 INLINE_CELLS = 1 << 20
 #: inner edges of an axis from which a bin is found by halving
@@ -265,7 +267,7 @@ def join_lookup_array(
     return joined.withColumn(out, values).drop("_vs")
 
 
-#: ranges that one row carries at least where a run has more
+#: ranges of a run that one row carries at most
 RANGE_CHUNK = 128
 
 
@@ -289,46 +291,48 @@ def count_up_to(items: Column, x: Column, value: Callable[[Column], Column] = la
     return F.aggregate(steps, whole, halve, lambda at: at["lo"])
 
 
-def _range_index(ranges: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Ranges of each run in order, in chunks of a size that grows with the root of
-    their number: ``_run, _firsts`` (first bound and number of each chunk) and ``_crun,
-    _chunk, _ranges``. ``top`` is the largest end of all ranges up to one."""
-    order = Window.partitionBy("run").orderBy("lo", "hi", *[f for f in fields if f not in ("lo", "hi", "top")])
-    ranked = ranges.select(
-        "run", "lo", "hi", *[f for f in fields if f not in ("lo", "hi", "top")],
-        F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
-        F.row_number().over(order).alias("_no"),
-        F.count(F.lit(1)).over(Window.partitionBy("run")).alias("_n"),
-    )
-    size = F.greatest(F.lit(RANGE_CHUNK), F.ceil(F.sqrt("_n")))
-    placed = ranked.withColumn("_chunk", F.floor((F.col("_no") - 1) / size).cast("int"))
-    chunks = placed.groupBy(F.col("run").alias("_crun"), "_chunk").agg(F.sort_array(F.collect_list(F.struct("_no", *fields))).alias("_ranges"))
-    firsts = chunks.groupBy(F.col("_crun").alias("_run")).agg(F.sort_array(F.collect_list(F.struct("_chunk", F.col("_ranges")[0]["lo"].alias("lo")))).alias("_firsts"))
-    return firsts, chunks
-
-
 def _longest(ranges: DataFrame) -> int:
     """Ranges of the run that has most; the table of ranges is read for it."""
     return ranges.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _upto(df: DataFrame, run: str, block: str, ranges: DataFrame, most: Column) -> DataFrame:
+    """Adds ``_range``, the greatest ``most`` of the ranges of the row's run that begin
+    at or before its block, for any number of ranges.
+
+    Each block of a run counts once. Blocks and ranges of a run are dealt by cut points
+    into parts of about equal size; within a part a running maximum goes in order, and
+    the maximum of the parts before comes by a join, so no task holds a run."""
+    begin = ranges.where("run IS NOT NULL AND lo IS NOT NULL").select(F.col("run").alias("_run"), F.col("lo").alias("_x"), F.lit(True).alias("_begins"), most.alias("_most"))
+    kind = begin.schema["_most"].dataType.simpleString()
+    asked = df.select(F.col(run).alias("_run"), F.col(block).alias("_x")).dropna().distinct()
+    marks = written(begin.unionByName(asked.select("_run", "_x", F.lit(False).alias("_begins"), F.lit(None).cast(kind).alias("_most"))))
+    cuts = value_edges(marks, "_x", bucket_count(df))
+    dealt = Bucketizer(splits=[-math.inf, *[c for c in cuts if math.isfinite(c)], math.inf], inputCol="_d", outputCol="_part", handleInvalid="keep")
+    parts = dealt.transform(marks.withColumn("_d", F.col("_x").cast("double"))).drop("_d")
+    total = parts.groupBy(F.col("_run").alias("_r"), F.col("_part").alias("_p")).agg(F.max("_most").alias("_total"))
+    earlier = Window.partitionBy("_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = total.select("_r", "_p", F.max("_total").over(earlier).alias("_before"))
+    inside = Window.partitionBy("_run", "_part").orderBy("_x", F.desc("_begins")).rowsBetween(Window.unboundedPreceding, 0)
+    here = parts.withColumn("_here", F.max("_most").over(inside)).where("NOT _begins")
+    found = here.join(before, (F.col("_run") == F.col("_r")) & (F.col("_part") == F.col("_p")))
+    # greatest passes over nulls but takes no structs
+    later = F.col("_before").isNull() | (F.col("_here") > F.col("_before"))
+    answer = found.select("_run", "_x", F.when(later & F.col("_here").isNotNull(), F.col("_here")).otherwise(F.col("_before")).alias("_range"))
+    return df.join(answer, (df[run] == answer["_run"]) & (df[block] == answer["_x"]), "left").drop("_run", "_x")
+
+
 def _last_range(df: DataFrame, run: str, block: str, ranges: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Adds ``_range``, the last range of the row's run that begins at or before its
-    block. Where no run has more ranges than a chunk, one join brings those of the run.
-    Else two joins, whatever the number of ranges: the first brings the chunk bounds of
-    the run, the second one chunk. What a row gets is searched by halving."""
+    block. Where no run has more ranges than a chunk, one join brings those of the run,
+    searched by halving; else blocks and ranges are put in one order."""
+    order = [f for f in fields if f not in ("lo", "hi")]
     if _longest(ranges) <= RANGE_CHUNK:
-        order = [f for f in fields if f not in ("lo", "hi")]
         whole = ranges.groupBy(F.col("run").alias("_run")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", *order))).alias("_ranges"))
         found = df.join(whole, df[run] == F.col("_run"), "left")
         hit = F.get("_ranges", last_not_after(F.col("_ranges"), F.col(block), "lo"))
         return found.withColumn("_range", hit).drop("_run", "_ranges")
-    firsts, chunks = _range_index(ranges, fields)
-    found = df.join(firsts, df[run] == F.col("_run"), "left")
-    found = found.withColumn("_at", F.get("_firsts", last_not_after(F.col("_firsts"), F.col(block), "lo"))["_chunk"]).drop("_run", "_firsts")
-    found = found.join(chunks, (found[run] == chunks["_crun"]) & (found["_at"] == chunks["_chunk"]), "left")
-    hit = F.get("_ranges", last_not_after(F.col("_ranges"), F.col(block), "lo"))
-    return found.withColumn("_range", hit).drop("_at", "_crun", "_chunk", "_ranges")
+    return _upto(df, run, block, ranges, F.struct("lo", "hi", *order))
 
 
 def in_ranges(df: DataFrame, run: str, block: str, ranges: DataFrame) -> DataFrame:
@@ -336,21 +340,20 @@ def in_ranges(df: DataFrame, run: str, block: str, ranges: DataFrame) -> DataFra
 
     ``ranges`` has (run, lo, hi), any number per run, also overlapping ones: a block is
     inside if some range that begins at or before it ends at or after it. Short lists
-    are a condition of the join, long ones are searched.
+    are a condition of the join, long ones are put in one order with the blocks.
     """
     if _longest(ranges) <= RANGE_CHUNK:
         r = ranges.select(F.col("run").alias("_run"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
         return df.join(r, (df[run] == r["_run"]) & df[block].between(r["_lo"], r["_hi"]), "left_semi")
-    found = _last_range(df, run, block, ranges, ["lo", "top"])
-    return found.filter(F.col(block) <= F.col("_range")["top"]).select(*df.columns)
+    found = _upto(df, run, block, ranges, F.col("hi"))
+    return found.filter(F.col(block) <= F.col("_range")).select(*df.columns)
 
 
 def interval_value(df: DataFrame, run: str, block: str, tables: dict[str, DataFrame], default: float = 0.0) -> DataFrame:
     """Per table the value of the range that contains the block, else the
     default. Of overlapping ranges the one that begins last counts.
 
-    The row count of ``df`` never changes; ranges are searched by halving, so a run may
-    have any number of them.
+    The row count of ``df`` never changes, and a run may have any number of ranges.
     """
     for name, table in tables.items():
         found = _last_range(df, run, block, table, ["lo", "hi", "value"])

@@ -395,6 +395,30 @@ def test_interval_search_against_all_ranges(spark, monkeypatch, chunk):
     assert {r["v"] for r in L.interval_value(df, "run", "block", {"v": none}, 1.5).collect()} == {1.5}
 
 
+def _long_list(spark):
+    """4000 overlapping ranges, all but a few of one run, and blocks that are asked for
+    often or are not numbers."""
+    ranges = spark.range(4000).selectExpr("if(id % 500 = 0, 2, 1) run", "cast(id * 5 as double) lo", "cast(id * 5 + id % 7 as double) hi", "cast(id as double) value")
+    rows = [(k, 1, float(b)) for k, b in enumerate([-1, 4, 5, 6, 9.5, 19999, 1e9, *[5005] * 500, *range(20000, 20010)])]
+    return ranges, spark.createDataFrame([*rows, (900, 1, math.nan), (901, 2, 2.5), (902, 3, 5.0), (903, None, 5.0)], "k int, run int, block double")
+
+
+def _dealt(df):
+    """No list of a run is gathered, no window goes over a whole run of blocks."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    over = [line for line in plan.splitlines() if "+- Window [" in line or "Window [max(_most" in line]
+    return "collect_list" not in plan and any("_part" in line for line in over)
+
+
+def test_long_range_lists_are_dealt(spark):
+    ranges, df = _long_list(spark)
+    out = L.in_ranges(df, "run", "block", ranges)
+    assert _dealt(out)
+    want = {r["k"] for r in df.alias("d").join(ranges.alias("r"), F.expr("d.run = r.run AND d.block BETWEEN r.lo AND r.hi")).collect()}
+    got = [r["k"] for r in out.collect()]
+    assert want and sorted(got) == sorted(want)
+
+
 def test_vectors_and_scores_under_variations(spark):
     from eventloom.operators import scoring as M
 
