@@ -419,6 +419,18 @@ def test_long_range_lists_are_dealt(spark):
     assert want and sorted(got) == sorted(want)
 
 
+def test_long_value_lists_are_dealt(spark):
+    ranges, df = _long_list(spark)
+    out = L.interval_value(df, "run", "block", {"v": ranges}, -7.0)
+    assert _dealt(out) and out.columns == [*df.columns, "v"]
+    lists = [tuple(r) for r in ranges.collect()]
+    got = out.collect()
+    assert len(got) == df.count()
+    for k, run, b, v in got:
+        last = max([(lo, hi, x) for r, lo, hi, x in lists if r == run and lo <= b], default=None)
+        assert v == (last[2] if last and b <= last[1] else -7.0), k
+
+
 def test_vectors_and_scores_under_variations(spark):
     from eventloom.operators import scoring as M
 
