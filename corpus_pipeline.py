@@ -29,8 +29,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies: five-word shingles,
-    similarity 0.8."""
+    """The document of the smallest id of each group of near copies: SimHash fingerprints
+    at most 3 bits apart, or five-word shingles of similarity 0.8."""
     return resemblance.keep_one(docs)
 
 

@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles.
+"""Near copies by SimHash fingerprints and the Jaccard similarity of their sets of word
+shingles.
 
-Candidates are texts that share a band of minimum hashes: 32 bands of 4 miss a pair of
+Texts whose fingerprints (``simhash``) differ in few bits are linked. That reaches pairs
+of a similarity near one; for the others, down to the least similarity, candidates are texts that share a band of minimum hashes: 32 bands of 4 miss a pair of
 similarity 0.8 with a chance of 5e-8. Texts that candidates connect come together and
-are verified on their exact sets of shingle hashes; linked ones are joined into groups.
+are verified on their exact sets of shingle hashes. All links together join the groups.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import arrow_map, text_of, written
 from eventloom.llm.linking import components
+from eventloom.llm.simhash import fingerprint, linked
+from eventloom.llm.simhash import _signed as signed
 
 BANDS, ROWS = 32, 4
 #: texts and bytes of shingles of a block; larger groups are dealt out by pairs of blocks
@@ -66,18 +70,24 @@ def links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[in
     return out
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, bits: int = 3) -> DataFrame:
     """The rows of ``df``, all columns, whose id is the smallest of their group of near
-    copies. Rows that repeat an id stay or go together; rows without an id stay; texts
+    copies: texts of fingerprints at most ``bits`` apart or a similarity of ``least``. Rows that repeat an id stay or go together; rows without an id stay; texts
     without words are copies of each other."""
     slim = df.select(F.col(id_col).cast("long").alias("_x_id"), text_of(text_col).alias("_x_text"), F.xxhash64(text_of(text_col)).alias("_x_t"))
 
     def sign(cols: dict) -> dict:
         sets = [shingles(t, size) for t in cols["_x_text"]]
-        return {"id": cols["_x_id"], "t": cols["_x_t"], "d": [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) for s in sets], "n": [len(s) for s in sets], "bands": [_bands(s) for s in sets]}
-
-    arrow = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    rows = written(arrow_map(slim, sign, "id long, t long, d long, n long, bands array<long>", arrow))
+        return {"id": cols["_x_id"], "t": cols["_x_t"], "d": [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) for s in sets], "n": [len(s) for s in sets], "fp": [signed(fingerprint(t)) for t in cols["_x_text"]], "bands": [_bands(s) for s in sets]}
+
+    arrow = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    rows = written(arrow_map(slim, sign, "id long, t long, d long, n long, fp long, bands array<long>", arrow))
+    # fingerprints within the bits: each one's first set stands for it
+    prints = written(rows.groupBy("fp").agg(F.min("d").alias("d")))
+    held = rows.select("fp", "d").distinct().join(prints.withColumnRenamed("d", "b"), "fp").where("d <> b").select(F.col("d").alias("a"), "b")
+    of = lambda side: prints.select(F.col("fp").alias(f"f{side}"), F.col("d").alias(side))
+    alike = linked(prints.select("fp"), bits).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    printed = written(held.unionAll(alike.join(of("a"), "fa").join(of("b"), "fb").select("a", "b")))
     # equal sets are one kind
     kinds = written(rows.groupBy("d").agg(F.min("id").alias("id"), F.min("t").alias("t"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     keyed = kinds.select("d", F.explode("bands").alias("band"))
@@ -95,7 +105,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         got = links(group.column("d").to_pylist(), [shingles(t, size) for t in group.column("text").to_pylist()], least)
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
-    roots = components(dealt.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long"))
+    roots = components(printed.unionAll(dealt.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")))
     rooted = kinds.join(roots, F.col("d") == F.col("node"), "left").select("d", "id", F.coalesce("root", "d").alias("root"))
     named = rooted.groupBy("root").agg(F.min("id").alias("least"))
     gone = rows.join(rooted.select("d", "root"), "d").join(named, "root").where("id <> least").select(F.col("id").alias("_x_gone")).distinct()

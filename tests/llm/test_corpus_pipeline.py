@@ -101,3 +101,17 @@ def test_odd_rows(spark, tmp_path, docs, labels, items):
     # texts without words are copies of each other; a row without an id stays
     assert ids[2] - {5} == {1, 2, None}
     assert ids[3] - {5} == ({2} if items else {1, 2, None})
+
+
+def test_near_copies_by_fingerprint(spark):
+    """Texts that differ in what is said once, beside a passage said 300 times: few
+    fingerprint bits apart, their sets far apart."""
+    from eventloom.llm.simhash import fingerprint
+
+    tail = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    a, b = ((GOOD + " ") * 300 + tail(x) for x in "pq")
+    assert (fingerprint(a) ^ fingerprint(b)).bit_count() <= 3
+    assert kept_of_near_copies([(1, a), (2, b)])[0] == {1, 2}
+    docs = spark.createDataFrame([(2, b), (1, a), (3, tail("r")), (None, b)], "doc_id long, text string")
+    out = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert {r["doc_id"] for r in out.collect()} == {1, 3, None}
