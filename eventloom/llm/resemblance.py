@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import arrow_map, text_of, written
 from eventloom.llm.linking import components
+from eventloom.llm.prefixjoin import overlaps
 from eventloom.llm.simhash import fingerprint, linked
 from eventloom.llm.simhash import _signed as signed
 
 BANDS, ROWS = 32, 4
 #: texts and bytes of shingles of a block; larger groups are dealt out by pairs of blocks
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: shingles hashed at a time
 SLICE = 1 << 14
 _DRAW = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -50,23 +51,18 @@ def _bands(s: np.ndarray) -> list[int]:
 
 def links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links whose groups are those of all pairs of similarity ``least`` or more."""
-    left, out = list(range(len(ids))), []
-    while left:
-        first = left.pop(0)
-        front = [first]
-        while front and left:
-            mine = sets[front.pop()]
-            hit = set()
-            for j in left:
-                a, b = len(mine), len(sets[j])
-                if min(a, b) + 1e-9 < least * max(a, b):
-                    continue
-                both = len(np.intersect1d(mine, sets[j], assume_unique=True))
-                if both + 1e-9 >= least * (a + b - both):
-                    hit.add(j)
-            front += sorted(hit)
-            out += [(ids[j], ids[first]) for j in sorted(hit)]
-            left = [j for j in left if j not in hit]
+    n = np.array([len(s) for s in sets], np.int64)
+    both = overlaps([s.view(np.int64) for s in sets])
+    near = both + 1e-9 >= least * (n[:, None] + n[None, :] - both)
+    out, left = [], np.ones(len(n), bool)
+    for k in range(len(n)):
+        if left[k]:
+            left[k], front = False, [k]
+            while front:
+                reached = np.flatnonzero(near[front.pop()] & left).tolist()
+                left[reached] = False
+                front += reached
+                out += [(ids[j], ids[k]) for j in reached]
     return out
 
 

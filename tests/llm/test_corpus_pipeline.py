@@ -115,3 +115,20 @@ def test_near_copies_by_fingerprint(spark):
     docs = spark.createDataFrame([(2, b), (1, a), (3, tail("r")), (None, b)], "doc_id long, text string")
     out = corpus_pipeline.one_of_near_copies(spark, docs, "")
     assert {r["doc_id"] for r in out.collect()} == {1, 3, None}
+
+
+def test_links_of_a_block_without_a_walk_over_pairs(monkeypatch):
+    """Half of a crowded block is linked, the rest only looks alike: intersections are
+    counted for the block at once."""
+    import numpy as np
+
+    from eventloom.llm import resemblance
+
+    rng, common = np.random.default_rng(5), np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(1000, 1 << 40, 10 if k % 2 else 60, dtype=np.uint64)])) for k in range(600)]
+    sets += [sets[0], np.empty(0, np.uint64), np.empty(0, np.uint64)]
+    both = lambda a, b: len(set(a.tolist()) & set(b.tolist()))
+    assert both(sets[1], sets[3]) >= 0.8 * len(set(sets[1].tolist()) | set(sets[3].tolist())) > 0.8 * both(sets[0], sets[2])
+    monkeypatch.setattr(np, "intersect1d", None)
+    got = resemblance.links(list(range(len(sets))), sets, 0.8)
+    assert sorted(got) == sorted([(600, 0), (602, 601)] + [(k, 1) for k in range(3, 600, 2)])
