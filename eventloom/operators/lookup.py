@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.vectors import bind, double_array
-from eventloom.operators.scale import bucket_count, value_edges, values_table, written
+from eventloom.operators.scale import bucket_count, values_table, written
 
 INLINE_CELLS = 1 << 20
 #: inner edges of an axis from which a bin is found by halving
@@ -296,30 +297,65 @@ def _longest(ranges: DataFrame) -> int:
     return ranges.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _cut_points(df: DataFrame, value: str, parts: int) -> tuple[list, list]:
+    """Finite cut points of a column into parts of about equal size, and the values that
+    more than a part holds (those that whole doubles tell apart from all others)."""
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(value, shares, 10 * parts).alias("e")).first()["e"] or []
+    often = [v for v, n in Counter(map(_nan_alike, found)).items() if n > 1 and (v != v or abs(v) <= 1 << 53 and float(v) == v)]
+    return [c for c in set(found) if math.isfinite(c)], often
+
+
+def _nan_alike(v):
+    return v if v == v else math.nan
+
+
+def _greatest(begin: DataFrame, out: str) -> DataFrame:
+    """The greatest ``_most`` of a run and cell. That of structs, which begin with ``_x``,
+    is among the rows with the greatest ``_x``, so that only numbers are compared first."""
+    cell = ["_run", "_cell"]
+    if begin.schema["_most"].dataType.typeName() == "struct":
+        tops = written(begin.groupBy(*cell).agg(F.max("_x").alias("_top")))
+        begin = begin.join(tops, cell).where("_x = _top")
+    return begin.groupBy(*cell).agg(F.max("_most").alias(out))
+
+
 def _upto(df: DataFrame, run: str, block: str, ranges: DataFrame, most: Column) -> DataFrame:
     """Adds ``_range``, the greatest ``most`` of the ranges of the row's run that begin
-    at or before its block, for any number of ranges.
+    at or before its block, for any number of ranges; a struct begins with ``lo``.
 
-    Each block of a run counts once. Blocks and ranges of a run are dealt by cut points
-    into parts of about equal size; within a part a running maximum goes in order, and
-    the maximum of the parts before comes by a join, so no task holds a run."""
+    Rows and ranges are dealt once, by cut points of both, into cells of about equal
+    size; within a cell a running maximum goes in order, and the maximum of the cells
+    before comes by a join, so no task holds a run. A block that more rows ask for than a
+    cell has begins a cell of its own: its rows are not put in order, as the table of
+    cells has their answer."""
     begin = ranges.where("run IS NOT NULL AND lo IS NOT NULL").select(F.col("run").alias("_run"), F.col("lo").alias("_x"), F.lit(True).alias("_begins"), most.alias("_most"))
-    kind = begin.schema["_most"].dataType.simpleString()
-    asked = df.select(F.col(run).alias("_run"), F.col(block).alias("_x")).dropna().distinct()
-    marks = written(begin.unionByName(asked.select("_run", "_x", F.lit(False).alias("_begins"), F.lit(None).cast(kind).alias("_most"))))
-    cuts = value_edges(marks, "_x", bucket_count(df))
-    dealt = Bucketizer(splits=[-math.inf, *[c for c in cuts if math.isfinite(c)], math.inf], inputCol="_d", outputCol="_part", handleInvalid="keep")
-    parts = dealt.transform(marks.withColumn("_d", F.col("_x").cast("double"))).drop("_d")
-    total = parts.groupBy(F.col("_run").alias("_r"), F.col("_part").alias("_p")).agg(F.max("_most").alias("_total"))
-    earlier = Window.partitionBy("_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = total.select("_r", "_p", F.max("_total").over(earlier).alias("_before"))
-    inside = Window.partitionBy("_run", "_part").orderBy("_x", F.desc("_begins")).rowsBetween(Window.unboundedPreceding, 0)
-    here = parts.withColumn("_here", F.max("_most").over(inside)).where("NOT _begins")
-    found = here.join(before, (F.col("_run") == F.col("_r")) & (F.col("_part") == F.col("_p")))
+    rows = df.select(*df.columns, F.col(run).alias("_run"), F.col(block).alias("_x"), F.lit(False).alias("_begins"))
+    parts = bucket_count(df)
+    cuts, often = _cut_points(rows.where("_run IS NOT NULL"), "_x", parts)
+    cuts = sorted({float(c) for c in cuts + _cut_points(begin, "_x", parts)[0]}) or [0.0]
+    dealt = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_d", outputCol="_cell", handleInvalid="keep")
+    celled = lambda t: dealt.transform(t.withColumn("_d", F.col("_x").cast("double"))).drop("_d")
+    begin, rows = celled(begin), celled(rows)
+    at_once = F.col("_x").isin(often) if often else F.lit(False)
+
+    cells = _greatest(begin, "_total").join(_greatest(begin.where(at_once), "_first"), ["_run", "_cell"], "left")
+    asked = rows.select("_run", "_cell").where("_run IS NOT NULL").distinct()
+    span = written(asked.join(cells, ["_run", "_cell"], "full"))
+    earlier = Window.partitionBy("_run").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = span.select(F.col("_run").alias("_r"), F.col("_cell").alias("_c"), F.max("_total").over(earlier).alias("_before"), "_first")
+
+    # rows that need no order stay apart by the task they come from
+    alone = F.coalesce(at_once, F.lit(True)) | F.col("_run").isNull() | F.col("_x").isNull()
+    placed = rows.withColumn("_alone", alone).withColumn("_part", F.when(F.col("_alone"), -1.0 - F.spark_partition_id()).otherwise(F.col("_cell")))
+    marks = placed.unionByName(begin.withColumn("_part", F.col("_cell")), allowMissingColumns=True)
+    inside = Window.partitionBy("_part", "_run").orderBy("_x", F.desc("_begins")).rowsBetween(Window.unboundedPreceding, 0)
+    here = marks.withColumn("_here", F.max("_most").over(inside)).where("NOT _begins")
+    found = here.join(before, (F.col("_run") == F.col("_r")) & (F.col("_cell") == F.col("_c")), "left")
     # greatest passes over nulls but takes no structs
-    later = F.col("_before").isNull() | (F.col("_here") > F.col("_before"))
-    answer = found.select("_run", "_x", F.when(later & F.col("_here").isNotNull(), F.col("_here")).otherwise(F.col("_before")).alias("_range"))
-    return df.join(answer, (df[run] == answer["_run"]) & (df[block] == answer["_x"]), "left").drop("_run", "_x")
+    own = F.when(F.col("_alone"), F.col("_first")).otherwise(F.col("_here"))
+    later = F.col("_before").isNull() | (own > F.col("_before"))
+    return found.select(*df.columns, F.when(F.col("_x").isNotNull(), F.when(later & own.isNotNull(), own).otherwise(F.col("_before"))).alias("_range"))
 
 
 def _last_range(df: DataFrame, run: str, block: str, ranges: DataFrame, fields: Sequence[str]) -> DataFrame:

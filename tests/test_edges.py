@@ -492,3 +492,26 @@ def test_count_up_to(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
     got = [r["b"] for r in df.select("k", table.bin_no(0, F.col("x")).alias("b")).orderBy("k").collect()]
     assert got == [None, 0, 0, 1, 1, 2, 101, 200, 200, 200]
+
+
+def test_often_asked_blocks_of_long_lists(spark):
+    """Rows are dealt once, with the ranges: none are gathered to distinct blocks and joined
+    again, and a block of a third of the rows is not put in order."""
+    ranges = spark.range(3000).selectExpr("cast(id % 2 as int) run", "id * 4 lo", "id * 4 + id % 5 hi", "cast(id as double) value")
+    ranges = ranges.unionAll(spark.createDataFrame([(0, 4000, 4001, -1.0), (0, 4000, 4002, -2.0), (0, 4000, None, -3.0), (1, None, 9, -4.0), (None, 1, 9, -5.0)], "run int, lo long, hi long, value double"))
+    blocks = [4000] * 400 + [4002] * 300 + [11996] * 100 + [None] * 50 + list(range(-3, 12100, 29))
+    rows = [(k, None if k % 97 == 0 else k % 3, b) for k, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "k int, run int, block long")
+    lists = [tuple(r) for r in ranges.collect()]
+    out = L.interval_value(df, "run", "block", {"v": ranges}, -7.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_alone" in plan and plan.count("Aggregate [") == 0
+    got = {r["k"]: r["v"] for r in out.collect()}
+    assert len(got) == len(rows) == out.count()
+    for k, run, b in rows:
+        begun = [(lo, -1 if hi is None else hi, v) for r, lo, hi, v in lists if None not in (b, run, lo) and r == run and lo <= b]
+        last = max(begun, default=None)
+        assert got[k] == (last[2] if last and b <= last[1] else -7.0), (k, run, b)
+    inside = {k for k, run, b in rows if any(None not in (b, run, lo, hi) and r == run and lo <= b <= hi for r, lo, hi, _ in lists)}
+    kept = [r["k"] for r in L.in_ranges(df, "run", "block", ranges).collect()]
+    assert inside and sorted(kept) == sorted(inside)
