@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions import vectors as V
 from eventloom.functions.kinematics import delta_r, eta_of, folded_delta_r, p4_from_mass, pair_mass
+from eventloom.operators.corrections import settle
 
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
@@ -168,6 +173,117 @@ def jet_variations(sources: Sequence[str] = (), resolution: bool = False, muon_s
     return out
 
 
+#: numbers of a jet and a muon in a batch, after their varied pt: products of the angles
+#: come from Spark, so that batches and single rows agree to the last digit
+_TURN = {"c": lambda o: F.cos(o["phi"]), "s": lambda o: F.sin(o["phi"]), "sh": lambda o: F.sinh(o["eta"]), "ch": lambda o: F.cosh(o["eta"])}
+
+
+def _numbers(o: Column, fields: Sequence[str]) -> list[Column]:
+    cols = [o[f].cast("double").alias(f"n{i}") for i, f in enumerate(("pt", "eta", "phi", "mass", *fields))]
+    return cols + [f(o).alias(n) for n, f in _TURN.items()]
+
+
+def _columns_of(structs: pa.Array, lists: int, names: Sequence[str], variations: int) -> tuple[list[np.ndarray], dict[str, np.ndarray], np.ndarray]:
+    """The leading list fields of structs as matrices, the numbers by name, and which
+    structs have only finite numbers."""
+    parts = structs.flatten()
+    rows = [pc.fill_null(p.flatten(), float("nan") if pa.types.is_floating(p.type.value_type) else False).to_numpy(zero_copy_only=False).reshape(-1, variations) for p in parts[:lists]]
+    numbers = {n: pc.fill_null(p, float("nan")).to_numpy(zero_copy_only=False) for n, p in zip(names, parts[lists:])}
+    fine = np.isfinite(rows[0]).all(axis=1)
+    for x in numbers.values():
+        fine &= np.isfinite(x)
+    return rows, numbers, fine
+
+
+def _vectors_of_batch(variations: int, jet_pt: float, scale_mass: bool) -> Callable:
+    """Vectors of all variations of the events of a batch at once, in the order of
+    ``FEATURES``. An event with a missing or infinite number gets null, as one without
+    jets does."""
+    jet_names = ("pt", "eta", "phi", "mass", "score", *_TURN)
+    muon_names = ("pt", "eta", "phi", "mass", *MUON_FIELDS, *_TURN)
+
+    def distance(a: dict, b: dict) -> np.ndarray:
+        deta, d = a["eta"] - b["eta"], a["phi"] - b["phi"]
+        d = d - 2.0 * np.pi * np.ceil((d - np.pi) / (2.0 * np.pi))
+        return np.sqrt(deta * deta + d * d)
+
+    def moved(o: dict, pts: np.ndarray, row: np.ndarray, no: np.ndarray, scaled: bool) -> dict:
+        """Objects ``row`` under the variations ``no``."""
+        out = {n: x[row] for n, x in o.items()}
+        new = pts[row, no]
+        if scaled:
+            out["mass"] = out["mass"] * new / np.maximum(out["pt"], 1e-6)
+        p = new * out["ch"]
+        return out | {"pt": new, "px": new * out["c"], "py": new * out["s"], "pz": new * out["sh"], "e": np.sqrt(p * p + out["mass"] * out["mass"])}
+
+    def mass_of(a: dict, b: dict) -> np.ndarray:
+        e, px, py, pz = (a[n] + b[n] for n in ("e", "px", "py", "pz"))
+        return np.sqrt(np.maximum(e * e - (px * px + py * py + pz * pz), 0.0))
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def vectors(jets: pa.Array, muons: pa.Array, last: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(jets), 0).to_numpy(zero_copy_only=False)
+        event = np.repeat(np.arange(len(jets)), sizes)
+        (pts, tags), jet, fine = _columns_of(jets.flatten(), 2, jet_names, variations)
+        (mu_pts,), mu, mu_fine = _columns_of(muons.flatten(), 1, muon_names, variations)
+        paired = muons.is_valid().to_numpy(zero_copy_only=False)
+        at_muon = np.cumsum(2 * paired) - 2
+        there = (sizes > 0) & paired
+        there[event[~fine]] = False
+        there &= np.concatenate([mu_fine, [True, True]])[np.maximum(at_muon[:, None], 0) + [0, 1]].all(axis=1)
+        count = np.where(there, pc.fill_null(last, 0).to_numpy(zero_copy_only=False) + 1, 0)
+
+        good = (pts > jet_pt) & (np.arange(variations) < count[event][:, None])
+        m = jet["mass"][:, None] * pts / np.maximum(jet["pt"], 1e-6)[:, None] if scale_mass else jet["mass"][:, None]
+        p = pts * jet["ch"][:, None]
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0].astype(np.int64)
+
+        # added jet by jet, as in a row
+        nth = np.arange(len(event)) - np.repeat(begins, sizes[sizes > 0])
+        rounds = np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1])
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            x, out = np.where(good, x, 0.0), np.zeros((len(jets), variations))
+            for rows in rounds:
+                out[event[rows]] += x[rows]
+            return out
+
+        sums = {"n": summed(np.ones(1)), "b": summed(tags * 1.0), "pt": summed(pts), "b_pt": summed(tags * pts), "e": summed(np.sqrt(p * p + m * m))}
+        # places among the good jets of an event, best score first, earlier ones before
+        order = np.lexsort((np.arange(len(event)), -jet["score"], event))
+        ranked = good[order]
+        place = np.cumsum(ranked, axis=0)
+        place -= np.concatenate([np.zeros((1, variations), place.dtype), place])[np.repeat(begins, sizes[sizes > 0])]
+        who, no = np.nonzero(sums["n"] >= 4)
+        top = []
+        for k in range(1, 5):
+            at = np.zeros((len(jets), variations), np.int64)
+            j, v = np.nonzero(ranked & (place == k))
+            at[event[order[j]], v] = order[j]
+            top.append(moved(jet, pts, at[who, no], no, scale_mass))
+        m1, m2 = (moved(mu, mu_pts, at_muon[who] + k, no, False) for k in (0, 1))
+
+        out: dict[str, np.ndarray] = {}
+        for n, j in enumerate(top, start=1):
+            out |= {f"jet{n}_{c}": j[c] for c in ("px", "py", "pz", "mass")}
+            out |= {f"jet{n}_btag": j["score"], f"jet{n}_dr_mu1": distance(j, m1), f"jet{n}_dr_mu2": distance(j, m2)}
+        out |= {f"bjet_dr_{i}{j}": distance(top[i], top[j]) for i, j in PAIRS} | {f"bjet_m_{i}{j}": mass_of(top[i], top[j]) for i, j in PAIRS}
+        out |= {f"{w}_mu_{c}": x[c] for w, x in (("lead", m1), ("sublead", m2)) for c in ("px", "py", "pz", *MUON_FIELDS)}
+        out |= {"dimuon_dr": distance(m1, m2), "dimuon_mass": mass_of(m1, m2)}
+        n, b, pt, b_pt, e = (sums[k][who, no] for k in ("n", "b", "pt", "b_pt", "e"))
+        out |= {"nGoodJet": n, "nBJet": b, "sumjet_pt": pt, "sumbjet_pt": b_pt, "jet_cent": np.where(e > 0, pt / np.where(e > 0, e, 1.0), 0.0)}
+        flat = np.stack([out[f] for f in FEATURES], axis=1).ravel()
+
+        given = np.arange(variations) < count[:, None]
+        full = (sums["n"] >= 4)[given]
+        ends = np.concatenate([[0], np.cumsum(full) * len(FEATURES)]).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(~full))
+        outer = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(outer), each, mask=pa.array(~there))
+
+    return vectors
+
+
 def varied_vectors(
     df: DataFrame,
     variations: Sequence[JetVariation],
@@ -188,23 +304,31 @@ def varied_vectors(
     the selection under it. Rows of data only have the first one.
 
     A good jet has the varied pt above ``jet_pt`` and is ``fit``, whatever its pt. The
-    varied pt of every jet are one array in the jet; the features are written once, over
-    the number of the variation, so the plan does not grow with the variations. Nothing
-    is exploded or joined.
+    varied pt of every jet are one array in the jet, made for events with four fit jets.
+    Arrow batches go through the features of all their events and variations at once;
+    an event with a missing or infinite number goes through the same features in its
+    row, over the number of the variation. Nothing is exploded or joined.
     """
     fields = muon_fields or {f: f for f in MUON_FIELDS}
-    pts = F.transform(F.col(jets), lambda j: j.withField("_pts", F.array(*[v.jet(j).cast("double") for v in variations])))
     pair = F.array(*[F.get(F.col(muons), F.col(i)) for i in (lead, sublead)])
     pair = F.transform(pair, lambda m: m.withField("_pts", F.array(*[v.muon(m).cast("double") for v in variations])))
     n = F.size(muons)
     valid = F.col(lead).between(0, n - 1) & F.col(sublead).between(0, n - 1)
-    df = df.withColumns({"_vj": pts, "_vm": F.when(valid, pair)})
+
+    def with_pt(j: Column, new: Column) -> Column:
+        jet = j.withField("pt", new)
+        return jet.withField("mass", j["mass"] * new / F.greatest(j["pt"], F.lit(1e-6))) if scale_mass else jet
+
+    def varied(j: Column) -> Column:
+        tags = F.array(*[F.coalesce(tagged(with_pt(j, v.jet(j).cast("double"))), F.lit(False)) for v in variations])
+        return j.withField("_pts", F.array(*[v.jet(j).cast("double") for v in variations])).withField("_tags", tags)
+
+    fits = V.bind(F.filter(jets, fit), lambda js: F.when((F.size(js) >= 4) & valid, F.transform(js, varied)))
+    df = settle(df.withColumn("_vj", fits), "_vj").withColumn("_vm", F.when(F.col("_vj").isNotNull(), pair))
 
     def vector(no: Column) -> Column:
         def moved(j: Column) -> Column:
-            new = j["_pts"][no]
-            jet = j.withField("pt", new)
-            return jet.withField("mass", j["mass"] * new / F.greatest(j["pt"], F.lit(1e-6))) if scale_mass else jet
+            return with_pt(j, j["_pts"][no])
 
         def of_good(good: Column) -> Column:
             def of_top(top: Column) -> Column:
@@ -218,12 +342,20 @@ def varied_vectors(
             best = V.bind(V.with_p4(V.top_by(good, "score", 4)), of_top)
             return F.when((F.size(good) >= 4) & F.col("_vm").isNotNull(), best)
 
-        kept = F.filter("_vj", lambda j: (j["_pts"][no] > jet_pt) & fit(j))
+        kept = F.filter("_vj", lambda j: j["_pts"][no] > jet_pt)
         return V.bind(F.transform(kept, moved), of_good)
 
     data = is_data if isinstance(is_data, Column) else F.lit(is_data)
     last = F.when(data, 0).otherwise(F.lit(len(variations) - 1))
-    return df.withColumn(out, F.transform(F.sequence(F.lit(0), last), vector)).drop("_vj", "_vm")
+    batch = _vectors_of_batch(len(variations), jet_pt, scale_mass)(
+        F.transform("_vj", lambda j: F.struct(j["_pts"], j["_tags"], *_numbers(j, ["score"]))),
+        F.when(~F.exists("_vm", lambda m: m.isNull()), F.transform("_vm", lambda m: F.struct(m["_pts"], *_numbers(m, [fields[f] for f in MUON_FIELDS])))),
+        last,
+    )
+    none = F.array_repeat(F.lit(None).cast("array<double>"), last + 1)
+    df = settle(df.withColumn("_vv", batch), "_vv")
+    made = F.when(F.col("_vj").isNull(), none).when(F.col("_vv").isNotNull(), F.col("_vv")).otherwise(F.transform(F.sequence(F.lit(0), last), vector))
+    return df.withColumn(out, made).drop("_vj", "_vm", "_vv")
 
 
 def assignment_features(

@@ -515,3 +515,42 @@ def test_often_asked_blocks_of_long_lists(spark):
     inside = {k for k, run, b in rows if any(None not in (b, run, lo, hi) and r == run and lo <= b <= hi for r, lo, hi, _ in lists)}
     kept = [r["k"] for r in L.in_ranges(df, "run", "block", ranges).collect()]
     assert inside and sorted(kept) == sorted(inside)
+
+
+def test_batches_of_varied_vectors_agree_with_rows(spark, monkeypatch):
+    """Vectors of a batch are those made row by row, odd numbers and missing objects included."""
+    import random
+
+    rnd = random.Random(5)
+    odd = [None, math.nan, math.inf, 0.0]
+    num = lambda x: rnd.choice(odd) if rnd.random() < 0.01 else x
+    jet = lambda: (num(rnd.uniform(5, 90)), num(rnd.uniform(-3, 3)), num(rnd.uniform(-9, 9)), num(rnd.uniform(0, 9)), num(rnd.randint(0, 5) / 5), num(rnd.uniform(0, 0.3)), rnd.choice([True, True, True, False, None]))
+    muon = lambda: None if rnd.random() < 0.03 else (num(rnd.uniform(5, 90)), num(rnd.uniform(-3, 3)), rnd.uniform(-9, 9), 0.1, 1, num(rnd.uniform(0, 1)))
+    rows = [(k, rnd.choice([True, False, False, None]), None if k % 50 == 0 else [jet() for _ in range(rnd.randint(0, 9))], [muon() for _ in range(rnd.randint(0, 3))], 0, rnd.choice([1, 1, 1, 2, -1, None])) for k in range(400)]
+    kinds = "k int, data boolean, jets array<struct<pt:double,eta:double,phi:double,mass:double,score:double,s:double,fit:boolean>>, muons array<struct<pt:double,eta:double,phi:double,mass:double,charge:int,v:double>>, lead_idx int, sublead_idx int"
+    variations = X.jet_variations(["s"], muon_scale=("v", "v"))
+    df = spark.createDataFrame(rows, kinds).repartition(3)
+
+    def run(**more):
+        out = X.varied_vectors(df, variations, is_data=F.col("data"), jet_pt=20.0, muon_fields={f: "v" for f in X.MUON_FIELDS}, **more)
+        assert out.columns == [*df.columns, "vectors"]
+        return {r["k"]: r["vectors"] for r in out.collect()}
+
+    for more in ({}, {"scale_mass": True, "tagged": lambda j: j["pt"] > 40}):
+        got = run(**more)
+        with monkeypatch.context() as m:
+            m.setattr(X, "_vectors_of_batch", lambda *_: lambda *_: F.lit(None).cast("array<array<double>>"))
+            want = run(**more)
+        assert len(got) == 400 and sum(v is not None for vs in want.values() for v in vs) > 100
+        for k, vs in want.items():
+            assert len(vs) == len(got[k])
+            for a, b in zip(vs, got[k]):
+                assert str(a) == str(b) or a == pytest.approx(b, rel=1e-12, abs=1e-9, nan_ok=True), k
+
+
+def test_batches_make_the_vectors(spark):
+    """Features under variations are not walked through row by row."""
+    from eventloom.plans import extracting as P
+
+    plan = P.scores_under_variations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
