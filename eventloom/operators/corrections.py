@@ -13,8 +13,12 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions import vectors as V
 from eventloom.functions.kinematics import delta_phi, folded_delta_r
@@ -335,6 +339,36 @@ def tag_weight(coll: Column, sf: Callable[[Column], Column], eff: Callable[[Colu
     return V.product(coll, factor, good)
 
 
+def _tag_products(sf: np.ndarray, eff: np.ndarray, point_of: Sequence[int], cuts: Sequence[float]) -> Callable:
+    """Products of the factors of all parts over the jets (light, sf_cell, eff_cell,
+    score) of an event, for a batch of events at once. ``sf`` and ``eff`` have a row per
+    cell. An event with a missing number gets null."""
+    of, cut = np.asarray(point_of), np.asarray(cuts)[list(point_of)]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def products(jets: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(jets), 0).to_numpy(zero_copy_only=False)
+        event = np.repeat(np.arange(len(jets)), sizes)
+        parts = jets.flatten().flatten()
+        there = jets.is_valid().to_numpy(zero_copy_only=False)
+        fine = np.ones(len(event), bool)
+        for p in parts:
+            fine &= p.is_valid().to_numpy(zero_copy_only=False)
+        light, sf_cell, eff_cell, score = (pc.fill_null(p, 0 if pa.types.is_integer(p.type) else False if pa.types.is_boolean(p.type) else 0.0).to_numpy(zero_copy_only=False) for p in parts)
+        there[event[~fine | np.isnan(score)]] = False
+        nth = np.arange(len(event)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.ones((len(jets), len(of)))
+        for rows in np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1]):
+            s = np.where(light[rows, None], 1.0, sf[sf_cell[rows]])
+            e = eff[eff_cell[rows]][:, of]
+            free = np.where(e < 1.0, (1.0 - s * e) / np.where(e < 1.0, 1.0 - e, 1.0), 1.0)
+            out[event[rows]] *= np.where(score[rows, None] > cut, s, free)
+        ends = np.concatenate([[0], np.cumsum(there) * len(of)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[there].ravel()), mask=pa.array(~there))
+
+    return products
+
+
 @correction("btag_working_point")
 def btag_working_point(
     df: DataFrame, ctx: Context, coll: str = "jets", points: dict[str, float] | None = None, sources: Sequence[str] = (), source_point: str = "M", pt: str = "pt_jec", out: str = "btag_weight"
@@ -363,27 +397,36 @@ def btag_working_point(
         },
     )
     ones = F.array_repeat(F.lit(1.0), len(parts))
-    df = add_fields(df, coll, {"_sf": lambda o: F.when(o["flavour"] == 0, ones).otherwise(sf_at(o["_sf_cell"])), "_eff": lambda o: eff_at(o["_eff_cell"])})
-    values = {}
-    for no, wp in enumerate(names):
-        values |= {f"sf_{wp}{suffix}": (lambda o, i=3 * no + k: F.get(o["_sf"], F.lit(i))) for k, suffix in enumerate(("", "_up", "_down"))}
-        values[f"eff_{wp}"] = lambda o, no=no: F.get(o["_eff"], F.lit(no))
-    df = add_fields(df, coll, values)
-    point_of = F.lit([names.index(wp) for _, wp in parts])
-    cuts = V.double_array([points[wp] for wp in names])
+    sf_of = lambda o: F.when(o["flavour"] == 0, ones).otherwise(sf_at(o["_sf_cell"]))
+    point_of = [names.index(wp) for _, wp in parts]
+    points_of, cuts = F.lit(point_of), V.double_array([points[wp] for wp in names])
 
     def factors(o: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            no = F.get(point_of, i)
-            e = F.get(o["_eff"], no)
+        def one(s: Column, i: Column, eff: Column) -> Column:
+            no = F.get(points_of, i)
+            e = F.get(eff, no)
             # e < 1 in this branch, NULLIF keeps the other branch from dividing
             free = F.when(e < 1.0, (1.0 - s * e) / F.nullif(1.0 - e, F.lit(0.0))).otherwise(F.lit(1.0))
             return F.when(o["score"] > F.get(cuts, no), s).otherwise(free)
 
-        return F.transform(o["_sf"], one)
+        return V.bind(eff_at(o["_eff_cell"]), lambda eff: F.transform(sf_of(o), lambda s, i: one(s, i, eff)))
 
-    all_weights = V.products(F.filter(coll, lambda o: o["good"]), factors, len(parts))
-    df = df.withColumn("_weights", all_weights)
+    # all events of a batch at once; one with a missing number is walked through in its
+    # row. The fields of the jets come after, so they cost nothing where none is used
+    sf_rows = np.array([sf_t.fixed(*part).values for part in parts], dtype=np.float64).T
+    eff_rows = np.array([eff_t.fixed(wp).values for wp in names], dtype=np.float64).T
+    used = F.filter(coll, lambda o: o["good"])
+    light = lambda o: (o["flavour"] == 0).alias("light")
+    sent = F.transform(used, lambda o: F.struct(light(o), o["_sf_cell"].alias("s"), o["_eff_cell"].alias("e"), o["score"].cast("double").alias("x")))
+    df = settle(df.withColumn("_batch", _tag_products(sf_rows, eff_rows, point_of, [points[wp] for wp in names])(sent)), "_batch")
+    df = df.withColumn("_weights", F.coalesce("_batch", V.products(used, factors, len(parts)))).drop("_batch")
+
+    df = add_fields(df, coll, {"_sf": sf_of, "_eff": lambda o: eff_at(o["_eff_cell"])})
+    values = {}
+    for no, wp in enumerate(names):
+        values |= {f"sf_{wp}{suffix}": (lambda o, i=3 * no + k: F.get(o["_sf"], F.lit(i))) for k, suffix in enumerate(("", "_up", "_down"))}
+        values[f"eff_{wp}"] = lambda o, no=no: F.get(o["_eff"], F.lit(no))
+    df = add_fields(df, coll, values)
     columns = [f"{out}_{wp}{suffix}" for wp in names for suffix in ("", "_up", "_down")]
     varied = [f"{out}_{s}_{d}" for s in sources for d in ("up", "down")]
     df = add_columns(df, {n: F.get("_weights", F.lit(i)) for i, n in enumerate(columns + varied)}).drop("_weights")

@@ -554,3 +554,33 @@ def test_batches_make_the_vectors(spark):
 
     plan = P.scores_under_variations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2
+
+
+def test_batches_of_tag_weights_agree_with_rows(spark, monkeypatch):
+    """Tag weights of a batch are those of the walk through each row, odd jets included."""
+    import random
+
+    from eventloom.operators import corrections as C
+    from eventloom.plans import correcting as P
+
+    rnd = random.Random(7)
+    num = lambda x: rnd.choice([None, math.nan, math.inf]) if rnd.random() < 0.01 else x
+    jet = lambda: (num(rnd.uniform(-3, 3)), num(rnd.uniform(10, 200)), num(rnd.uniform(0, 1)), rnd.choice([0, 4, 5, 5, 4, 5, 0, 4, 5, 7, None]) if rnd.random() < 0.1 else rnd.choice([0, 4, 5]), rnd.choice([True, True, False, None]))
+    rows = [(k, None if k % 40 == 0 else [jet() for _ in range(rnd.randint(0, 7))]) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, jets array<struct<eta:double,pt_jec:double,score:double,flavour:int,good:boolean>>").repartition(3)
+    ctx = C.Context(tables={"btag_sf": P.MANY_TAG_SF, "btag_eff": P.BTAG_EFF}, options={"btag_working_point": {"points": P.WPS, "sources": P.MANY_TAG_SOURCES}})
+
+    def run():
+        out = C.apply_corrections(df, ["btag_working_point"], ctx)
+        return out.columns, {r["k"]: r for r in out.collect()}, out.select("btag_weight")
+
+    columns, got, weight = run()
+    assert "ArrowEvalPython" in weight._jdf.queryExecution().optimizedPlan().toString()
+    with monkeypatch.context() as m:
+        m.setattr(C, "_tag_products", lambda *_: lambda *_: F.lit(None).cast("array<double>"))
+        plain_columns, want, _ = run()
+    assert columns == plain_columns and len(got) == 300 and sum(r["btag_weight"] not in (None, 1.0) for r in want.values()) > 100
+    for k, r in want.items():
+        for c in columns[2:]:
+            assert got[k][c] == r[c] or str(got[k][c]) == str(r[c]) or got[k][c] == pytest.approx(r[c], rel=1e-12, nan_ok=True), (k, c)
+        assert str(got[k]["jets"]) == str(r["jets"])
