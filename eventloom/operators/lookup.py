@@ -23,6 +23,9 @@ from eventloom.functions.vectors import bind, double_array
 from eventloom.operators.scale import bucket_count, values_table, written
 
 INLINE_CELLS = 1 << 20
+#: cells up to which a joined table is sent to the tasks (about 64 MB), so that objects
+#: stay where they are
+SENT_CELLS = 1 << 21
 #: inner edges of an axis from which a bin is found by halving
 SEARCHED = 64
 
@@ -69,15 +72,16 @@ class _Layout:
         known = F.array(*[F.lit(k) for k in keys])
         return F.nullif(F.array_position(known, key), F.lit(0)) - 1
 
-    def cell(self, *inputs: Column) -> Column:
+    def cell(self, *inputs: Column, bins: dict[int, Column] | None = None) -> Column:
         """Flat cell number for category keys followed by axis coordinates.
-        Several tables (or parts) with the same layout can share it."""
+        Several tables (or parts) with the same layout can share it. ``bins`` are bins
+        already found, by axis."""
         flat = None
         for i, (_, keys) in enumerate(self.categories):
             no = self.key_no(i, inputs[i])
             flat = no if flat is None else flat * len(keys) + no
         for j, (_, edges) in enumerate(self.axes):
-            no = self.bin_no(j, inputs[len(self.categories) + j])
+            no = bins[j] if bins and j in bins else self.bin_no(j, inputs[len(self.categories) + j])
             flat = no if flat is None else flat * (len(edges) - 1) + no
         return flat.cast("int")
 
@@ -214,7 +218,9 @@ def looked_up_fields(df: DataFrame, coll: str, stages: Sequence[dict[str, Callab
                 _, part, inputs = f.here()
                 part = part if isinstance(part, StoredTable) else stored(spark, part)
                 cells = part.values.select(F.col("cell").cast("long").alias(f"_c_{n}"), F.col("value").alias(f"_v_{n}"))
-                rows = rows.withColumn("_cell", part.cell(*inputs(F.col("_o"))).cast("long")).join(cells, F.col("_cell") == F.col(f"_c_{n}"), "left").drop("_cell", f"_c_{n}")
+                if part.size() <= SENT_CELLS:
+                    cells = F.broadcast(cells.where(F.col(f"_c_{n}").between(0, part.size() - 1)))
+                rows = _with_cell(rows, part, inputs(F.col("_o"))).join(cells, F.col("_cell") == F.col(f"_c_{n}"), "left").drop("_cell", f"_c_{n}")
                 new[n] = F.col(f"_v_{n}")
         rows = rows.withColumn("_o", _with_fields(F.col("_o"), new)).drop(*[f"_v_{n}" for n in stage])
     parts = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_p", "_o"))).alias("_all"))
@@ -224,6 +230,24 @@ def looked_up_fields(df: DataFrame, coll: str, stages: Sequence[dict[str, Callab
     return out.select(*[(objects.alias(coll) if c == coll else F.col(c)) for c in df.columns])
 
 
+def _with_cell(rows: DataFrame, layout: _Layout, inputs: Sequence[Column]) -> DataFrame:
+    """Adds ``_cell``, the number of the cell (long). Rows, unlike objects inside a
+    collection, go through Spark's ``Bucketizer``."""
+    bins: dict[int, Column] = {}
+    names, first = rows.columns, len(layout.categories)
+    for j, (_, edges) in enumerate(layout.axes):
+        inner = [float(e) + 0.0 for e in edges[1:-1]]
+        if len(inner) > 1 and layout.flow == "clamp":
+            find = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_x", outputCol=f"_bin_{j}", handleInvalid="keep")
+            # it tells zeros of both signs apart, and gives NaN a bin of its own
+            rows = find.transform(rows.withColumn("_x", inputs[first + j].cast("double") + F.lit(0.0))).drop("_x")
+            bin_no = F.col(f"_bin_{j}")
+            # a missing number is in the first bin of a short axis, in none of a long one
+            missing = F.lit(None) if len(inner) > SEARCHED else F.lit(0.0)
+            bins[j] = F.when(bin_no.isNull(), missing).otherwise(F.least(bin_no, F.lit(float(len(inner))))).cast("int")
+    return rows.select(*names, layout.cell(*inputs, bins=bins).cast("long").alias("_cell"))
+
+
 def _with_fields(o: Column, fields: dict[str, Column]) -> Column:
     for n, value in fields.items():
         o = o.withField(n, value)

@@ -458,6 +458,22 @@ def test_vectors_and_scores_under_variations(spark):
     assert M.scores_by_variation(out.where("false"), "vectors", layers, [v.name for v in variations]).collect() == []
 
 
+def test_cells_of_rows(spark):
+    """Rows find the same cells as objects inside a collection, without a walk over the
+    edges, and a table of bounded size does not move the objects."""
+    from eventloom.operators import lookup as L
+    from eventloom.plans import correcting as P
+
+    xs = [None, math.nan, math.inf, -math.inf, -0.0, 0.0, -1e-300, 0.05, 0.1, 129.95, 130.0, 500.0, -2.4, -2.32, 1.0]
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate((x, y) for x in xs for y in xs)], "k int, x double, y double")
+    edges = (-3.0, -2.32, 0.0, 0.05, 0.1, 130.0, 200.0)
+    table = L.StoredTable([("x", edges), ("y", tuple(k * 0.05 for k in range(2601)))], spark.range(1).selectExpr("id AS cell", "0D AS value"))
+    rows = L._with_cell(df.withColumn("want", table.cell(F.col("x"), F.col("y")).cast("long")), table, [F.col("x"), F.col("y")])
+    assert rows.columns == [*df.columns, "want", "_cell"] and rows.where("NOT want <=> _cell").count() == 0 and rows.where("_cell IS NULL").count() == len(xs)
+    plan = P.jet_energy_fine(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "aggregate(" not in plan
+
+
 def test_tables_inside_and_beside_the_plan(spark, monkeypatch):
     """Corrections give the same objects whether their tables fit into the plan or not."""
     from eventloom.operators import corrections as C
