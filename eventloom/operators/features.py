@@ -183,11 +183,15 @@ def _numbers(o: Column, fields: Sequence[str]) -> list[Column]:
     return cols + [f(o).alias(n) for n, f in _TURN.items()]
 
 
-def _columns_of(structs: pa.Array, lists: int, names: Sequence[str], variations: int) -> tuple[list[np.ndarray], dict[str, np.ndarray], np.ndarray]:
+#: events whose vectors are made at once, so that their numbers stay in a core's cache
+_BLOCK = 512
+
+
+def _columns_of(structs: pa.Array, lists: int, names: Sequence[str], kinds: int) -> tuple[list[np.ndarray], dict[str, np.ndarray], np.ndarray]:
     """The leading list fields of structs as matrices, the numbers by name, and which
     structs have only finite numbers."""
     parts = structs.flatten()
-    rows = [pc.fill_null(p.flatten(), float("nan") if pa.types.is_floating(p.type.value_type) else False).to_numpy(zero_copy_only=False).reshape(-1, variations) for p in parts[:lists]]
+    rows = [pc.fill_null(p.flatten(), float("nan") if pa.types.is_floating(p.type.value_type) else False).to_numpy(zero_copy_only=False).reshape(-1, kinds) for p in parts[:lists]]
     numbers = {n: pc.fill_null(p, float("nan")).to_numpy(zero_copy_only=False) for n, p in zip(names, parts[lists:])}
     fine = np.isfinite(rows[0]).all(axis=1)
     for x in numbers.values():
@@ -195,45 +199,54 @@ def _columns_of(structs: pa.Array, lists: int, names: Sequence[str], variations:
     return rows, numbers, fine
 
 
-def _vectors_of_batch(variations: int, jet_pt: float, scale_mass: bool) -> Callable:
-    """Vectors of all variations of the events of a batch at once, in the order of
-    ``FEATURES``. An event with a missing or infinite number gets null, as one without
-    jets does."""
+def _vectors_of_batch(jet_kinds: Sequence[int], muon_kinds: Sequence[int], jet_pt: float, scale_mass: bool) -> Callable:
+    """Vectors of all variations of the events of a batch, block by block, in the order
+    of ``FEATURES``. Variations are given as places in the varied pt of jets and of muons.
+    An event with a missing or infinite number gets null, as one without jets does."""
     jet_names = ("pt", "eta", "phi", "mass", "score", *_TURN)
     muon_names = ("pt", "eta", "phi", "mass", *MUON_FIELDS, *_TURN)
-
-    def distance(a: dict, b: dict) -> np.ndarray:
-        deta, d = a["eta"] - b["eta"], a["phi"] - b["phi"]
+    variations = len(jet_kinds)
+    jet_kinds, muon_kinds = np.asarray(jet_kinds), np.asarray(muon_kinds)
+    kinds, muon_size = jet_kinds.max() + 1, muon_kinds.max() + 1
+    at = {f: i for i, f in enumerate(FEATURES)}
+    one, two = np.array(PAIRS).T
+    jet_at = {f: [at[f"jet{n}_{f}"] for n in range(1, 5)] for f in JET_FIELDS}
+    pair_at = {f: [at[f"bjet_{f}_{i}{j}"] for i, j in PAIRS] for f in ("dr", "m")}
+    muon_at = {f: [at[f"{w}_mu_{f}"] for w in ("lead", "sublead")] for f in ("px", "py", "pz", *MUON_FIELDS)}
+
+    def distance(a: dict, b: dict, i=slice(None), j=slice(None)) -> np.ndarray:
+        deta, d = a["eta"][i] - b["eta"][j], a["phi"][i] - b["phi"][j]
         d = d - 2.0 * np.pi * np.ceil((d - np.pi) / (2.0 * np.pi))
         return np.sqrt(deta * deta + d * d)
 
-    def moved(o: dict, pts: np.ndarray, row: np.ndarray, no: np.ndarray, scaled: bool) -> dict:
-        """Objects ``row`` under the variations ``no``."""
+    def moved(o: dict, new: np.ndarray, row: np.ndarray, scaled: bool) -> dict:
+        """Objects ``row`` with the pt ``new``."""
         out = {n: x[row] for n, x in o.items()}
-        new = pts[row, no]
         if scaled:
             out["mass"] = out["mass"] * new / np.maximum(out["pt"], 1e-6)
         p = new * out["ch"]
         return out | {"pt": new, "px": new * out["c"], "py": new * out["s"], "pz": new * out["sh"], "e": np.sqrt(p * p + out["mass"] * out["mass"])}
 
-    def mass_of(a: dict, b: dict) -> np.ndarray:
-        e, px, py, pz = (a[n] + b[n] for n in ("e", "px", "py", "pz"))
+    def mass_of(a: dict, i, j) -> np.ndarray:
+        e, px, py, pz = (a[n][i] + a[n][j] for n in ("e", "px", "py", "pz"))
         return np.sqrt(np.maximum(e * e - (px * px + py * py + pz * pz), 0.0))
 
-    @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-    def vectors(jets: pa.Array, muons: pa.Array, last: pa.Array) -> pa.Array:
+    def block(jets: pa.Array, muons: pa.Array, last: pa.Array) -> tuple[np.ndarray, ...]:
+        """The vectors in a row, which variations of the events have one, how many
+        variations an event has, and which events were made."""
         sizes = pc.fill_null(pc.list_value_length(jets), 0).to_numpy(zero_copy_only=False)
         event = np.repeat(np.arange(len(jets)), sizes)
-        (pts, tags), jet, fine = _columns_of(jets.flatten(), 2, jet_names, variations)
-        (mu_pts,), mu, mu_fine = _columns_of(muons.flatten(), 1, muon_names, variations)
-        paired = muons.is_valid().to_numpy(zero_copy_only=False)
+        (pts, tags), jet, fine = _columns_of(jets.flatten(), 2, jet_names, kinds)
+        (mu_pts,), mu, mu_fine = _columns_of(muons.flatten(), 1, muon_names, muon_size)
+        paired = pc.fill_null(pc.list_value_length(muons), 0).to_numpy(zero_copy_only=False) == 2
         at_muon = np.cumsum(2 * paired) - 2
         there = (sizes > 0) & paired
         there[event[~fine]] = False
         there &= np.concatenate([mu_fine, [True, True]])[np.maximum(at_muon[:, None], 0) + [0, 1]].all(axis=1)
         count = np.where(there, pc.fill_null(last, 0).to_numpy(zero_copy_only=False) + 1, 0)
+        given = np.arange(variations) < count[:, None]
 
-        good = (pts > jet_pt) & (np.arange(variations) < count[event][:, None])
+        good = (pts > jet_pt) & there[event][:, None]
         m = jet["mass"][:, None] * pts / np.maximum(jet["pt"], 1e-6)[:, None] if scale_mass else jet["mass"][:, None]
         p = pts * jet["ch"][:, None]
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0].astype(np.int64)
@@ -243,39 +256,48 @@ def _vectors_of_batch(variations: int, jet_pt: float, scale_mass: bool) -> Calla
         rounds = np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1])
 
         def summed(x: np.ndarray) -> np.ndarray:
-            x, out = np.where(good, x, 0.0), np.zeros((len(jets), variations))
+            x, out = np.where(good, x, 0.0), np.zeros((len(jets), kinds))
             for rows in rounds:
                 out[event[rows]] += x[rows]
             return out
 
         sums = {"n": summed(np.ones(1)), "b": summed(tags * 1.0), "pt": summed(pts), "b_pt": summed(tags * pts), "e": summed(np.sqrt(p * p + m * m))}
+        full = (sums["n"] >= 4)[:, jet_kinds] & given
         # places among the good jets of an event, best score first, earlier ones before
         order = np.lexsort((np.arange(len(event)), -jet["score"], event))
         ranked = good[order]
         place = np.cumsum(ranked, axis=0)
-        place -= np.concatenate([np.zeros((1, variations), place.dtype), place])[np.repeat(begins, sizes[sizes > 0])]
-        who, no = np.nonzero(sums["n"] >= 4)
-        top = []
-        for k in range(1, 5):
-            at = np.zeros((len(jets), variations), np.int64)
-            j, v = np.nonzero(ranked & (place == k))
-            at[event[order[j]], v] = order[j]
-            top.append(moved(jet, pts, at[who, no], no, scale_mass))
-        m1, m2 = (moved(mu, mu_pts, at_muon[who] + k, no, False) for k in (0, 1))
-
-        out: dict[str, np.ndarray] = {}
-        for n, j in enumerate(top, start=1):
-            out |= {f"jet{n}_{c}": j[c] for c in ("px", "py", "pz", "mass")}
-            out |= {f"jet{n}_btag": j["score"], f"jet{n}_dr_mu1": distance(j, m1), f"jet{n}_dr_mu2": distance(j, m2)}
-        out |= {f"bjet_dr_{i}{j}": distance(top[i], top[j]) for i, j in PAIRS} | {f"bjet_m_{i}{j}": mass_of(top[i], top[j]) for i, j in PAIRS}
-        out |= {f"{w}_mu_{c}": x[c] for w, x in (("lead", m1), ("sublead", m2)) for c in ("px", "py", "pz", *MUON_FIELDS)}
-        out |= {"dimuon_dr": distance(m1, m2), "dimuon_mass": mass_of(m1, m2)}
-        n, b, pt, b_pt, e = (sums[k][who, no] for k in ("n", "b", "pt", "b_pt", "e"))
-        out |= {"nGoodJet": n, "nBJet": b, "sumjet_pt": pt, "sumbjet_pt": b_pt, "jet_cent": np.where(e > 0, pt / np.where(e > 0, e, 1.0), 0.0)}
-        flat = np.stack([out[f] for f in FEATURES], axis=1).ravel()
+        place -= np.concatenate([np.zeros((1, kinds), place.dtype), place])[np.repeat(begins, sizes[sizes > 0])]
+        j, kind = np.nonzero(ranked & (place <= 4))
+        best = np.zeros((4, len(jets), kinds), np.int64)
+        best[place[j, kind] - 1, event[order[j]], kind] = order[j]
+
+        who, no = np.nonzero(full)
+        kind = jet_kinds[no]
+        row = best[:, who, kind]
+        top = moved(jet, pts[row, kind], row, scale_mass)
+        row = at_muon[who] + np.array([[0], [1]])
+        pair = moved(mu, mu_pts[row, muon_kinds[no]], row, False)
+
+        x = np.empty((len(FEATURES), len(who)))
+        for f in ("px", "py", "pz", "mass"):
+            x[jet_at[f]] = top[f]
+        x[jet_at["btag"]] = top["score"]
+        for n in (0, 1):
+            x[jet_at[f"dr_mu{n + 1}"]] = distance(top, pair, j=n)
+        x[pair_at["dr"]], x[pair_at["m"]] = distance(top, top, one, two), mass_of(top, one, two)
+        for f, rows in muon_at.items():
+            x[rows] = pair[f]
+        x[at["dimuon_dr"]], x[at["dimuon_mass"]] = distance(pair, pair, 0, 1), mass_of(pair, 0, 1)
+        n, b, pt, b_pt, e = (sums[k][who, kind] for k in ("n", "b", "pt", "b_pt", "e"))
+        for f, v in (("nGoodJet", n), ("nBJet", b), ("sumjet_pt", pt), ("sumbjet_pt", b_pt), ("jet_cent", np.where(e > 0, pt / np.where(e > 0, e, 1.0), 0.0))):
+            x[at[f]] = v
+        return x.T.ravel(), full[given], count, there
 
-        given = np.arange(variations) < count[:, None]
-        full = (sums["n"] >= 4)[given]
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def vectors(jets: pa.Array, muons: pa.Array, last: pa.Array) -> pa.Array:
+        parts = [block(*(c.slice(k, _BLOCK) for c in (jets, muons, last))) for k in range(0, max(len(jets), 1), _BLOCK)]
+        flat, full, count, there = (np.concatenate(c) for c in zip(*parts))
         ends = np.concatenate([[0], np.cumsum(full) * len(FEATURES)]).astype(np.int32)
         each = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(~full))
         outer = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
@@ -298,64 +320,91 @@ def varied_vectors(
     tagged: Callable[[Column], Column] = lambda j: j["score"] > 0.1272,
     scale_mass: bool = False,
     muon_fields: dict[str, str] | None = None,
+    use: Callable[[Column], Column] = lambda vectors: vectors,
+    as_jet: Callable[[Column], Column] = lambda o: o,
+    as_muon: Callable[[Column], Column] = lambda o: o,
 ) -> DataFrame:
     """Add ``out``: for every variation the vector of all features (in the order of
     ``FEATURES``), rebuilt from the varied jets and muons, or null where the event fails
     the selection under it. Rows of data only have the first one.
 
     A good jet has the varied pt above ``jet_pt`` and is ``fit``, whatever its pt. The
-    varied pt of every jet are one array in the jet, made for events with four fit jets.
-    Arrow batches go through the features of all their events and variations at once;
-    an event with a missing or infinite number goes through the same features in its
-    row, over the number of the variation. Nothing is exploded or joined.
+    numbers of a jet with its varied pt are made in one step, for events with four fit
+    jets; variations with the same function share a pt, likewise for muons. Arrow batches
+    go through the features of all their events and variations at once; an event with a
+    missing or infinite number goes through the same features in its row, over the number
+    of the variation. Nothing is exploded or joined.
+
+    ``use`` is an Arrow function from an array of vectors to an array of lists of numbers,
+    one or null for each; ``out`` is then what it gives. It gets the vectors in the batch
+    that makes them, so they do not pass through the row. ``as_jet`` and ``as_muon`` make
+    the struct of a jet or muon from an object; batches compute only the fields in use.
     """
     fields = muon_fields or {f: f for f in MUON_FIELDS}
-    pair = F.array(*[F.get(F.col(muons), F.col(i)) for i in (lead, sublead)])
-    pair = F.transform(pair, lambda m: m.withField("_pts", F.array(*[v.muon(m).cast("double") for v in variations])))
+    jet_moves, muon_moves = (list(dict.fromkeys(moves)) for moves in ([v.jet for v in variations], [v.muon for v in variations]))
+    jet_kinds, muon_kinds = [jet_moves.index(v.jet) for v in variations], [muon_moves.index(v.muon) for v in variations]
     n = F.size(muons)
     valid = F.col(lead).between(0, n - 1) & F.col(sublead).between(0, n - 1)
+    pair = F.array(*[F.get(F.col(muons), F.col(i)) for i in (lead, sublead)])
+    fits = F.filter(jets, lambda o: fit(as_jet(o)))
+
+    def varied(o: Column, moves: Sequence[Callable[[Column], Column]]) -> Column:
+        return F.array(*[move(o).cast("double") for move in moves])
 
     def with_pt(j: Column, new: Column) -> Column:
         jet = j.withField("pt", new)
         return jet.withField("mass", j["mass"] * new / F.greatest(j["pt"], F.lit(1e-6))) if scale_mass else jet
 
-    def varied(j: Column) -> Column:
-        tags = F.array(*[F.coalesce(tagged(with_pt(j, v.jet(j).cast("double"))), F.lit(False)) for v in variations])
-        return j.withField("_pts", F.array(*[v.jet(j).cast("double") for v in variations])).withField("_tags", tags)
+    def jet_numbers(o: Column) -> Column:
+        j = as_jet(o)
+        tags = F.array(*[F.coalesce(tagged(with_pt(j, move(j).cast("double"))), F.lit(False)) for move in jet_moves])
+        return F.struct(varied(j, jet_moves).alias("_pts"), tags.alias("_tags"), *_numbers(j, ["score"]))
+
+    def muon_numbers(o: Column) -> Column:
+        m = as_muon(o)
+        return F.struct(varied(m, muon_moves).alias("_pts"), *_numbers(m, [fields[f] for f in MUON_FIELDS]))
+
+    def where(kept: Column, coll: Column) -> Column:
+        """The collection, or none of it: an empty list costs a batch less than a missing one."""
+        return F.when(kept, coll).otherwise(F.slice(coll, 1, 0))
+
+    four = V.bind(fits, lambda js: F.transform(where((F.size(js) >= 4) & valid, js), jet_numbers))
+    df = settle(df.withColumn("_vj", four), "_vj")
+    missed = F.coalesce(F.size("_vj") == 0, F.lit(True))
+    both = V.bind(pair, lambda ms: F.transform(where(~missed & ~F.exists(ms, lambda m: m.isNull()), ms), muon_numbers))
 
-    fits = V.bind(F.filter(jets, fit), lambda js: F.when((F.size(js) >= 4) & valid, F.transform(js, varied)))
-    df = settle(df.withColumn("_vj", fits), "_vj").withColumn("_vm", F.when(F.col("_vj").isNotNull(), pair))
+    def walk(js: Column, ms: Column) -> Column:
+        def vector(no: Column) -> Column:
+            kind, muon_kind = F.get(F.lit(jet_kinds), no), F.get(F.lit(muon_kinds), no)
 
-    def vector(no: Column) -> Column:
-        def moved(j: Column) -> Column:
-            return with_pt(j, j["_pts"][no])
+            def of_good(good: Column) -> Column:
+                def of_top(top: Column) -> Column:
+                    def of_muons(turned: Column) -> Column:
+                        cols = _feature_columns([top[i] for i in range(4)], good, F.filter(good, tagged), turned[0], turned[1], fields)
+                        return F.array(*[cols[f].cast("double") for f in FEATURES])
 
-        def of_good(good: Column) -> Column:
-            def of_top(top: Column) -> Column:
-                def of_muons(ms: Column) -> Column:
-                    cols = _feature_columns([top[i] for i in range(4)], good, F.filter(good, tagged), ms[0], ms[1], fields)
-                    return F.array(*[cols[f].cast("double") for f in FEATURES])
+                    return V.bind(V.with_p4(F.transform(ms, lambda m: m.withField("pt", m["_pts"][muon_kind]))), of_muons)
 
-                turned = F.transform("_vm", lambda m: m.withField("pt", m["_pts"][no]))
-                return V.bind(V.with_p4(turned), of_muons)
+                return F.when(F.size(good) >= 4, V.bind(V.with_p4(V.top_by(good, "score", 4)), of_top))
 
-            best = V.bind(V.with_p4(V.top_by(good, "score", 4)), of_top)
-            return F.when((F.size(good) >= 4) & F.col("_vm").isNotNull(), best)
+            kept = F.filter(js, lambda j: j["_pts"][kind] > jet_pt)
+            return V.bind(F.transform(kept, lambda j: with_pt(j, j["_pts"][kind])), of_good)
 
-        kept = F.filter("_vj", lambda j: j["_pts"][no] > jet_pt)
-        return V.bind(F.transform(kept, moved), of_good)
+        return F.transform(F.sequence(F.lit(0), last), vector)
 
     data = is_data if isinstance(is_data, Column) else F.lit(is_data)
     last = F.when(data, 0).otherwise(F.lit(len(variations) - 1))
-    batch = _vectors_of_batch(len(variations), jet_pt, scale_mass)(
-        F.transform("_vj", lambda j: F.struct(j["_pts"], j["_tags"], *_numbers(j, ["score"]))),
-        F.when(~F.exists("_vm", lambda m: m.isNull()), F.transform("_vm", lambda m: F.struct(m["_pts"], *_numbers(m, [fields[f] for f in MUON_FIELDS])))),
-        last,
-    )
     none = F.array_repeat(F.lit(None).cast("array<double>"), last + 1)
-    df = settle(df.withColumn("_vv", batch), "_vv")
-    made = F.when(F.col("_vj").isNull(), none).when(F.col("_vv").isNotNull(), F.col("_vv")).otherwise(F.transform(F.sequence(F.lit(0), last), vector))
-    return df.withColumn(out, made).drop("_vj", "_vm", "_vv")
+    batch = _vectors_of_batch(jet_kinds, muon_kinds, jet_pt, scale_mass)(F.col("_vj"), both, last)
+    df = settle(df.withColumn("_vv", use(batch)), "_vv")
+    full_jets = F.transform(fits, lambda o: V.bind(as_jet(o), lambda j: j.withField("_pts", varied(j, jet_moves))))
+    full_muons = F.transform(pair, lambda o: V.bind(as_muon(o), lambda m: m.withField("_pts", varied(m, muon_moves))))
+    walked = V.bind(full_jets, lambda js: V.bind(full_muons, lambda ms: walk(js, ms)))
+    walked = F.when(~missed & F.col("_vv").isNull(), walked).otherwise(F.slice(none, 1, 0))
+    # settled for Spark to see that the function takes a column, and the jets are no longer needed
+    df = settle(df.withColumns({"_vw": walked, "_vn": missed}), "_vw", "_vn").drop("_vj")
+    made = F.when(F.col("_vn"), none).otherwise(F.coalesce("_vv", "_vw"))
+    return df.withColumn("_vw", use(F.col("_vw"))).withColumn(out, made).drop("_vv", "_vw", "_vn")
 
 
 def assignment_features(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,8 +61,11 @@ def dense_scores_of_each(vectors: Column, layers: Sequence[Layer]) -> Column:
         values = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False)
         there = each.is_valid().to_numpy(zero_copy_only=False)
         x = values.reshape(-1, width)
-        fine = ~np.isnan(x).any(axis=1)
-        x = x[fine]
+        # no sum is a number if one of its parts is not
+        fine = ~np.isnan(x @ np.ones(width))
+        if not fine.all():
+            fine = ~np.isnan(x).any(axis=1)
+            x = x[fine]
         for no, (w, b) in enumerate(weights):
             x = x @ w.T + b
             if no < len(weights) - 1:
@@ -79,11 +82,16 @@ def dense_scores_of_each(vectors: Column, layers: Sequence[Layer]) -> Column:
     return score(vectors)
 
 
-def scores_by_variation(df: DataFrame, vectors: str, layers: Sequence[Layer], names: Sequence[str], out: str = "scores") -> DataFrame:
+def scores_by_variation(df: DataFrame, vectors: str | Callable[..., DataFrame], layers: Sequence[Layer], names: Sequence[str], out: str = "scores") -> DataFrame:
     """Add ``out``: a map from variation to its class probabilities (null where the
-    event fails the selection under it)."""
-    # the vectors are made once, before the batches, and not as part of the call
-    scored = settle(df, vectors).withColumn(out, dense_scores_of_each(F.col(vectors), layers))
+    event fails the selection under it). ``vectors`` is a column, or the step that makes
+    it (``varied_vectors`` with its options), which then scores them in its batches."""
+    score = lambda each: dense_scores_of_each(each, layers)
+    if callable(vectors):
+        scored = settle(vectors(df, out=out, use=score), out)
+    else:
+        # the vectors are made once, before the batches, and not as part of the call
+        scored = settle(df, vectors).withColumn(out, score(F.col(vectors)))
     return scored.withColumn(out, F.map_from_arrays(F.slice(F.lit(list(names)), F.lit(1), F.size(out)), F.col(out)))
 
 

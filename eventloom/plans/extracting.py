@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
@@ -354,21 +356,24 @@ def flat_features_all(spark, sf):
 
 
 def _varied_events(spark, sf):
-    """Jets with eleven sources and a resolution, muons with four other pt."""
+    """Objects that are jets and muons (leading two by position)."""
     ev = events(spark, sf, ["pt", "eta", "phi", "mass", "score", "rel", "charge"], ["status"])
+    has = lambda n: F.when(F.size("obj") > n, n).otherwise(-1)
+    return ev.select("k", "status", "obj", has(0).alias("lead_idx"), has(1).alias("sublead_idx"))
 
-    def jet(o):
-        jer = 1.0 + o["score"] / 20.0
-        parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score")] + [(o["rel"] * f).alias(s) for s, f in JET_SOURCES.items()]
-        return F.struct(*parts, jer.alias("jer"), (jer + 0.1).alias("jer_up"), (jer - 0.1).alias("jer_down"), (F.abs(o["eta"]) < 2.2).alias("fit"))
 
-    def muon(o):
-        parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score", "rel", "charge")]
-        moved = {"pt_scale_up": 1.0 + o["rel"] / 10.0, "pt_scale_dn": 1.0 - o["rel"] / 10.0, "pt_resol_up": 1.0 + o["score"] / 50.0, "pt_resol_dn": 1.0 - o["score"] / 50.0}
-        return F.struct(*parts, *[(o["pt"] * f).alias(n) for n, f in moved.items()])
+def _varied_jet(o):
+    """A jet with eleven sources and a resolution."""
+    jer = 1.0 + o["score"] / 20.0
+    parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score")] + [(o["rel"] * f).alias(s) for s, f in JET_SOURCES.items()]
+    return F.struct(*parts, jer.alias("jer"), (jer + 0.1).alias("jer_up"), (jer - 0.1).alias("jer_down"), (F.abs(o["eta"]) < 2.2).alias("fit"))
 
-    has = lambda n: F.when(F.size("obj") > n, n).otherwise(-1)
-    return ev.select("k", "status", F.transform("obj", jet).alias("jets"), F.transform("obj", muon).alias("muons"), has(0).alias("lead_idx"), has(1).alias("sublead_idx"))
+
+def _varied_muon(o):
+    """A muon with four other pt."""
+    parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score", "rel", "charge")]
+    moved = {"pt_scale_up": 1.0 + o["rel"] / 10.0, "pt_scale_dn": 1.0 - o["rel"] / 10.0, "pt_resol_up": 1.0 + o["score"] / 50.0, "pt_resol_dn": 1.0 - o["score"] / 50.0}
+    return F.struct(*parts, *[(o["pt"] * f).alias(n) for n, f in moved.items()])
 
 
 def _sql_wide_net() -> str:
@@ -383,8 +388,9 @@ SELECT k, v AS variation, round(e0 / (e0 + e1 + e2), 6) AS signal, round(e1 / (e
 def scores_under_variations(spark, sf):
     """Scores of a network on all 61 features under nominal, eleven jet sources, the jet
     resolution and the muon pt, up and down; one status plays data (nominal only)."""
-    ev = X.varied_vectors(_varied_events(spark, sf), VARIATIONS, is_data=F.col("status") == "P", jet_pt=25.0, scale_mass=True, muon_fields=MUON_MAP)
-    scored = M.scores_by_variation(ev.select("k", "vectors"), "vectors", WIDE_LAYERS, [v.name for v in VARIATIONS])
+    objects = {"jets": "obj", "muons": "obj", "as_jet": _varied_jet, "as_muon": _varied_muon}
+    vectors = partial(X.varied_vectors, variations=VARIATIONS, is_data=F.col("status") == "P", jet_pt=25.0, scale_mass=True, muon_fields=MUON_MAP, **objects)
+    scored = M.scores_by_variation(_varied_events(spark, sf), vectors, WIDE_LAYERS, [v.name for v in VARIATIONS])
     rows = scored.select("k", F.explode_outer("scores").alias("variation", "p")).where("p IS NOT NULL")
     return rows.select("k", "variation", *[r(F.get("p", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)])
 

@@ -572,6 +572,39 @@ def test_batches_make_the_vectors(spark):
     assert plan.count("ArrowEvalPython") == 2
 
 
+def test_scores_in_the_batch_that_makes_the_vectors(spark):
+    """Handed to the vectors, a network gives the scores it gives on their column, for odd
+    rows too, and the vectors stay out of the rows."""
+    import random
+    from functools import partial
+
+    from eventloom.operators import scoring as M
+    from eventloom.plans import extracting as P
+
+    rnd = random.Random(11)
+    num = lambda x: rnd.choice([None, math.nan, math.inf, 0.0]) if rnd.random() < 0.02 else x
+    obj = lambda: None if rnd.random() < 0.01 else (num(rnd.uniform(5, 90)), num(rnd.uniform(-3, 3)), rnd.uniform(-3, 3), num(rnd.uniform(0, 9)), num(rnd.randint(0, 5) / 5), num(rnd.uniform(0, 0.3)))
+    rows = [(k, rnd.choice([True, False, None]), None if k % 50 == 0 else [obj() for _ in range(rnd.randint(0, 8))], 0, rnd.choice([1, 1, 1, 6, -1, None])) for k in range(1200)]
+    df = spark.createDataFrame(rows, "k int, data boolean, obj array<struct<pt:double,eta:double,phi:double,mass:double,score:double,v:double>>, lead_idx int, sublead_idx int").repartition(2)
+    as_jet = lambda o: F.struct(*[o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score")], (o["v"] * 0.5).alias("s"), (F.abs(o["eta"]) < 2.5).alias("fit"))
+    variations = X.jet_variations(["s"], muon_scale=("v", "v"))
+    options = {"is_data": F.col("data"), "jets": "obj", "muons": "obj", "jet_pt": 20.0, "scale_mass": True, "muon_fields": {f: "v" for f in X.MUON_FIELDS}}
+    layers, names = [([[0.001 * i for i in range(61)], [-0.002] * 61], [0.0, 0.1])], [v.name for v in variations]
+    plain = X.varied_vectors(df.withColumn("jets", F.transform("obj", lambda o: F.when(o.isNotNull(), as_jet(o)))), variations, **options | {"jets": "jets"})
+    want = {r["k"]: r["scores"] for r in M.scores_by_variation(plain, "vectors", layers, names).collect()}
+    made = M.scores_by_variation(df, partial(X.varied_vectors, variations=variations, as_jet=as_jet, **options), layers, names)
+    got = {r["k"]: r["scores"] for r in made.collect()}
+    assert made.columns == [*df.columns, "scores"] and len(got) == len(rows) and sum(p is not None for r in want.values() for p in r.values()) > 300
+    walked = plain.where("exists(vectors, v -> exists(v, x -> isnull(x) OR isnan(x) OR abs(x) = double('inf')))").count()
+    assert walked > 5
+    for k, scores in want.items():
+        assert list(got[k]) == list(scores), k
+        for name, p in scores.items():
+            assert str(p) == str(got[k][name]) or got[k][name] == pytest.approx(p, rel=1e-12, nan_ok=True), (k, name)
+    plan = P.scores_under_variations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "score(vectors(" in plan and plan.count("vectors(") == 1
+
+
 def test_batches_of_tag_weights_agree_with_rows(spark, monkeypatch):
     """Tag weights of a batch are those of the walk through each row, odd jets included."""
     import random
