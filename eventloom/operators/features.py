@@ -187,11 +187,35 @@ def _numbers(o: Column, fields: Sequence[str]) -> list[Column]:
 _BLOCK = 512
 
 
+class _Reads:
+    """An object that only lets fields be read, and remembers which."""
+
+    def __init__(self, o: Column):
+        self.object, self.fields = o, set()
+
+    def __getitem__(self, field: str) -> Column:
+        self.fields.add(field)
+        return self.object[field]
+
+
+def _reads_any(function: Callable[[Column], Column], o: Column, fields: set[str]) -> bool:
+    """Can the function of an object depend on one of the fields? True if it does more than
+    read fields."""
+    seen = _Reads(o)
+    try:
+        function(seen)
+    except Exception:  # what is no column is refused by various errors
+        return True
+    return bool(seen.fields & fields)
+
+
 def _columns_of(structs: pa.Array, lists: int, names: Sequence[str], kinds: int) -> tuple[list[np.ndarray], dict[str, np.ndarray], np.ndarray]:
     """The leading list fields of structs as matrices, the numbers by name, and which
     structs have only finite numbers."""
     parts = structs.flatten()
-    rows = [pc.fill_null(p.flatten(), float("nan") if pa.types.is_floating(p.type.value_type) else False).to_numpy(zero_copy_only=False).reshape(-1, kinds) for p in parts[:lists]]
+    rows = [pc.fill_null(p.flatten(), float("nan") if pa.types.is_floating(p.type.value_type) else False).to_numpy(zero_copy_only=False) for p in parts[:lists]]
+    # a list has a value for each kind, or one for all
+    rows = [x.reshape(len(structs), -1) if len(structs) else x.reshape(0, kinds) for x in rows]
     numbers = {n: pc.fill_null(p, float("nan")).to_numpy(zero_copy_only=False) for n, p in zip(names, parts[lists:])}
     fine = np.isfinite(rows[0]).all(axis=1)
     for x in numbers.values():
@@ -357,7 +381,9 @@ def varied_vectors(
 
     def jet_numbers(o: Column) -> Column:
         j = as_jet(o)
-        tags = F.array(*[F.coalesce(tagged(with_pt(j, move(j).cast("double"))), F.lit(False)) for move in jet_moves])
+        # one tag for all variations if it does not read what they change
+        changing = jet_moves if _reads_any(tagged, j, {"pt", "mass"}) else jet_moves[:1]
+        tags = F.array(*[F.coalesce(tagged(with_pt(j, move(j).cast("double"))), F.lit(False)) for move in changing])
         return F.struct(varied(j, jet_moves).alias("_pts"), tags.alias("_tags"), *_numbers(j, ["score"]))
 
     def muon_numbers(o: Column) -> Column:

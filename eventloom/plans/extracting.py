@@ -357,7 +357,7 @@ def flat_features_all(spark, sf):
 
 def _varied_events(spark, sf):
     """Objects that are jets and muons (leading two by position)."""
-    ev = events(spark, sf, ["pt", "eta", "phi", "mass", "score", "rel", "charge"], ["status"])
+    ev = events(spark, sf, ["pt", "eta", "phi", "mass", "score", "rel"], ["status"])
     has = lambda n: F.when(F.size("obj") > n, n).otherwise(-1)
     return ev.select("k", "status", "obj", has(0).alias("lead_idx"), has(1).alias("sublead_idx"))
 
@@ -371,7 +371,7 @@ def _varied_jet(o):
 
 def _varied_muon(o):
     """A muon with four other pt."""
-    parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score", "rel", "charge")]
+    parts = [o[c].alias(c) for c in ("pt", "eta", "phi", "mass", "score", "rel")]
     moved = {"pt_scale_up": 1.0 + o["rel"] / 10.0, "pt_scale_dn": 1.0 - o["rel"] / 10.0, "pt_resol_up": 1.0 + o["score"] / 50.0, "pt_resol_dn": 1.0 - o["score"] / 50.0}
     return F.struct(*parts, *[(o["pt"] * f).alias(n) for n, f in moved.items()])
 

@@ -603,6 +603,10 @@ def test_scores_in_the_batch_that_makes_the_vectors(spark):
             assert str(p) == str(got[k][name]) or got[k][name] == pytest.approx(p, rel=1e-12, nan_ok=True), (k, name)
     plan = P.scores_under_variations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "score(vectors(" in plan and plan.count("vectors(") == 1
+    # a tag that no variation moves is made once
+    o = F.col("o")
+    assert not X._reads_any(lambda j: j["score"] > 0.1, o, {"pt", "mass"})
+    assert X._reads_any(lambda j: j["score"] > j["pt"], o, {"pt", "mass"}) and X._reads_any(lambda j: F.size(F.array(j)) > 0, o, {"pt"})
 
 
 def test_batches_of_tag_weights_agree_with_rows(spark, monkeypatch):
